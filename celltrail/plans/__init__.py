@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from celltrail.plans import data_quality
+    from celltrail.plans import data_quality, evaluation, linking, markers, matrices, training
 
-    return [data_quality]
+    return [markers, linking, training, evaluation, matrices, data_quality]
 
 
 def all_queries() -> dict[str, Query]:
