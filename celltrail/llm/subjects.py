@@ -95,19 +95,32 @@ def features(parts: list[list[str]], language: int = 0) -> tuple[np.ndarray, np.
     )
 
 
+@dataclass
 class Languages:
-    """Unigram models of the languages that the corpus names, to tell what a text is written in."""
+    """Unigram models of the languages that the corpus names, to tell what a text is written in.
+
+    ``costs`` has a row for each of ``places``, and a first one for all others.
+    """
+
+    names: list[str]
+    places: np.ndarray
+    costs: np.ndarray
+
+    def reader(self) -> LanguageReader:
+        return LanguageReader(self)
+
 
-    def __init__(self, names: list[str], counts: np.ndarray):
-        self.names = names
-        share = (counts + 0.2) / (counts.sum(axis=1, keepdims=True) + 0.2 * counts.shape[1])
-        self.cost = np.log(share).astype(np.float32) if names else counts
+class LanguageReader:
+    def __init__(self, languages: Languages):
+        self.many, self.costs = len(languages.names) > 1, languages.costs
+        self.row = np.zeros(1 << UNIGRAM_BITS, np.int32)
+        self.row[languages.places] = np.arange(1, len(languages.places) + 1)
 
     def of(self, parts: list[list[str]]) -> int:
         """The likeliest language of a text's sentences."""
-        if len(self.names) < 2 or not parts:
+        if not self.many or not parts:
             return 0
-        return int(self.cost[:, features(parts, -1)[0]].sum(axis=1).argmax())
+        return int(self.costs[self.row[features(parts, -1)[0]]].sum(axis=0).argmax())
 
 
 class Places:
@@ -190,7 +203,7 @@ class Reader:
     """Tells what sentences are about."""
 
     def __init__(self, models: SubjectModels, pair: float = 0.3, floor: float = 0.1):
-        self.names, self.languages, self.least = models.names, models.languages, models.least
+        self.names, self.languages, self.least = models.names, models.languages.reader(), models.least
         self.pair, self.floor, self.ratios = pair, floor, models.ratios
         self.rows = []
         for bits, places in zip((UNIGRAM_BITS, BIGRAM_BITS), models.places, strict=True):
@@ -276,27 +289,29 @@ def fit_languages(documents: DataFrame) -> Languages:
     rows = codes.groupBy("code").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "code").limit(MOST_LANGUAGES).collect()
     most = max((r["n"] for r in rows), default=0)
     names = sorted(r["code"] for r in rows if r["n"] * 200 >= most)
-    counts = np.zeros((max(len(names), 1), 1 << UNIGRAM_BITS), np.float32)
     if len(names) < 2:
-        return Languages(names, counts)
+        return Languages(names, np.zeros(0, np.int64), np.zeros((1, max(len(names), 1)), np.float32))
     texts = documents.where("text is not null").join(codes.where(F.col("code").isin(names)).select("lang", "code"), "lang")
+    at = {name: i for i, name in enumerate(names)}
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = {name: np.zeros(1 << UNIGRAM_BITS, np.int64) for name in names}
+        held = Places(UNIGRAM_BITS, len(names))
         for frame in frames:
             for text, name in zip(frame["text"], frame["code"], strict=True):
                 if parts := sentences(text):
-                    np.add.at(held[name], features(parts, -1)[0], 1)
-        for name, table in held.items():
-            used = np.flatnonzero(table)
-            yield pd.DataFrame({"code": name, "place": used.astype(np.int32), "n": table[used]})
+                    rows = held.rows(features(parts, -1)[0], 0)
+                    np.add.at(held.table[:, at[name]], rows, 1)
+        used = np.flatnonzero(held.row)
+        for some in np.array_split(used, max(1, len(used) // 20_000)):
+            counts = {f"c{i}": held.table[held.row[some], i] for i in range(len(names))}
+            yield pd.DataFrame({"place": some.astype(np.int32)} | counts)
 
-    summed = texts.select("text", "code").mapInPandas(count, "code string, place int, n bigint")
-    got = summed.groupBy("code", "place").agg(F.sum("n").alias("n")).toPandas()
-    for i, name in enumerate(names):
-        part = got[got["code"] == name]
-        counts[i, part["place"].to_numpy()] = part["n"].to_numpy()
-    return Languages(names, counts)
+    columns = [f"c{i}" for i in range(len(names))]
+    summed = texts.select("text", "code").mapInPandas(count, "place int, " + ", ".join(f"{c} float" for c in columns))
+    got = summed.groupBy("place").agg(*[F.sum(c).alias(c) for c in columns]).toPandas().sort_values("place")
+    counts = np.concatenate([np.zeros((1, len(names))), got[columns].to_numpy(float)])
+    costs = np.log((counts + 0.2) / (counts.sum(axis=0) + 0.2 * (1 << UNIGRAM_BITS)))
+    return Languages(names, got["place"].to_numpy(np.int64), costs.astype(np.float32))
 
 
 def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, passes: int = PASSES) -> SubjectModels:
@@ -335,8 +350,9 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, p
         held = spark.sparkContext.broadcast((models, languages))
 
         def count(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            models, languages = held.value
+            models, spoken = held.value
             reader = Reader(models) if models else None
+            languages = spoken.reader()
             counts = Counts(k + 1)
             for frame in frames:
                 for both, mark in zip(frame["sides"], frame["marked"], strict=True):
@@ -362,6 +378,7 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, p
         summed = texts.mapInPandas(count, schema).groupBy("kind", "place")
         # Where two languages share a place the smaller number names it.
         rows = summed.agg(F.min("language").alias("language"), *sums).toPandas()
+        held.destroy()
         models = models_from(names, languages, rows)
     models.least = calibrated(models, documents.select("doc_id", "text").join(marked, "doc_id"))
     return models
@@ -393,6 +410,7 @@ def calibrated(models: SubjectModels, labelled: DataFrame, share: float = SHARE)
 
     rows = labelled.where("text is not null").mapInPandas(judge, "gain int, hit bigint, false bigint, missed bigint")
     sums = rows.groupBy("gain").agg(F.sum("hit"), F.sum("false"), F.sum("missed")).collect()
+    held.destroy()
     score = {r[0]: round(2 * r[1] / max(2 * r[1] + r[2] + r[3], 1), 4) for r in sums}
     if not score or not k:
         return LEAST_GAIN
