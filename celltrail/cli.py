@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import argparse
+import gzip
+import importlib
 import json
 import sys
+import urllib.request
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from celltrail.functions.text import norm_cl_id, norm_label
 from celltrail.operators import annotators, augment, curation, linking, markers, metrics, splits
+from celltrail.operators import matrix as mx
 from celltrail.operators.parse import reparse
 from celltrail.operators.prompts import to_training_records, training_text
 from celltrail.session import local_session
@@ -178,6 +183,55 @@ def reparse_predictions(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.write_jsonl(reparse(src.read_predictions(spark, a.input)), a.output)
 
 
+def sync_gold(spark: SparkSession, a: argparse.Namespace) -> None:
+    rows = _numbered(src.read_predictions(spark, a.input), "rec_id")
+    gold = _numbered(_training(spark, a.gold), "example_id").drop("rec_id").withColumnRenamed("place", "rec_id")
+    out = linking.sync_gold(rows.drop("rec_id").withColumnRenamed("place", "rec_id"), gold, a.allow_mismatch)
+    sinks.write_jsonl(out, a.output)
+
+
+def _numbered(rows: DataFrame, order: str) -> DataFrame:
+    """Rows with ``place``: their number in the file's order, from 0, without sorting in one task."""
+    parts = rows.withColumn("_part", F.shiftright(F.col(order), 33)).withColumn("_at", F.col(order).bitwiseAND((1 << 33) - 1))
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_least"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a partition
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_at")) - 1
+    return parts.withColumn("_rank", rank).join(F.broadcast(before), "_part").withColumn("place", F.col("_rank") + F.col("_before")).drop("_part", "_at", "_rank", "_before")
+
+
+def benchmark_model(spark: SparkSession, a: argparse.Namespace) -> None:
+    module, _, name = a.model.partition(":")
+    make = getattr(importlib.import_module(module), name)
+    cases = annotators.cases(_training(spark, a.input))
+    if a.marker_db:
+        db = _records(spark, a.marker_db)
+        out = annotators.run_benchmark(lambda q: annotators.annotate_by_rerank(q, db, make, a.top_k), cases)
+    else:
+        out = annotators.run_benchmark(lambda q: annotators.annotate_by_prompt(q, make), cases)
+    sinks.write_jsonl(out, a.output)
+
+
+def download(spark: SparkSession, a: argparse.Namespace) -> None:
+    with urllib.request.urlopen(a.input, timeout=60) as answer:
+        data = answer.read()
+    Path(a.output).write_bytes(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+
+
+def _matrix(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(a.input), spark.read.parquet(a.obs).withColumnRenamed(a.cluster, "cluster")
+
+
+def extract_markers(spark: SparkSession, a: argparse.Namespace) -> None:
+    matrix, obs = _matrix(spark, a)
+    sinks.write_report(mx.top_genes(mx.rank_genes(matrix, obs, a.method), a.top).orderBy("cluster", "rank"), a.output)
+
+
+def prepare_matrix(spark: SparkSession, a: argparse.Namespace) -> None:
+    matrix, obs = _matrix(spark, a)
+    out = mx.matrix_markers(matrix, obs, a.top, a.min_genes, a.min_cells)
+    sinks.write_report(out.withColumn("markers", F.array_join("markers", ", ")), a.output)
+
+
 def summarize(spark: SparkSession, a: argparse.Namespace) -> None:
     parts = [src.read_predictions(spark, path).withColumn("experiment", F.lit(name)) for name, path in (x.split("=", 1) for x in a.input)]
     both = parts[0]
@@ -252,8 +306,23 @@ def parser() -> argparse.ArgumentParser:
     v.set_defaults(run=annotate)
     for name in ("--tissue", "--markers", "--marker-db"):
         v.add_argument(name, required=True)
-    v = verb("benchmark", benchmark, "marker-db")
-    v.add_argument("--method", choices=["overlap", "signed"], default="overlap")
+    verb("benchmark-marker-overlap", benchmark, "marker-db").set_defaults(method="overlap")
+    verb("benchmark-sctype-style", benchmark, "marker-db").set_defaults(method="signed")
+    for name in ("benchmark-prompt", "benchmark-lora", "benchmark-lora-rerank"):
+        v = verb(name, benchmark_model)
+        v.add_argument("--model", required=True, help="module:function that makes a function from prompts to answers")
+        v.add_argument("--marker-db", required=name.endswith("rerank"))
+        v.add_argument("--top-k", type=int, default=5)
+    for name in ("download-panglaodb-markers", "download-cell-ontology"):
+        verb(name, download)
+    verb("sync-prediction-gold-ontology", sync_gold, "gold").add_argument("--allow-mismatch", action="store_true")
+    for name, run in (("extract-markers", extract_markers), ("prepare-matrix-benchmark", prepare_matrix)):
+        v = verb(name, run, "obs")
+        v.add_argument("--cluster", default="cluster")
+        v.add_argument("--top", type=int, default=25)
+        v.add_argument("--method", choices=["wilcoxon", "t-test"], default="wilcoxon")
+        v.add_argument("--min-genes", type=int, default=0)
+        v.add_argument("--min-cells", type=int, default=0)
     verb("evaluate", evaluate, output=False).add_argument("--bins", type=int, default=10)
     v = verb("analyze-predictions", analyze, output=False)
     v.add_argument("--output")

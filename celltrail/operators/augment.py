@@ -70,14 +70,13 @@ def distractors(examples: DataFrame, records: DataFrame, per_example: int, seed:
     """(``example_id``, ``added``): markers of the database that neither the example nor its label has.
 
     Every example takes ``per_example`` markers from the database's list, by
-    hash, so the list is one value of the size of the gene vocabulary; it is
-    kept to the markers with the smallest hashes of a marker alone only where
-    an example needs no more than are there.
+    hash; the list is one value of the size of the gene vocabulary.
     """
     all_markers = records.select(F.explode("markers").alias("m")).distinct().agg(F.array_sort(F.collect_list("m")).alias("all_markers"))
     joined = examples.withColumn("label_key", norm_label(F.col("cell_type"))).join(label_markers(records), "label_key", "left")
     joined = joined.crossJoin(F.broadcast(all_markers))  # one row, the vocabulary
-    own = F.array_union("markers", F.coalesce("label_markers", F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    own = F.array_union(F.coalesce("markers", none), F.coalesce("label_markers", none))
     pool = F.array_except("all_markers", own)
     return joined.select("example_id", F.slice(by_hash(pool, seed, F.col("example_id"), "add"), 1, per_example).alias("added"))
 

@@ -41,7 +41,7 @@ def _confidence(text: Column) -> Column:
     raw = _found(text, CONFIDENCE)
     number = F.regexp_replace(raw, "%", "").cast("double")
     value = F.when(raw.endswith("%"), number / 100.0).otherwise(number)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))
+    return F.when(value.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)))
 
 
 def parse_response(text: Column) -> Column:
