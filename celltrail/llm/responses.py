@@ -124,9 +124,9 @@ def declines(text: str) -> bool:
 
 
 def _alike(value: str, parsed: str | None) -> bool:
-    """Whether an unpunctuated label is all of the parsed one, spelling aside."""
+    """Whether an unpunctuated label is all of the parsed one: as many words, and the last one whole."""
     a, b = _WORD.findall(visible(value)), _WORD.findall(visible(parsed))
-    return bool(a and b) and len(a) >= len(b) and a[-1][:1] == b[-1][:1] and abs(len("".join(a)) - len("".join(b))) <= 2
+    return bool(a and b) and len(a) >= len(b) and a[-1].rstrip("s") in {w.rstrip("s") for w in b}
 
 
 def stops_early(text: str, cell_type: str | None, confidence: float | None) -> bool:
