@@ -47,7 +47,7 @@ def myers(pattern: list[str], text: list[str], most: int) -> tuple[int, int]:
         at[w] |= 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
     plus, minus, score = full, 0, m
-    best = (most + 1, -1)
+    best = min((most + 1, -1), (m, 0))  # an empty stretch costs the whole pattern
     for j, w in enumerate(text):
         eq = at.get(w, 0)
         xv = eq | minus
@@ -108,17 +108,19 @@ class PassageIndex:
                             continue
                         low = max(0, j - a - errors)
                         near = words[low : j - a + window + errors]
-                        distance, end = myers(item[start : start + window], near, errors)
+                        passage = item[start : start + window]
+                        # Every word of the passage that isn't near costs an edit at least.
+                        if window - sum(map(set(near).__contains__, passage)) > errors:
+                            continue
+                        distance, end = myers(passage, near, errors)
                         if distance <= errors and (k not in found or distance < found[k][0]):
-                            run = self.run(item, start, words, j - a) if distance == 0 else 0
-                            found[k] = (distance, start, low + max(0, end - window), run)
+                            at = low + max(0, end - window)
+                            found[k] = (distance, start, at, self.run(item, start, words, at) if distance == 0 else 0)
         for k, (distance, start, at, run) in found.items():
             yield self.items[k][0], distance, start, at, run
 
     def run(self, item: list[str], i: int, words: list[str], j: int) -> int:
         """How many words are equal on this alignment, from both starts on and before them."""
-        if j < 0:
-            return 0
         n = 0
         while i + n < len(item) and j + n < len(words) and item[i + n] == words[j + n]:
             n += 1
