@@ -31,7 +31,9 @@ from celltrail.session import cut_lineage, shuffle_width
 SHARE = 0.25
 UNIGRAM_BITS = 20
 BIGRAM_BITS = 20
+#: Most passes over the corpus; fewer if the subjects' shares of it move by less than ``SETTLED`` of themselves.
 PASSES = 5
+SETTLED = 0.02
 #: Nats of gain that a sentence needs before it deals with any subject.
 LEAST_GAIN = 0.8
 GAINS = (0.4, 0.6, 0.8, 1.0, 1.2, 1.5)
@@ -51,16 +53,17 @@ _CODES = {
 }
 MOST_LANGUAGES = 32
 
-_hashed: dict[tuple[int, str], int] = {}
+class _Hashes(dict):
+    """Hashes of words met so far."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = value = crc32(word.encode())
+        return value
 
-def _number(language: int, word: str) -> int:
-    key = (language, word)
-    if key not in _hashed:
-        if len(_hashed) > 500_000:
-            _hashed.clear()
-        _hashed[key] = crc32(f"{language}:{word}".encode())
-    return _hashed[key]
+
+_hashes = _Hashes()
 
 
 def sentences(text: str | None) -> list[list[str]]:
@@ -81,18 +84,39 @@ def sentences(text: str | None) -> list[list[str]]:
     return out
 
 
-def features(parts: list[list[str]], language: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed unigrams of a language, the bigrams that end in each of them, and where sentences start."""
-    ids = np.array([_number(language, w) for p in parts for w in p], np.uint64)
-    starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
-    before = np.concatenate([ids[:1], ids[:-1]])
-    before[starts] = 1
-    pairs = (before * np.uint64(0x9E3779B1) + ids) * np.uint64(0x85EBCA6B)
-    return (
-        (ids & np.uint64((1 << UNIGRAM_BITS) - 1)).astype(np.int64),
-        ((pairs >> np.uint64(7)) & np.uint64((1 << BIGRAM_BITS) - 1)).astype(np.int64),
-        starts,
-    )
+@dataclass
+class Encoded:
+    """A text as word hashes; sentences start at ``starts``."""
+
+    words: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+
+    def unigrams(self, language: int) -> np.ndarray:
+        """Hashed words of a language."""
+        return ((self._of(language) >> np.uint64(20)) & np.uint64((1 << UNIGRAM_BITS) - 1)).astype(np.int64)
+
+    def bigrams(self, language: int) -> np.ndarray:
+        """Hashed pairs of each word with the one before it in its sentence."""
+        ids = self._of(language)
+        before = np.concatenate([ids[:1], ids[:-1]])
+        before[self.starts] = 1
+        pairs = (before * np.uint64(0x9E3779B97F4A7C15)) ^ ids
+        pairs = pairs * np.uint64(0xC2B2AE3D27D4EB4F)
+        return ((pairs >> np.uint64(24)) & np.uint64((1 << BIGRAM_BITS) - 1)).astype(np.int64)
+
+    def _of(self, language: int) -> np.ndarray:
+        return (self.words + np.uint64((language + 2) * 0x100000001B3)) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def encoded(text: str | None) -> Encoded | None:
+    """A text's sentences, or None if it has none."""
+    parts = sentences(text)
+    if not parts:
+        return None
+    lengths = np.array([len(p) for p in parts])
+    words = np.fromiter((_hashes[w] for p in parts for w in p), np.uint64, int(lengths.sum()))
+    return Encoded(words, np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
 
 
 @dataclass
@@ -116,11 +140,11 @@ class LanguageReader:
         self.row = np.zeros(1 << UNIGRAM_BITS, np.int32)
         self.row[languages.places] = np.arange(1, len(languages.places) + 1)
 
-    def of(self, parts: list[list[str]]) -> int:
-        """The likeliest language of a text's sentences."""
-        if not self.many or not parts:
+    def of(self, text: Encoded) -> int:
+        """The likeliest language of a text."""
+        if not self.many:
             return 0
-        return int(self.costs[self.row[features(parts, -1)[0]]].sum(axis=0).argmax())
+        return int(self.costs[self.row[text.unigrams(-1)]].sum(axis=0).argmax())
 
 
 class Places:
@@ -211,43 +235,41 @@ class Reader:
             row[places] = np.arange(1, len(places) + 1)
             self.rows.append(row)
 
-    def log_gain(self, parts: list[list[str]], language: int) -> np.ndarray:
+    def log_gain(self, text: Encoded, language: int) -> np.ndarray:
         """Nats by which each subject's model beats the language's background, by sentence."""
-        u, b, starts = features(parts, language)
-        one, two = self.ratios[0][self.rows[0][u]], self.ratios[1][self.rows[1][b]]
-        return np.add.reduceat(np.log((1 - self.pair) * one + self.pair * two), starts, axis=0)
+        one = self.ratios[0][self.rows[0][text.unigrams(language)]]
+        two = self.ratios[1][self.rows[1][text.bigrams(language)]]
+        return np.add.reduceat(np.log((1 - self.pair) * one + self.pair * two), text.starts, axis=0)
 
-    def read(self, text: str | None, allowed: np.ndarray | None = None) -> tuple[list[list[str]], int, np.ndarray]:
-        """Sentences, language, and by sentence the posterior of no subject (column 0) and of each.
+    def read(self, text: Encoded, allowed: np.ndarray | None = None) -> tuple[int, np.ndarray]:
+        """Language, and by sentence the posterior of no subject (column 0) and of each.
 
         No subject stands for a gain of ``least`` nats; what else the document
         is about shifts the odds between subjects, not against none.
         """
-        parts = sentences(text)
         k = len(self.names)
-        if not parts:
-            return parts, 0, np.zeros((0, k + 1))
-        language = self.languages.of(parts)
-        gain = self.log_gain(parts, language).astype(float)
+        language = self.languages.of(text)
+        gain = self.log_gain(text, language).astype(float)
         if allowed is not None:
             gain = np.where(allowed, gain + 1.0, gain - 4.0)
         top = gain.max(axis=1, keepdims=True)
         none = 1.0 / (1.0 + np.exp(np.clip(top - self.least, -50, 50)))
         like = np.exp(gain - top)
         prior = np.full(k, 1.0 / k)
-        for _ in range(6):
+        for _ in range(4 if len(gain) > 1 else 1):
             post = like * prior
             post *= (1 - none) / post.sum(axis=1, keepdims=True)
-            prior = (post.sum(axis=0) + self.floor) / (post.sum() + k * self.floor)
-        return parts, language, np.concatenate([none, post], axis=1)
+            by = post.sum(axis=0)
+            prior = (by + self.floor) / (by.sum() + k * self.floor)
+        return language, np.concatenate([none, post], axis=1)
 
     def counted(self, text: str | None) -> list[tuple[int, int, int]]:
         """(subject, its sentences, all sentences) of each subject that a sentence deals with."""
-        parts, _, post = self.read(text)
-        if not parts:
+        known = encoded(text)
+        if known is None:
             return []
-        best = np.bincount(post.argmax(axis=1), minlength=len(self.names) + 1)[1:]
-        return [(int(s), int(best[s]), len(parts)) for s in np.flatnonzero(best)]
+        best = np.bincount(self.read(known)[1].argmax(axis=1), minlength=len(self.names) + 1)[1:]
+        return [(int(s), int(best[s]), len(known.lengths)) for s in np.flatnonzero(best)]
 
     def accepted(self, text: str | None, share: float) -> list[int]:
         return [s for s, n, of in self.counted(text) if n >= of * share - 1e-9]
@@ -259,10 +281,9 @@ class Counts:
     def __init__(self, columns: int):
         self.of = [Places(UNIGRAM_BITS, columns), Places(BIGRAM_BITS, columns)]
 
-    def add(self, parts: list[list[str]], language: int, weights: np.ndarray) -> None:
-        u, b, _ = features(parts, language)
-        by_word = np.repeat(weights.astype(np.float32), [len(p) for p in parts], axis=0)
-        for held, places in zip(self.of, (u, b), strict=True):
+    def add(self, text: Encoded, language: int, weights: np.ndarray) -> None:
+        by_word = np.repeat(weights.astype(np.float32), text.lengths, axis=0)
+        for held, places in zip(self.of, (text.unigrams(language), text.bigrams(language)), strict=True):
             rows = held.rows(places, language)
             np.add.at(held.table, rows, by_word)
 
@@ -298,8 +319,8 @@ def fit_languages(documents: DataFrame) -> Languages:
         held = Places(UNIGRAM_BITS, len(names))
         for frame in frames:
             for text, name in zip(frame["text"], frame["code"], strict=True):
-                if parts := sentences(text):
-                    rows = held.rows(features(parts, -1)[0], 0)
+                if (known := encoded(text)) is not None:
+                    rows = held.rows(known.unigrams(-1), 0)
                     np.add.at(held.table[:, at[name]], rows, 1)
         used = np.flatnonzero(held.row)
         for some in np.array_split(used, max(1, len(used) // 20_000)):
@@ -322,7 +343,8 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, p
     translation (``tgt_text``), it trains with the same label, so a subject
     labelled in one language is known in the other. Every pass reads all
     documents; its counts come to the driver as one row for each used place of
-    the hashed tables, a bounded number.
+    the hashed tables, a bounded number. Passes end when the subjects' shares
+    have settled.
     """
     spark = documents.sparkSession
     names = sorted(r["subject"] for r in subjects.select("subject").distinct().collect() if r["subject"])
@@ -345,7 +367,7 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, p
     width = max(spark.sparkContext.defaultParallelism, shuffle_width(spark))
     texts = cut_lineage(texts.repartition(width))
     schema = "kind int, place int, language int, " + ", ".join(f"c{i} float" for i in range(k + 1))
-    models = None
+    models, mass = None, np.zeros(k)
     for _ in range(passes):
         held = spark.sparkContext.broadcast((models, languages))
 
@@ -361,17 +383,18 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, p
                         said = np.zeros(k, bool)
                         said[list(mark)] = True
                     for text in both:
+                        known = encoded(text)
+                        if known is None:
+                            continue
                         if reader:
-                            parts, language, post = reader.read(text, said)
+                            language, post = reader.read(known, said)
                         else:
-                            parts = sentences(text)
-                            language = languages.of(parts)
-                            post = np.zeros((len(parts), k + 1))
+                            language = languages.of(known)
+                            post = np.zeros((len(known.lengths), k + 1))
                             if said is not None:
                                 post[:, 1:] = said / said.sum()
-                        if parts:
-                            post[:, 0] = 1.0  # the background counts everything
-                            counts.add(parts, language, post)
+                        post[:, 0] = 1.0  # the background counts everything
+                        counts.add(known, language, post)
             yield from counts.frames()
 
         sums = [F.sum(f"c{i}").cast("float").alias(f"c{i}") for i in range(k + 1)]
@@ -379,7 +402,10 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, p
         # Where two languages share a place the smaller number names it.
         rows = summed.agg(F.min("language").alias("language"), *sums).toPandas()
         held.destroy()
+        before, mass = mass, rows.loc[rows["kind"] == 0, [f"c{i}" for i in range(1, k + 1)]].sum().to_numpy(float)
         models = models_from(names, languages, rows)
+        if np.abs(mass - before).sum() < SETTLED * mass.sum():
+            break
     models.least = calibrated(models, documents.select("doc_id", "text").join(marked, "doc_id"))
     return models
 
@@ -423,6 +449,10 @@ def subject_shares(documents: DataFrame, models: SubjectModels) -> DataFrame:
 
     A sentence counts for what is likeliest of the subjects and none.
     """
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, subject string, sentences int, of int, share double"
+    if not models.names:
+        return documents.sparkSession.createDataFrame([], schema)
     held = documents.sparkSession.sparkContext.broadcast(models)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -435,9 +465,7 @@ def subject_shares(documents: DataFrame, models: SubjectModels) -> DataFrame:
             ]
             yield pd.DataFrame(out, columns=["doc_id", "subject", "sentences", "of", "share"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    texts = documents.select("doc_id", "text").where("text is not null")
-    return texts.mapInPandas(read, f"doc_id {kind}, subject string, sentences int, of int, share double")
+    return documents.select("doc_id", "text").where("text is not null").mapInPandas(read, schema)
 
 
 def corpus_shares(documents: DataFrame, models: SubjectModels) -> DataFrame:
