@@ -28,6 +28,7 @@ _LABELS = re.compile(rf"^[\W_]*{_FIELD}\W*?(?:[:：]|$)[*_]*", re.I | re.M)
 _KEY = re.compile(r'"[^"\n]{1,40}"\s*:')
 _WORD = re.compile(r"[^\W_]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_SYMBOL = re.compile(r"[\w-]*\d[\w-]*")
 # Words that say nothing.
 _NOTHING = {"null", "none", "nan", "na", "n", "a", "empty", "json", "nil", "undefined", "blank", "text"}
 # Words that may surround a question given back.
@@ -167,7 +168,7 @@ def foreign(text: str) -> bool:
         letters = [c for c in prose if c.isalpha()]
         if sum(0x24F < ord(c) < 0xFF00 for c in letters) > 0.15 * len(letters):
             return True
-    words = _LETTERS.findall(prose.lower())
+    words = _LETTERS.findall(_SYMBOL.sub(" ", prose.lower()))
     english = sum(w in _ENGLISH for w in words)
     other = sum(w in _FOREIGN for w in words)
     return (other >= 2 and other > english) or (other >= 1 and english == 0 and len(words) >= 6)
