@@ -15,7 +15,7 @@ holds have a size that doesn't depend on the corpus.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -29,6 +29,8 @@ from celltrail.session import cut_lineage, shuffle_width
 
 #: At least this share of a document's sentences.
 SHARE = 0.25
+#: Words that a worker scores together.
+WORDS_AT_ONCE = 60_000
 UNIGRAM_BITS = 20
 BIGRAM_BITS = 20
 #: Most passes over the corpus; fewer if the subjects' shares of it move by less than ``SETTLED`` of themselves.
@@ -86,17 +88,23 @@ def sentences(text: str | None) -> list[list[str]]:
 
 @dataclass
 class Encoded:
-    """A text as word hashes; sentences start at ``starts``."""
+    """Texts as word hashes, one after another."""
 
+    rows: np.ndarray  # which of the texts given; those without sentences are left out
     words: np.ndarray
-    starts: np.ndarray
-    lengths: np.ndarray
+    lengths: np.ndarray  # words by sentence
+    sentences: np.ndarray  # sentences by text
 
-    def unigrams(self, language: int) -> np.ndarray:
-        """Hashed words of a language."""
+    def __post_init__(self) -> None:
+        self.starts = _starts(self.lengths)
+        self.text_starts = _starts(self.sentences)
+        self.sizes = np.add.reduceat(self.lengths, self.text_starts)  # words by text
+
+    def unigrams(self, language: np.ndarray | int) -> np.ndarray:
+        """Hashed words, each of its text's language."""
         return ((self._of(language) >> np.uint64(20)) & np.uint64((1 << UNIGRAM_BITS) - 1)).astype(np.int64)
 
-    def bigrams(self, language: int) -> np.ndarray:
+    def bigrams(self, language: np.ndarray | int) -> np.ndarray:
         """Hashed pairs of each word with the one before it in its sentence."""
         ids = self._of(language)
         before = np.concatenate([ids[:1], ids[:-1]])
@@ -105,18 +113,38 @@ class Encoded:
         pairs = pairs * np.uint64(0xC2B2AE3D27D4EB4F)
         return ((pairs >> np.uint64(24)) & np.uint64((1 << BIGRAM_BITS) - 1)).astype(np.int64)
 
-    def _of(self, language: int) -> np.ndarray:
-        return (self.words + np.uint64((language + 2) * 0x100000001B3)) * np.uint64(0x9E3779B97F4A7C15)
+    def _of(self, language: np.ndarray | int) -> np.ndarray:
+        key = (np.asarray(language) + 2).astype(np.uint64) * np.uint64(0x100000001B3)
+        return (self.words + (np.repeat(key, self.sizes) if key.ndim else key)) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+
 
+def encoded(texts: Iterable[str | None], most: int = WORDS_AT_ONCE) -> Iterator[Encoded]:
+    """All texts in lots of about ``most`` words, a long text being a lot of its own."""
+    rows: list[int] = []
+    words: list[int] = []
+    lengths: list[int] = []
+    counts: list[int] = []
 
-def encoded(text: str | None) -> Encoded | None:
-    """A text's sentences, or None if it has none."""
-    parts = sentences(text)
-    if not parts:
-        return None
-    lengths = np.array([len(p) for p in parts])
-    words = np.fromiter((_hashes[w] for p in parts for w in p), np.uint64, int(lengths.sum()))
-    return Encoded(words, np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
+    def lot() -> Encoded:
+        return Encoded(np.array(rows), np.array(words, np.uint64), np.array(lengths), np.array(counts))
+
+    for row, text in enumerate(texts):
+        parts = sentences(text)
+        if parts:
+            rows.append(row)
+            counts.append(len(parts))
+            for part in parts:
+                lengths.append(len(part))
+                words.extend(map(_hashes.__getitem__, part))
+            if len(words) >= most:
+                yield lot()
+                rows, words, lengths, counts = [], [], [], []
+    if rows:
+        yield lot()
 
 
 @dataclass
@@ -140,11 +168,12 @@ class LanguageReader:
         self.row = np.zeros(1 << UNIGRAM_BITS, np.int32)
         self.row[languages.places] = np.arange(1, len(languages.places) + 1)
 
-    def of(self, text: Encoded) -> int:
-        """The likeliest language of a text."""
+    def of(self, texts: Encoded) -> np.ndarray:
+        """The likeliest language of each text."""
         if not self.many:
-            return 0
-        return int(self.costs[self.row[text.unigrams(-1)]].sum(axis=0).argmax())
+            return np.zeros(len(texts.rows), np.int64)
+        costs = self.costs[self.row[texts.unigrams(-1)]]
+        return np.add.reduceat(costs, _starts(texts.sizes), axis=0).argmax(axis=1)
 
 
 class Places:
@@ -156,10 +185,11 @@ class Places:
         self.language = np.zeros(1024, np.int16)
         self.used = 1
 
-    def rows(self, places: np.ndarray, language: int) -> np.ndarray:
+    def rows(self, places: np.ndarray, language: np.ndarray) -> np.ndarray:
         at = self.row[places]
         if not at.all():
-            new = np.unique(places[at == 0])
+            new, first = np.unique(places[at == 0], return_index=True)
+            language = language[at == 0][first]
             while self.used + len(new) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
                 self.language = np.concatenate([self.language, np.zeros_like(self.language)])
@@ -170,6 +200,13 @@ class Places:
             at = self.row[places]
         return at
 
+    def add(self, places: np.ndarray, language: np.ndarray, weights: np.ndarray) -> None:
+        """Adds a row of weights to each place, which may come several times."""
+        rows = self.rows(places, language)
+        order = np.argsort(rows, kind="stable")
+        kept, starts = np.unique(rows[order], return_index=True)
+        self.table[kept] += np.add.reduceat(weights[order], starts, axis=0)
+
 
 @dataclass
 class SubjectModels:
@@ -235,44 +272,43 @@ class Reader:
             row[places] = np.arange(1, len(places) + 1)
             self.rows.append(row)
 
-    def log_gain(self, text: Encoded, language: int) -> np.ndarray:
+    def log_gain(self, texts: Encoded, language: np.ndarray) -> np.ndarray:
         """Nats by which each subject's model beats the language's background, by sentence."""
-        one = self.ratios[0][self.rows[0][text.unigrams(language)]]
-        two = self.ratios[1][self.rows[1][text.bigrams(language)]]
-        return np.add.reduceat(np.log((1 - self.pair) * one + self.pair * two), text.starts, axis=0)
+        one = self.ratios[0][self.rows[0][texts.unigrams(language)]]
+        two = self.ratios[1][self.rows[1][texts.bigrams(language)]]
+        return np.add.reduceat(np.log((1 - self.pair) * one + self.pair * two), texts.starts, axis=0).astype(float)
 
-    def read(self, text: Encoded, allowed: np.ndarray | None = None) -> tuple[int, np.ndarray]:
-        """Language, and by sentence the posterior of no subject (column 0) and of each.
+    def read(self, texts: Encoded, allowed: np.ndarray | None = None, free: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Languages by text, and by sentence the posterior of no subject (column 0) and of each.
 
         No subject stands for a gain of ``least`` nats; what else the document
-        is about shifts the odds between subjects, not against none.
+        is about shifts the odds between subjects, not against none. ``allowed``
+        holds the labelled subjects of each text, ``free`` marks texts without labels.
         """
         k = len(self.names)
-        language = self.languages.of(text)
-        gain = self.log_gain(text, language).astype(float)
+        language = self.languages.of(texts)
+        gain = self.log_gain(texts, language)
         if allowed is not None:
-            gain = np.where(allowed, gain + 1.0, gain - 4.0)
+            shift = np.where(free[:, None], 0.0, np.where(allowed, 1.0, -4.0))
+            gain = gain + np.repeat(shift, texts.sentences, axis=0)
         top = gain.max(axis=1, keepdims=True)
         none = 1.0 / (1.0 + np.exp(np.clip(top - self.least, -50, 50)))
         like = np.exp(gain - top)
-        prior = np.full(k, 1.0 / k)
-        for _ in range(4 if len(gain) > 1 else 1):
-            post = like * prior
+        prior = np.full((len(texts.rows), k), 1.0 / k)
+        for _ in range(4):
+            post = like * np.repeat(prior, texts.sentences, axis=0)
             post *= (1 - none) / post.sum(axis=1, keepdims=True)
-            by = post.sum(axis=0)
-            prior = (by + self.floor) / (by.sum() + k * self.floor)
+            by = np.add.reduceat(post, texts.text_starts, axis=0)
+            prior = (by + self.floor) / (by.sum(axis=1, keepdims=True) + k * self.floor)
         return language, np.concatenate([none, post], axis=1)
 
-    def counted(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(subject, its sentences, all sentences) of each subject that a sentence deals with."""
-        known = encoded(text)
-        if known is None:
-            return []
-        best = np.bincount(self.read(known)[1].argmax(axis=1), minlength=len(self.names) + 1)[1:]
-        return [(int(s), int(best[s]), len(known.lengths)) for s in np.flatnonzero(best)]
-
-    def accepted(self, text: str | None, share: float) -> list[int]:
-        return [s for s, n, of in self.counted(text) if n >= of * share - 1e-9]
+    def counted(self, texts: Iterable[str | None]) -> Iterator[tuple[int, int, int, int]]:
+        """(text, subject, its sentences, all sentences) of each subject that a sentence deals with."""
+        for lot in encoded(texts):
+            best = self.read(lot)[1].argmax(axis=1)
+            counts = np.add.reduceat(np.eye(len(self.names) + 1, dtype=np.int64)[best], lot.text_starts, axis=0)[:, 1:]
+            for i, s in zip(*np.nonzero(counts), strict=True):
+                yield int(lot.rows[i]), int(s), int(counts[i, s]), int(lot.sentences[i])
 
 
 class Counts:
@@ -281,11 +317,11 @@ class Counts:
     def __init__(self, columns: int):
         self.of = [Places(UNIGRAM_BITS, columns), Places(BIGRAM_BITS, columns)]
 
-    def add(self, text: Encoded, language: int, weights: np.ndarray) -> None:
-        by_word = np.repeat(weights.astype(np.float32), text.lengths, axis=0)
-        for held, places in zip(self.of, (text.unigrams(language), text.bigrams(language)), strict=True):
-            rows = held.rows(places, language)
-            np.add.at(held.table, rows, by_word)
+    def add(self, texts: Encoded, language: np.ndarray, weights: np.ndarray) -> None:
+        by_word = np.repeat(weights.astype(np.float32), texts.lengths, axis=0)
+        spoken = np.repeat(language, texts.sizes)
+        for held, places in zip(self.of, (texts.unigrams(language), texts.bigrams(language)), strict=True):
+            held.add(places, spoken, by_word)
 
     def frames(self) -> Iterator[pd.DataFrame]:
         for kind, held in enumerate(self.of):
@@ -318,10 +354,10 @@ def fit_languages(documents: DataFrame) -> Languages:
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = Places(UNIGRAM_BITS, len(names))
         for frame in frames:
-            for text, name in zip(frame["text"], frame["code"], strict=True):
-                if (known := encoded(text)) is not None:
-                    rows = held.rows(known.unigrams(-1), 0)
-                    np.add.at(held.table[:, at[name]], rows, 1)
+            codes = frame["code"].map(at).to_numpy()
+            for lot in encoded(frame["text"]):
+                own = np.eye(len(names), dtype=np.float32)[codes[lot.rows]]
+                held.add(lot.unigrams(-1), np.zeros(len(lot.words), np.int16), np.repeat(own, lot.sizes, axis=0))
         used = np.flatnonzero(held.row)
         for some in np.array_split(used, max(1, len(used) // 20_000)):
             counts = {f"c{i}": held.table[held.row[some], i] for i in range(len(names))}
@@ -377,24 +413,22 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, p
             languages = spoken.reader()
             counts = Counts(k + 1)
             for frame in frames:
-                for both, mark in zip(frame["sides"], frame["marked"], strict=True):
-                    said = None
+                sides = [(text, i) for i, both in enumerate(frame["sides"]) for text in both]
+                owner = np.array([i for _, i in sides], np.int64)
+                said = np.zeros((len(frame), k), bool)
+                for i, mark in enumerate(frame["marked"]):
                     if mark is not None:
-                        said = np.zeros(k, bool)
-                        said[list(mark)] = True
-                    for text in both:
-                        known = encoded(text)
-                        if known is None:
-                            continue
-                        if reader:
-                            language, post = reader.read(known, said)
-                        else:
-                            language = languages.of(known)
-                            post = np.zeros((len(known.lengths), k + 1))
-                            if said is not None:
-                                post[:, 1:] = said / said.sum()
-                        post[:, 0] = 1.0  # the background counts everything
-                        counts.add(known, language, post)
+                        said[i, list(mark)] = True
+                for lot in encoded(text for text, _ in sides):
+                    mine = said[owner[lot.rows]]
+                    if reader:
+                        language, post = reader.read(lot, mine, ~mine.any(axis=1))
+                    else:
+                        language = languages.of(lot)
+                        share = mine / np.maximum(mine.sum(axis=1, keepdims=True), 1)
+                        post = np.repeat(np.concatenate([np.ones((len(mine), 1)), share], axis=1), lot.sentences, axis=0)
+                    post[:, 0] = 1.0  # the background counts everything
+                    counts.add(lot, language, post)
             yield from counts.frames()
 
         sums = [F.sum(f"c{i}").cast("float").alias(f"c{i}") for i in range(k + 1)]
@@ -427,11 +461,14 @@ def calibrated(models: SubjectModels, labelled: DataFrame, share: float = SHARE)
             readers.append(reader)
         out = np.zeros((len(GAINS), 3), int)
         for frame in frames:
-            for text, mark in zip(frame["text"], frame["marked"], strict=True):
-                said = set(mark)
-                for i, reader in enumerate(readers):
-                    found = set(reader.accepted(text, share))
-                    out[i] += (len(found & said), len(found - said), len(said - found))
+            said = [set(mark) for mark in frame["marked"]]
+            for i, reader in enumerate(readers):
+                found: list[set] = [set() for _ in said]
+                for row, s, n, of in reader.counted(frame["text"]):
+                    if n >= of * share - 1e-9:
+                        found[row].add(s)
+                for f, m in zip(found, said, strict=True):
+                    out[i] += (len(f & m), len(f - m), len(m - f))
         yield pd.DataFrame([(i, *map(int, row)) for i, row in enumerate(out)], columns=["gain", "hit", "false", "missed"])
 
     rows = labelled.where("text is not null").mapInPandas(judge, "gain int, hit bigint, false bigint, missed bigint")
@@ -458,11 +495,8 @@ def subject_shares(documents: DataFrame, models: SubjectModels) -> DataFrame:
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(held.value)
         for frame in frames:
-            out = [
-                (doc, reader.names[s], n, of, n / of)
-                for doc, text in zip(frame["doc_id"], frame["text"], strict=True)
-                for s, n, of in reader.counted(text)
-            ]
+            ids = frame["doc_id"].tolist()
+            out = [(ids[row], reader.names[s], n, of, n / of) for row, s, n, of in reader.counted(frame["text"])]
             yield pd.DataFrame(out, columns=["doc_id", "subject", "sentences", "of", "share"])
 
     return documents.select("doc_id", "text").where("text is not null").mapInPandas(read, schema)
