@@ -90,23 +90,19 @@ def _shape(x: Column) -> Column:
     )
 
 
-def profiles(records: DataFrame) -> DataFrame:
-    """One row for each field of each file: rows by type, shapes and a sketch of words, as counts.
+def profiles(values: DataFrame, of: list[str]) -> DataFrame:
+    """One row for each key ``of``: rows by type, shapes and a sketch of words, as counts.
 
-    ``types``, ``shapes`` and ``words`` are arrays of (name, count). All rows
-    are read; only the list of words is a sketch, the same words in every file.
+    ``values`` are of ``field_values``. ``types``, ``shapes`` and ``words`` are
+    arrays of (name, count). All rows are read; only the list of words is a
+    sketch, the words with the smallest hashes, so the same ones everywhere.
     """
-    values = cut_lineage(field_values(records))
-    of = ["feed", "file_no", "field"]
-    by_type = values.groupBy(*of, "type").agg(F.count(F.lit(1)).alias("n"), F.min("file_id").alias("file_id"))
-    types = by_type.groupBy(*of).agg(
-        F.min("file_id").alias("file_id"),
-        F.sum("n").alias("rows"),
-        F.collect_list(F.when(F.col("type").isNotNull(), F.struct(F.col("type").alias("name"), F.col("n").alias("count")))).alias("types"),
-    )
-    items = values.where("type is not null").select(*of, "type", _items(F.col("text"), F.col("type")).alias("parts"))
-    shape = F.when(F.size("parts") > 1, F.lit("list")).otherwise(F.lit("one"))
-    split = items.select(*of, shape.alias("how"), F.explode("parts").alias("x")).where("x != ''")
+    by_type = values.groupBy(*of, "type").agg(F.count(F.lit(1)).alias("n"))
+    named = F.when(F.col("type").isNotNull(), F.struct(F.col("type").alias("name"), F.col("n").alias("count")))
+    types = by_type.groupBy(*of).agg(F.collect_list(named).alias("types"))
+    items = values.where("type is not null").select(*of, _items(F.col("text"), F.col("type")).alias("parts"))
+    how = F.when(F.size("parts") > 1, F.lit("list")).otherwise(F.lit("one"))
+    split = items.select(*of, how.alias("how"), F.explode("parts").alias("x")).where("x != ''")
     shapes = (
         split.select(*of, "how", _shape(F.col("x")).alias("shape"))
         .groupBy(*of, "how", "shape")
@@ -136,22 +132,30 @@ def _pairs(names: list[str]) -> Counter:
 
 
 def _as_counts(cell) -> dict[str, float]:
-    return {} if cell is None else {x["name"]: float(x["count"]) for x in cell}
+    return {} if cell is None else {x["name"]: float(x["count"]) for x in cell if x}
+
+
+def _likeness(old: dict, new: dict, shapes: str, words: str) -> float | None:
+    """How far two profiles agree: in shapes and, as far as values are words, in words. None without values."""
+    if not old[shapes] or not new[shapes]:
+        return None
+    worded = sum(v for k, v in new[shapes].items() if k.endswith("words")) / sum(new[shapes].values())
+    common = _cosine(old[words], new[words])
+    return _cosine(old[shapes], new[shapes]) * ((1 - worded) + worded * min(1.0, 0.15 + 1.4 * common))
 
 
 def similarity(old: dict, new: dict) -> float:
-    """How far two profiles may be of one field, from 0 to 1.
+    """How far two fields may be one, from 0 to 1.
 
-    Shapes must agree; where values are words, the words must too. A name that
-    is spelled alike or means the same adds, a name of another meaning takes.
+    What the two files hold counts, or what fields of these names hold in all
+    files. A name that is spelled alike or means the same adds, a name of
+    another meaning takes.
     """
-    if not old["shapes"] or not new["shapes"]:
-        base = 0.3  # no values to compare
-    else:
-        base = _cosine(old["shapes"], new["shapes"])
-        worded = sum(v for k, v in new["shapes"].items() if k.endswith("words")) / sum(new["shapes"].values())
-        common = _cosine(old["words"], new["words"])
-        base *= (1 - worded) + worded * min(1.0, 0.15 + 1.4 * common)
+    here = _likeness(old, new, "shapes", "words")
+    everywhere = _likeness(old, new, "all_shapes", "all_words")
+    base = 0.3 if here is None else here  # no values to compare
+    if everywhere is not None:
+        base = max(base, 0.95 * everywhere if here is None or here > 0.1 else 0.0)
     spelled = _cosine(_pairs([old["field"]]), _pairs([new["field"]]))
     meant, means = _meaning(old["field"]), _meaning(new["field"])
     if meant and means:
@@ -240,7 +244,9 @@ def schema_changes(records: DataFrame) -> DataFrame:
     files = records.groupBy("feed", "file_no").agg(F.min("file_id").alias("file_id"))
     order = Window.partitionBy("feed").orderBy("file_no")
     files = cut_lineage(files.select("*", F.lag("file_no").over(order).alias("before"), F.lead("file_no").over(order).alias("after")))
-    found = cut_lineage(profiles(records).drop("file_id"))
+    values = cut_lineage(field_values(records))
+    of_name = profiles(values, ["field"]).select("field", F.col("shapes").alias("all_shapes"), F.col("words").alias("all_words"))
+    found = cut_lineage(profiles(values, ["feed", "file_no", "field"]).join(of_name, "field", "left"))
     joined = files.join(found, ["feed", "file_no"], "left")
     # A file's profile is the new side of its own comparison and the old side of the next file's.
     side = F.explode(
@@ -249,8 +255,9 @@ def schema_changes(records: DataFrame) -> DataFrame:
             F.struct(F.col("after").alias("pair"), F.lit("old").alias("side")),
         )
     )
-    sides = joined.select("feed", "file_no", "file_id", "field", "types", "shapes", "words", side.alias("s")).where("s.pair is not null")
-    sides = sides.select("feed", F.col("s.pair").alias("pair"), F.col("s.side").alias("side"), "file_id", "field", "types", "shapes", "words")
+    kept = ["file_id", "field", "types", "shapes", "words", "all_shapes", "all_words"]
+    sides = joined.select("feed", *kept, side.alias("s")).where("s.pair is not null")
+    sides = sides.select("feed", F.col("s.pair").alias("pair"), F.col("s.side").alias("side"), *kept)
 
     def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         by: dict[str, list[dict]] = defaultdict(list)
@@ -259,10 +266,8 @@ def schema_changes(records: DataFrame) -> DataFrame:
             if r.side == "new":
                 file_id = r.file_id
             if r.field is not None:
-                by[r.side].append(
-                    {"field": r.field, "types": _as_counts([x for x in (r.types if r.types is not None else []) if x]),
-                     "shapes": _as_counts(r.shapes), "words": _as_counts(r.words)}
-                )
+                counts = {c: _as_counts(getattr(r, c)) for c in ("types", "shapes", "words", "all_shapes", "all_words")}
+                by[r.side].append({"field": r.field} | counts)
         rows = [(key[0], file_id, key[1], *c) for c in compare_files(by["old"], by["new"])]
         return pd.DataFrame(rows, columns=["feed", "file_id", "file_no", "change", "old_field", "new_field", "score"])
 
