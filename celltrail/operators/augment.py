@@ -69,16 +69,26 @@ def label_markers(records: DataFrame) -> DataFrame:
 def distractors(examples: DataFrame, records: DataFrame, per_example: int, seed: int) -> DataFrame:
     """(``example_id``, ``added``): markers of the database that neither the example nor its label has.
 
-    Every example takes ``per_example`` markers from the database's list, by
-    hash; the list is one value of the size of the gene vocabulary.
+    Every example draws places in the database's list by hash and takes the
+    first ``per_example`` that fit; where too few of the draws do, it takes those
+    of all that fit in hash order. The list is one value of the size of the gene
+    vocabulary.
     """
     all_markers = records.select(F.explode("markers").alias("m")).distinct().agg(F.array_sort(F.collect_list("m")).alias("all_markers"))
     joined = examples.withColumn("label_key", norm_label(F.col("cell_type"))).join(label_markers(records), "label_key", "left")
     joined = joined.crossJoin(F.broadcast(all_markers))  # one row, the vocabulary
     none = F.array().cast("array<string>")
     own = F.array_union(F.coalesce("markers", none), F.coalesce("label_markers", none))
-    pool = F.array_except("all_markers", own)
-    return joined.select("example_id", F.slice(by_hash(pool, seed, F.col("example_id"), "add"), 1, per_example).alias("added"))
+    joined = joined.withColumn("own", own)
+    size = F.size("all_markers")
+    places = F.sequence(F.lit(1), F.lit(4 * per_example + 16))
+    draws = F.transform(
+        places, lambda j: F.get("all_markers", F.floor(uniform(seed, F.col("example_id"), "draw", j) * size).cast("int"))
+    )
+    joined = joined.withColumn("drawn", F.array_except(draws, "own"))
+    rest = by_hash(F.array_except("all_markers", "own"), seed, F.col("example_id"), "add")
+    chosen = F.when(F.size("drawn") >= per_example, F.col("drawn")).otherwise(rest)
+    return joined.select("example_id", F.slice(chosen, 1, per_example).alias("added"))
 
 
 def perturb_markers(
