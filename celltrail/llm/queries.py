@@ -159,7 +159,7 @@ ORACLES = {
         reach as (
             select x, y from pairs
             union
-            select r.x, b.y from reach r join pairs b on r.y = b.x where b.y < r.x
+            select r.x, b.y from reach r join pairs b on r.y = b.x
         ), least as (select x as example_id, min(y) as group_id from reach group by x)
         select group_id, example_id from least where group_id < example_id
     """,
