@@ -151,7 +151,8 @@ def parse_lines(df: DataFrame, line: str = "raw_line", fields: int = len(FIELDS)
         out = [parse_line(x, fields) for x in lines]
         return pd.DataFrame(out, columns=["quote_edits", "separator_edits", "edits", "cells"])
 
-    return df.withColumn("parsed", parsed(F.col(line)))
+    # Not deterministic by name only: filters on the result must not run the parser a second time.
+    return df.withColumn("parsed", parsed.asNondeterministic()(F.col(line)))
 
 
 def _trim(x: Column) -> Column:
