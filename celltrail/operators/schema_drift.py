@@ -10,16 +10,20 @@ retyped. Chains of renames give every field a column of one common table.
 
 from __future__ import annotations
 
+import json
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from celltrail.session import cut_lineage, salted_join
+from celltrail.session import ROWS_PER_TASK, cut_lineage, salted_join
 
 #: Words kept of a field in a file: those with the smallest hashes.
 SKETCH = 128
@@ -36,86 +40,169 @@ MEANINGS = {
     "species": ("species", "specie", "speciestype", "organism"),
 }
 
-_CHANGES = "feed string, file_id bigint, file_no int, change string, old_field string, new_field string, score double"
-
 
 def plain_name(name: str) -> str:
     return re.sub(r"[^a-z0-9]+", "", name.lower())
 
 
-def field_values(records: DataFrame) -> DataFrame:
-    """One row for each field of each row: its JSON type and its value as text.
-
-    A payload that is not a JSON object has no fields. A field whose value is
-    JSON null is there, with a null type.
-    """
-    parsed = records.select("feed", "file_no", "file_id", F.try_parse_json("payload").alias("v")).where(
-        F.expr("schema_of_variant(v) like 'OBJECT%'")
-    )
-    exploded = parsed.lateralJoin(records.sparkSession.tvf.variant_explode(F.col("v").outer()))
-    fields = exploded.select("feed", "file_no", "file_id", F.col("key").alias("field"), "value")
-    kind = F.expr("schema_of_variant(value)")
-    json_type = (
-        F.when(kind == "VOID", None)
-        .when(kind == "STRING", "string")
-        .when(kind == "BOOLEAN", "boolean")
-        .when(kind.startswith("ARRAY"), "array")
-        .when(kind.startswith("OBJECT"), "object")
-        .otherwise("number")
-    )
-    return fields.select("feed", "file_no", "file_id", "field", json_type.alias("type"), F.expr("cast(value as string)").alias("text"))
-
-
-def _items(text: Column, json_type: Column) -> Column:
-    """The values in a cell: members of an array or of a list in a string, else the cell."""
-    inner = F.regexp_replace(text, r'^\[|\]$|"', "")
-    return F.when(json_type == "array", F.split(inner, r"\s*,\s*")).otherwise(F.split(text, r"\s*;\s*"))
+# Texts that stand for yes or no.
+_FLAGS = {"true", "false", "yes", "no", "y", "n", "0", "1"}
+_DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
+_ID = re.compile(r"cl[:_]?(\d+)\Z", re.I)
+_REAL = re.compile(r"[+-]?\d*\.\d+(?:e[+-]?\d+)?\Z", re.I)
+_WHOLE = re.compile(r"[+-]?\d{1,3}(?:,\d{3})+\Z|[+-]?\d+\Z")
+_CODE = re.compile(r"[^\W\d_](?:[^\W_]|[.\-])*\d(?:[^\W_]|[.\-])*\Z")
+_WORD = re.compile(r"[^\W_]+")
 
 
-def _shape(x: Column) -> Column:
+@lru_cache(maxsize=100_000)
+def shape(text: str) -> str:
     """What kind of sign string a value is."""
-    return (
-        F.when(x.rlike(r"(?i)^(true|false|yes|no|y|n|0|1)$"), "flag")
-        .when(x.rlike(r"^\d{4}-\d{2}-\d{2}"), "date")
-        .when(x.rlike(r"(?i)^CL[:_]?\d+$"), F.concat(F.lit("digits"), F.length(F.regexp_extract(x, r"(\d+)$", 1))))
-        .when(x.rlike(r"^[+-]?\d*\.\d+([eE][+-]?\d+)?$"), "real")
-        .when(
-            x.rlike(r"^[+-]?\d{1,3}(,\d{3})+$|^[+-]?\d+$"),
-            F.when(F.length(F.regexp_replace(x, "[^0-9]", "")) <= 5, "count").otherwise(
-                F.concat(F.lit("digits"), F.length(F.regexp_replace(x, "[^0-9]", "")))
-            ),
-        )
-        .when(x.rlike(r"^\p{L}[\p{L}\p{Nd}.\-]*\d[\p{L}\p{Nd}.\-]*$"), "symbol")
-        .otherwise("words")
-    )
-
-
-def profiles(values: DataFrame, of: list[str]) -> DataFrame:
-    """One row for each key ``of``: rows by type, shapes and a sketch of words, as counts.
-
-    ``values`` are of ``field_values``. ``types``, ``shapes`` and ``words`` are
-    arrays of (name, count). All rows are read; only the list of words is a
-    sketch, the words with the smallest hashes, so the same ones everywhere.
+    if text.lower() in _FLAGS:
+        return "flag"
+    if _DATE.match(text):
+        return "date"
+    if found := _ID.match(text):
+        return f"digits{len(found[1])}"
+    if _REAL.match(text):
+        return "real"
+    if _WHOLE.match(text):
+        digits = sum(c.isdigit() for c in text)
+        return "count" if digits <= 5 else f"digits{digits}"
+    return "symbol" if _CODE.match(text) else "words"
+
+
+def json_type(value: object) -> str | None:
+    """The JSON type of a parsed value; None of null."""
+    if value is None:
+        return None
+    if isinstance(value, bool):
+        return "boolean"
+    if isinstance(value, (int, float)):
+        return "number"
+    return {str: "string", list: "array"}.get(type(value), "object")
+
+
+class FieldProfile:
+    """Counts of types and shapes, and of the words with the smallest hashes."""
+
+    def __init__(self) -> None:
+        self.types: Counter = Counter()
+        self.shapes: Counter = Counter()
+        self.words: Counter = Counter()
+        self.bound = 1 << 32
+
+    def add(self, value: object) -> None:
+        kind = json_type(value)
+        if kind is None:
+            return
+        self.types[kind] += 1
+        if kind == "array":
+            parts = [str(v).strip() for v in value]
+        else:
+            text = json.dumps(value) if kind in ("object", "boolean") else str(value)
+            parts = [x.strip() for x in text.split(";")]
+        how = "list" if len(parts) > 1 else "one"
+        for part in parts:
+            if part:
+                what = shape(part)
+                self.shapes[f"{how}:{what}"] += 1
+                if what == "words":
+                    for word in set(_WORD.findall(part.lower())):
+                        if crc32(word.encode()) < self.bound:
+                            self.words[word] += 1
+        if len(self.words) > 4 * SKETCH:
+            self.cut()
+
+    def cut(self) -> None:
+        """Only the words with the smallest hashes; what is dropped can't come back, so counts stay whole."""
+        if len(self.words) > SKETCH:
+            kept = sorted(self.words, key=lambda w: (crc32(w.encode()), w))[:SKETCH]
+            self.words = Counter({w: self.words[w] for w in kept})
+            self.bound = crc32(kept[-1].encode()) + 1
+
+    def row(self) -> tuple:
+        self.cut()
+        return tuple([{"name": k, "count": n} for k, n in c.items()] for c in (self.types, self.shapes, self.words))
+
+
+_COUNTS = "array<struct<name:string,count:bigint>>"
+_PROFILE = f"feed string, file_no int, salt int, field string, types {_COUNTS}, shapes {_COUNTS}, words {_COUNTS}"
+
+
+def _profile_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Profiles of files whose rows come one after another."""
+    names = ["feed", "file_no", "salt", "field", "types", "shapes", "words"]
+    now, fields, out = None, {}, []
+    for frame in frames:
+        for feed, file_no, salt, payload in zip(frame["feed"], frame["file_no"], frame["salt"], frame["payload"], strict=True):
+            if (feed, file_no, salt) != now:
+                out += [(*now, name, *p.row()) for name, p in fields.items()]
+                now, fields = (feed, file_no, salt), {}
+            try:
+                parsed = json.loads(payload) if payload else None
+            except ValueError:
+                parsed = None
+            if isinstance(parsed, dict):
+                for name, value in parsed.items():
+                    if name not in fields:
+                        fields[name] = FieldProfile()
+                    fields[name].add(value)
+        if len(out) > 2000:
+            yield pd.DataFrame(out, columns=names)
+            out = []
+    out += [(*now, name, *p.row()) for name, p in fields.items()]
+    yield pd.DataFrame(out, columns=names)
+
+
+def profiles(records: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """(``feed``, ``file_no``, ``field``, ``types``, ``shapes``, ``words``): counts as arrays of (name, count).
+
+    The rows of a file meet once, those of a file with more than
+    ``rows_per_task`` rows in several tasks whose profiles are then merged. All
+    rows are read; only the list of words is a sketch. Payloads that are no
+    JSON objects have no fields; a field that is null is there, without type.
     """
-    by_type = values.groupBy(*of, "type").agg(F.count(F.lit(1)).alias("n"))
-    named = F.when(F.col("type").isNotNull(), F.struct(F.col("type").alias("name"), F.col("n").alias("count")))
-    types = by_type.groupBy(*of).agg(F.collect_list(named).alias("types"))
-    items = values.where("type is not null").select(*of, _items(F.col("text"), F.col("type")).alias("parts"))
-    how = F.when(F.size("parts") > 1, F.lit("list")).otherwise(F.lit("one"))
-    split = items.select(*of, how.alias("how"), F.explode("parts").alias("x")).where("x != ''")
-    shapes = (
-        split.select(*of, "how", _shape(F.col("x")).alias("shape"))
-        .groupBy(*of, "how", "shape")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(*of)
-        .agg(F.collect_list(F.struct(F.concat_ws(":", "how", "shape").alias("name"), F.col("n").alias("count"))).alias("shapes"))
-    )
-    word = split.select(*of, F.explode(F.array_distinct(F.split(F.lower("x"), r"[^\p{L}\p{Nd}]+"))).alias("word")).where("word != ''")
-    counted = word.groupBy(*of, "word").agg(F.count(F.lit(1)).alias("n"))
-    first = Window.partitionBy(*of).orderBy(F.xxhash64("word"), "word")
-    kept = counted.withColumn("place", F.row_number().over(first)).where(F.col("place") <= SKETCH)
-    words = kept.groupBy(*of).agg(F.collect_list(F.struct(F.col("word").alias("name"), F.col("n").alias("count"))).alias("words"))
-    return types.join(shapes, of, "left").join(words, of, "left")
+    rows = records.select("feed", "file_no", "payload", "row_id")
+    counts = rows.groupBy("feed", "file_no").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_task)
+    hot = cut_lineage(counts.select("feed", "file_no", F.ceil(F.col("n") / F.lit(rows_per_task)).cast("int").alias("salts")))
+    some = not hot.isEmpty()
+    if some:
+        salted = rows.join(hot, ["feed", "file_no"], "left")
+        rows = salted.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row_id", "payload"), F.col("salts")).cast("int"), F.lit(0)))
+    else:
+        rows = rows.withColumn("salt", F.lit(0))
+    keys = ["feed", "file_no", "salt"]
+    met = rows.select(*keys, "payload").repartition(*keys).sortWithinPartitions(*keys)
+    found = met.mapInPandas(_profile_rows, _PROFILE)
+    if not some:
+        return found.drop("salt")
+    whole = cut_lineage(found)
+    cold = whole.join(hot, ["feed", "file_no"], "left_anti").drop("salt")
+    parts = whole.join(hot.drop("salts"), ["feed", "file_no"])
+
+    def merge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        total = FieldProfile()
+        for r in frame.itertuples():  # at most as many as the file has salts
+            for into, cell in ((total.types, r.types), (total.shapes, r.shapes), (total.words, r.words)):
+                into.update({x["name"]: int(x["count"]) for x in cell})
+        return pd.DataFrame([(*key, *total.row())], columns=["feed", "file_no", "field", "types", "shapes", "words"])
+
+    schema = _PROFILE.replace("salt int, ", "")
+    return cold.unionByName(parts.groupBy("feed", "file_no", "field").applyInPandas(merge, schema))
+
+
+def name_profiles(found: DataFrame) -> DataFrame:
+    """(``field``, ``all_shapes``, ``all_words``): what fields of a name hold in all files; the same sketch."""
+    def summed(column: str) -> DataFrame:
+        flat = found.select("field", F.explode(column).alias("x")).groupBy("field", F.col("x.name").alias("name"))
+        return flat.agg(F.sum("x.count").alias("count"))
+
+    both = F.struct("name", "count")
+    shapes = summed("shapes").groupBy("field").agg(F.collect_list(both).alias("all_shapes"))
+    first = Window.partitionBy("field").orderBy(F.crc32(F.encode("name", "utf-8")), "name")
+    words = summed("words").withColumn("place", F.row_number().over(first)).where(F.col("place") <= SKETCH)
+    return shapes.join(words.groupBy("field").agg(F.collect_list(both).alias("all_words")), "field", "left")
 
 
 def _cosine(a: dict[str, float], b: dict[str, float]) -> float:
@@ -211,29 +298,47 @@ def _main_type(types: dict[str, float]) -> str | None:
     return min(types, key=lambda t: (-types[t], t)) if types else None
 
 
-def compare_files(old: list[dict], new: list[dict]) -> list[tuple[str, str, str, float]]:
-    """(change, old field, new field, score) between the profiles of two files."""
-    before, after = {p["field"]: p for p in old}, {p["field"]: p for p in new}
-    out = []
-    for name in sorted(before.keys() & after.keys()):
-        was, now = _main_type(before[name]["types"]), _main_type(after[name]["types"])
-        if was and now and was != now:
-            out.append(("retyped", name, name, 1.0))
-    gone, come = sorted(before.keys() - after.keys()), sorted(after.keys() - before.keys())
-    taken = set()
+def match_fields(gone: list[dict], come: list[dict]) -> list[tuple[str, str, str, float]]:
+    """(change, old field, new field, score) of the profiles of fields that went and came."""
+    gone, come = (sorted(side, key=lambda p: p["field"]) for side in (gone, come))
+    out, taken = [], set()
     if gone and come:
-        score = [[similarity(before[g], after[c]) for c in come] for g in gone]
+        score = [[similarity(g, c) for c in come] for g in gone]
         kept = [[s if s >= SAME else 0.0 for s in row] for row in score]
         for i, j in enumerate(assign(kept)):
             if j >= 0 and kept[i][j]:
-                out.append(("renamed", gone[i], come[j], score[i][j]))
-                taken.update((("old", gone[i]), ("new", come[j])))
-    out += [("removed", g, "", 0.0) for g in gone if ("old", g) not in taken]
-    out += [("added", "", c, 0.0) for c in come if ("new", c) not in taken]
+                out.append(("renamed", gone[i]["field"], come[j]["field"], score[i][j]))
+                taken.update((("old", i), ("new", j)))
+    out += [("removed", g["field"], "", 0.0) for i, g in enumerate(gone) if ("old", i) not in taken]
+    out += [("added", "", c["field"], 0.0) for j, c in enumerate(come) if ("new", j) not in taken]
     return out
 
 
-def schema_changes(records: DataFrame) -> DataFrame:
+def _main_type() -> Column:
+    """The type of most non-null values; of equals the first by name."""
+    ranked = F.array_sort(F.transform("types", lambda t: F.struct((-t["count"]).alias("n"), t["name"].alias("name"))))
+    return F.get(ranked, 0)["name"]
+
+
+def _match_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Changes of pairs of files whose fields come one after another."""
+    names = ["feed", "file_no", "change", "old_field", "new_field", "score"]
+    columns = ("shapes", "words", "all_shapes", "all_words")
+    now, sides, out = None, {"old": [], "new": []}, []
+    for frame in frames:
+        for r in frame.itertuples():
+            if (r.feed, r.pair) != now:
+                out += [(*now, *c) for c in match_fields(sides["old"], sides["new"])] if now else []
+                now, sides = (r.feed, r.pair), {"old": [], "new": []}
+            sides[r.side].append({"field": r.field} | {c: _as_counts(getattr(r, c)) for c in columns})
+        if len(out) > 10_000:
+            yield pd.DataFrame(out, columns=names)
+            out = []
+    out += [(*now, *c) for c in match_fields(sides["old"], sides["new"])] if now else []
+    yield pd.DataFrame(out, columns=names)
+
+
+def schema_changes(records: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """(``feed``, ``file_id``, ``file_no``, ``change``, ``old_field``, ``new_field``, ``score``).
 
     Changes of each file from the file of the feed before it by ``file_no``,
@@ -244,34 +349,26 @@ def schema_changes(records: DataFrame) -> DataFrame:
     files = records.groupBy("feed", "file_no").agg(F.min("file_id").alias("file_id"))
     order = Window.partitionBy("feed").orderBy("file_no")
     files = cut_lineage(files.select("*", F.lag("file_no").over(order).alias("before"), F.lead("file_no").over(order).alias("after")))
-    values = cut_lineage(field_values(records))
-    of_name = profiles(values, ["field"]).select("field", F.col("shapes").alias("all_shapes"), F.col("words").alias("all_words"))
-    found = cut_lineage(profiles(values, ["feed", "file_no", "field"]).join(of_name, "field", "left"))
-    joined = files.join(found, ["feed", "file_no"], "left")
-    # A file's profile is the new side of its own comparison and the old side of the next file's.
-    side = F.explode(
-        F.array(
-            F.struct(F.when(F.col("before").isNotNull(), F.col("file_no")).alias("pair"), F.lit("new").alias("side")),
-            F.struct(F.col("after").alias("pair"), F.lit("old").alias("side")),
-        )
+    found = cut_lineage(profiles(records, rows_per_task))
+    here = found.join(files.select("feed", "file_no", "before", "after"), ["feed", "file_no"])
+    old = here.where("after is not null").select("feed", F.col("after").alias("pair"), "field", "shapes", "words", _main_type().alias("was"))
+    new = here.where("before is not null").select("feed", F.col("file_no").alias("pair"), "field", "shapes", "words", _main_type().alias("now"))
+    both = old.select("feed", "pair", "field", "was").join(new.select("feed", "pair", "field", "now"), ["feed", "pair", "field"])
+    retyped = both.where("was != now").select(
+        "feed", F.col("pair").alias("file_no"), F.lit("retyped").alias("change"), F.col("field").alias("old_field"),
+        F.col("field").alias("new_field"), F.lit(1.0).alias("score"),
+    )
+    at = ["feed", "pair", "field"]
+    gone = old.join(new.select(*at), at, "left_anti").select(*at, "shapes", "words", F.lit("old").alias("side"))
+    come = new.join(old.select(*at), at, "left_anti").select(*at, "shapes", "words", F.lit("new").alias("side"))
+    moved = gone.unionByName(come).join(name_profiles(found), "field", "left")
+    matched = moved.repartition("feed", "pair").sortWithinPartitions("feed", "pair").mapInPandas(
+        _match_rows, "feed string, file_no int, change string, old_field string, new_field string, score double"
+    )
+    changes = retyped.unionByName(matched)
+    return changes.join(files.select("feed", "file_no", "file_id"), ["feed", "file_no"]).select(
+        "feed", "file_id", "file_no", "change", "old_field", "new_field", "score"
     )
-    kept = ["file_id", "field", "types", "shapes", "words", "all_shapes", "all_words"]
-    sides = joined.select("feed", *kept, side.alias("s")).where("s.pair is not null")
-    sides = sides.select("feed", F.col("s.pair").alias("pair"), F.col("s.side").alias("side"), *kept)
-
-    def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        by: dict[str, list[dict]] = defaultdict(list)
-        file_id = None
-        for r in frame.itertuples():
-            if r.side == "new":
-                file_id = r.file_id
-            if r.field is not None:
-                counts = {c: _as_counts(getattr(r, c)) for c in ("types", "shapes", "words", "all_shapes", "all_words")}
-                by[r.side].append({"field": r.field} | counts)
-        rows = [(key[0], file_id, key[1], *c) for c in compare_files(by["old"], by["new"])]
-        return pd.DataFrame(rows, columns=["feed", "file_id", "file_no", "change", "old_field", "new_field", "score"])
-
-    return sides.groupBy("feed", "pair").applyInPandas(compare, _CHANGES)
 
 
 def field_lineage(records: DataFrame, changes: DataFrame, configs: DataFrame | None = None) -> DataFrame:
@@ -281,7 +378,7 @@ def field_lineage(records: DataFrame, changes: DataFrame, configs: DataFrame | N
     meaning the feed's configuration gives to any name the field ever had, else
     the meaning of such a name by its spelling, else its first name.
     """
-    fields = field_values(records).select("feed", "file_no", "field").distinct()
+    fields = records.select("feed", "file_no", F.explode(F.json_object_keys("payload")).alias("field")).distinct()
     renames = changes.where("change = 'renamed'").select(
         "feed", "file_no", F.col("new_field").alias("field"), F.col("old_field")
     )

@@ -45,6 +45,16 @@ def test_edges(spark):
     assert unified_records(df).where("unread = 'not json'").count() == 1
 
 
+def test_hot_files_are_salted(spark):
+    data = rows(
+        lambda i: {"gene": f"XAB{i}", "organ": TISSUES[i % 5], "n": i},
+        lambda i: {"marker": f"XAB{i}", "site": TISSUES[i % 5], "n": str(i + 10)},
+    )
+    df = spark.createDataFrame(data, SCHEMA)
+    by = [{(r.change, r.old_field, r.new_field) for r in schema_changes(df, rows_per_task=n).collect()} for n in (3, 10**6)]
+    assert by[0] == by[1] == {("renamed", "gene", "marker"), ("renamed", "organ", "site"), ("retyped", "n", "n")}
+
+
 def test_unified_follows_renames(spark):
     data = rows(
         lambda i: {"gene": f"XAB{i}", "thing": TISSUES[i % 5]},
