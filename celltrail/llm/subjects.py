@@ -122,31 +122,40 @@ def _starts(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
 
 
-def encoded(texts: Iterable[str | None], most: int = WORDS_AT_ONCE) -> Iterator[Encoded]:
-    """All texts in lots of about ``most`` words, a long text being a lot of its own."""
+def encode(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's words, and the words of each sentence."""
+    parts = sentences(text)
+    words = np.fromiter((_hashes[w] for p in parts for w in p), np.uint32, sum(map(len, parts)))
+    return words.view(np.int32), np.fromiter(map(len, parts), np.int32, len(parts))
+
+
+def lots(texts: Iterable[tuple[np.ndarray, np.ndarray]], most: int = WORDS_AT_ONCE) -> Iterator[Encoded]:
+    """Encoded texts in lots of about ``most`` words, a long text being a lot of its own; empty ones are left out."""
     rows: list[int] = []
-    words: list[int] = []
-    lengths: list[int] = []
-    counts: list[int] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
 
     def lot() -> Encoded:
-        return Encoded(np.array(rows), np.array(words, np.uint64), np.array(lengths), np.array(counts))
+        words = np.concatenate([w for w, _ in held]).astype(np.int32).view(np.uint32).astype(np.uint64)
+        return Encoded(np.array(rows), words, np.concatenate([n for _, n in held]), np.array([len(n) for _, n in held]))
 
-    for row, text in enumerate(texts):
-        parts = sentences(text)
-        if parts:
+    for row, (words, lengths) in enumerate(texts):
+        if len(lengths):
             rows.append(row)
-            counts.append(len(parts))
-            for part in parts:
-                lengths.append(len(part))
-                words.extend(map(_hashes.__getitem__, part))
-            if len(words) >= most:
+            held.append((words, lengths))
+            size += len(words)
+            if size >= most:
                 yield lot()
-                rows, words, lengths, counts = [], [], [], []
+                rows, held, size = [], [], 0
     if rows:
         yield lot()
 
 
+def encoded(texts: Iterable[str | None]) -> Iterator[Encoded]:
+    """All texts in lots."""
+    return lots(map(encode, texts))
+
+
 @dataclass
 class Languages:
     """Unigram models of the languages that the corpus names, to tell what a text is written in.
@@ -399,9 +408,18 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, p
         marked = marked.orderBy(F.xxhash64("doc_id")).limit(LABELLED)
     other = F.col("tgt_text") if "tgt_text" in documents.columns else F.lit(None).cast("string")
     sides = F.filter(F.array("text", F.when(other != F.col("text"), other)), lambda t: t.isNotNull())
-    texts = documents.select("doc_id", sides.alias("sides")).join(marked, "doc_id", "left").select("sides", "marked")
+    texts = documents.select("doc_id", F.explode(sides).alias("text")).join(marked, "doc_id", "left").select("text", "marked")
     width = max(spark.sparkContext.defaultParallelism, shuffle_width(spark))
-    texts = cut_lineage(texts.repartition(width))
+
+    def encode_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for some in np.array_split(np.arange(len(frame)), max(1, len(frame) // 1000)):
+                known = [encode(frame["text"].iloc[i]) for i in some]
+                marks = [frame["marked"].iloc[i] for i in some]
+                yield pd.DataFrame({"words": [w for w, _ in known], "lengths": [n for _, n in known], "marked": marks})
+
+    encoded_texts = texts.repartition(width).mapInPandas(encode_all, "words array<int>, lengths array<int>, marked array<int>")
+    texts = cut_lineage(encoded_texts)
     schema = "kind int, place int, language int, " + ", ".join(f"c{i} float" for i in range(k + 1))
     models, mass = None, np.zeros(k)
     for _ in range(passes):
@@ -413,14 +431,12 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, p
             languages = spoken.reader()
             counts = Counts(k + 1)
             for frame in frames:
-                sides = [(text, i) for i, both in enumerate(frame["sides"]) for text in both]
-                owner = np.array([i for _, i in sides], np.int64)
                 said = np.zeros((len(frame), k), bool)
                 for i, mark in enumerate(frame["marked"]):
                     if mark is not None:
                         said[i, list(mark)] = True
-                for lot in encoded(text for text, _ in sides):
-                    mine = said[owner[lot.rows]]
+                for lot in lots(zip(frame["words"], frame["lengths"], strict=True)):
+                    mine = said[lot.rows]
                     if reader:
                         language, post = reader.read(lot, mine, ~mine.any(axis=1))
                     else:
