@@ -77,17 +77,14 @@ def similar_sets(sets: DataFrame, similarity: float = SIMILARITY, tokens_per_key
     least = next(n for n in range(1, 99) if math.ceil(n * similarity - 1e-9) >= tokens_per_key)
     if least > tokens_per_key and similarity <= (least - 1) / least:
         raise ValueError("tokens_per_key is too large for this similarity")
-    keyed = sets.where(F.size("tokens") >= tokens_per_key).select(
-        "set_id",
-        "is_left",
-        "is_right",
-        F.size("tokens").alias("n"),
-        F.explode(F.array_distinct(_prefix_keys(F.col("tokens"), similarity, tokens_per_key))).alias("key"),
-    )
-    left = keyed.where("is_left").select("key", F.col("set_id").alias("left_id"), F.col("n").alias("n_left"))
-    right = keyed.where("is_right").select("key", F.col("set_id").alias("right_id"), F.col("n").alias("n_right"))
+    def side(flag: str, name: str) -> DataFrame:
+        keys = F.explode(F.array_distinct(_prefix_keys(F.col("tokens"), similarity, tokens_per_key)))
+        held = sets.where(F.col(flag) & (F.size("tokens") >= tokens_per_key))
+        return held.select(F.col("set_id").alias(f"{name}_id"), F.size("tokens").alias(f"n_{name}"), keys.alias("key"))
+
     candidates = (
-        left.join(right, "key")
+        side("is_left", "left")
+        .join(side("is_right", "right"), "key")
         .where(F.least("n_left", "n_right") >= F.greatest("n_left", "n_right") * similarity - 1e-9)
         .where("left_id != right_id")
         .select("left_id", "right_id")
@@ -128,16 +125,18 @@ def split_overlaps(
         .select(
             "example_id", "split", "source", F.array_sort(F.transform("m", lambda t: F.xxhash64(t))).alias("tokens")
         )
-        .withColumn("set_id", F.md5(F.array_join(F.transform("tokens", lambda t: F.hex(t)), "")))
+        .withColumn("digest", F.unhex(F.md5(F.array_join(F.transform("tokens", lambda t: F.hex(t)), ""))))
     )
     read = cut_lineage(read)
-    sets = read.groupBy("set_id").agg(
+    sets = read.groupBy("digest").agg(
         F.first("tokens").alias("tokens"),
         F.max(F.col("split") != "train").alias("is_left"),
         F.max(F.col("split") == "train").alias("is_right"),
     )
-    sets = cut_lineage(sets)
-    return read.drop("tokens"), similar_sets(sets, similarity, tokens_per_key), sets
+    # Short numbers in place of digests keep the join's rows small; the checkpoint fixes them.
+    sets = cut_lineage(sets.withColumn("set_id", F.monotonically_increasing_id()))
+    members = read.drop("tokens").join(sets.select("digest", "set_id"), "digest").drop("digest")
+    return members, similar_sets(sets, similarity, tokens_per_key), sets
 
 
 def overlap_pairs(examples: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
