@@ -219,3 +219,27 @@ def unmapped_groups(records: DataFrame) -> DataFrame:
     return records.where("cell_ontology_id is null and cell_type is not null").groupBy("cell_type").agg(
         F.count(F.lit(1)).alias("records"), joined("tissue").alias("tissues"), joined("source").alias("sources")
     )
+
+
+def mapped_labels(rows: DataFrame, label: str, names: dict[str, str], unmapped: str = "drop") -> DataFrame:
+    """``rows`` with ``mapped_label`` from a fixed list of names; others are dropped, kept as null, or an error."""
+    if unmapped not in ("drop", "keep", "error"):
+        raise ValueError("unmapped must be drop, keep or error")
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    found = table[F.col(label)]
+    if unmapped == "error":
+        message = F.concat(F.lit("no name for "), F.coalesce(F.col(label), F.lit("null")))
+        return rows.withColumn("mapped_label", F.when(found.isNull(), F.raise_error(message)).otherwise(found))
+    named = rows.withColumn("mapped_label", found)
+    return named.where("mapped_label is not null") if unmapped == "drop" else named
+
+
+def label_map_summary(terms: DataFrame, **options) -> DataFrame:
+    """One row: rows, labels, labels with several ids, and ids of a label table."""
+    rows = ontology_labels(terms, **options)
+    return rows.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_distinct("normalized_label").alias("labels"),
+        F.count_distinct(F.when(F.col("ids") > 1, F.col("normalized_label"))).alias("ambiguous_labels"),
+        F.count_distinct("cl_id").alias("ids"),
+    )

@@ -169,7 +169,7 @@ def rerank_audit(predictions: DataFrame) -> DataFrame:
     hits = F.transform("candidates", lambda c: norm_label(c["cell_type"]) == norm_label(F.coalesce("y_true", F.lit("None"))))
     rows = rows.select(
         F.coalesce(F.get(hits, 0), F.lit(False)).cast("double").alias("first"),
-        F.exists(hits, lambda h: h).cast("double").alias("any"),
+        F.exists(hits, lambda h: F.coalesce(h, F.lit(False))).cast("double").alias("any"),
         correct().alias("chosen"),
     )
     return rows.agg(

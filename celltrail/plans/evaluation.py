@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from celltrail.functions.text import norm_label
 from celltrail.operators import metrics as me
 from celltrail.operators.annotators import annotate_by_overlap, candidate_lists
+from celltrail.operators.augment import perturb_markers
 from celltrail.operators.parse import reparse
 from celltrail.operators.similarity import rank_by_overlap
 from celltrail.plans import sql
 from celltrail.plans.linking import predictions
-from celltrail.plans.markers import clusters, database
+from celltrail.plans.markers import _BEST, _CLUSTERS, _SCORED, clusters, database
 from celltrail.session import table
 
 
@@ -126,6 +127,37 @@ def rerank_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return me.rerank_audit(rows.withColumn("y_pred", F.get("candidates", pick)["cell_type"]))
 
 
+def rerank_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where among the three best candidates the true label stands."""
+    queries, db = clusters(spark, sf_dir), database(spark, sf_dir)
+    lists = candidate_lists(rank_by_overlap(queries, db, 3), queries, db)
+    truth = table(spark, sf_dir, "annotation_example").select(F.col("example_id").alias("q_id"), F.col("cell_type").alias("y_pred"))
+    return me.selected_ranks(lists.join(truth, "q_id"))
+
+
+#: Drop rates and added markers of the noise grid.
+NOISE = ((0.0, 0), (0.5, 3), (0.75, 5), (0.9, 8))
+
+
+def noise_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of the overlap annotator as markers are dropped and others added, all levels in one job."""
+    db = database(spark, sf_dir)
+    rows = table(spark, sf_dir, "annotation_example").select("example_id", "tissue", "cell_type").join(
+        clusters(spark, sf_dir).select(F.col("q_id").alias("example_id"), "markers"), "example_id"
+    )
+    out = None
+    for level, (drop, add) in enumerate(NOISE):
+        noisy = perturb_markers(rows.select("example_id", "cell_type", "markers"), db, drop, add)
+        one = noisy.select((F.col("example_id") * len(NOISE) + level).alias("q_id"), F.lit(level).alias("level"), "example_id", "markers")
+        out = one if out is None else out.unionByName(one)
+    asked = out.join(rows.select("example_id", "tissue", F.col("cell_type").alias("y_true")), "example_id")
+    said = annotate_by_overlap(asked.select("q_id", F.coalesce("tissue", F.lit("")).alias("tissue"), "markers"), db)
+    scored = asked.select("q_id", "level", "y_true").join(said.withColumnRenamed("cell_type", "y_pred"), "q_id")
+    levels = F.create_map(*[F.lit(x) for i, (drop, _) in enumerate(NOISE) for x in (i, drop)])
+    by = scored.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(me.correct()), 6).alias("accuracy"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    return by.withColumn("drop_rate", levels[F.col("level")])
+
+
 def _methods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = predictions(spark, sf_dir)
     one = rows.groupBy("method", "example_id").agg(F.min_by(F.struct("y_true", "y_pred"), F.struct("pred_id", "arrived_at")).alias("r"))
@@ -159,7 +191,7 @@ QUERIES = {
     for f in (
         accuracy, macro_f1, label_f1, cl_accuracy, ece, calibration, evaluate, experiment_summary, label_counts, top_labels,
         analyze_predictions, top_confusions, confusion_matrix, wrong_examples, infer_method, reparse_counts, benchmark_overlap,
-        rerank_audit, paired_counts, bootstrap_ci, bootstrap_f1_ci, mcnemar_values,
+        rerank_audit, rerank_ranks, noise_grid, paired_counts, bootstrap_ci, bootstrap_f1_ci, mcnemar_values,
     )
 }
 
@@ -183,7 +215,30 @@ _PAIRS = f"""
              join (select * from one where method = 'lora_rerank') b using (example_id))"""
 _POISSON = " + ".join(f"({{u}} >= {c!r})::int" for c in me._POISSON)
 
+_TOP = f"with {sql.DB}, {_CLUSTERS.strip()}, {_SCORED.strip()}"
+_TRUE = sql.label("coalesce(e.cell_type, 'None')")
+
 ORACLES = {
+    "rerank_audit": f"""{_TOP},
+        c as (select q_id, rank, count(*) over (partition by q_id) as k, {sql.label("coalesce(d.cell_type, '')")} as l, {_TRUE} as t
+              from ranked r join db d using (rec_id) join annotation_example e on e.example_id = q_id where rank <= 3),
+        o as (select q_id, max(case when rank = 1 and l = t then 1 else 0 end) as f, max(case when l = t then 1 else 0 end) as a,
+                     max(case when rank = q_id % k + 1 and l = t then 1 else 0 end) as s from c group by 1)
+        select count(*) as n, round(avg(f), 6) as top1_accuracy, round(avg(a), 6) as oracle_accuracy, round(avg(s), 6) as rerank_accuracy,
+               count(*) filter (f = 1 and s = 0) as harmed, count(*) filter (f = 0 and s = 1) as fixed from o""",
+    "rerank_ranks": f"""{_TOP},
+        c as (select q_id, rank, {sql.label("d.cell_type")} as l, {_TRUE} as t
+              from ranked r join db d using (rec_id) join annotation_example e on e.example_id = q_id where rank <= 3),
+        o as (select q_id, min(case when l = t then rank end) as r from c group by 1)
+        select coalesce(r::varchar, 'not_in_candidates') as rank, count(*) as n from o group by 1""",
+    "benchmark_overlap": f"""{_TOP}, said as ({_BEST.replace("best as (", "with best as (", 1).strip()}),
+        pr as (select e.split as method, {sql.label("coalesce(e.cell_type, 'None')")} as t, {sql.label("coalesce(s.cell_type, 'None')")} as p,
+                      nullif(e.cell_ontology_id, '') as tc, nullif(s.cell_ontology_id, '') as pc, s.confidence as conf,
+                      null::double as runtime, null::double as cost from said s join annotation_example e on e.example_id = s.q_id),
+        {_BY}, b as (select method, bin, count(*) as n, avg(ok) as a, avg(conf) as c from {_BINS} group by 1, 2),
+        m as (select method, {_COLS} from pr group by 1), mf as (select method, round(coalesce(avg(f1), 0.0), 6) as macro_f1 from g group by 1),
+        x as (select method, round(sum(n * abs(a - c)) / sum(n), 6) as ece from b group by 1)
+        select method as split, * exclude (method) from m left join mf using (method) left join x using (method)""",
     "accuracy": f"with {sql.PREDICTIONS} select round(avg(case when t = p then 1.0 else 0.0 end), 6) as accuracy from pr",
     "macro_f1": f"with {sql.PREDICTIONS}, {_ONE} select round(coalesce(avg(f1), 0.0), 6) as macro_f1 from g",
     "label_f1": f"with {sql.PREDICTIONS}, {_ONE} select label, support, said, tp, round(pc, 6) as precision, round(rc, 6) as recall, round(f1, 6) as f1 from g",

@@ -158,10 +158,24 @@ def labels_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("method").agg(F.count_if(same).alias("matching"), F.count(F.lit(1)).alias("n"))
 
 
+def ontology_map_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lk.label_map_summary(table(spark, sf_dir, "cell_ontology_term"))
+
+
+# Names of order states.
+ORDER_STATES = {"F": "filled", "O": "open"}
+
+
+def case_label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixed list of names; rows without one are dropped."""
+    rows = lk.mapped_labels(table(spark, sf_dir, "orders"), "o_orderstatus", ORDER_STATES)
+    return rows.groupBy("mapped_label").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        ontology_label_map, ontology_ambiguous, label_map_last_wins, label_variant_list, map_label_exact, map_label_variant,
+        ontology_map_summary, case_label_map, ontology_label_map, ontology_ambiguous, label_map_last_wins, label_variant_list, map_label_exact, map_label_variant,
         enrich_cl_ids, enrich_counts, unambiguous_map, map_pred_ids, harmonize_map, harmonize_labels, sync_gold, unmapped_groups,
         fuzzy_candidates, curation_template, auto_accept, apply_decisions, apply_curation, curation_priority, labels_match,
     )
@@ -188,6 +202,11 @@ _UNAMBIGUOUS = f"""
 
 ORACLES = {
     "ontology_label_map": f"with {_MAP} select label, normalized_label, cl_id, term_name, match_source from onto",
+    "ontology_map_summary": f"""with {_MAP}
+        select count(*) as rows, count(distinct normalized_label) as labels, count(distinct case when ids > 1 then normalized_label end) as ambiguous_labels,
+               count(distinct cl_id) as ids from c""",
+    "case_label_map": """select case o_orderstatus when 'F' then 'filled' when 'O' then 'open' end as mapped_label, count(*) as n
+        from orders where o_orderstatus in ('F', 'O') group by 1""",
     "ontology_ambiguous": f"""with {_labels("'EXACT', 'RELATED', 'NARROW', 'BROAD'", "true").strip()}
         select label, normalized_label, cl_id, term_name, match_source from c where ids > 1""",
     "label_map_last_wins": f"""
