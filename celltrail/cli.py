@@ -12,7 +12,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from celltrail.functions.text import norm_cl_id, norm_label
 from celltrail.operators import annotators, augment, curation, linking, markers, metrics, splits
@@ -184,21 +183,12 @@ def reparse_predictions(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def sync_gold(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = _numbered(src.read_predictions(spark, a.input), "rec_id")
-    gold = _numbered(_training(spark, a.gold), "example_id").drop("rec_id").withColumnRenamed("place", "rec_id")
+    rows = src.numbered(src.read_predictions(spark, a.input), "rec_id")
+    gold = src.numbered(_training(spark, a.gold), "example_id").drop("rec_id").withColumnRenamed("place", "rec_id")
     out = linking.sync_gold(rows.drop("rec_id").withColumnRenamed("place", "rec_id"), gold, a.allow_mismatch)
     sinks.write_jsonl(out, a.output)
 
 
-def _numbered(rows: DataFrame, order: str) -> DataFrame:
-    """Rows with ``place``: their number in the file's order, from 0, without sorting in one task."""
-    parts = rows.withColumn("_part", F.shiftright(F.col(order), 33)).withColumn("_at", F.col(order).bitwiseAND((1 << 33) - 1))
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_least"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a partition
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_at")) - 1
-    return parts.withColumn("_rank", rank).join(F.broadcast(before), "_part").withColumn("place", F.col("_rank") + F.col("_before")).drop("_part", "_at", "_rank", "_before")
-
-
 def benchmark_model(spark: SparkSession, a: argparse.Namespace) -> None:
     module, _, name = a.model.partition(":")
     make = getattr(importlib.import_module(module), name)

@@ -96,6 +96,7 @@ def rank_by_overlap(queries: DataFrame, records: DataFrame, k: int = 5) -> DataF
     q_weight = qx.groupBy("q_id").agg(F.sum("weight").alias("q_weight"))
     rx = held.select("tkey", "rec_id", F.explode(F.array_distinct("markers")).alias("marker")).join(weights, "marker")
     r_weight = rx.groupBy("tkey", "rec_id").agg(F.sum("weight").alias("r_weight"))
+    known = held.select("tkey", "rec_id", "label_key", "cl_key").join(r_weight, ["tkey", "rec_id"])
     pairs = (
         qx.select("q_id", "tkey", "marker")
         .join(rx, ["tkey", "marker"])
@@ -105,8 +106,7 @@ def rank_by_overlap(queries: DataFrame, records: DataFrame, k: int = 5) -> DataF
     score = F.round(F.col("o") / (F.col("q_weight") + F.col("r_weight") - F.col("o")), DIGITS)
     scored = (
         pairs.join(q_weight, "q_id")
-        .join(r_weight, ["tkey", "rec_id"])
-        .join(held.select("tkey", "rec_id", "label_key", "cl_key"), ["tkey", "rec_id"])
+        .join(known, ["tkey", "rec_id"])
         .select("q_id", "rec_id", "label_key", "cl_key", score.alias("score"), "common")
     )
     order = [F.desc("score"), F.desc("common"), F.desc("label_key"), "rec_id"]

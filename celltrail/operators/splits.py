@@ -12,11 +12,13 @@ from pyspark.sql.window import Window
 
 from celltrail.functions.text import norm_label, uniform
 from celltrail.operators.prompts import estimated_tokens
-from celltrail.session import cut_lineage
+from celltrail.session import cut_lineage, salted_join
 
 SPLITS = ("train", "validation", "test")
 #: Most groups that the greedy dealing takes to the driver; beyond it groups are dealt by hash.
 MOST_GROUPS = 100_000
+#: Texts of a stratum that one task deals.
+TEXTS_PER_DEAL = 50_000
 
 
 def _check(train: float, validation: float) -> None:
@@ -113,11 +115,15 @@ def split_by_stratum(rows: DataFrame, stratum: Column, text: Column, train: floa
     """``rows`` with ``split``: each stratum in proportion, rows with one text together.
 
     Equal texts are collapsed by digest before a stratum is dealt, and a stratum
-    deals (digest, count) pairs only.
+    deals (digest, count) pairs only; one with more than ``TEXTS_PER_DEAL`` texts
+    is dealt in parts by hash, each in proportion.
     """
     _check(train, validation)
     keyed = rows.withColumn("_stratum", F.coalesce(stratum.cast("string"), F.lit("__none__"))).withColumn("_text", F.sha2(text, 256))
-    sizes = keyed.groupBy("_stratum", "_text").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut_lineage(keyed.groupBy("_stratum", "_text").agg(F.count(F.lit(1)).alias("n")))
+    parts = sizes.groupBy("_stratum").agg(F.ceil(F.count(F.lit(1)) / F.lit(TEXTS_PER_DEAL)).cast("int").alias("_parts"))
+    sizes = salted_join(sizes, parts, "_stratum", "inner")
+    sizes = sizes.withColumn("_part", F.pmod(F.xxhash64("_text"), F.col("_parts")).cast("int")).drop("_parts")
 
     def deal(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         from hashlib import md5
@@ -126,7 +132,7 @@ def split_by_stratum(rows: DataFrame, stratum: Column, text: Column, train: floa
         dealt = deal_stratum([(t, int(n)) for t, n in order], train, validation)
         return pd.DataFrame([(key[0], t, s) for t, s in dealt], columns=["_stratum", "_text", "split"])
 
-    dealt = sizes.groupBy("_stratum").applyInPandas(deal, "_stratum string, _text string, split string")
+    dealt = sizes.groupBy("_stratum", "_part").applyInPandas(deal, "_stratum string, _text string, split string")
     return keyed.join(dealt, ["_stratum", "_text"]).drop("_stratum", "_text")
 
 

@@ -138,6 +138,8 @@ def test_splits(spark):
     strat = splits.split_by_stratum(rows, F.col("g"), F.col("text"))
     assert strat.count() == 1000 and splits.duplicate_signatures(strat, F.concat("g", "text")).count() == 0
     assert strat.groupBy("g").agg(F.count_distinct("split").alias("n")).where("n < 3").count() == 0
+    parts = splits.split_by_stratum(rows, F.lit("all"), F.col("text"))
+    assert parts.count() == 1000 and splits.duplicate_signatures(parts, F.col("text")).count() == 0
     with pytest.raises(ValueError, match="fill"):
         splits.deal_groups([("a", 3)], 0.8, 0.1)
 
