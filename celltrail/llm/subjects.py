@@ -101,7 +101,7 @@ class Encoded:
         self.sizes = np.add.reduceat(self.lengths, self.text_starts)  # words by text
 
     def unigrams(self, language: np.ndarray | int) -> np.ndarray:
-        """Hashed words, each of its text's language."""
+        """Hashed words, each of its sentence's language."""
         return ((self._of(language) >> np.uint64(20)) & np.uint64((1 << UNIGRAM_BITS) - 1)).astype(np.int64)
 
     def bigrams(self, language: np.ndarray | int) -> np.ndarray:
@@ -115,7 +115,7 @@ class Encoded:
 
     def _of(self, language: np.ndarray | int) -> np.ndarray:
         key = (np.asarray(language) + 2).astype(np.uint64) * np.uint64(0x100000001B3)
-        return (self.words + (np.repeat(key, self.sizes) if key.ndim else key)) * np.uint64(0x9E3779B97F4A7C15)
+        return (self.words + (np.repeat(key, self.lengths) if key.ndim else key)) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def _starts(lengths: np.ndarray) -> np.ndarray:
@@ -178,11 +178,11 @@ class LanguageReader:
         self.row[languages.places] = np.arange(1, len(languages.places) + 1)
 
     def of(self, texts: Encoded) -> np.ndarray:
-        """The likeliest language of each text."""
+        """The likeliest language of each sentence; texts may change theirs."""
         if not self.many:
-            return np.zeros(len(texts.rows), np.int64)
+            return np.zeros(len(texts.lengths), np.int64)
         costs = self.costs[self.row[texts.unigrams(-1)]]
-        return np.add.reduceat(costs, _starts(texts.sizes), axis=0).argmax(axis=1)
+        return np.add.reduceat(costs, texts.starts, axis=0).argmax(axis=1)
 
 
 class Places:
@@ -239,7 +239,7 @@ def models_from(
     own: float = 0.8,
     strength: float = 60.0,
     focus: float = 0.6,
-    doubt: float = 3.0,
+    doubt: float = 1.0,
 ) -> SubjectModels:
     """Models of summed counts: rows of ``kind``, ``place``, ``language``, ``c0`` (all) and ``c1`` ... by subject.
 
@@ -288,7 +288,7 @@ class Reader:
         return np.add.reduceat(np.log((1 - self.pair) * one + self.pair * two), texts.starts, axis=0).astype(float)
 
     def read(self, texts: Encoded, allowed: np.ndarray | None = None, free: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Languages by text, and by sentence the posterior of no subject (column 0) and of each.
+        """By sentence the language, and the posterior of no subject (column 0) and of each.
 
         No subject stands for a gain of ``least`` nats; what else the document
         is about shifts the odds between subjects, not against none. ``allowed``
@@ -328,7 +328,7 @@ class Counts:
 
     def add(self, texts: Encoded, language: np.ndarray, weights: np.ndarray) -> None:
         by_word = np.repeat(weights.astype(np.float32), texts.lengths, axis=0)
-        spoken = np.repeat(language, texts.sizes)
+        spoken = np.repeat(language, texts.lengths)
         for held, places in zip(self.of, (texts.unigrams(language), texts.bigrams(language)), strict=True):
             held.add(places, spoken, by_word)
 
