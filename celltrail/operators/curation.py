@@ -17,38 +17,51 @@ from celltrail.functions.variants import variants
 @F.pandas_udf(T.DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matching characters over both lengths, by longest common blocks."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+    made: dict[str, SequenceMatcher] = {}  # a matcher indexes its second text
+
+    def one(x: str, y: str) -> float:
+        if y not in made:
+            made[y] = SequenceMatcher(None, "", y)
+        made[y].set_seq1(x)
+        return made[y].ratio()
+
+    return pd.Series([one(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
 def fuzzy_candidates(labels: DataFrame, ontology: DataFrame, k: int = 5) -> DataFrame:
     """(``label``, ``rank``, ``cl_id``, ``term_name``, ``suggestion``, ``score``): the likeliest terms of each label.
 
-    Candidates share a word, or one text holds the other. Words meet in an
-    equi-join; containment is found through the shorter text's own first word,
-    trimmed of its first and last characters being parts of words too. The
-    score is 0.65 of the matching ratio and 0.35 of the words' Jaccard
-    similarity, to three decimals.
+    A label is tried in all its variants. Candidates of a variant share a word
+    with it, or one text holds the other. Words meet in an equi-join;
+    containment is found through the shorter text's first three characters (all
+    of a shorter one's), which are among the longer one's pieces. The score is
+    0.65 of the matching ratio and 0.35 of the words' Jaccard similarity, to
+    three decimals; the best of a label's variants counts.
     """
-    query = labels.select("label", norm_label(F.col("label")).alias("q")).where("q != ''").distinct()
+    spelt = labels.select("label").where("label is not null").distinct().select("label", F.explode(variants(F.col("label"))).alias("q"))
+    query = spelt.select("q").distinct()
     listed = ontology.select(F.col("normalized_label").alias("c"), "label", "cl_id", "term_name").withColumnRenamed("label", "suggestion")
-    words_q = query.select("label", "q", F.explode(F.array_distinct(F.split("q", " "))).alias("w"))
-    words_c = listed.select("c", "suggestion", "cl_id", "term_name", F.explode(F.array_distinct(F.split("c", " "))).alias("w"))
-    by_word = words_q.join(words_c, "w").drop("w").distinct()
-    # A text held by another is found by its three-character pieces: all of the shorter one's are in the longer one.
+    listed = listed.where("c != '' and cl_id is not null")
+    words_q = query.select("q", F.explode(F.array_distinct(F.split("q", " "))).alias("w"))
+    words_c = listed.select("c", F.explode(F.array_distinct(F.split("c", " "))).alias("w"))
+    by_word = words_q.join(words_c.distinct(), "w").drop("w")
+
     def pieces(c: str):
-        at = F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1)))
-        return F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col(c), i, F.lit(3)))))
-
-    first_q = query.select("label", "q", F.substring("q", 1, 3).alias("p")).where("length(q) >= 3")
-    all_c = listed.select("c", "suggestion", "cl_id", "term_name", pieces("c").alias("p"))
-    held = first_q.join(all_c, "p").where(F.contains("c", "q")).drop("p")
-    first_c = listed.select("c", "suggestion", "cl_id", "term_name", F.substring("c", 1, 3).alias("p")).where("length(c) >= 3")
-    all_q = query.select("label", "q", pieces("q").alias("p"))
-    holds = all_q.join(first_c, "p").where(F.contains("q", "c")).drop("p")
-    pairs = by_word.unionByName(held).unionByName(holds).distinct()
+        at = F.sequence(F.lit(1), F.length(c))
+        return F.explode(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*[F.substring(F.col(c), i, F.lit(n)) for n in (1, 2, 3)])))))
+
+    texts = listed.select("c").distinct()
+    held = query.select("q", F.substring("q", 1, 3).alias("p")).join(texts.select("c", pieces("c").alias("p")), "p").where(F.contains("c", "q"))
+    holds = query.select("q", pieces("q").alias("p")).join(texts.select("c", F.substring("c", 1, 3).alias("p")), "p").where(F.contains("q", "c"))
+    pairs = by_word.unionByName(held.drop("p")).unionByName(holds.drop("p")).distinct()
     a, b = F.split("q", " "), F.split("c", " ")
     jaccard = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
-    scored = pairs.withColumn("score", F.round(0.65 * matching_ratio(F.col("q"), F.col("c")) + 0.35 * jaccard, 3))
+    scored = pairs.withColumn("score", F.round(0.65 * matching_ratio(F.col("q"), F.col("c")) + 0.35 * jaccard, 3)).join(listed, "c")
+    of_variant = Window.partitionBy("q", "cl_id").orderBy(F.desc("score"), "suggestion")
+    scored = scored.withColumn("_n", F.row_number().over(of_variant)).where("_n = 1")
+    # What k terms beat by one variant, they beat by the label's best; equal scores stay.
+    ahead = F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))
+    scored = spelt.join(scored.withColumn("_n", ahead).where(F.col("_n") <= k), "q")
     best = Window.partitionBy("label", "cl_id").orderBy(F.desc("score"), "suggestion")
     order = Window.partitionBy("label").orderBy(F.desc("score"), "term_name", "cl_id")
     ranked = scored.withColumn("_n", F.row_number().over(best)).where("_n = 1").withColumn("rank", F.row_number().over(order))

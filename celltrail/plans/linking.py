@@ -116,7 +116,7 @@ def fuzzy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cur.curation_template(unmapped_groups(spark, sf_dir), ontology_label_map(spark, sf_dir), 3)
+    return cur.curation_template(unmapped_groups(spark, sf_dir), ontology_label_map(spark, sf_dir))
 
 
 def curation_template(spark: SparkSession, sf_dir: str) -> DataFrame:

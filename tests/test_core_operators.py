@@ -129,6 +129,21 @@ def test_curation(spark):
     assert (decided.accepted_cl_id, decided.notes) == ("CL:0000009", "why")
 
 
+def test_suggestions_try_every_variant(spark):
+    onto = spark.createDataFrame(
+        [("natural killer cell", "natural killer cell", "CL:1", "natural killer cell"), ("zhavabran cell", "zhavabran cell", "CL:2", "zhavabran cell"),
+         ("giatiskack fibre", "giatiskack fibre", "CL:3", "giatiskack fibre"), ("cdc", "cDC", "CL:4", "conventional")],
+        "normalized_label string, label string, cl_id string, term_name string",
+    )
+    labels = spark.createDataFrame([("NK cells",), ("Zhavabran cells",), ("Giatiskack fibre (cluster 30)",), ("DC",), (None,)], "label string")
+    top = {r.label: (r.cl_id, r.score) for r in curation.fuzzy_candidates(labels, onto).where("rank = 1").collect()}
+    assert top["NK cells"] == ("CL:1", 1.0) and top["Zhavabran cells"] == ("CL:2", 1.0) and top["Giatiskack fibre (cluster 30)"] == ("CL:3", 1.0)
+    assert curation.fuzzy_candidates(labels, onto).where("label = 'DC' and cl_id = 'CL:4'").count() == 1
+    unmapped = labels.where("label is not null").select(F.col("label").alias("cell_type"), F.lit(1).alias("records"), F.lit("").alias("tissues"), F.lit("").alias("sources"))
+    accepted = curation.auto_accept(curation.curation_template(unmapped, onto)).where("accepted_cl_id is not null")
+    assert {r.cell_type: r.accepted_cl_id for r in accepted.collect()} == {"NK cells": "CL:1", "Zhavabran cells": "CL:2", "Giatiskack fibre (cluster 30)": "CL:3"}
+
+
 def test_splits(spark):
     rows = spark.range(1000).select(F.col("id").alias("example_id"), (F.col("id") % 7).cast("string").alias("g"), F.concat(F.lit("t"), F.col("id") % 300).alias("text"))
     by = splits.split_by_chance(rows, "example_id").groupBy("split").count().collect()
