@@ -2,9 +2,10 @@
 
 Queries and records meet in an inverted index on (tissue, marker), so only
 pairs that share a marker are scored. Records that share none fill up a query's
-list where it is short: only the last labels of each tissue can, so these are
-kept per tissue. A query whose tissue the database lacks is ranked against all
-records.
+list where it is short. Where scores can't be negative only the last labels of
+each tissue can, so these are kept per tissue; else each query reads the last
+labels as far as it needs. A query whose tissue the database lacks is ranked
+against all records.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql.window import Window
 
 from celltrail.functions.text import norm_label
 from celltrail.operators.markers import negative_markers
+from celltrail.session import cut_lineage
 
 #: Stands for all tissues.
 ANY = "*"
@@ -56,7 +58,6 @@ def _top(scored: DataFrame, fill: DataFrame, queries: DataFrame, order: list, k:
     best = Window.partitionBy(*key).orderBy(*order)
     rank = Window.partitionBy("q_id").orderBy(*order)
     first = scored.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
-    # A record that matches negatively may score below those that share nothing.
     short = queries.select("q_id", "tkey").join(fill, "tkey").join(first.select(*key), key, "left_anti")
     short = short.select("q_id", "rec_id", "label_key", "cl_key", *[v.alias(n) for n, v in zero.items()])
     ranked = first.select(*short.columns).unionByName(short).withColumn("rank", F.row_number().over(rank))
@@ -71,6 +72,52 @@ def _fill(records: DataFrame, k: int) -> DataFrame:
     return one.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= 2 * k).drop("_n")
 
 
+def _placed(held: DataFrame) -> DataFrame:
+    """``held`` with ``pos``, a record's number in its (label, id), and ``place``, that of its (label, id) in the tissue.
+
+    Places are in the order of records that share nothing with a query.
+    """
+    key = ["tkey", "label_key", "cl_key"]
+    numbered = held.withColumn("pos", F.row_number().over(Window.partitionBy(*key).orderBy("rec_id")))
+    last = Window.partitionBy("tkey").orderBy(F.desc("label_key"), "rec_id")
+    places = numbered.where("pos = 1").withColumn("place", F.row_number().over(last)).select(*key, "place")
+    return numbered.join(places, key)
+
+
+def _top_signed(scored: DataFrame, placed: DataFrame, queries: DataFrame, order: list, k: int) -> DataFrame:
+    """The first ``k`` distinct (label, id) of each query, where records that share nothing beat negative scores.
+
+    The first record of a (label, id) that shares nothing is that of the lowest
+    ``pos`` no scored record has. (label, id) without scored records are read
+    by ``place`` until ``k`` are found.
+    """
+    key = ["q_id", "label_key", "cl_key"]
+    of_key = Window.partitionBy(*key)
+    nth = F.row_number().over(of_key.orderBy("pos"))
+    free = F.count_if(F.col("pos") == F.col("_nth")).over(of_key) + 1
+    first = scored.withColumn("_nth", nth).withColumn("_free", free).withColumn("_n", F.row_number().over(of_key.orderBy(*order))).where("_n = 1")
+    behind = (F.col("score") < 0) | ((F.col("score") == 0) & (F.col("positive") == 0))
+    others = placed.select("tkey", "label_key", "cl_key", F.col("pos").alias("_free"), F.col("rec_id").alias("_other"))
+    first = first.withColumn("_free", F.when(behind, F.col("_free"))).join(others, ["tkey", "label_key", "cl_key", "_free"], "left")
+    free = F.col("_other").isNotNull()
+    values = [F.when(free, F.lit(0)).otherwise(F.col(c)).alias(c) for c in ("score", "positive", "negative")]
+    first = first.select(*key, "tkey", "place", F.coalesce("_other", "rec_id").alias("rec_id"), *values)
+    # Places before this one that no scored (label, id) has; from k on they can't matter.
+    ahead = F.col("place") - F.row_number().over(Window.partitionBy("q_id").orderBy("place"))
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(*order))
+    first = cut_lineage(first.withColumn("_ahead", ahead).withColumn("_rank", rank).where((F.col("_rank") <= k) | (F.col("_ahead") < k)))
+    taken = first.where(F.col("_ahead") < k)
+    upto = taken.groupBy("q_id").agg((F.count(F.lit(1)) + k).cast("int").alias("_upto"))
+    wanted = queries.select("q_id", "tkey").join(upto, "q_id", "left")
+    wanted = wanted.select("q_id", "tkey", F.explode(F.sequence(F.lit(1), F.coalesce("_upto", F.lit(k)))).alias("place"))
+    wanted = wanted.join(taken.select("q_id", "place"), ["q_id", "place"], "left_anti")
+    short = wanted.join(placed.where("pos = 1").select("tkey", "place", "rec_id", "label_key", "cl_key"), ["tkey", "place"])
+    columns = ["q_id", "rec_id", "label_key", "cl_key"]
+    short = short.select(*columns, F.lit(0.0).alias("score"), F.lit(0).alias("positive"), F.lit(0).alias("negative"))
+    both = first.select(*short.columns).unionByName(short)
+    return both.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def _labelled(records: DataFrame) -> DataFrame:
     return records.withColumn("label_key", F.coalesce(norm_label(F.col("cell_type")), F.lit(""))).withColumn(
         "cl_key", F.coalesce("cell_ontology_id", F.lit(""))
@@ -145,14 +192,14 @@ def rank_by_signed_sets(queries: DataFrame, records: DataFrame, k: int = 5, nega
             F.count_if(minus).cast("int").alias("negative"),
         )
     )
-    sizes = held.select("tkey", "rec_id", "label_key", "cl_key", F.size("markers").alias("np"), F.size("negatives").alias("nn"))
+    placed = _placed(held)
+    sizes = placed.select("tkey", "rec_id", "label_key", "cl_key", "pos", "place", F.size("markers").alias("np"), F.size("negatives").alias("nn"))
     score = F.col("p") / F.sqrt(F.greatest("np", F.lit(1))) - F.lit(float(negative_weight)) * F.col("n") / F.sqrt(F.greatest("nn", F.lit(1)))
     scored = pairs.join(sizes, ["tkey", "rec_id"]).select(
-        "q_id", "rec_id", "label_key", "cl_key", F.round(score, DIGITS).alias("score"), "positive", "negative"
+        "q_id", "tkey", "rec_id", "label_key", "cl_key", "pos", "place", F.round(score, DIGITS).alias("score"), "positive", "negative"
     )
     order = [F.desc("score"), F.desc("positive"), "negative", F.desc("label_key"), "rec_id"]
-    zero = {"score": F.lit(0.0), "positive": F.lit(0), "negative": F.lit(0)}
-    top = _top(scored, _fill(held, k), asked, order, k, zero)
+    top = _top_signed(scored, placed, asked, order, k)
     return top.select("q_id", "rank", "rec_id", "score", "positive", "negative")
 
 

@@ -8,7 +8,7 @@ from celltrail.functions.variants import label_variants
 from celltrail.operators import augment, curation, linking, markers, metrics, splits
 from celltrail.operators.annotators import annotate_by_overlap, annotate_by_prompt, annotate_by_rerank, annotate_by_signed_sets
 from celltrail.operators.parse import choose_candidate, parse_response
-from celltrail.operators.similarity import rank_by_overlap
+from celltrail.operators.similarity import rank_by_overlap, rank_by_signed_sets
 from celltrail.session import salted_join
 
 DB = "rec_id bigint, tissue string, cell_type string, cell_ontology_id string, markers array<string>, source string, evidence string, metadata map<string,string>"
@@ -63,6 +63,21 @@ def test_ranking(spark):
     assert rank_by_overlap(queries, db(spark).limit(0)).count() == 0
 
 
+def test_records_that_share_nothing_beat_negative_ones(spark):
+    # The last ten labels of Blood hold X negatively; label 11 has a second record that shares nothing.
+    rows = [(i, "Blood", f"label {i:02d}", None, ["A"], "a", None, {"negative_markers": "X"} if i >= 10 else {}) for i in range(20)]
+    rows.append((30, "Blood", "label 11", None, ["A"], "a", None, {}))
+    queries = spark.createDataFrame([(1, "Blood", ["X"]), (2, "Blood", ["Y"]), (3, "Liver", ["X", "A"])], QUERIES)
+    got = {}
+    for r in rank_by_signed_sets(queries, db(spark, rows), 4).orderBy("q_id", "rank").collect():
+        got.setdefault(r.q_id, []).append((r.rec_id, r.score, r.negative))
+    assert got[1] == [(30, 0.0, 0), (9, 0.0, 0), (8, 0.0, 0), (7, 0.0, 0)]
+    assert [r[0] for r in got[2]] == [19, 18, 17, 16]
+    assert [r[0] for r in got[3]] == [30, 9, 8, 7]
+    full = [r.rec_id for r in rank_by_signed_sets(queries.where("q_id = 1"), db(spark, rows), 25).orderBy("rank").collect()]
+    assert full == [30, *range(9, -1, -1), 19, 18, 17, 16, 15, 14, 13, 12, 10]
+
+
 def test_model_annotators(spark):
     queries = spark.createDataFrame([(1, "Blood", ["CD3D"]), (2, "Blood", [])], QUERIES)
 
