@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,8 +16,6 @@ from celltrail.operators.prompts import estimated_tokens
 from celltrail.session import cut_lineage, salted_join
 
 SPLITS = ("train", "validation", "test")
-#: Most groups that the greedy dealing takes to the driver; beyond it groups are dealt by hash.
-MOST_GROUPS = 100_000
 #: Texts of a stratum that one task deals.
 TEXTS_PER_DEAL = 50_000
 
@@ -26,22 +25,24 @@ def _check(train: float, validation: float) -> None:
         raise ValueError("train must be positive, validation not negative, and both together under 1")
 
 
-def hash_order(rows: DataFrame, key: str, seed: int) -> DataFrame:
-    """``rows`` with ``place``: their number from 0 in the order of their hashes.
+def number_rows(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """``rows`` with ``place``: their number from 0 in a total order.
 
-    Rows are ranged by hash and numbered within ranges; the ranges' sizes give
-    the offsets, so no task sorts all rows.
+    Rows are ranged and numbered within ranges; the ranges' sizes give the
+    offsets, so no task sorts all rows.
     """
-    ranged = cut_lineage(
-        rows.withColumn("_u", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
-        .repartitionByRange("_u", F.col(key))
-        .withColumn("_part", F.spark_partition_id())
-    )
+    ranged = cut_lineage(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy("_u", key)) - 1
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     numbered = ranged.withColumn("_within", within).join(F.broadcast(before), "_part")  # one row a partition
-    return numbered.withColumn("place", F.col("_within") + F.col("_before")).drop("_u", "_part", "_within", "_before")
+    return numbered.withColumn("place", F.col("_within") + F.col("_before")).drop("_part", "_within", "_before")
+
+
+def hash_order(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """``rows`` with ``place``: their number from 0 in the order of their hashes."""
+    hashed = rows.withColumn("_u", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
+    return number_rows(hashed, "_u", key).drop("_u")
 
 
 def split_by_chance(rows: DataFrame, key: str, train: float = 0.8, validation: float = 0.1, seed: int = 13) -> DataFrame:
@@ -54,7 +55,7 @@ def split_by_chance(rows: DataFrame, key: str, train: float = 0.8, validation: f
 
 
 def deal_groups(sizes: list[tuple[str, int]], train: float, validation: float) -> dict[str, str]:
-    """A split for each group: each split first gets one of the smallest, then the largest go where most is lacking.
+    """The rule of ``split_by_group``, group by group: each split first gets one of the smallest, then the largest go where most is lacking.
 
     Needs as many groups as there are splits with a share.
     """
@@ -74,6 +75,47 @@ def deal_groups(sizes: list[tuple[str, int]], train: float, validation: float) -
     return out
 
 
+def deal_runs(counts: list[tuple[int, int]], train: float, validation: float) -> list[tuple[int, int, int, list[str]]]:
+    """The dealing of ``deal_groups`` from the number of groups of each size.
+
+    ``counts`` has (size, groups). Gives (size, start, end, splits): groups from
+    ``start`` up to ``end``, numbered from 0 from the largest, take the splits in
+    turn. Groups of one size go to the split that lacks most until it lacks no
+    more than the next one, then to those two in turn, and so on, so the driver
+    takes a few steps a size, not one a group.
+    """
+    groups = sum(m for _, m in counts)
+    total = sum(n * m for n, m in counts)
+    target = {"train": total * train, "validation": total * validation, "test": total * (1.0 - train - validation)}
+    active = [s for s in SPLITS if target[s] > 1e-9]
+    if groups < len(active):
+        raise ValueError(f"{groups} groups can't fill {len(active)} splits")
+    left = dict(sorted(counts))
+    lack, at, firsts = {s: Fraction(target[s]) for s in active}, groups, []
+    for split in sorted(active, key=lambda s: (target[s], SPLITS.index(s))):
+        size = next(n for n, m in left.items() if m)
+        left[size] -= 1
+        lack[split] -= size
+        firsts.append((size, at - 1, at, [split]))
+        at -= 1
+    place, runs = 0, []
+    for size, many in sorted(left.items(), reverse=True):
+        while many:
+            order = sorted(active, key=lambda s: (-lack[s], SPLITS.index(s)))
+            # These lack so nearly the same that they take turns until the next split lacks as much.
+            turn = [s for s in order if lack[order[0]] - lack[s] < size]
+            times, rest = many // len(turn), order[len(turn) :]
+            if rest:
+                times = min(times, max(1, (lack[order[0]] - lack[rest[0]]) // size))
+            took = turn if times else turn[:many]
+            times = max(times, 1)
+            for s in took:
+                lack[s] -= size * times
+            runs.append((size, place, place + times * len(took), took))
+            place, many = place + times * len(took), many - times * len(took)
+    return runs + firsts
+
+
 def group_key(columns: list[str]) -> Column:
     """One text for a row's group; a null value is ``__none__``."""
     return F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("__none__")) for c in columns])
@@ -82,20 +124,23 @@ def group_key(columns: list[str]) -> Column:
 def split_by_group(rows: DataFrame, columns: list[str], train: float = 0.8, validation: float = 0.1) -> DataFrame:
     """``rows`` with ``split``; rows of one group stay together.
 
-    Group sizes (not rows) are dealt on the driver, up to ``MOST_GROUPS``; more
-    groups are each small against the whole and are dealt by hash.
+    The rule is that of ``deal_groups`` at every size. The driver sees only how
+    many groups each size has; groups are numbered from the largest and look up
+    their split among the runs of their size.
     """
     _check(train, validation)
     keyed = rows.withColumn("_group", group_key(columns))
     sizes = cut_lineage(keyed.groupBy("_group").agg(F.count(F.lit(1)).alias("n")))
-    if sizes.count() > MOST_GROUPS:
-        u = uniform("group", F.col("_group"))
-        split = F.when(u < train, "train").when(u < train + validation, "validation").otherwise("test")
-        return keyed.withColumn("split", split).drop("_group")
-    dealt = deal_groups([(r["_group"], r["n"]) for r in sizes.collect()], train, validation)
-    schema = T.StructType([T.StructField("_group", T.StringType()), T.StructField("split", T.StringType())])
-    table = rows.sparkSession.createDataFrame(list(dealt.items()), schema)
-    return keyed.join(table, "_group").drop("_group")
+    counts = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()  # distinct sizes: at most the root of twice the rows
+    by_size: dict[int, list] = {}
+    for size, start, end, names in deal_runs([(r["n"], r["m"]) for r in counts], train, validation):
+        by_size.setdefault(size, []).append((start, end, names))
+    schema = "n bigint, runs array<struct<start: bigint, end: bigint, names: array<string>>>"
+    table = F.broadcast(rows.sparkSession.createDataFrame(list(by_size.items()), schema))  # one row a size
+    mine = F.filter("runs", lambda r: (r["start"] <= F.col("place")) & (F.col("place") < r["end"]))[0]
+    split = F.get(mine["names"], F.pmod(F.col("place") - mine["start"], F.size(mine["names"])).cast("int"))
+    dealt = number_rows(sizes, F.desc("n"), F.desc("_group")).join(table, "n").select("_group", split.alias("split"))
+    return salted_join(keyed, dealt, "_group", "inner").drop("_group")
 
 
 def deal_stratum(sizes: list[tuple[str, int]], train: float, validation: float) -> list[tuple[str, str]]:

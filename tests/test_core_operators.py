@@ -1,4 +1,6 @@
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,6 +176,26 @@ def test_splits(spark):
         splits.deal_groups([("a", 3)], 0.8, 0.1)
 
 
+def test_runs_deal_as_groups_do():
+    for seed in range(300):
+        draw = random.Random(seed)
+        sizes = [(f"g{i}", draw.choice([1, 1, 1, 2, 3, draw.randint(1, 60)])) for i in range(draw.randint(3, 120))]
+        shares = draw.choice([(0.8, 0.1), (0.5, 0.3), (0.34, 0.33), (0.9, 0.0)])
+        order = [g for g, _ in sorted(sizes, key=lambda g: (g[1], g[0]), reverse=True)]
+        got = {order[i]: names[(i - a) % len(names)] for _, a, b, names in splits.deal_runs(list(Counter(n for _, n in sizes).items()), *shares) for i in range(a, b)}
+        assert got == splits.deal_groups(sizes, *shares)
+
+
+def test_hot_group_among_many(spark):
+    rows = spark.range(151_000).select("id", F.when(F.col("id") % 3 == 0, "hot7").otherwise(F.concat(F.lit("g"), F.col("id"))).alias("g"))
+    out = splits.split_by_group(rows, ["g"])
+    sizes = [(r.g, r.n) for r in rows.groupBy("g").agg(F.count("*").alias("n")).collect()]
+    got = {(r.g, r.split) for r in out.select("g", "split").distinct().collect()}
+    assert len(sizes) > 100_000 and got == set(splits.deal_groups(sizes, 0.8, 0.1).items())
+    shares = {r.split: r["count"] / 151_000 for r in out.groupBy("split").count().collect()}
+    assert ("hot7", "train") in got and all(abs(shares[s] - x) < 1e-4 for s, x in (("train", 0.8), ("validation", 0.1), ("test", 0.1)))
+
+
 def test_perturbation(spark):
     rows = spark.createDataFrame([(1, "T cell", ["CD3D", "CD3E", "IL7R"]), (2, "B cell", []), (3, None, None)], "example_id bigint, cell_type string, markers array<string>")
     out = {r.example_id: r for r in augment.perturb_markers(rows, db(spark), 1.0, 1, min_markers=1).collect()}
