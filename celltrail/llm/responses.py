@@ -24,7 +24,8 @@ DEFECTS = ("empty", "copy", "refusal", "truncated", "language")
 # Labels of the fields an answer may have.
 _FIELD = r"(?:cell type|cell ontology id|cl id|confidence(?: score)?|(?:biological )?reasoning|answer|annotation|label)"
 _LABEL = re.compile(rf"^[\W_]*({_FIELD})\W*?[:：][\s*_]*", re.I)
-_LABELS = re.compile(rf"^[\W_]*{_FIELD}\W*?(?:[:：]|$)[*_]*", re.I | re.M)
+# Within a line: blank lines by the thousand are passed over once.
+_LABELS = re.compile(rf"^(?:[^\w\n]|_)*{_FIELD}\W*?(?:[:：]|$)[*_]*", re.I | re.M)
 _KEY = re.compile(r'"[^"\n]{1,40}"\s*:')
 _WORD = re.compile(r"[^\W_]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -98,8 +99,6 @@ _FENCE = re.compile(r"\A\s*`{3,}\w*\s*|\s*`{3,}\s*\Z")
 
 def says_nothing(text: str) -> bool:
     """No letter beside field names, keys and words for nothing."""
-    if len(text) > 400:
-        return False
     bare = _LABELS.sub(" ", _KEY.sub(" ", text))
     return all(w in _NOTHING for w in _LETTERS.findall(bare.lower()))
 

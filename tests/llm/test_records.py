@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from celltrail.llm.copies import collapse_copies, find_copies, marker_words, words
 from celltrail.llm.overlap import marker_set, overlap_counts, overlap_pairs
 from celltrail.llm.related import assign_splits, related_groups, related_splits, spanning_forest
-from celltrail.llm.responses import defects, defective
+from celltrail.llm.responses import defective, defects, says_nothing
 
 EXAMPLE = (
     "example_id bigint, split string, tissue string, cell_type string, source string, markers array<string>, prompt string, "
@@ -168,6 +168,12 @@ def test_defects(response, want):
     assert defects(response, QUESTION, "T cell", 0.9) == want
 
 
+@pytest.mark.parametrize("response", [" \n" * 50_000, "-" * 50_000, "null, " * 200, "Cell type:\n\nReasoning: ...\n" * 100, '{"cell_type": null}\n' * 100])
+def test_long_answers_that_say_nothing(response):
+    assert defects(response, QUESTION, None, None) == ["empty"]
+    assert not says_nothing(response + "T cell.")
+
+
 def test_defective(spark):
     p = spark.createDataFrame(
         [(1, 1, QUESTION, None, None, "e"), (1, 1, QUESTION, None, None, "e"), (2, 9, QUESTION + ".", None, float("nan"), "e"), (3, None, None, None, 0.5, "e"), (4, 1, GOOD, "T cell", 0.9, "e")],
