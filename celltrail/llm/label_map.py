@@ -2,13 +2,17 @@
 
 Labels are made distinct, normalised, and scored against every form (name or
 exact synonym) of the list through an inverted index of character n-grams with
-inverse-frequency weights: weighted cosine. The best candidates above a
-threshold then have to account for the label word by word (misspelled words
-may differ by few edits, numbers not at all), and the winner must lead the next
-term by a margin; otherwise the label is unmatched.
-
-The index is held by each worker in blocks of at most ``forms_per_block``
-forms, so a larger list is scored block by block against all labels.
+inverse-frequency weights: weighted cosine. Every form above a threshold then
+has to account for the label word by word (misspelled words may differ by few
+edits, numbers not at all), and the winner must lead the next term by a margin;
+otherwise the label is unmatched.
+
+The list is cut into blocks of about ``forms_per_block`` forms, all forms of a
+term in one block. Labels and blocks meet in tasks of bounded size; a block says
+which forms account for a label but for leftover words, and which of the
+label's words mean something in it. What all blocks say together decides, so
+the result doesn't depend on their size. Nothing of the list is kept on the
+driver but a table of fixed size with n-gram frequencies.
 """
 
 from __future__ import annotations
@@ -18,21 +22,27 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from celltrail.llm.visible import visible
-from celltrail.session import cut_lineage, salted_join
+from celltrail.session import cut_lineage, salted_join, shuffle_width
 
 THRESHOLD = 0.2
 MARGIN = 0.02
-CANDIDATES = 24
 FORMS_PER_BLOCK = 20_000
+LABELS_PER_TASK = 20_000
 UNMATCHED = "unmatched"
+#: Places of the table of n-gram frequencies.
+GRAMS = 1 << 16
+#: Scores and postings that a worker holds at once.
+CELLS = 1_000_000
 
 _TOKEN = re.compile(r"[^\W_]+")
 _PLUS = re.compile(r"(?<=[^\W_])\+")
@@ -47,25 +57,22 @@ def raw_tokens(text: str) -> list[str]:
     return _TOKEN.findall(_PLUS.sub(" positive ", visible(text)))
 
 
-def series_words(forms: list[str]) -> frozenset[str]:
-    """The words of a list that number its members, such as ``type`` in ``type 1``."""
-    found = set()
-    for form in forms:
-        words = raw_tokens(form)
-        found.update(a for a, b in zip(words, words[1:], strict=False) if b.isdigit() and a.isalpha())
-    return frozenset(found)
+def numbered(raw: list[str]) -> list[tuple[str, str]]:
+    """Words with the number that follows them, Roman numerals as digits."""
+    pairs = zip(raw, raw[1:], strict=False)
+    return [(a, _ROMAN.get(b, b)) for a, b in pairs if a.isalpha() and (b.isdigit() or b in _ROMAN)]
 
 
-def tokens(text: str, series: frozenset[str] = frozenset(), codes: frozenset[str] = frozenset()) -> tuple[str, ...]:
+def tokens(raw: list[str], series: frozenset[str] = frozenset(), codes: frozenset[str] = frozenset()) -> tuple[str, ...]:
     """Words in singular; ``XF2 pos`` as ``xf2 positive``; numbers of a series, and codes, in one word."""
     out: list[str] = []
-    for t in raw_tokens(text):
+    for t in raw:
         last = out[-1] if out else ""
         if t in ("pos", "positive") and any(c.isdigit() for c in last):
             out.append("positive")
         elif t.isdigit() and last.isalpha() and last + t in codes:
             out[-1] = last + t
-        elif last.isalpha() and (t.isdigit() or t in _ROMAN) and (word := _series(last, series)):
+        elif series and last.isalpha() and (t.isdigit() or t in _ROMAN) and (word := _series(last, series)):
             out[-1] = word + _ROMAN.get(t, t)
         elif len(t) > 3 and t.endswith("s") and not t.endswith("ss"):
             out.append(t[:-1])
@@ -80,16 +87,30 @@ def _series(word: str, series: frozenset[str]) -> str | None:
     return next((s for s in sorted(series) if len(s) > 3 and edits(word, s) == 1), None)
 
 
-def grams(words: tuple[str, ...]) -> Counter:
-    """Character bigrams and trigrams of each padded word, and whole words that hold a digit."""
+@lru_cache(maxsize=200_000)
+def _word_grams(w: str) -> tuple[int, ...]:
+    """Places of a padded word's character bigrams and trigrams, and twice of the whole word if it holds a digit."""
+    found = []
+    if any(c.isdigit() for c in w):
+        found += ["=" + w] * 2
+        w = w.translate(_LOOK) if sum(c.isdigit() for c in w) == 1 and len(w) > 4 else w
+    padded = f" {w} "
+    for n in (2, 3):
+        found += [padded[i : i + n] for i in range(max(1, len(padded) - n + 1))]
+    return tuple(crc32(g.encode()) % GRAMS for g in found)
+
+
+def grams(raw: list[str]) -> Counter:
+    """N-gram places of a text, a number being one word with the word before it."""
     count: Counter = Counter()
+    words: list[str] = []
+    for t in tokens(raw):
+        if t.isdigit() and words and words[-1].isalpha():
+            words[-1] += t
+        else:
+            words.append(t)
     for w in words:
-        if any(c.isdigit() for c in w):
-            count["=" + w] += 2
-            w = w.translate(_LOOK) if sum(c.isdigit() for c in w) == 1 and len(w) > 4 else w
-        padded = f" {w} "
-        for n in (2, 3):
-            count.update(padded[i : i + n] for i in range(max(1, len(padded) - n + 1)))
+        count.update(_word_grams(w))
     return count
 
 
@@ -128,91 +149,161 @@ def word_cost(typed: str, listed: str) -> int | None:
     return cost if cost <= most else None
 
 
+def _letters(word: str) -> int:
+    """The letters of a word as bits; an edit changes two at most."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
 class FormIndex:
-    """Inverted n-gram index of forms, with the words that tell terms apart."""
-
-    def __init__(
-        self, forms: list[tuple[str, str]], idf: dict[str, float], vocabulary: frozenset[str], series: frozenset[str]
-    ):
-        self.ids = [cl for cl, _ in forms]
-        self.series = series
-        self.codes = frozenset(w for w in vocabulary if any(c.isdigit() for c in w))
-        self.words = [tokens(text, series) for _, text in forms]
+    """Inverted n-gram index of a block of forms, with the words that tell its terms apart."""
+
+    def __init__(self, forms: list[tuple[str, str]], idf: np.ndarray):
+        raw = [raw_tokens(text) for _, text in forms]
+        kept = [i for i, r in enumerate(raw) if r]
+        raw = [raw[i] for i in kept]
+        self.ids = [forms[i][0] for i in kept]
+        self.series = [frozenset(a for a, _ in numbered(r)) for r in raw]
+        self.words = [tokens(r, s) for r, s in zip(raw, self.series, strict=True)]
+        self.codes = [frozenset(w for w in ws if not w.isdigit() and any(c.isdigit() for c in w)) for ws in self.words]
         self.of_term: dict[str, set[str]] = defaultdict(set)
         for cl, w in zip(self.ids, self.words, strict=True):
             self.of_term[cl].update(w)
-        self.joined = ["".join(w) for w in self.words]
-        self.idf = idf
-        self.rare = max(idf.values(), default=1.0)
-        self.vocabulary = vocabulary
-        self.by_length: dict[int, list[str]] = defaultdict(list)
-        for w in vocabulary:
-            self.by_length[len(w)].append(w)
-        post: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        self.norms = np.ones(len(forms))
+        self.joined: dict[str, list[int]] = defaultdict(list)
         for i, w in enumerate(self.words):
-            vector = {g: n * idf.get(g, self.rare) for g, n in grams(w).items()}
-            self.norms[i] = math.sqrt(sum(v * v for v in vector.values())) or 1.0
-            for g, v in vector.items():
-                post[g].append((i, v))
-        self.post = {g: (np.array([i for i, _ in p]), np.array([v for _, v in p])) for g, p in post.items()}
-        self._known: dict[str, bool] = {}
-
-    def cosines(self, words: tuple[str, ...]) -> np.ndarray:
-        score, norm = np.zeros(len(self.ids)), 0.0
-        for g, n in grams(words).items():
-            weight = n * self.idf.get(g, self.rare)
-            norm += weight * weight
-            if g in self.post:
-                at, value = self.post[g]
-                score[at] += weight * value
-        return score / self.norms / (math.sqrt(norm) or 1.0)
-
-    def known(self, word: str) -> bool:
-        """Whether a word means something in the list, as written or misspelled."""
-        if word not in self._known:
-            self._known[word] = word in self.vocabulary or any(
-                word_cost(word, v) is not None
-                for n in range(len(word) - 2, len(word) + 3)
-                for v in self.by_length.get(n, ())
-            )
-        return self._known[word]
-
-    def cost(self, typed: tuple[str, ...], form: int) -> int | None:
-        """Edits that make the label this form plus comments; None if it isn't."""
-        if "".join(typed) == self.joined[form]:
-            return 0
+            self.joined["".join(w)].append(i)
+        self.idf = idf
+        # Postings by gram, one after another.
+        rows = [(g, i, n * idf[g]) for i, r in enumerate(raw) for g, n in grams(r).items()]
+        rows.sort(key=lambda x: x[0])
+        gram = np.array([r[0] for r in rows], np.int64)
+        self.post_form = np.array([r[1] for r in rows], np.int64)
+        self.post_value = np.array([r[2] for r in rows], float)
+        self.post_size = np.bincount(gram, minlength=GRAMS)
+        self.post_start = np.cumsum(self.post_size) - self.post_size
+        norms = np.sqrt(np.bincount(self.post_form, self.post_value**2, len(self.ids)))
+        self.norms = np.where(norms > 0, norms, 1.0)
+        self.vocabulary = sorted({w for ws in self.words for w in ws})
+        at = {w: i for i, w in enumerate(self.vocabulary)}
+        self.form_words = np.array([at[w] for ws in self.words for w in ws], np.int64)
+        self.form_sizes = np.array([len(ws) for ws in self.words], np.int64)
+        self.form_starts = np.cumsum(self.form_sizes) - self.form_sizes
+        self.bits = np.array([_letters(w) for w in self.vocabulary], np.uint64)
+        self.lengths = np.array([len(w) for w in self.vocabulary], np.int64)
+        self.most = np.array([allowed(w) for w in self.vocabulary], np.int64)
+        self.at = at
+        # Series words by the number that follows them.
+        self.by_number: dict[str, list[tuple[str, int]]] = defaultdict(list)
+        for w, i in at.items():
+            if found := re.fullmatch(r"([^\W\d_]+)(\d+)", w):
+                self.by_number[found[2]].append((found[1], i))
+        self._matches: dict[str, np.ndarray] = {}
+        self._pairs: dict[tuple[str, str], np.ndarray] = {}
+
+    def cosines(self, vectors: list[Counter]) -> np.ndarray:
+        """Weighted cosine of each vector with each form."""
+        n = len(self.ids)
+        gram = np.array([g for v in vectors for g in v], np.int64)
+        weight = np.array([c for v in vectors for c in v.values()], float) * self.idf[gram]
+        row = np.repeat(np.arange(len(vectors)), [len(v) for v in vectors])
+        norm = np.sqrt(np.bincount(row, weight**2, len(vectors)))
+        size = self.post_size[gram]
+        before = np.cumsum(size) - size
+        at = np.repeat(self.post_start[gram] - before, size) + np.arange(size.sum())
+        cell = np.repeat(row * n, size) + self.post_form[at]
+        score = np.bincount(cell, np.repeat(weight, size) * self.post_value[at], len(vectors) * n)
+        return score.reshape(len(vectors), n) / self.norms / np.where(norm > 0, norm, 1.0)[:, None]
+
+    def matches(self, word: str) -> np.ndarray:
+        """Places of the listed words that a typed word may be."""
+        if word not in self._matches:
+            if len(self._matches) > 200_000:
+                self._matches.clear()
+            tried = {word, word.translate(_LOOK)} if any(c.isdigit() for c in word) else {word}
+            near = np.zeros(len(self.vocabulary), bool)
+            for w in tried:
+                apart = np.bitwise_count(self.bits ^ np.uint64(_letters(w)))
+                near |= (apart <= 2 * self.most) & (np.abs(self.lengths - len(w)) <= self.most)
+            found = [i for i in np.flatnonzero(near) if word_cost(word, self.vocabulary[i]) is not None]
+            self._matches[word] = np.array(found, np.int64)
+        return self._matches[word]
+
+    def pair_matches(self, word: str, number: str) -> np.ndarray:
+        """Places of the listed words of a series that a word with a number may be."""
+        key = (word, number)
+        if key not in self._pairs:
+            if len(self._pairs) > 200_000:
+                self._pairs.clear()
+            near = [i for x, i in self.by_number.get(number, ()) if x == word or (len(x) > 3 and edits(word, x) == 1)]
+            self._pairs[key] = np.array(near, np.int64)
+        return self._pairs[key]
+
+    def cost(self, typed: tuple[str, ...], form: int) -> tuple[int, list[str]] | None:
+        """Edits that make the label this form plus leftover words, and these; None if words of the form are missing."""
         left, total = list(typed), 0
-        for listed in sorted(self.words[form], key=lambda w: allowed(w)):
+        for listed in sorted(self.words[form], key=allowed):
             costs = [(c, i) for i, w in enumerate(left) if (c := word_cost(w, listed)) is not None]
             if not costs:
                 return None
             cost, at = min(costs)
             total += cost
             left.pop(at)
-        # What is left must be comment, or repeat what other forms of the term say.
-        if any(self.known(w) for w in left if w not in self.of_term[self.ids[form]]):
-            return None
-        return total
-
-    def best(self, label: str) -> list[tuple[str, float, int, str]]:
-        """Up to two terms: (id, cosine, edits, form), the likelier first."""
-        typed = tokens(label, self.series, self.codes)
-        if not typed:
-            return []
-        score = self.cosines(typed)
-        top = np.argpartition(-score, min(CANDIDATES, len(score) - 1))[: CANDIDATES + 1]
-        found: dict[str, tuple[int, float, str]] = {}
-        for i in top:
-            if score[i] < THRESHOLD:
-                continue
-            cost = self.cost(typed, int(i))
-            if cost is None:
-                continue
-            new = (cost, -float(score[i]), " ".join(self.words[i]))
-            if self.ids[i] not in found or new < found[self.ids[i]]:
-                found[self.ids[i]] = new
-        return [(cl, -s, cost, form) for cl, (cost, s, form) in sorted(found.items(), key=lambda x: (x[1], x[0]))[:2]]
+        return total, left
+
+    def read(self, labels: list[str]) -> Iterator[tuple[str, list[str], list[tuple[str, float, int, str, list[str]]]]]:
+        """(label, its words that mean something here, hits) of each label; a hit is (id, cosine, edits, form, leftover words)."""
+        lot: list[tuple[str, list[str], Counter]] = []
+        size = 0
+        for label in labels:
+            if raw := raw_tokens(label):
+                vector = grams(raw)
+                lot.append((label, raw, vector))
+                size += len(self.ids) + sum(self.post_size[g] for g in vector)
+                if size > CELLS:
+                    yield from self._lot(lot)
+                    lot, size = [], 0
+        if lot:
+            yield from self._lot(lot)
+
+    def _lot(self, lot: list[tuple[str, list[str], Counter]]) -> Iterator[tuple]:
+        for (label, raw, _), score in zip(lot, self.cosines([v for _, _, v in lot]), strict=True):
+            yield label, *self._one(raw, score)
+
+    def _one(self, raw: list[str], score: np.ndarray) -> tuple[list[str], list[tuple[str, float, int, str, list[str]]]]:
+        typed, pairs = tokens(raw), numbered(raw)
+        known: set[str] = set()
+        there = np.zeros(len(self.vocabulary), bool)
+        for w in typed:
+            if len(found := self.matches(w)):
+                there[found] = True
+                known.add(w)
+        for a, n in pairs:
+            if len(found := self.pair_matches(a, n)):
+                there[found] = True
+                known.add(a + n)
+                known.update(self.vocabulary[i] for i in found)
+        whole = np.add.reduceat(there[self.form_words], self.form_starts, dtype=np.int64) == self.form_sizes
+        best: dict[str, tuple] = {}
+        read: dict[tuple, tuple[str, ...]] = {}
+        for i in np.flatnonzero(whole & (score >= THRESHOLD)):
+            how = (self.series[i], self.codes[i])
+            if how not in read:
+                read[how] = tokens(raw, *how) if how[0] or how[1] else typed
+            if found := self.cost(read[how], int(i)):
+                self._keep(best, int(i), score, *found, pairs)
+        for i in self.joined.get("".join(typed), ()):
+            if score[i] >= THRESHOLD:
+                self._keep(best, i, score, 0, [], pairs)
+        return sorted(known), [hit for hits in best.values() for hit in hits]
+
+    def _keep(self, best: dict, form: int, score: np.ndarray, cost: int, left: list[str], pairs: list[tuple[str, str]]) -> None:
+        cl = self.ids[form]
+        strange = {w for w in left if w not in self.of_term[cl]}
+        strange |= {a + n for a, n in pairs if a in strange and a + n not in self.of_term[cl]}
+        hit = (cl, float(score[form]), cost, " ".join(self.words[form]), sorted(strange))
+        best.setdefault(cl, []).append(hit)
 
 
 def list_forms(terms: DataFrame, scopes: tuple[str, ...] = ("EXACT",)) -> DataFrame:
@@ -236,49 +327,72 @@ def map_labels(
 
     ``cl_id`` is ``unmatched`` where no form scores above ``threshold`` and
     accounts for the label, or where another term needs as few edits and scores
-    within ``margin``. Obsolete terms and synonyms of other scopes don't count,
-    but their words do tell terms apart. An empty list leaves all unmatched.
+    within ``margin``. Obsolete terms and synonyms of other scopes don't count.
+    An empty list leaves all unmatched.
     """
     spark = labels.sparkSession
     distinct = cut_lineage(labels.select(F.col(label).alias("label")).where("label is not null").distinct())
-    forms = list_forms(terms).select("cl_id", "form").orderBy("cl_id", "form")
-    width = max(1, distinct.rdd.getNumPartitions())
-    rows = forms.toLocalIterator(prefetchPartitions=False)
-    blocks: list[list[tuple[str, str]]] = []
-    for row in rows:  # the reference list; only its words and n-gram counts are kept beyond a block
-        if not blocks or len(blocks[-1]) >= forms_per_block:
-            blocks.append([])
-        blocks[-1].append((row["cl_id"], row["form"]))
-    seen: Counter = Counter()
-    vocabulary: set[str] = set()
-    series = series_words([text for block in blocks for _, text in block])
-    for block in blocks:
-        for _, text in block:
-            w = tokens(text, series)
-            seen.update(grams(w).keys())
-            vocabulary.update(w)
-    total = sum(map(len, blocks))
-    idf = {g: math.log(1 + total / n) for g, n in seen.items()}
-    words = frozenset(vocabulary)
-    schema = "label string, cl_id string, score double, edits int, form string"
-    scored = None
-    for block in blocks:
-        held = spark.sparkContext.broadcast((block, idf, words, series))
-
-        def score(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            index = FormIndex(*held.value)
-            for frame in frames:
-                out = [(x, *hit) for x in frame["label"] for hit in index.best(x)]
-                yield pd.DataFrame(out, columns=["label", "cl_id", "score", "edits", "form"])
-
-        part = distinct.repartition(max(width, spark.sparkContext.defaultParallelism)).mapInPandas(score, schema)
-        scored = part if scored is None else scored.unionByName(part)
-    if scored is None:
+    forms = cut_lineage(list_forms(terms).select("cl_id", "form").distinct())
+    total = forms.count()
+    if not total:
         return distinct.select(
             "label", F.lit(UNMATCHED).alias("cl_id"), F.lit(None).cast("double").alias("score"),
             F.lit(None).cast("int").alias("edits"), F.lit(None).cast("string").alias("form"),
         )
-    scored = scored.where(F.col("score") >= threshold)
+    places = F.explode(_gram_places("form")).alias("place")
+    seen = forms.select(places).groupBy("place").count().collect()  # at most GRAMS rows
+    idf = np.full(GRAMS, math.log(1 + total))
+    for r in seen:
+        idf[r["place"]] = math.log(1 + total / r["count"])
+    held = spark.sparkContext.broadcast(idf)
+
+    blocks = -(-total // forms_per_block)
+    parts = max(shuffle_width(spark), spark.sparkContext.defaultParallelism, -(-distinct.count() // LABELS_PER_TASK))
+    task = (F.col("block") * parts + F.col("part")).cast("int").alias("task")
+    listed = forms.withColumn("block", F.pmod(F.xxhash64("cl_id"), F.lit(blocks)).cast("int")).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    )
+    typed = distinct.withColumn("part", F.pmod(F.xxhash64("label"), F.lit(parts)).cast("int")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    )
+    rows = listed.select(task, "block", "cl_id", F.col("form").alias("text")).unionByName(
+        typed.select(task, "block", F.lit(None).cast("string").alias("cl_id"), F.col("label").alias("text"))
+    )
+    met = rows.repartitionByRange(blocks * parts, "task").sortWithinPartitions("task", F.col("cl_id").isNull(), "cl_id", "text")
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, index, of_block = None, None, None
+        forms: list[tuple[str, str]] = []
+        for frame in frames:
+            out = []
+            for (task, block), some in frame.groupby(["task", "block"], sort=True):
+                is_form = some["cl_id"].notna()
+                if task != at:
+                    at, forms = task, []
+                if block != of_block:
+                    forms += list(zip(some["cl_id"][is_form], some["text"][is_form], strict=True))
+                    index = None
+                asked = some["text"][~is_form].tolist()
+                if asked and index is None:
+                    index, of_block = FormIndex(forms, held.value), block
+                if asked and index.ids:
+                    out += index.read(asked)
+            hits = [[dict(zip(("cl_id", "score", "edits", "form", "left"), h, strict=True)) for h in row[2]] for row in out]
+            columns = {"label": [r[0] for r in out], "known": [r[1] for r in out], "hits": hits}
+            yield pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in columns.items()})
+
+    read = met.mapInPandas(
+        score, "label string, known array<string>, hits array<struct<cl_id:string,score:double,edits:int,form:string,left:array<string>>>"
+    )
+    # One row a block of each label.
+    said = read.groupBy("label").agg(
+        F.array_distinct(F.flatten(F.collect_list("known"))).alias("known"), F.flatten(F.collect_list("hits")).alias("hits")
+    )
+    # What is left over must be comment, or repeat what other forms of the term say.
+    whole = F.filter("hits", lambda h: ~F.arrays_overlap(h["left"], F.col("known")))
+    scored = said.select("label", F.explode(whole).alias("h")).select("label", "h.*").where(F.col("score") >= threshold)
+    of_term = Window.partitionBy("label", "cl_id").orderBy("edits", F.desc("score"), "form")
+    scored = scored.withColumn("_n", F.row_number().over(of_term)).where("_n = 1")
     order = Window.partitionBy("label").orderBy("edits", F.desc("score"), "cl_id")
     ranked = scored.select(
         "*",
@@ -295,6 +409,11 @@ def map_labels(
     return distinct.join(accepted, "label", "left").withColumn("cl_id", F.coalesce("cl_id", F.lit(UNMATCHED)))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _gram_places(texts: pd.Series) -> pd.Series:
+    return pd.Series([list(grams(raw_tokens(x))) for x in texts])
+
+
 def map_rows(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """(``src``, ``row_id``, ``cl_id``) of every row of (``src``, ``row_id``, ``label``) to map.
 

@@ -21,16 +21,19 @@ LIST = [
 ]
 
 
-@pytest.mark.parametrize(("label", "want"), [
+MEANT = [
     ("Type_1_Gorbalix_Cells", "CL:1"), ("type I gorbalxi cell", "CL:1"), ("gorbalix cell, type 2", "CL:2"), ("GRBC12 cells", "CL:1"), ("grbc-12", "CL:1"),
     ("GRBC13", "unmatched"), ("type 3 gorbalix cell", "unmatched"), ("gorbalix cell", "unmatched"), ("XF2 pos tremolat neurons ?", "CL:3"),
     ("xf2+​ tremolat  neuron (cluster 7)", "CL:3"), ("tr3molat neuron", "CL:5"), ("~margnal tremolta neuron [Lung]", "CL:4"),
     ("tremolat fibre", "unmatched"), ("oldish fibre", "unmatched"), ("immature lineage 3 element", "unmatched"), ("cluster 4", "unmatched"),
     ("12: Tremolat neuron; donor 3", "CL:5"), ("", "unmatched"), ("​", "unmatched"), ("z" * 5000, "unmatched"),
-])
-def test_labels(spark, label, want):
-    df = spark.createDataFrame([(label,), (None,), (label,)], "label string")
-    assert [(r.label, r.cl_id) for r in map_labels(df, spark.createDataFrame(LIST, TERMS)).collect()] == [(label, want)]
+]
+
+
+def test_labels(spark):
+    df = spark.createDataFrame([(label,) for label, _ in MEANT] * 2 + [(None,)], "label string")
+    got = [(r.label, r.cl_id) for r in map_labels(df, spark.createDataFrame(LIST, TERMS)).collect()]
+    assert sorted(got) == sorted(MEANT)
 
 
 def test_label_blocks_and_edges(spark):
@@ -39,6 +42,17 @@ def test_label_blocks_and_edges(spark):
     by = [{tuple(r)[:2] for r in map_labels(df, terms, forms_per_block=n).collect()} for n in (1, 2, 1000)]
     assert by[0] == by[1] == by[2] == {("tremolat neuron?", "CL:5"), ("type 2 gorbalix cell.", "CL:2")}
     assert [r.cl_id for r in map_labels(df, terms.limit(0)).collect()] == ["unmatched"] * 2
+    # Terms with several forms that a label matches alike, in any cut of the list.
+    twice = [
+        ("CL:7", "QH5-positive pludraston cell", [("QH5+ pludraston cell", "EXACT"), ("pludraston cell QH5 pos", "EXACT")], False, "x"),
+        ("CL:8", "velm of kind 3", [("kind 3 velm", "EXACT"), ("velm", "EXACT")], False, "x"), ("CL:9", "kind 4 zorb", None, False, "x"),
+    ]
+    said = ["QH5+ pludraston cell", "velm kind 3", "Velms (kind 4)", "zorb, kidn 4", "kind 4 velm zorb", "qh-5 positive pludrastn cell", "velm; donor 3"]
+    asked = spark.createDataFrame([(x,) for x in said], "label string")
+    by = [{tuple(r)[:2] for r in map_labels(asked, spark.createDataFrame(LIST + twice, TERMS), forms_per_block=n).collect()} for n in (1, 2, 3, 5, 1000)]
+    assert all(b == by[-1] for b in by)
+    want = ["CL:7", "CL:8", "unmatched", "CL:9", "unmatched", "CL:7", "CL:8"]
+    assert by[-1] == set(zip(said, want, strict=True))
     rows = spark.createDataFrame([("a", 1, "tremolat neuron"), ("a", 2, "Tremolat neuron"), ("b", 2, None), ("b", 3, "?")], "src string, row_id bigint, label string")
     assert {tuple(r) for r in map_rows(rows, terms).collect()} == {("a", 2, "CL:5"), ("b", 3, "unmatched")}
     assert map_rows(rows.limit(0), terms).count() == 0
