@@ -2,13 +2,14 @@
 
 Pigeonhole edit matching: a passage of ``window`` words is split into
 ``errors`` + 1 pieces, so a text that holds the passage with at most ``errors``
-word edits holds one piece unchanged. Piece hits are found exactly through a
-table of piece hashes, and each hit is verified with Myers' bit-parallel
-distance between the passage and the words around the hit.
+word edits holds one piece unchanged. Texts are scanned once: pieces of a text
+that may be pieces of items (told by a bit table of bounded size, which lets
+none of them slip) go on with the words around them, meet the items' pieces by
+hash, and are verified with Myers' bit-parallel distance.
 
 Every ``window`` words of an item are a passage of their own, so partial leaks
-count. Items go to the workers in blocks of at most ``words_per_block`` words;
-every text is read whole against every block.
+count. Neither items nor texts ever come to the driver; pieces that very many
+texts hold are salted.
 """
 
 from __future__ import annotations
@@ -16,18 +17,22 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from celltrail.session import ROWS_PER_TASK, cut_lineage, salted_join
+
 WINDOW = 12
 ERRORS = 1
-#: About 100 MB of index in a worker.
-WORDS_PER_BLOCK = 200_000
+#: Bits of the table of pieces: sixteen a piece within these bounds (8 MB at most). Beyond them more hits are checked in vain.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 26
+_CHUNK = 1 << 13
 
 _WORD = re.compile(r"[^\W_]+")
-_SCHEMA = "doc_id bigint, item_id bigint, distance int, item_start int, doc_start int, run int"
 
 
 def text_words(text: str | None) -> list[str]:
@@ -67,67 +72,108 @@ def myers(pattern: list[str], text: list[str], most: int) -> tuple[int, int]:
     return best
 
 
-class PassageIndex:
-    """Piece hashes of a block of items."""
-
-    def __init__(self, items: list[tuple[int, list[str]]], window: int, errors: int):
-        self.window, self.errors = window, errors
-        cuts = [window * i // (errors + 1) for i in range(errors + 2)]
-        self.spans = list(zip(cuts, cuts[1:], strict=False))
-        self.items = items
-        # By length of piece, as pieces may differ by a word.
-        self.pieces: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for k, (_, words) in enumerate(items):
-            last = len(words) - window
-            for length in {b - a for a, b in self.spans}:
-                for i in range(len(words) - length + 1):
-                    if any(0 <= i - a <= last for a, b in self.spans if b - a == length):
-                        self.pieces[length][hash(tuple(words[i : i + length]))].append((k, i))
-
-    def leaks(self, words: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(item, distance, item start, text start, equal run) of the nearest passage of each item."""
-        found: dict[int, tuple[int, int, int, int]] = {}
-        done: set[tuple[int, int, int]] = set()
-        window, errors = self.window, self.errors
-        for length, table in self.pieces.items():
-            for j in range(len(words) - length + 1):
-                piece = tuple(words[j : j + length])
-                hits = table.get(hash(piece))
-                if not hits:
-                    continue
-                for k, i in hits:
-                    item = self.items[k][1]
-                    if tuple(item[i : i + length]) != piece:
-                        continue
-                    for a, b in self.spans:
-                        start = i - a
-                        if b - a != length or not 0 <= start <= len(item) - window or (k, start, j - a) in done:
-                            continue
-                        done.add((k, start, j - a))
-                        if k in found and found[k][0] == 0:
-                            continue
-                        low = max(0, j - a - errors)
-                        near = words[low : j - a + window + errors]
-                        passage = item[start : start + window]
-                        # Every word of the passage that isn't near costs an edit at least.
-                        if window - sum(map(set(near).__contains__, passage)) > errors:
-                            continue
-                        distance, end = myers(passage, near, errors)
-                        if distance <= errors and (k not in found or distance < found[k][0]):
-                            at = low + max(0, end - window)
-                            found[k] = (distance, start, at, self.run(item, start, words, at) if distance == 0 else 0)
-        for k, (distance, start, at, run) in found.items():
-            yield self.items[k][0], distance, start, at, run
-
-    def run(self, item: list[str], i: int, words: list[str], j: int) -> int:
-        """How many words are equal on this alignment, from both starts on and before them."""
-        n = 0
-        while i + n < len(item) and j + n < len(words) and item[i + n] == words[j + n]:
-            n += 1
-        back = 0
-        while i - back > 0 and j - back > 0 and item[i - back - 1] == words[j - back - 1]:
-            back += 1
-        return n + back
+class _Hashes(dict):
+    """Hashes of words met so far."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = value = crc32(word.encode())
+        return value
+
+
+_hashes = _Hashes()
+
+
+def piece_hashes(words: list[str], length: int) -> np.ndarray:
+    """Hashes of every ``length`` words that follow each other, by their start."""
+    n = len(words) - length + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    one = np.fromiter((_hashes[w] for w in words), np.uint64, len(words))
+    total = np.full(n, length, np.uint64)
+    for k in range(length):
+        total = (total ^ one[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(29)
+    return total.view(np.int64)
+
+
+def spans(window: int, errors: int) -> list[tuple[int, int]]:
+    """The pieces of a passage: their start and length."""
+    cuts = [window * i // (errors + 1) for i in range(errors + 2)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def passages(items: DataFrame, window: int, errors: int) -> DataFrame:
+    """(``piece``, ``item_id``, ``item_start``, ``at``, ``passage``): each piece of each passage, ``at`` being its place there."""
+    parts = spans(window, errors)
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["piece", "item_id", "item_start", "at", "passage"]
+        for frame in frames:
+            for item, text in zip(frame["item_id"], frame["text"], strict=True):
+                words = text_words(text)
+                by_length = {n: piece_hashes(words, n) for _, n in parts}
+                rows = [
+                    (by_length[n][i + a], item, i, a, " ".join(words[i : i + window]))
+                    for i in range(len(words) - window + 1)
+                    for a, n in parts
+                ]
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
+
+    rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null")
+    return rows.mapInPandas(cut, "piece bigint, item_id bigint, item_start int, at int, passage string")
+
+
+def piece_table(pieces: DataFrame) -> np.ndarray:
+    """Bits of all pieces' hashes, packed into bytes; chunks are packed by tasks."""
+    count = pieces.select("piece").distinct().count()
+    bits = LEAST_BITS
+    while bits < MOST_BITS and bits < 16 * count:
+        bits *= 2
+    place = F.pmod("piece", F.lit(bits))
+    chunks = pieces.select(F.shiftright(place, 13).alias("chunk"), place.bitwiseAND(_CHUNK - 1).cast("int").alias("bit")).distinct()
+
+    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(_CHUNK, bool)  # at most so many rows a chunk
+        held[frame["bit"].to_numpy()] = True
+        return pd.DataFrame({"chunk": [key[0]], "packed": [np.packbits(held).tobytes()]})
+
+    table = np.zeros(bits // 8, np.uint8)
+    for row in chunks.groupBy("chunk").applyInPandas(pack, "chunk bigint, packed binary").toLocalIterator():
+        start = row["chunk"] * _CHUNK // 8
+        table[start : start + _CHUNK // 8] = np.frombuffer(bytes(row["packed"]), np.uint8)
+    return table
+
+
+def piece_hits(documents: DataFrame, table: np.ndarray, window: int, errors: int) -> DataFrame:
+    """(``doc_id``, ``piece``, ``doc_start``, ``before``, ``near``) of pieces of texts that may be items' pieces.
+
+    ``near`` are the words around a piece that any passage with it can reach,
+    ``before`` how many of them stand before the piece.
+    """
+    held = documents.sparkSession.sparkContext.broadcast(table)
+    lengths = sorted({n for _, n in spans(window, errors)})
+    bits = np.uint64(len(table) * 8 - 1)
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["doc_id", "piece", "doc_start", "before", "near"]
+        known = held.value
+        for frame in frames:
+            rows = []
+            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
+                words = text_words(text)
+                for n in lengths:
+                    found = piece_hashes(words, n)
+                    place = found.view(np.uint64) & bits
+                    for j in np.flatnonzero(known[place >> np.uint64(3)] & (128 >> (place & np.uint64(7)).astype(np.uint8))):
+                        low = max(0, j - window - errors)
+                        rows.append((doc, found[j], j, j - low, " ".join(words[low : j + window + errors])))
+            yield pd.DataFrame(rows, columns=names)
+
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
+    return texts.mapInPandas(scan, "doc_id bigint, piece bigint, doc_start int, before int, near string")
 
 
 def find_leaks(
@@ -135,50 +181,45 @@ def find_leaks(
     items: DataFrame,
     window: int = WINDOW,
     errors: int = ERRORS,
-    words_per_block: int = WORDS_PER_BLOCK,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """(``doc_id``, ``item_id``, ``distance``, ``item_start``, ``doc_start``, ``run``) of every leak.
+    """(``doc_id``, ``item_id``, ``distance``, ``passages``, ``exact``) of every leak.
 
     One row for each text and item with at least one passage of ``window``
-    words within ``errors`` word edits; the numbers are of the nearest passage,
-    ``run`` counts the equal words around an exact one. Null or empty texts and
-    items under ``window`` words leak nothing. Rows that repeat an id are read
-    each, so results may repeat.
+    words within ``errors`` word edits: the least distance, how many of the
+    item's passages leaked, and how many of them word for word. Null or empty
+    texts and items under ``window`` words leak nothing. Rows that repeat an id
+    are read each and counted as one text or item.
     """
     if window < 2 or not 0 <= errors < window:
         raise ValueError("window must exceed errors")
-    spark = documents.sparkSession
-    blocks: list[list[tuple[int, list[str]]]] = []
-    size = 0
-    for row in items.select("item_id", "text").toLocalIterator():  # held-out items, one block at a time in memory terms
-        words = text_words(row["text"])
-        if len(words) < window:
-            continue
-        if not blocks or size + len(words) > words_per_block:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row["item_id"], words))
-        size += len(words)
-    out = None
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
-    for block in blocks:
-        held = spark.sparkContext.broadcast(block)
-
-        def scan(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            index = PassageIndex(held.value, window, errors)
-            for frame in frames:
-                rows = [
-                    (doc, *leak)
-                    for doc, text in zip(frame["doc_id"], frame["text"], strict=True)
-                    for leak in index.leaks(text_words(text))
-                ]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "item_start", "doc_start", "run"])
+    wanted = cut_lineage(passages(items, window, errors))
+    hits = cut_lineage(piece_hits(documents, piece_table(wanted), window, errors))
+
+    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            columns = ("doc_id", "item_id", "item_start", "at", "before", "near", "passage")
+            for doc, item, start, at, before, near, passage in zip(*(frame[c] for c in columns), strict=True):
+                pattern = passage.split(" ")
+                low = max(0, before - at - errors)
+                words = near.split(" ")[low : before - at + window + errors]
+                # Every word of the passage that isn't near costs an edit at least.
+                if window - sum(map(set(words).__contains__, pattern)) > errors:
+                    continue
+                distance = myers(pattern, words, errors)[0]
+                if distance <= errors:
+                    out.append((doc, item, start, distance))
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "item_start", "distance"])
 
-        part = texts.mapInPandas(scan, _SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], _SCHEMA)
+    met = salted_join(hits, wanted, "piece", "inner", rows_per_task)
+    near = met.mapInPandas(verify, "doc_id bigint, item_id bigint, item_start int, distance int")
+    each = near.groupBy("doc_id", "item_id", "item_start").agg(F.min("distance").alias("distance"))
+    return each.groupBy("doc_id", "item_id").agg(
+        F.min("distance").alias("distance"), F.count(F.lit(1)).alias("passages"), F.count_if(F.col("distance") == 0).alias("exact")
+    )
 
 
 def exact_leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(``doc_id``, ``item_id``) of texts that share ``window`` consecutive words with an item."""
-    return find_leaks(documents, items, window).where(F.col("run") >= window).select("doc_id", "item_id").distinct()
+    return find_leaks(documents, items, window).where("exact > 0").select("doc_id", "item_id")

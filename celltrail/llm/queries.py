@@ -99,8 +99,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts and items with passages within one word edit."""
-    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
-    return leaks.select("doc_id", "item_id", "distance", "run").distinct()
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

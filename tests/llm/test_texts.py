@@ -117,8 +117,8 @@ def test_leaks_against_brute_force(spark):
             if any(tuple(v[i : i + 12]) in windows for i in range(len(v) - 11)):
                 want.add((d, k))
     assert got == want and len(want) > 10
-    blocks = find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string"), words_per_block=100)
-    assert {(r.doc_id, r.item_id) for r in blocks.where("run >= 12").collect()} == want
+    salted = find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string"), rows_per_task=2)
+    assert {(r.doc_id, r.item_id) for r in salted.where("exact > 0").collect()} == want
 
 
 def test_near_leaks(spark):
