@@ -2,10 +2,13 @@
 
 Pigeonhole edit matching: a passage of ``window`` words is split into
 ``errors`` + 1 pieces, so a text that holds the passage with at most ``errors``
-word edits holds one piece unchanged. Texts are scanned once: pieces of a text
-that may be pieces of items (told by a bit table of bounded size, which lets
-none of them slip) go on with the words around them, meet the items' pieces by
-hash, and are verified with Myers' bit-parallel distance.
+word edits holds one piece unchanged. What is left of the passage is split into
+``errors`` + 1 parts once more, so one of these is unchanged too, at most
+``errors`` words from its place: piece and part together are the key by which
+texts and items meet, and phrases that very many texts hold meet nothing. Texts
+are scanned once: only keys that may be items' keys (told by bit tables of
+bounded size, which let none of them slip) go on with the words around them.
+Each meeting is verified with Myers' bit-parallel distance.
 
 Every ``window`` words of an item are a passage of their own, so partial leaks
 count. Neither items nor texts ever come to the driver; pieces that very many
@@ -98,42 +101,59 @@ def piece_hashes(words: list[str], length: int) -> np.ndarray:
     return total.view(np.int64)
 
 
-def spans(window: int, errors: int) -> list[tuple[int, int]]:
-    """The pieces of a passage: their start and length."""
+def spans(window: int, errors: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """The pieces of a passage: start, length, and the parts of the rest as (start from the piece's start, length)."""
     cuts = [window * i // (errors + 1) for i in range(errors + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    out = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        rest, parts = window - (b - a), []
+        for low, high in ((0, a), (b, window)):
+            many = min(high - low, -(-(errors + 1) * (high - low) // max(rest, 1)))
+            marks = [low + (high - low) * i // max(many, 1) for i in range(many + 1)]
+            parts += [(x - a, y - x) for x, y in zip(marks, marks[1:], strict=False)]
+        out.append((a, b - a, parts if len(parts) > errors else []))
+    return out
+
+
+def meeting_keys(piece: np.ndarray, part: np.ndarray | None, at: int, which: int) -> np.ndarray:
+    """Keys of pieces, the ``at``-th of their passage, with one part of the rest."""
+    key = (piece.view(np.uint64) ^ np.uint64(at * 64 + which + 1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    if part is not None:
+        key = ((key ^ (key >> np.uint64(31))) ^ part.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return (key ^ (key >> np.uint64(29))).view(np.int64)
 
 
 def passages(items: DataFrame, window: int, errors: int) -> DataFrame:
-    """(``piece``, ``item_id``, ``item_start``, ``at``, ``passage``): each piece of each passage, ``at`` being its place there."""
-    parts = spans(window, errors)
+    """(``piece``, ``key``, ``item_id``, ``item_start``, ``passage``): each passage by all keys that a text may meet it with."""
+    pieces = spans(window, errors)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["piece", "item_id", "item_start", "at", "passage"]
         for frame in frames:
             for item, text in zip(frame["item_id"], frame["text"], strict=True):
                 words = text_words(text)
-                by_length = {n: piece_hashes(words, n) for _, n in parts}
-                rows = [
-                    (by_length[n][i + a], item, i, a, " ".join(words[i : i + window]))
-                    for i in range(len(words) - window + 1)
-                    for a, n in parts
-                ]
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
+                starts = np.arange(len(words) - window + 1)
+                if not len(starts):
+                    continue
+                passage = [" ".join(words[i : i + window]) for i in starts]
+                for k, (a, n, parts) in enumerate(pieces):
+                    piece = piece_hashes(words, n)[starts + a]
+                    for m, part in enumerate(parts or [None]):
+                        other = piece_hashes(words, part[1])[starts + a + part[0]] if part else None
+                        key = meeting_keys(piece, other, k, m)
+                        yield pd.DataFrame({"piece": piece, "key": key, "item_id": item, "item_start": starts, "passage": passage})
 
     rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null")
-    return rows.mapInPandas(cut, "piece bigint, item_id bigint, item_start int, at int, passage string")
+    return rows.mapInPandas(cut, "piece bigint, key bigint, item_id bigint, item_start int, passage string")
 
 
-def piece_table(pieces: DataFrame) -> np.ndarray:
-    """Bits of all pieces' hashes, packed into bytes; chunks are packed by tasks."""
-    count = pieces.select("piece").distinct().count()
+def bit_table(rows: DataFrame, column: str) -> np.ndarray:
+    """Bits of all hashes in a column, packed into bytes; chunks are packed by tasks."""
+    count = rows.select(column).distinct().count()
     bits = LEAST_BITS
     while bits < MOST_BITS and bits < 16 * count:
         bits *= 2
-    place = F.pmod("piece", F.lit(bits))
-    chunks = pieces.select(F.shiftright(place, 13).alias("chunk"), place.bitwiseAND(_CHUNK - 1).cast("int").alias("bit")).distinct()
+    place = F.pmod(column, F.lit(bits))
+    chunks = rows.select(F.shiftright(place, 13).alias("chunk"), place.bitwiseAND(_CHUNK - 1).cast("int").alias("bit")).distinct()
 
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         held = np.zeros(_CHUNK, bool)  # at most so many rows a chunk
@@ -147,33 +167,48 @@ def piece_table(pieces: DataFrame) -> np.ndarray:
     return table
 
 
-def piece_hits(documents: DataFrame, table: np.ndarray, window: int, errors: int) -> DataFrame:
-    """(``doc_id``, ``piece``, ``doc_start``, ``before``, ``near``) of pieces of texts that may be items' pieces.
+def _held(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes.view(np.uint64) & np.uint64(len(table) * 8 - 1)
+    return (table[place >> np.uint64(3)] & (128 >> (place & np.uint64(7)).astype(np.uint8))) > 0
 
-    ``near`` are the words around a piece that any passage with it can reach,
-    ``before`` how many of them stand before the piece.
+
+def text_hits(documents: DataFrame, pieces: np.ndarray, keys: np.ndarray, window: int, errors: int) -> DataFrame:
+    """(``doc_id``, ``key``, ``before``, ``near``) of keys of texts that may be items' keys.
+
+    ``near`` are the words that a passage met there can reach, ``before`` how
+    many of them stand before its start if nothing was put in or left out.
     """
-    held = documents.sparkSession.sparkContext.broadcast(table)
-    lengths = sorted({n for _, n in spans(window, errors)})
-    bits = np.uint64(len(table) * 8 - 1)
+    held = documents.sparkSession.sparkContext.broadcast((pieces, keys))
+    parted = spans(window, errors)
+    lengths = {n for _, n, _ in parted}
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "piece", "doc_start", "before", "near"]
-        known = held.value
+        known_pieces, known_keys = held.value
         for frame in frames:
             rows = []
             for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
                 words = text_words(text)
-                for n in lengths:
-                    found = piece_hashes(words, n)
-                    place = found.view(np.uint64) & bits
-                    for j in np.flatnonzero(known[place >> np.uint64(3)] & (128 >> (place & np.uint64(7)).astype(np.uint8))):
-                        low = max(0, j - window - errors)
-                        rows.append((doc, found[j], j, j - low, " ".join(words[low : j + window + errors])))
-            yield pd.DataFrame(rows, columns=names)
+                hashes: dict[int, np.ndarray] = {n: piece_hashes(words, n) for n in lengths}
+                at = {n: np.flatnonzero(_held(known_pieces, h)) for n, h in hashes.items()}
+                for k, (a, n, parts) in enumerate(parted):
+                    for m, part in enumerate(parts or [None]) if len(at[n]) else ():
+                        if part and part[1] not in hashes:
+                            hashes[part[1]] = piece_hashes(words, part[1])
+                        for shift in range(-errors, errors + 1) if part else (0,):
+                            start, other = at[n], None
+                            if part:
+                                there = start + part[0] + shift
+                                fits = (there >= 0) & (there < len(hashes[part[1]]))
+                                start, other = start[fits], hashes[part[1]][there[fits]]
+                            found = meeting_keys(hashes[n][start], other, k, m)
+                            for i in np.flatnonzero(_held(known_keys, found)):
+                                first = int(start[i]) - a
+                                low = max(0, first - errors)
+                                rows.append((doc, found[i], first - low, " ".join(words[low : first + window + errors])))
+            yield pd.DataFrame(rows, columns=["doc_id", "key", "before", "near"])
 
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
-    return texts.mapInPandas(scan, "doc_id bigint, piece bigint, doc_start int, before int, near string")
+    return texts.mapInPandas(scan, "doc_id bigint, key bigint, before int, near string")
 
 
 def find_leaks(
@@ -194,25 +229,22 @@ def find_leaks(
     if window < 2 or not 0 <= errors < window:
         raise ValueError("window must exceed errors")
     wanted = cut_lineage(passages(items, window, errors))
-    hits = cut_lineage(piece_hits(documents, piece_table(wanted), window, errors))
+    tables = bit_table(wanted, "piece"), bit_table(wanted, "key")
+    hits = cut_lineage(text_hits(documents, *tables, window, errors))
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            columns = ("doc_id", "item_id", "item_start", "at", "before", "near", "passage")
-            for doc, item, start, at, before, near, passage in zip(*(frame[c] for c in columns), strict=True):
-                pattern = passage.split(" ")
-                low = max(0, before - at - errors)
-                words = near.split(" ")[low : before - at + window + errors]
-                # Every word of the passage that isn't near costs an edit at least.
-                if window - sum(map(set(words).__contains__, pattern)) > errors:
-                    continue
-                distance = myers(pattern, words, errors)[0]
-                if distance <= errors:
+            columns = ("doc_id", "item_id", "item_start", "before", "near", "passage")
+            for doc, item, start, before, near, passage in zip(*(frame[c] for c in columns), strict=True):
+                words, pattern = near.split(" "), passage.split(" ")
+                if before >= 0 and words[before : before + window] == pattern:
+                    out.append((doc, item, start, 0))
+                elif (distance := myers(pattern, words, errors)[0]) <= errors:
                     out.append((doc, item, start, distance))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "item_start", "distance"])
 
-    met = salted_join(hits, wanted, "piece", "inner", rows_per_task)
+    met = salted_join(hits, wanted.drop("piece"), "key", "inner", rows_per_task)
     near = met.mapInPandas(verify, "doc_id bigint, item_id bigint, item_start int, distance int")
     each = near.groupBy("doc_id", "item_id", "item_start").agg(F.min("distance").alias("distance"))
     return each.groupBy("doc_id", "item_id").agg(
