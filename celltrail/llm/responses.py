@@ -39,39 +39,43 @@ _AROUND = {
     "user", "q", "a", "said", "following", "received", "got", "regarding", "about", "answer", "response", "and",
 }
 _MOST_AROUND = 8
+#: At least this share of the words of a copy stand as in the question.
+COPIED = 0.6
+_SMILE = re.compile(r"[:;]-?[()]")
 
 _TASKS = (
     r"(?:help|assist|answer|provide|give|offer|say|determine|identify|name|annotate|assign|comply|fulfil|fulfill|"
     r"complete|tell|comment|respond|label|do (?:that|this|so)|make)"
 )
-# Phrases that decline, by language.
+# Phrases that decline, by language, and before each the letters it can't do without.
 _REFUSALS = (
-    rf"\b(?:i|we)(?:'m| am|'re| are)? (?:really |very |truly )?(?:sorry,? (?:but )?i )?(?:simply |just )?"
-    rf"(?:can ?not|can't|could not|couldn't|will not|won't|must not|may not|shall not|do not|don't) (?:feel comfortable|{_TASKS})\b",
-    rf"\b(?:unable|not able|not (?:allowed|permitted|authori[sz]ed|in a position)) to {_TASKS}\b",
-    r"\bsorry,? (?:but )?(?:i|this|that|we|no)\b(?! to)",
-    r"\b(?:i|we) (?:must |have to |need to |will |would rather )?(?:respectfully |politely )?(?:decline|refuse|abstain|refrain)\b",
-    r"\bdeclin(?:e|es|ed|ing) (?:this|the|your|to|that)\b|\brequest (?:is |was |has been )?(?:declined|denied|refused|rejected)\b",
-    r"\b(?:can't|cannot|can not) be (?:fulfilled|answered|completed|processed|granted|honou?red)\b",
-    r"\bagainst (?:the|my|our) (?:\w+ )?(?:policy|policies|guidelines?|rules?|principles|instructions)\b",
-    r"\bnot something (?:i|we)(?:'m| am|'re| are| can| may| could| will| do)?\b",
-    r"\b(?:outside|beyond) (?:of )?(?:what|the scope of what|my) ?(?:i can|i am|abilit|capabilit|scope|remit)",
-    r"\bleave (?:this|that|it)(?: one)? to (?:a|an|the) \w+",
-    r"\bas an? (?:ai|artificial|language|large language)\b[^.]*\b(?:not|cannot|can't|unable)\b",
-    r"\bno (?:annotation|answer|label|cell type) (?:is|was|will be|can be) (?:given|provided|offered)\b",
-    r"\bi am not (?:allowed|permitted|able|comfortable|going)\b|\bnot permitted to do\b",
-    r"\btut mir (?:sehr )?leid\b|\b(?:kann|darf|werde) (?:ich )?(?:\w+ ){0,4}nicht (?:beantworten|helfen|sagen|beurteilen|bestimmen|nennen)",
-    r"\bje (?:suis désolé|ne peux pas|ne suis pas en mesure|refuse)|\bdésolée?,",
-    r"\blo siento\b|\bno puedo (?:ayudar|responder|proporcionar|decir|determinar)",
-    r"\b(?:não posso|desculpe|lamento,)|\bmi dispiace\b|\bnon posso (?:aiutar|rispond|fornire)",
-    r"не могу (?:ответить|помочь|определить|назвать)|извините|к сожалению, я",
-    r"\bnie mogę (?:odpowiedzieć|pomóc|podać)|\bprzykro mi\b|抱歉|对不起|無法|无法(?:回答|提供|帮助|确定)|申し訳",
-    r"\bhelaas kan ik\b|\bik kan (?:\w+ ){0,3}niet (?:helpen|beantwoorden)",
-)
-_REFUSAL = re.compile("|".join(_REFUSALS))
-_CHEAP_REFUSAL = re.compile(
-    r"not|n't|sorry|unable|declin|refus|policy|guideline|abstain|refrain|leave|outside|beyond|[^\x00-\x7f]|leid|siento|puedo|posso|helaas"
-)
+    (r"n't|not", rf"\b(?:i|we)(?:'m| am|'re| are)? (?:really |very |truly )?(?:sorry,? (?:but )?i )?(?:simply |just )?"
+     rf"(?:can ?not|can't|could not|couldn't|will not|won't|must not|may not|shall not|do not|don't) (?:feel comfortable|{_TASKS})\b"),
+    (r"unable|not", rf"\b(?:unable|not able|not (?:allowed|permitted|authori[sz]ed|in a position)) to {_TASKS}\b"),
+    (r"sorry", r"\bsorry,? (?:but )?(?:i|this|that|we|no)\b(?! to)"),
+    (r"declin|refuse|abstain|refrain",
+     r"\b(?:i|we) (?:must |have to |need to |will |would rather )?(?:respectfully |politely )?(?:decline|refuse|abstain|refrain)\b"),
+    (r"declin|request",
+     r"\bdeclin(?:e|es|ed|ing) (?:this|the|your|to|that)\b|\brequest (?:is |was |has been )?(?:declined|denied|refused|rejected)\b"),
+    (r"can", r"\b(?:can't|cannot|can not) be (?:fulfilled|answered|completed|processed|granted|honou?red)\b"),
+    (r"against", r"\bagainst (?:the|my|our) (?:\w+ )?(?:policy|policies|guidelines?|rules?|principles|instructions)\b"),
+    (r"not something", r"\bnot something (?:i|we)(?:'m| am|'re| are| can| may| could| will| do)?\b"),
+    (r"outside|beyond", r"\b(?:outside|beyond) (?:of )?(?:what|the scope of what|my) ?(?:i can|i am|abilit|capabilit|scope|remit)"),
+    (r"leave", r"\bleave (?:this|that|it)(?: one)? to (?:a|an|the) \w+"),
+    (r"as an? ", r"\bas an? (?:ai|artificial|language|large language)\b[^.]*\b(?:not|cannot|can't|unable)\b"),
+    (r"no (?:an|la|ce)", r"\bno (?:annotation|answer|label|cell type) (?:is|was|will be|can be) (?:given|provided|offered)\b"),
+    (r"not", r"\bi am not (?:allowed|permitted|able|comfortable|going)\b|\bnot permitted to do\b"),
+    (r"leid|nicht", r"\btut mir (?:sehr )?leid\b|\b(?:kann|darf|werde) (?:ich )?(?:\w+ ){0,4}nicht (?:\w+ ){0,2}(?:beantworten|helfen|sagen|beurteilen|bestimmen|nennen)"),
+    (r"je |désol", r"\bje (?:suis (?:vraiment )?désolée?|ne peux (?:malheureusement )?pas|ne suis pas en mesure|refuse)\b|\bdésolée?,"),
+    (r"siento|puedo", r"\blo siento\b|\bno puedo (?:ayudar|responder|proporcionar|decir|determinar)"),
+    (r"posso|desculpe|lamento|dispiace", r"\b(?:não posso|desculpe|lamento,)|\bmi dispiace\b|\bnon posso (?:aiutar|rispond|fornire)"),
+    (r"могу|извин|сожал", r"не могу (?:ответить|помочь|определить|назвать)|извините|к сожалению, я"),
+    (r"mogę|przykro", r"\bnie mogę (?:odpowiedzieć|pomóc|podać)|\bprzykro mi\b"),
+    (r"[抱对無无申]", r"抱歉|对不起|無法|无法(?:回答|提供|帮助|确定)|申し訳"),
+    (r"helaas|niet", r"\bhelaas kan ik\b|\bik kan (?:\w+ ){0,3}niet (?:helpen|beantwoorden)"),
+)
+_REFUSAL_HINT = re.compile("|".join(hint for hint, _ in _REFUSALS))
+_REFUSAL = re.compile("|".join(phrase for _, phrase in _REFUSALS))
 
 # Words without content, by language; none of the others' words is an English one.
 _ENGLISH = set(
@@ -88,8 +92,17 @@ _FOREIGN = set(
     "il gli di che è per sono nel della delle dei con questo questa perché molto anche "
     "het een van en op te dat niet zijn voor met deze ook door omdat "
     "i w na z do jest są się nie to tej ten gdzie oraz przez "
-    "och att det som för av är på till inte är".split()
-) - _ENGLISH - {"i", "to", "do", "die", "a"}
+    "och att det som för av är på till inte är "
+    "og ikke dette fra ble eller når sig mot også "
+    "ja on ei että joka ovat sekä mutta kuin myös tämä tässä ovat "
+    "ve bir bu için ile olarak olan daha çok gibi değil "
+    "a se že je na pro jsou nebo ale také který tato "
+    "és az egy hogy nem ez vagy mint csak azt "
+    "și este nu care sunt din mai pentru cu acest "
+    "yang dan dari ini untuk dengan pada tidak adalah sebagai".split()
+) - _ENGLISH - {"i", "to", "do", "die", "a", "se", "je", "ja", "mint", "van", "dan", "sig"}
+# Letters that English prose does not have; a word in twenty may be a name.
+_STRANGE = re.compile(r"[^\x00-\x7f]")
 
 _REASONING = re.compile(r'reasoning\W{0,4}[:：]\s*(.*)', re.I | re.S)
 _QUOTES = re.compile(r"'[^'\n]{2,60}'|\"[^\"\n]{2,60}\"|“[^”\n]{2,60}”")
@@ -104,23 +117,38 @@ def says_nothing(text: str) -> bool:
 
 
 def gives_back(text: str, question: str | None) -> bool:
-    """Every word is of the question, but for a few around it."""
+    """The question from its start or from within, whole or in part, and nothing of its own but a few words around it.
+
+    Every word is of the question but for those around, and most of them
+    stand beside the same word as there.
+    """
     if not question:
         return False
-    asked = set(_WORD.findall(visible(question)))
+    asked = _WORD.findall(visible(question))
+    known, beside = set(asked), set(zip(asked, asked[1:], strict=False))
     said = _WORD.findall(visible(text))
-    strange = 0
-    for w in said:
-        if w not in asked:
-            if w not in _AROUND:
-                return False
-            strange += 1
-    return len(said) - strange >= 3 and strange <= _MOST_AROUND
+    strange = [w for w in said if w not in known]
+    if len(strange) > _MOST_AROUND or any(w not in _AROUND for w in strange):
+        return False
+    copied = [w for w in said if w in known]
+    same = [pair in beside for pair in zip(copied, copied[1:], strict=False)]
+    held = sum(a or b for a, b in zip([False, *same], [*same, False], strict=True))
+    return len(copied) >= 3 and held >= COPIED * len(copied)
 
 
 def declines(text: str) -> bool:
     low = text.lower().replace("’", "'")
-    return bool(_CHEAP_REFUSAL.search(low) and _REFUSAL.search(re.sub(r"\s+", " ", low)))
+    return bool(_REFUSAL_HINT.search(low) and _REFUSAL.search(re.sub(r"\s+", " ", low)))
+
+
+def left_open(text: str) -> bool:
+    """The last line opens a bracket or quote that nothing closes."""
+    line = _SMILE.sub(" ", text.rstrip().rsplit("\n", 1)[-1])
+    for opening, closing in ("()", "[]", "{}", "“”", "„“", "«»"):
+        if opening in line and line.rfind(opening) > line.rfind(closing):
+            return True
+    quotes = [m.start() for m in re.finditer('"', line)]
+    return bool(len(quotes) % 2 and re.search(r'(?:^|[\s(\[])"\w', line[max(0, quotes[-1] - 1) :]))
 
 
 def _alike(value: str, parsed: str | None) -> bool:
@@ -151,7 +179,7 @@ def stops_early(text: str, cell_type: str | None, confidence: float | None) -> b
             return not one or confidence is None or abs(float(value.replace(",", ".")) - confidence) > 1e-9
         if name == "cell type" and not _ENDS.search(value):
             return not _alike(value, cell_type)
-    if body.endswith(("...", "…")):
+    if body.endswith(("...", "…")) or left_open(body):
         return True
     if _ENDS.search(body):
         return False
@@ -170,7 +198,12 @@ def foreign(text: str) -> bool:
     words = _LETTERS.findall(_SYMBOL.sub(" ", prose.lower()))
     english = sum(w in _ENGLISH for w in words)
     other = sum(w in _FOREIGN for w in words)
-    return (other >= 2 and other > english) or (other >= 1 and english == 0 and len(words) >= 6)
+    strange = sum(bool(_STRANGE.search(w)) for w in words)
+    return (
+        (other >= 2 and other > english)
+        or (other >= 1 and english == 0 and len(words) >= 6)
+        or (english == 0 and len(words) >= 6 and strange >= 0.15 * len(words))
+    )
 
 
 def defects(response: str | None, question: str | None, cell_type: str | None, confidence: float | None) -> list[str]:

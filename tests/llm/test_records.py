@@ -1,6 +1,7 @@
 """Overlaps, related splits, copies and response defects."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from celltrail.llm.copies import collapse_copies, find_copies, marker_words, words
 from celltrail.llm.overlap import marker_set, overlap_counts, overlap_pairs
 from celltrail.llm.related import assign_splits, related_groups, related_splits, spanning_forest
-from celltrail.llm.responses import defective, defects, says_nothing
+from celltrail.llm.responses import _REFUSALS, declines, defective, defects, says_nothing
 
 EXAMPLE = (
     "example_id bigint, split string, tissue string, cell_type string, source string, markers array<string>, prompt string, "
@@ -168,6 +169,38 @@ def test_defects(response, want):
     assert defects(response, QUESTION, "T cell", 0.9) == want
 
 
+# One answer for each phrase that declines, in the order of the rules.
+DECLINED = [
+    ["I cannot help with that.", "We won't answer this."], ["I am unable to name it.", "I'm not authorized to determine this."], ["Sorry, but I pass."],
+    ["I respectfully decline.", "I must refuse."], ["The lab declines this request.", "Your request was rejected."], ["This can't be answered."],
+    ["Answering is against our guidelines."], ["That is not something we do."], ["This is beyond my scope."], ["I leave this to an expert."],
+    ["As an AI I cannot say."], ["No answer is provided.", "No label was given."], ["I am not going to say it.", "It is not permitted to do so."],
+    ["Das kann ich nicht beantworten.", "Das tut mir leid."], ["Je ne peux pas vous aider.", "Désolé, c'est tout."], ["Lo siento.", "No puedo responder."],
+    ["Mi dispiace.", "Desculpe.", "Non posso aiutarti."], ["Я не могу ответить.", "Извините."], ["Przykro mi, ale nie.", "Nie mogę pomóc."],
+    ["抱歉。", "无法回答", "申し訳ありません"], ["Ik kan u niet helpen.", "Helaas kan ik dat niet."],
+]
+
+
+def test_every_phrase_that_declines():
+    assert len(DECLINED) == len(_REFUSALS)
+    for (hint, phrase), answers in zip(_REFUSALS, DECLINED, strict=True):
+        for answer in answers:
+            low = answer.lower()
+            assert re.search(hint, low) and re.search(phrase, low), answer
+            assert declines(answer) and "refusal" in defects(answer, QUESTION, None, None)
+
+
+@pytest.mark.parametrize(("response", "want"), [
+    ("Cell type: T cell\n\nReasoning: AB12 is known (see the atlas of 2020.", ["truncated"]), ("Reasoning: it is the “classic pattern.", ["truncated"]),
+    ('Reasoning: the atlas says "T cell and more.', ["truncated"]), ("Reasoning: this is fine :( but known.", []), ('Reasoning: a gap of 5" (or so) is known.', []),
+    ("Tämä ryhmä on hyvin todennäköisesti T cell, koska geenit ovat vahvasti ilmentyneitä.", ["language"]),
+    ("Bu küme büyük olasılıkla T cell, çünkü genler güçlü bir şekilde ifade ediliyor.", ["language"]),
+    ("AB12, CD34 and EF56 in Lung.", []), ("Lung cluster: EF56 markers AB12 tissue CD34.", []), ("Tissue: Lung\n\nCluster markers:\nAB12, CD34, EF56.", ["copy"]),
+])
+def test_open_ends_languages_and_copies(response, want):
+    assert defects(response, QUESTION, "T cell", 0.9) == want
+
+
 @pytest.mark.parametrize("response", [" \n" * 50_000, "-" * 50_000, "null, " * 200, "Cell type:\n\nReasoning: ...\n" * 100, '{"cell_type": null}\n' * 100])
 def test_long_answers_that_say_nothing(response):
     assert defects(response, QUESTION, None, None) == ["empty"]
