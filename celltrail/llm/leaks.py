@@ -35,6 +35,10 @@ ERRORS = 1
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 26
 _CHUNK = 1 << 13
 
+#: Words that a worker scans together; a longer text is scanned by itself.
+WORDS_AT_ONCE = 100_000
+_BETWEEN = ["\n"]
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -93,7 +97,7 @@ def piece_hashes(words: list[str], length: int) -> np.ndarray:
     n = len(words) - length + 1
     if n < 1:
         return np.zeros(0, np.int64)
-    one = np.fromiter((_hashes[w] for w in words), np.uint64, len(words))
+    one = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     total = np.full(n, length, np.uint64)
     for k in range(length):
         total = (total ^ one[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
@@ -182,30 +186,45 @@ def text_hits(documents: DataFrame, pieces: np.ndarray, keys: np.ndarray, window
     parted = spans(window, errors)
     lengths = {n for _, n, _ in parted}
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lot_hits(docs: list[int], starts: list[int], words: list[str]) -> pd.DataFrame:
+        """Hits of many texts' words, one text after another."""
         known_pieces, known_keys = held.value
+        hashes = {n: piece_hashes(words, n) for n in lengths}
+        out = []
+        for k, (a, n, parts) in enumerate(parted):
+            at = np.flatnonzero(_held(known_pieces, hashes[n]))
+            for m, part in enumerate(parts or [None]) if len(at) else ():
+                if part and part[1] not in hashes:
+                    hashes[part[1]] = piece_hashes(words, part[1])
+                for shift in range(-errors, errors + 1) if part else (0,):
+                    start, other = at, None
+                    if part:
+                        there = at + part[0] + shift
+                        fits = (there >= 0) & (there < len(hashes[part[1]]))
+                        start, other = at[fits], hashes[part[1]][there[fits]]
+                    key = meeting_keys(hashes[n][start], other, k, m)
+                    found = _held(known_keys, key)
+                    out.append((start[found], start[found] - a, key[found]))
+        none = np.zeros(0, np.int64)
+        start, first, keys = (np.concatenate([none, *column]) for column in (zip(*out, strict=True) if out else ([], [], [])))
+        low = np.maximum(first - errors, 0)
+        of_doc = np.array(docs, np.int64)[np.searchsorted(starts, start, side="right") - 1]
+        near = [" ".join(words[i : j + window + errors]) for i, j in zip(low.tolist(), first.tolist(), strict=True)]
+        return pd.DataFrame({"doc_id": of_doc, "key": keys, "before": first - low, "near": pd.Series(near, dtype=object)})
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        docs, starts, words = [], [], []
         for frame in frames:
-            rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
-                words = text_words(text)
-                hashes: dict[int, np.ndarray] = {n: piece_hashes(words, n) for n in lengths}
-                at = {n: np.flatnonzero(_held(known_pieces, h)) for n, h in hashes.items()}
-                for k, (a, n, parts) in enumerate(parted):
-                    for m, part in enumerate(parts or [None]) if len(at[n]) else ():
-                        if part and part[1] not in hashes:
-                            hashes[part[1]] = piece_hashes(words, part[1])
-                        for shift in range(-errors, errors + 1) if part else (0,):
-                            start, other = at[n], None
-                            if part:
-                                there = start + part[0] + shift
-                                fits = (there >= 0) & (there < len(hashes[part[1]]))
-                                start, other = start[fits], hashes[part[1]][there[fits]]
-                            found = meeting_keys(hashes[n][start], other, k, m)
-                            for i in np.flatnonzero(_held(known_keys, found)):
-                                first = int(start[i]) - a
-                                low = max(0, first - errors)
-                                rows.append((doc, found[i], first - low, " ".join(words[low : first + window + errors])))
-            yield pd.DataFrame(rows, columns=["doc_id", "key", "before", "near"])
+            for doc, text in zip(frame["doc_id"].tolist(), frame["text"], strict=True):
+                docs.append(doc)
+                starts.append(len(words))
+                words += text_words(text)
+                words += _BETWEEN * (errors + 1)  # no passage reaches over it
+                if len(words) >= WORDS_AT_ONCE:
+                    yield lot_hits(docs, starts, words)
+                    docs, starts, words = [], [], []
+        if docs:
+            yield lot_hits(docs, starts, words)
 
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
     return texts.mapInPandas(scan, "doc_id bigint, key bigint, before int, near string")
