@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from celltrail.functions.text import norm_label, uniform
 from celltrail.operators.prompts import assistant_response, reasoning, user_prompt
+from celltrail.operators.splits import number_rows
+from celltrail.session import cut_lineage
 
 CONFIDENCE = 0.9
 
@@ -21,6 +23,65 @@ def by_hash(markers: Column, *parts: Column | str | int) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["m"])
 
 
+def vocabulary(records: DataFrame) -> DataFrame:
+    """(``marker``, ``place``): all markers of the database, numbered from 0 by name."""
+    return number_rows(records.select(F.explode("markers").alias("marker")).distinct(), "marker")
+
+
+def label_pairs(records: DataFrame) -> DataFrame:
+    """(``label_key``, ``marker``): all markers of a label, whatever the record."""
+    return records.select(norm_label(F.col("cell_type")).alias("label_key"), F.explode("markers").alias("marker")).distinct()
+
+
+def _prime_from(n: int) -> int:
+    """The first prime number from ``n`` on."""
+    n = max(n, 2)
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+def draw_markers(
+    askers: DataFrame, pool: DataFrame, seed: int, barred: DataFrame | None = None, draws: int = 32
+) -> DataFrame:
+    """(``k``, ``drawn``): for each asker the markers of the pool that come first in an order of its own.
+
+    ``askers``: ``k`` (text), ``own`` (markers it must not get), ``wanted`` (how
+    many), ``label_key``. ``pool`` is a ``vocabulary``, ``barred`` are
+    ``label_pairs`` that must not come. The order runs through all places of the
+    pool by a step that depends on ``k``; places are read ``draws`` at first and
+    more only by those that have too few, so nobody holds the whole pool. Where
+    the pool has less than wanted, all that fit come.
+    """
+    pool = cut_lineage(pool)
+    size = pool.count()
+    prime = _prime_from(size)
+    start = F.floor(uniform(seed, F.col("k"), "start") * prime).cast("bigint")
+    step = 1 + F.floor(uniform(seed, F.col("k"), "step") * (prime - 1)).cast("bigint")
+    still = cut_lineage(askers.select("k", "own", "wanted", "label_key", start.alias("_a"), step.alias("_b")).where("wanted > 0"))
+    found, low = None, 0
+    while size and low < prime:
+        high = min(prime, low + draws)
+        tried = still.select("*", F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("j"))
+        tried = tried.withColumn("place", (F.col("_a") + F.col("j") * F.col("_b")) % prime).join(pool, "place")
+        tried = tried.where(~F.array_contains(F.coalesce("own", F.array().cast("array<string>")), F.col("marker")))
+        if barred is not None:
+            tried = tried.join(barred, ["label_key", "marker"], "left_anti")
+        new = cut_lineage(tried.select("k", "j", "marker"))
+        found = new if found is None else found.unionByName(new)
+        many = found.groupBy("k").agg(F.count(F.lit(1)).alias("_n"))
+        still = cut_lineage(still.join(many, "k", "left").where(F.coalesce("_n", F.lit(0)) < F.col("wanted")).drop("_n"))
+        if still.isEmpty():
+            break
+        low, draws = high, draws * 8
+    if found is None:
+        return askers.select("k", F.array().cast("array<string>").alias("drawn"))
+    listed = found.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("j", "marker"))).alias("_l"))
+    joined = askers.select("k", "wanted").join(listed, "k", "left")
+    names = F.transform(F.coalesce("_l", F.array().cast("array<struct<j:int,marker:string>>")), lambda x: x["marker"])
+    return joined.select("k", F.slice(names, F.lit(1), F.greatest("wanted", F.lit(0))).alias("drawn"))
+
+
 def generate_examples(
     records: DataFrame,
     examples_per_record: int = 16,
@@ -34,8 +95,8 @@ def generate_examples(
 
     Each example has a hash-drawn number of markers of its record, from
     ``min_markers`` to ``max_markers`` as far as the record has so many; at
-    ``noise_rate`` one or two of ``noise_markers`` are added. Records without
-    markers give none.
+    ``noise_rate`` one or two of ``noise_markers`` are added, or of all markers
+    that the record lacks if none are given. Records without markers give none.
     """
     lines = records.where(F.size("markers") > 0).withColumn(
         "augmentation_index", F.explode(F.sequence(F.lit(0), F.lit(examples_per_record - 1)))
@@ -45,13 +106,23 @@ def generate_examples(
     low = F.least(F.lit(min_markers), high)
     k = low + F.floor(uniform(*at, "size") * (high - low + 1)).cast("int")
     chosen = F.slice(by_hash(F.col("markers"), *at), 1, k)
-    if noise_markers:
-        pool = F.array(*[F.lit(m) for m in noise_markers])
-        most = 1 if len(noise_markers) < 3 else 2
-        extra = F.lit(1) + F.floor(uniform(*at, "extra") * most).cast("int")
-        noise = F.slice(by_hash(F.array_except(pool, F.col("markers")), *at, "noise"), 1, extra)
-        chosen = F.when(uniform(*at, "noisy") < noise_rate, F.concat(chosen, noise)).otherwise(chosen)
-        chosen = by_hash(chosen, *at, "order")
+    noisy = uniform(*at, "noisy") < noise_rate
+    if noise_rate > 0:
+        if noise_markers:
+            most, noise = (1 if len(noise_markers) < 3 else 2), by_hash(F.array(*[F.lit(m) for m in noise_markers]), *at, "noise")
+            extra = F.lit(1) + F.floor(uniform(*at, "extra") * most).cast("int")
+            noise = F.when(noisy, F.slice(noise, F.lit(1), extra))
+        else:
+            pool = vocabulary(records)
+            extra = F.lit(1) + F.floor(uniform(*at, "extra") * 2).cast("int")
+            key = F.concat_ws(":", F.col("rec_id").cast("string"), F.col("augmentation_index").cast("string"))
+            lines = lines.withColumn("k", key)
+            asked = lines.where(noisy).select("k", F.col("markers").alias("own"), extra.alias("wanted"), F.lit(None).cast("string").alias("label_key"))
+            lines = lines.join(draw_markers(asked, pool, seed), "k", "left")
+            noise = F.col("drawn")
+        # Noise may repeat a marker only where it was given.
+        chosen = F.concat(chosen, F.coalesce(noise, F.array().cast("array<string>")))
+    chosen = by_hash(chosen, *at, "order")
     reason = reasoning(F.col("cell_type"), F.col("markers"), F.col("evidence"))
     return lines.withColumn("markers", chosen).select(
         "rec_id", "augmentation_index", "tissue", "cell_type", "cell_ontology_id", "source", "markers",
@@ -60,35 +131,14 @@ def generate_examples(
     )
 
 
-def label_markers(records: DataFrame) -> DataFrame:
-    """(``label_key``, ``label_markers``): all markers of a label, whatever the record."""
-    rows = records.select(norm_label(F.col("cell_type")).alias("label_key"), F.explode("markers").alias("m")).distinct()
-    return rows.groupBy("label_key").agg(F.collect_list("m").alias("label_markers"))
-
-
 def distractors(examples: DataFrame, records: DataFrame, per_example: int, seed: int) -> DataFrame:
-    """(``example_id``, ``added``): markers of the database that neither the example nor its label has.
-
-    Every example draws places in the database's list by hash and takes the
-    first ``per_example`` that fit; where too few of the draws do, it takes those
-    of all that fit in hash order. The list is one value of the size of the gene
-    vocabulary.
-    """
-    all_markers = records.select(F.explode("markers").alias("m")).distinct().agg(F.array_sort(F.collect_list("m")).alias("all_markers"))
-    joined = examples.withColumn("label_key", norm_label(F.col("cell_type"))).join(label_markers(records), "label_key", "left")
-    joined = joined.crossJoin(F.broadcast(all_markers))  # one row, the vocabulary
-    none = F.array().cast("array<string>")
-    own = F.array_union(F.coalesce("markers", none), F.coalesce("label_markers", none))
-    joined = joined.withColumn("own", own)
-    size = F.size("all_markers")
-    places = F.sequence(F.lit(1), F.lit(4 * per_example + 16))
-    draws = F.transform(
-        places, lambda j: F.get("all_markers", F.floor(uniform(seed, F.col("example_id"), "draw", j) * size).cast("int"))
-    )
-    joined = joined.withColumn("drawn", F.array_except(draws, "own"))
-    rest = by_hash(F.array_except("all_markers", "own"), seed, F.col("example_id"), "add")
-    chosen = F.when(F.size("drawn") >= per_example, F.col("drawn")).otherwise(rest)
-    return joined.select("example_id", F.slice(chosen, 1, per_example).alias("added"))
+    """(``example_id``, ``added``): markers of the database that neither the example nor its label has."""
+    asked = examples.select(
+        F.col("example_id").cast("string").alias("k"), F.col("markers").alias("own"), F.lit(per_example).alias("wanted"),
+        norm_label(F.col("cell_type")).alias("label_key"), "example_id",
+    )
+    drawn = draw_markers(asked, vocabulary(records), seed, label_pairs(records))
+    return asked.select("example_id", "k").join(drawn, "k").select("example_id", F.col("drawn").alias("added"))
 
 
 def perturb_markers(

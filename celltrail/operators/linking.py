@@ -188,27 +188,55 @@ def harmonize(predictions: DataFrame, mapping: DataFrame, ids: DataFrame | None
 
 
 def sync_gold(predictions: DataFrame, gold: DataFrame, allow_mismatch: bool = False, key: str = "rec_id") -> DataFrame:
-    """Predictions with the gold ids of the row at the same place, and ``aligned``.
-
-    Both sides carry their place in ``key``. A place that only one side has, or
-    rows of other label or tissue, are an error unless mismatches are allowed;
-    then they keep their id.
+    """Predictions with the gold ids of the row at the same place, ``original_true_cl_id``, ``mismatch`` and ``change``.
+
+    Both sides carry their place in ``key``; predictions have ``y_true``,
+    ``tissue``, ``markers`` and ``true_cl_id``, the gold ``cell_type``,
+    ``tissue``, ``markers`` and ``cell_ontology_id``. ``mismatch`` lists what
+    differs: the label, a tissue or marker list that the gold gives. A place
+    that only one side has is an error, and so is a mismatch unless allowed.
+    ``change`` is filled, cleared, changed or none.
     """
     right = gold.select(
-        F.col(key), F.col("cell_type").alias("_label"), F.col("tissue").alias("_tissue"),
+        F.col(key), F.col("cell_type").alias("_label"), F.col("tissue").alias("_tissue"), F.col("markers").alias("_markers"),
         norm_cl_id(F.col("cell_ontology_id")).alias("_gold"), F.lit(True).alias("_there"),
     )
     joined = predictions.withColumn("_here", F.lit(True)).join(right, key, "full")
-    same = (
-        F.col("_here").isNotNull()
-        & F.col("_there").isNotNull()
-        & (norm_label(F.col("y_true")).eqNullSafe(norm_label(F.col("_label"))))
-        & (norm_tissue(F.col("tissue")).eqNullSafe(norm_tissue(F.col("_tissue"))))
+    blank = F.lit("")
+    none = F.array().cast("array<string>")
+    differs = {
+        "cell_type": ~norm_label(F.coalesce("y_true", blank)).eqNullSafe(norm_label(F.coalesce("_label", blank))),
+        "tissue": (F.coalesce("_tissue", blank) != "") & ~F.col("tissue").eqNullSafe(F.col("_tissue")),
+        "markers": F.col("_markers").isNotNull() & ~F.coalesce("markers", none).eqNullSafe(F.col("_markers")),
+    }
+    reasons = F.array_join(F.array_compact(F.array(*[F.when(d, name) for name, d in differs.items()])), ",")
+    place = F.col(key).cast("string")
+    lone = F.col("_here").isNull() | F.col("_there").isNull()
+    checked = F.when(lone, F.raise_error(F.concat(F.lit("only one side has row "), place)))
+    if not allow_mismatch:
+        checked = checked.when(reasons != "", F.raise_error(F.concat(F.lit("rows differ at "), place, F.lit(": "), reasons)))
+    before = norm_cl_id(F.col("true_cl_id"))
+    change = (
+        F.when(before.eqNullSafe(F.col("_gold")), "none")
+        .when(F.col("_gold").isNull(), "cleared")
+        .when(before.isNull(), "filled")
+        .otherwise("changed")
+    )
+    joined = joined.withColumns({"mismatch": checked.otherwise(reasons), "change": change, "original_true_cl_id": before})
+    return joined.withColumn("true_cl_id", F.col("_gold")).drop("_label", "_tissue", "_markers", "_gold", "_there", "_here")
+
+
+def sync_counts(synced: DataFrame) -> DataFrame:
+    """One row of counts of ``sync_gold``; changed ones include those filled and cleared."""
+    return synced.agg(
+        F.count(F.lit(1)).alias("records"),
+        F.count_if(F.col("change") != "none").alias("changed"),
+        F.count_if(F.col("change") == "filled").alias("filled"),
+        F.count_if(F.col("change") == "cleared").alias("cleared"),
+        F.count_if(F.col("mismatch") != "").alias("mismatches"),
+        F.count("original_true_cl_id").alias("before_with_id"),
+        F.count("true_cl_id").alias("after_with_id"),
     )
-    checked = same if allow_mismatch else F.when(same, same).otherwise(F.raise_error(F.concat(F.lit("rows differ at "), F.col(key).cast("string"))))
-    joined = joined.withColumn("aligned", checked).where("_here")
-    gold_id = F.when(F.col("aligned"), F.col("_gold")).otherwise(F.col("true_cl_id"))
-    return joined.withColumn("true_cl_id", gold_id).drop("_label", "_tissue", "_gold", "_there", "_here")
 
 
 def unmapped_groups(records: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from celltrail.functions.text import norm_label, uniform
 
@@ -182,46 +184,89 @@ def rerank_audit(predictions: DataFrame) -> DataFrame:
     )
 
 
+def _place_of(name: str) -> Column:
+    """The rank of the first candidate with a label, or null."""
+    return F.get(F.filter("candidates", lambda c: norm_label(c["cell_type"]) == label(name)), 0)["rank"]
+
+
 def selected_ranks(predictions: DataFrame) -> DataFrame:
     """(``rank``, ``n``): where among the candidates the choice stood."""
-    place = F.filter("candidates", lambda c: norm_label(c["cell_type"]) == label("y_pred"))
-    rank = F.coalesce(F.get(place, 0)["rank"].cast("string"), F.lit("not_in_candidates"))
+    rank = F.coalesce(_place_of("y_pred").cast("string"), F.lit("not_in_candidates"))
     return predictions.where(F.size("candidates") > 0).groupBy(rank.alias("rank")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def mcnemar(a_only: int, b_only: int) -> float | None:
-    """Two-sided exact p-value of a paired comparison's discordant counts; None without any."""
-    n, k = a_only + b_only, min(a_only, b_only)
-    if n == 0:
-        return None
-    log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1)]
-    top = max(log)
-    return min(1.0, 2 * math.exp(top) * sum(math.exp(x - top) for x in log))
+def rerank_histograms(predictions: DataFrame) -> DataFrame:
+    """(``kind``, ``value``, ``n``): selected ranks, sources of the selection, and numbers of candidates, in one pass."""
+    rank = F.coalesce(_place_of("y_pred").cast("string"), F.lit("not_in_candidates"))
+    source = F.coalesce(F.nullif(F.col("selection_source"), F.lit("")), F.lit("missing"))
+    seen = [("selected_rank", rank), ("selection_source", source), ("candidates", F.size("candidates").cast("string"))]
+    each = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), value.alias("value")) for kind, value in seen]))
+    return predictions.where(F.size("candidates") > 0).select(each.alias("x")).groupBy("x.kind", "x.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def mcnemar_column(a_only: Column, b_only: Column) -> Column:
-    """``mcnemar`` as an expression: ln of binomials built up term by term, whatever the counts."""
-    n, k = (a_only + b_only).cast("int"), F.least(a_only, b_only).cast("int")
-    start = F.struct((-n * F.lit(math.log(2))).alias("term"), F.exp(-n * F.lit(math.log(2))).alias("sum"))
-    steps = F.when(k >= 1, F.sequence(F.lit(1), F.greatest(k, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+def harm_examples(predictions: DataFrame, order: str, k: int = 25) -> DataFrame:
+    """The first ``k`` rows, in row order, whose first candidate was right and whose choice was wrong."""
+    first = F.get("candidates", 0)
+    right = norm_label(first["cell_type"]) == label("y_true")
+    rows = predictions.where((F.size("candidates") > 0) & F.coalesce(right, F.lit(False)) & (correct() == 0))
+    return rows.orderBy(order).limit(k).select(
+        order, "y_true", "y_pred", "selection_source", first["cell_type"].alias("top_candidate"),
+        first["cell_ontology_id"].alias("top_candidate_cl_id"), _place_of("y_pred").alias("selected_rank"),
+    )
 
-    def step(state: Column, i: Column) -> Column:
-        term = state["term"] + F.log((n - i + 1) / i)
-        return F.struct(term.alias("term"), (state["sum"] + F.exp(term)).alias("sum"))
 
-    total = F.aggregate(steps, start, step, lambda s: s["sum"])
-    return F.when(n > 0, F.least(F.lit(1.0), 2.0 * total))
+def mcnemar(a_only: int, b_only: int) -> float | None:
+    """Two-sided exact p-value of a paired comparison's discordant counts; None without any.
+
+    Twice the binomial's lower tail, as a regularized incomplete beta function by
+    its continued fraction, so the cost doesn't grow with the counts.
+    """
+    n, k = int(a_only) + int(b_only), min(int(a_only), int(b_only))
+    return None if n == 0 else min(1.0, 2 * _beta_half(n - k, k + 1))
+
+
+def _beta_half(a: float, b: float) -> float:
+    """The regularized incomplete beta function of (a, b) at one half."""
+    if a + 1 < b:  # the fraction converges on this side of the mean only
+        return 1.0 - _beta_half(b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) - (a + b) * math.log(2.0)) / a
+    tiny, x = 1e-300, 0.5
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    out = d
+    for m in range(1, 100_000):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 + top * d
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = 1.0 + top / c
+            c = c if abs(c) > tiny else tiny
+            out *= d * c
+        if abs(d * c - 1.0) < 1e-15:
+            break
+    return front * out
+
+
+@F.pandas_udf(T.DoubleType())
+def mcnemar_column(a_only: pd.Series, b_only: pd.Series) -> pd.Series:
+    """``mcnemar`` as a column; meant for a row a comparison."""
+    return pd.Series([mcnemar(a, b) for a, b in zip(a_only, b_only, strict=True)], dtype="float64")
 
 
 def paired_counts(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """One row: rows right in both, in one only, in neither, both accuracies, and the exact p-value.
+    """One row: rows right in both, in one only, in neither, accuracies and macro-F1 with their differences, and the exact p-value.
 
-    Rows meet by ``key``; other true labels on the two sides are an error.
+    Rows meet by ``key``. A row that only one side has, or other true labels on
+    the two sides, are an error.
     """
-    left = a.select(key, label("y_true").alias("t"), correct().alias("a"))
-    right = b.select(key, label("y_true").alias("t2"), correct().alias("b"))
-    rows = left.join(right, key)
-    checked = F.when(F.col("t") != F.col("t2"), F.raise_error(F.lit("true labels differ"))).otherwise(F.col("a"))
+    left = a.select(key, label("y_true").alias("t"), correct().alias("a"), F.lit(True).alias("_a"))
+    right = b.select(key, label("y_true").alias("t2"), correct().alias("b"), F.lit(True).alias("_b"))
+    rows = left.join(right, key, "full")
+    whole = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    checked = (
+        F.when(~whole, F.raise_error(F.concat(F.lit("only one side has "), F.col(key).cast("string"))))
+        .when(F.col("t") != F.col("t2"), F.raise_error(F.concat(F.lit("true labels differ at "), F.col(key).cast("string"))))
+        .otherwise(F.col("a"))
+    )
     rows = rows.select(checked.alias("a"), "b")
     counts = rows.agg(
         F.count(F.lit(1)).alias("n"),
@@ -231,6 +276,24 @@ def paired_counts(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
         F.count_if(F.expr("a = 0 and b = 0")).alias("neither"),
         F.round(F.coalesce(F.avg("a"), F.lit(0.0)), DIGITS).alias("accuracy_a"),
         F.round(F.coalesce(F.avg("b"), F.lit(0.0)), DIGITS).alias("accuracy_b"),
+        F.round(F.coalesce(F.avg(F.col("a") - F.col("b")), F.lit(0.0)), DIGITS).alias("accuracy_delta"),
+    )
+    for side, rows in (("a", a), ("b", b)):
+        counts = counts.crossJoin(macro_f1(rows).withColumnRenamed("macro_f1", f"macro_f1_{side}"))  # one row each
+    counts = counts.withColumn("macro_f1_delta", F.round(F.col("macro_f1_a") - F.col("macro_f1_b"), DIGITS))
+    return counts.withColumn("p_value", F.round(mcnemar_column(F.col("a_only"), F.col("b_only")), DIGITS))
+
+
+def discordant_pairs(predictions: DataFrame, key: str, by: str) -> DataFrame:
+    """(``a``, ``b``, ``n``, ``a_only``, ``b_only``, ``p_value``) of every two values of ``by``, over the rows that both have.
+
+    ``predictions`` have one row for each ``key`` and ``by``; ``a`` < ``b``.
+    There are as many values of ``by`` as methods, so rows meet few others.
+    """
+    right = predictions.select(F.col(key), F.col(by).alias("b"), correct().alias("_b"))
+    met = predictions.select(key, F.col(by).alias("a"), correct().alias("_a")).join(right, key).where("a < b")
+    counts = met.groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.expr("_a = 1 and _b = 0")).alias("a_only"), F.count_if(F.expr("_a = 0 and _b = 1")).alias("b_only")
     )
     return counts.withColumn("p_value", F.round(mcnemar_column(F.col("a_only"), F.col("b_only")), DIGITS))
 

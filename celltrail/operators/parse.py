@@ -1,7 +1,8 @@
 """Answers of a language model as columns.
 
 The patterns are fixed values: they say which lines of an answer are which
-field. Java's ``d`` flag makes only the line feed end a line.
+field. Java's ``d`` flag makes only the line feed end a line, ``U`` takes blanks
+and letters as Unicode does.
 """
 
 from __future__ import annotations
@@ -9,19 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from celltrail.functions.text import norm_cl_id, norm_label
+from celltrail.functions.text import norm_cl_id, norm_label, squeeze, strip
 
 # Fixed values.
 _LEAD = r"^\s*(?:[-*]\s*)?(?:\*\*)?"
 _AFTER = r"(?:\*\*)?\s*:\s*(?:\*\*)?\s*"
-CELL_TYPE = rf"(?imd){_LEAD}cell\s*type{_AFTER}(.+)$"
-CL_ID = rf"(?imd){_LEAD}(?:cell\s*ontology\s*id|cl\s*id){_AFTER}(CL[:_]\d+)"
-CONFIDENCE = rf"(?imd){_LEAD}confidence(?:\s*score)?{_AFTER}([01](?:\.\d+)?|\d{{1,3}}(?:\.\d+)?%)"
-REASONING = rf"(?imsd){_LEAD}(?:biological\s*)?reasoning{_AFTER}(.+)"
-LABEL_FOR_ID = rf"(?imd){_LEAD}cell\s*ontology\s*id{_AFTER}(?!CL[:_]\d+)(?!GO[:_]\d+)(.+)$"
-LIKELY = r"(?isd)\blikely\s+to\s+be\s+(?:a|an|the)?\s*(?:\*\*)?([A-Za-z][^*.\n]+?)(?:\*\*)?(?:[.;\n]|$)"
-CANDIDATE = r"(?i)candidate\s*:\s*(\d+)"
-NOT_A_LABEL = r"(?i)\b(given|provided|marker|predict|cell\s*type)\b"
+CELL_TYPE = rf"(?imdU){_LEAD}cell\s*type{_AFTER}(.+)$"
+CL_ID = rf"(?imdU){_LEAD}(?:cell\s*ontology\s*id|cl\s*id){_AFTER}(CL[:_]\d+)"
+CONFIDENCE = rf"(?imdU){_LEAD}confidence(?:\s*score)?{_AFTER}([01](?:\.\d+)?|\d{{1,3}}(?:\.\d+)?%)"
+REASONING = rf"(?imsdU){_LEAD}(?:biological\s*)?reasoning{_AFTER}(.+)"
+LABEL_FOR_ID = rf"(?imdU){_LEAD}cell\s*ontology\s*id{_AFTER}(?!CL[:_]\d+)(?!GO[:_]\d+)(.+)$"
+LIKELY = r"(?isdU)\blikely\s+to\s+be\s+(?:a|an|the)?\s*(?:\*\*)?([A-Za-z][^*.\n]+?)(?:\*\*)?(?:[.;\n]|$)"
+CANDIDATE = r"(?iU)candidate\s*:\s*(\d+)"
+NOT_A_LABEL = r"(?iU)\b(given|provided|marker|predict|cell\s*type)\b"
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -31,10 +32,10 @@ def _found(text: Column, pattern: str) -> Column:
 
 def cleaned(value: Column) -> Column:
     """Without bullets, marks, a leading article and outer punctuation; single spaces."""
-    x = F.regexp_replace(F.trim(F.regexp_replace(value, r"^\s+|\s+$", "")), r"^\s*(?:[-*]\s*)+", "")
-    x = F.regexp_replace(F.regexp_replace(x, r"^\s*[`*_]+", ""), r"[`*_]+\s*$", "")
-    x = F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), r"(?i)^\s*(?:a|an|the)\s+", "")
-    return F.regexp_replace(F.regexp_replace(x, r"^[ \t\r\n.;]+|[ \t\r\n.;]+$", ""), r"\s+", " ")
+    x = F.regexp_replace(strip(value), r"^(?:[-*](?U:\s)*)+", "")
+    x = F.regexp_replace(F.regexp_replace(x, r"^(?U:\s)*[`*_]+", ""), r"[`*_]+(?U:\s)*$", "")
+    x = F.regexp_replace(strip(x), r"(?iU)^(?:a|an|the)\s+", "")
+    return squeeze(F.regexp_replace(x, r"^[ \t\r\n.;]+|[ \t\r\n.;]+$", ""))
 
 
 def _confidence(text: Column) -> Column:
@@ -52,7 +53,7 @@ def parse_response(text: Column) -> Column:
     unless it speaks of the question. ``10%`` reads as 1: the leading digit wins.
     """
     t = F.coalesce(text, F.lit(""))
-    first = F.regexp_extract(F.regexp_replace(t, r"^\s+", ""), r"^([^\n\r]*)", 1)
+    first = F.regexp_extract(F.regexp_replace(t, r"(?U)^\s+", ""), r"^([^\n\r]*)", 1)
     fallback = (
         F.when(t.rlike(LABEL_FOR_ID), cleaned(_found(t, LABEL_FOR_ID)))
         .when(t.rlike(LIKELY), cleaned(_found(t, LIKELY)))

@@ -216,13 +216,47 @@ def label_overlap(rows: DataFrame, label: Column) -> DataFrame:
     )
 
 
+def unseen_labels(rows: DataFrame, label: Column, k: int = 20) -> DataFrame:
+    """(``split``, ``label``): the first ``k`` labels by name of each evaluation split that training lacks."""
+    pairs = rows.select("split", label.alias("label")).where("label is not null").distinct()
+    train = pairs.where("split = 'train'").select("label")
+    lacking = pairs.where("split != 'train'").join(train, "label", "left_anti")
+    first = F.row_number().over(Window.partitionBy("split").orderBy("label"))
+    return lacking.withColumn("_n", first).where(F.col("_n") <= k).select("split", "label")
+
+
+def labels_with(rows: DataFrame, label: str, least: int) -> DataFrame:
+    """``rows`` of labels that at least so many rows have; rows without a label are dropped."""
+    many = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") >= least) & F.col(label).isNotNull())
+    return salted_join(rows, many.select(label), label, "inner")
+
+
+def top_split_labels(rows: DataFrame, k: int = 10) -> DataFrame:
+    """(``split``, ``place``, ``label``, ``n``): the commonest labels of each split, of equals the one seen first.
+
+    ``rows`` have ``split``, ``cell_type`` and ``example_id``, the row order.
+    """
+    counted = rows.where("coalesce(cell_type, '') != ''").groupBy("split", F.col("cell_type").alias("label"))
+    counted = counted.agg(F.count(F.lit(1)).alias("n"), F.min("example_id").alias("first"))
+    order = Window.partitionBy("split").orderBy(F.desc("n"), "first")
+    return counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("split", "place", "label", "n")
+
+
+def record_formats(rows: DataFrame) -> DataFrame:
+    """(``split``, ``format``, ``n``): chat if a record has messages, instruction if it has an instruction, else unknown."""
+    chat = F.size("messages") > 0 if "messages" in rows.columns else F.lit(False)
+    told = F.col("instruction").isNotNull() if "instruction" in rows.columns else F.lit(False)
+    kind = F.when(chat, "chat").when(told, "instruction").otherwise("unknown")
+    return rows.groupBy("split", kind.alias("format")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def split_summary(rows: DataFrame, text: Column, max_length: int = 2048) -> DataFrame:
     """One row a split and one for all: records, distinct values, coverage and lengths in estimated tokens.
 
     ``rows`` have ``split``, ``tissue``, ``cell_type``, ``source``,
-    ``cell_ontology_id``. The 95th percentile is by nearest rank.
+    ``cell_ontology_id`` and ``markers``. The 95th percentile is by nearest rank.
     """
-    sized = rows.select("split", "tissue", "cell_type", "source", "cell_ontology_id", estimated_tokens(text).alias("length"))
+    sized = rows.select("split", "tissue", "cell_type", "source", "cell_ontology_id", "markers", estimated_tokens(text).alias("length"))
     return sized.rollup("split").agg(
         F.count(F.lit(1)).alias("records"),
         F.count_distinct("tissue").alias("tissues"),
@@ -231,6 +265,8 @@ def split_summary(rows: DataFrame, text: Column, max_length: int = 2048) -> Data
         F.round(F.coalesce(F.avg(F.col("cell_ontology_id").isNotNull().cast("double")), F.lit(0.0)), 4).alias("cl_coverage"),
         F.count_if(F.col("cell_type").isNull()).alias("missing_cell_type"),
         F.count_if(F.col("tissue").isNull()).alias("missing_tissue"),
+        F.count_if(F.col("source").isNull()).alias("missing_source"),
+        F.count_if(F.coalesce(F.size("markers"), F.lit(0)) < 1).alias("missing_markers"),
         F.min("length").alias("min_length"),
         F.round(F.avg("length"), 2).alias("mean_length"),
         F.expr("percentile_disc(0.95) within group (order by length)").alias("p95_length"),

@@ -48,18 +48,16 @@ def _cell(i: int) -> str:
     return rf"regexp_replace({inner}, '^[\s\x{{a0}}\x{{feff}}]+|[\s\x{{a0}}\x{{feff}}]+$', '', 'g')"
 
 
-ORACLES = {
-    "p1_found": rf"""
-        with a as (
-            select line_id, regexp_replace(coalesce(raw_line, ''), '[\r\n]+$', '') as body from cellmarker_raw
+LINES = rf"""a as (
+            select line_id, file_name, received_at, regexp_replace(coalesce(raw_line, ''), '[\r\n]+$', '') as body from cellmarker_raw
         ), b as (
             select *, regexp_full_match(body, '{_FIELD}((,|\r\n|\r|\n){_FIELD})*') as quoted_well,
                    regexp_full_match(body, '{_FIELD}(,{_FIELD})*') as one_record, {_CELLS} as c
             from a
         ), d as (
-            select *, {_cell(2)} as name, {_cell(3)} as cl, {_cell(4)} as gene from b
+            select *, {_cell(1)} as tissue, {_cell(5)} as species, {_cell(6)} as pmid, {_cell(2)} as name, {_cell(3)} as cl, {_cell(4)} as gene from b
         ), e as (
-            select line_id, case
+            select *, case
                 when not quoted_well then 'quoting'
                 when not one_record or len(c) <> 6 then 'column_count'
                 when not regexp_matches(name, '\pL')
@@ -73,7 +71,17 @@ ORACLES = {
                   or regexp_matches(gene, '(?i)^({_MONTHS})[-.][0-9]{{1,4}}([-.][0-9]{{1,4}})?$') then 'invalid_value'
                 end as reason
             from d
-        )
-        select line_id, reason from e where reason is not null
-    """,
+        ),
+        loaded as (
+            select line_id, file_name, received_at, nullif(tissue, '') as c1, nullif(name, '') as c2, nullif(replace(upper(cl), '_', ':'), '') as c3,
+                   nullif(gene, '') as c4, nullif(species, '') as c5, nullif(pmid, '') as c6
+            from e where reason is null
+        )"""
+
+ORACLES = {
+    "p1_found": f"with {LINES} select line_id, reason from e where reason is not null",
+    "p1_loaded": rf"""
+        with {LINES} select line_id, file_name, received_at, c1 as "tissueType", c2 as "cellName", c3 as "CellOntologyID", c4 as "geneSymbol", c5 as "speciesType",
+               case when regexp_matches(c6, '^[0-9]{{1,18}}$') then c6::bigint end as "PMID", case when not regexp_matches(c6, '^[0-9]{{1,18}}$') then c6 end as evidence
+        from loaded""",
 }

@@ -9,7 +9,7 @@ from celltrail.functions.text import norm_label
 from celltrail.operators import metrics as me
 from celltrail.operators.annotators import annotate_by_overlap, candidate_lists
 from celltrail.operators.augment import perturb_markers
-from celltrail.operators.parse import reparse
+from celltrail.operators.parse import choose_candidate, reparse
 from celltrail.operators.similarity import rank_by_overlap
 from celltrail.plans import sql
 from celltrail.plans.linking import predictions
@@ -76,25 +76,45 @@ def wrong_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return me.wrong_examples(rows, "at").select("pred_id", "arrived_at", "y_true", "y_pred")
 
 
-def infer_method(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Method names read from experiment names, first rule first."""
-    rows = predictions(spark, sf_dir)
-    return rows.groupBy(method_of(F.col("method")).alias("kind"), "method").agg(F.count(F.lit(1)).alias("n"))
+def _experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Experiment names with the paths of their files: methods, and what the sources of examples are called."""
+    methods = predictions(spark, sf_dir).select("method", F.concat(F.lit("runs/"), "method", F.lit(".jsonl")).alias("path"))
+    told = table(spark, sf_dir, "annotation_example").select(F.lower("tissue").alias("method"), F.concat(F.lit("runs/deepseek-"), F.lower("source")).alias("path"))
+    return methods.unionByName(told)
 
 
-# What an experiment's name says of its method, in this order.
-METHOD_WORDS = (
-    ("sctype_style", "scType-style"), ("sctype", "scType"), ("singler", "SingleR"), ("rerank", "candidate rerank"),
-    ("marker_overlap", "marker overlap"), ("overlap", "marker overlap"), ("prompt", "prompt only"), ("lora", "adapter"),
-)
+def infer_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Method names read from experiment names and paths, first rule first."""
+    rows = _experiments(spark, sf_dir)
+    return rows.groupBy(method_of(F.col("method"), F.col("path")).alias("kind"), "method").agg(F.count(F.lit(1)).alias("n"))
 
 
-def method_of(name: Column) -> Column:
-    plain = F.translate(F.lower(name), "- ", "__")
+# What the name or path of an experiment says of its method; the first row with a word found counts,
+# and what it names may depend on a second word.
+METHOD_WORDS = (
+    (("sctype-style", "sctype_style"), "scType-style", ()),
+    (("sctype_harmonized", "sctype.harmonized"), "scType harmonized", ()),
+    (("sctype",), "scType", ()),
+    (("singler",), "SingleR", ()),
+    (("rerank",), "LoRA rerank", ()),
+    (("prompt",), "Prompt-only LLM", (("qwen", "Prompt-only Qwen"), ("llama", "Prompt-only Llama"), ("deepseek", "Prompt-only DeepSeek"))),
+    (("lora",), "LoRA", ()),
+    (("marker", "overlap"), "marker-overlap", ()),
+)
+
+
+def method_of(name: Column, path: Column | None = None) -> Column:
+    text = F.lower(F.concat_ws(" ", name, path if path is not None else F.lit("")))
     out = F
-    for word, kind in METHOD_WORDS:
-        out = out.when(plain.contains(word), kind)
-    return out.otherwise("other")
+    for words, kind, families in METHOD_WORDS:
+        named = F.lit(kind)
+        for word, family in reversed(families):
+            named = F.when(text.contains(word), family).otherwise(named)
+        found = F.lit(False)
+        for word in words:
+            found = found | text.contains(word)
+        out = out.when(found, named)
+    return out.otherwise("unknown")
 
 
 def reparse_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,11 +178,22 @@ def noise_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.withColumn("drop_rate", levels[F.col("level")])
 
 
-def _methods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each method and example: its first delivery, under the example's one true label."""
     rows = predictions(spark, sf_dir)
-    one = rows.groupBy("method", "example_id").agg(F.min_by(F.struct("y_true", "y_pred"), F.struct("pred_id", "arrived_at")).alias("r"))
-    one = one.select("method", "example_id", F.lit("same").alias("y_true"), F.when(norm_label("r.y_true") == norm_label("r.y_pred"), "same").otherwise("other").alias("y_pred"))
-    return one.where("method = 'lora_adapter'"), one.where("method = 'lora_rerank'")
+    truth = rows.groupBy("example_id").agg(F.min("y_true").alias("y_true"))
+    first = F.min_by(F.struct("y_pred"), F.struct("pred_id", "arrived_at"))
+    return rows.groupBy("method", "example_id").agg(first.alias("r")).select("method", "example_id", "r.y_pred").join(truth, "example_id")
+
+
+#: The two methods compared, over the examples that both answered.
+COMPARED = ("lora_adapter", "lora_rerank")
+
+
+def _methods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _answers(spark, sf_dir)
+    a, b = (rows.where(F.col("method") == m) for m in COMPARED)
+    return a.join(b.select("example_id"), "example_id", "left_semi"), b.join(a.select("example_id"), "example_id", "left_semi")
 
 
 def paired_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,20 +201,47 @@ def paired_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return me.paired_counts(a, b, "example_id")
 
 
+#: As many as published comparisons draw.
+RESAMPLES = 500
+
+
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _methods(spark, sf_dir)
-    return me.bootstrap_interval(me.bootstrap_deltas(a, b, "example_id", 200))
+    return me.bootstrap_interval(me.bootstrap_deltas(a, b, "example_id", RESAMPLES))
 
 
 def bootstrap_f1_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _methods(spark, sf_dir)
-    return me.bootstrap_interval(me.bootstrap_f1_deltas(a, b, "example_id", 100))
+    return me.bootstrap_interval(me.bootstrap_f1_deltas(a, b, "example_id", RESAMPLES))
 
 
 def mcnemar_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact p-values of small discordant counts."""
-    grid = spark.range(0, 7).select(F.col("id").alias("a")).crossJoin(spark.range(0, 7).select(F.col("id").alias("b")))
-    return grid.select("a", "b", F.round(me.mcnemar_column(F.col("a"), F.col("b")), 12).alias("p"))
+    """Exact p-values of every two methods over the examples that both answered."""
+    return me.discordant_pairs(_answers(spark, sf_dir), "example_id", "method")
+
+
+def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every example's three best candidates and what stored answers choose of them; unanswered ones choose by hash."""
+    queries, db = clusters(spark, sf_dir), database(spark, sf_dir)
+    lists = candidate_lists(rank_by_overlap(queries, db, 3), queries, db).withColumnRenamed("q_id", "example_id")
+    truth = table(spark, sf_dir, "annotation_example").select("example_id", F.col("cell_type").alias("y_true"))
+    answers = predictions(spark, sf_dir).groupBy("example_id").agg(F.min_by("raw_response", F.struct("pred_id", "arrived_at")).alias("raw"))
+    rows = truth.join(lists, "example_id").join(answers, "example_id", "left")
+    chosen = choose_candidate(F.col("raw"), F.col("candidates"))
+    pick = F.get("candidates", F.pmod(F.col("example_id"), F.size("candidates").cast("bigint")).cast("int"))["cell_type"]
+    none = F.col("raw").isNull()
+    return rows.withColumn("_c", chosen).select(
+        "example_id", "y_true", "candidates", F.when(none, pick).otherwise(F.col("_c.candidate.cell_type")).alias("y_pred"),
+        F.when(~none, F.col("_c.selection_source")).alias("selection_source"),
+    )
+
+
+def rerank_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return me.rerank_histograms(_reranked(spark, sf_dir))
+
+
+def harm_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return me.harm_examples(_reranked(spark, sf_dir), "example_id")
 
 
 QUERIES = {
@@ -191,7 +249,7 @@ QUERIES = {
     for f in (
         accuracy, macro_f1, label_f1, cl_accuracy, ece, calibration, evaluate, experiment_summary, label_counts, top_labels,
         analyze_predictions, top_confusions, confusion_matrix, wrong_examples, infer_method, reparse_counts, benchmark_overlap,
-        rerank_audit, rerank_ranks, noise_grid, paired_counts, bootstrap_ci, bootstrap_f1_ci, mcnemar_values,
+        rerank_audit, rerank_ranks, rerank_histograms, harm_examples, noise_grid, paired_counts, bootstrap_ci, bootstrap_f1_ci, mcnemar_values,
     )
 }
 
@@ -208,11 +266,34 @@ _BINS = "(select method, least(9, cast(floor(conf * 10) as int)) as bin, case wh
 _COLS = """count(*) as n, round(avg(case when t = p then 1.0 else 0.0 end), 6) as accuracy,
     round(case when count(pc) > 0 then count(*) filter (tc = pc) / nullif(count(tc), 0) end, 6) as cl_accuracy,
     round(avg(runtime), 5) as mean_runtime, round(sum(runtime), 6) as total_runtime, round(sum(cost), 6) as total_cost, count(distinct t) as labels"""
-_PAIRS = f"""
-    one as (select method, example_id, arg_min({sql.label('y_true')} = {sql.label('cell_type')}, struct_pack(p := pred_id, a := arrived_at)) as ok
-            from annotation_prediction group by 1, 2),
-    pair as (select example_id, coalesce(a.ok, false)::int as a, coalesce(b.ok, false)::int as b from (select * from one where method = 'lora_adapter') a
-             join (select * from one where method = 'lora_rerank') b using (example_id))"""
+_ANSWERS = f"""
+    tr_ as (select example_id, min(y_true) as y from annotation_prediction group by 1),
+    ans as (select method, example_id, {sql.label("coalesce(y, 'None')")} as t, {sql.label("coalesce(f.y, 'None')")} as p from (
+                select method, example_id, arg_min(struct_pack(y := cell_type), struct_pack(p := pred_id, a := arrived_at)) as f from annotation_prediction group by 1, 2)
+            join tr_ using (example_id))""".replace("coalesce(y, 'None')", "coalesce(tr_.y, 'None')")
+_PAIRS = f"""{_ANSWERS},
+    pair as (select example_id, x.t, x.p as pa, y.p as pb, (x.t = x.p)::int as a, (y.t = y.p)::int as b from (select * from ans where method = '{COMPARED[0]}') x
+             join (select * from ans where method = '{COMPARED[1]}') y using (example_id))"""
+_P = "least(1.0, 2 * (select sum(exp(lgamma(a_only + b_only + 1.0) - lgamma(i + 1.0) - lgamma(a_only + b_only - i + 1.0) - (a_only + b_only) * ln(2.0))) from range(0, 100000) x(i) where i <= least(a_only, b_only)))"
+
+
+def _f1_of(side: str) -> str:
+    return f"""(select avg(coalesce(2.0 * tp / nullif(n + said, 0), 0.0)) from (
+        select l.t, count(*) as n, count(*) filter (l.t = l.p{side}) as tp, (select count(*) from pair q where q.p{side} = l.t) as said from pair l group by 1))"""
+
+
+_RERANKED = f"""
+    c as (select q_id, rank, d.cell_type as name, d.cl, lk, count(*) over (partition by q_id) as k from ranked r join db d using (rec_id) where rank <= 3),
+    raws as (select example_id, arg_min(struct_pack(r := raw_response), struct_pack(p := pred_id, a := arrived_at)).r as raw from annotation_prediction group by 1),
+    told as (select e.example_id, e.cell_type as y_true, {sql.label("coalesce(e.cell_type, 'None')")} as t, raw, {sql.label(sql.parsed("raw")["cell_type"])} as said,
+                    try_cast(nullif(regexp_extract(coalesce(raw, ''), '(?i)candidate{sql.WS}*:{sql.WS}*(\\d+)', 1), '') as int) as number
+             from annotation_example e left join raws using (example_id)),
+    pickd as (select example_id, any_value(k) as k, max(case when rank = number then rank end) as bn, min(case when lk = said then rank end) as bl, any_value(raw) as raw
+              from told join c on q_id = example_id group by 1),
+    rr as (select *, case when raw is null then example_id % k + 1 else coalesce(bn, bl, 1) end as at,
+                  case when raw is null then null when bn is not null then 'candidate_number' when bl is not null then 'cell_type_label' else 'fallback_top_candidate' end as src from pickd),
+    chosen as (select rr.example_id, rr.k, rr.src, c.name as y_pred, c.lk as pl from rr join c on c.q_id = rr.example_id and c.rank = rr.at),
+    placed as (select chosen.*, (select min(rank) from c where c.q_id = chosen.example_id and c.lk = {sql.label("coalesce(chosen.y_pred, 'None')")}) as pos from chosen)"""
 _POISSON = " + ".join(f"({{u}} >= {c!r})::int" for c in me._POISSON)
 
 _TOP = f"with {sql.DB}, {_CLUSTERS.strip()}, {_SCORED.strip()}"
@@ -260,16 +341,62 @@ ORACLES = {
     "top_confusions": f"with {sql.PREDICTIONS} select t, p, count(*) as n from pr where t <> p group by 1, 2 order by n desc, t, p limit 20",
     "confusion_matrix": f"with {sql.PREDICTIONS} select t, p, count(*) as n from pr group by 1, 2",
     "wrong_examples": f"with {sql.PREDICTIONS} select pred_id, arrived_at, y_true, cell_type as y_pred from pr where t <> p order by pred_id, arrived_at limit 25",
-    "infer_method": "select case " + " ".join(
-        f"when contains(translate(lower(method), '- ', '__'), '{w}') then '{k}'" for w, k in METHOD_WORDS
-    ) + " else 'other' end as kind, method, count(*) as n from annotation_prediction group by 1, 2",
-    "paired_counts": f"""with {_PAIRS}, c as (select count(*) as n, count(*) filter (a = 1 and b = 1) as "both", count(*) filter (a = 1 and b = 0) as a_only,
-        count(*) filter (a = 0 and b = 1) as b_only, count(*) filter (a = 0 and b = 0) as neither, round(avg(a), 6) as accuracy_a, round(avg(b), 6) as accuracy_b from pair)
-        select *, round(case when a_only + b_only > 0 then least(1.0, 2 * (select sum(exp(lgamma(a_only + b_only + 1.0) - lgamma(i + 1.0) - lgamma(a_only + b_only - i + 1.0)
-            - (a_only + b_only) * ln(2.0))) from range(0, 100000) x(i) where i <= least(a_only, b_only))) end, 6) as p_value from c""",
-    "bootstrap_ci": f"""with {_PAIRS}, w as (select b_.i as resample, a - b as d, {_POISSON.format(u=sql.uniform("13", "b_.i", "example_id"))} as w from pair, range(200) b_(i)),
+    "noise_grid": f"""
+        with {sql.DB}, levels(level, drop_rate, added) as (values {", ".join(f"({i}, {d}::double, {a})" for i, (d, a) in enumerate(NOISE))}),
+        base as (select example_id, cell_type, lower(trim(coalesce(tissue, ''))) as tkey, coalesce(l, []) as m from annotation_example left join (
+            select example_id, list(m order by f) as l from (select example_id, m, min(i) as f from (
+                select example_id, unnest(g) as m, generate_subscripts(g, 1) as i from (
+                    select example_id, list_transform(list_filter(coalesce(metadata.markers, markers), lambda x: x is not null), lambda x: {sql.gene('x')}) as g from annotation_example))
+                where m <> '' group by 1, 2) group by 1) using (example_id)),
+        {sql.draws(f"select example_id::varchar as k, m as own, {max(a for _, a in NOISE)} as wanted, {sql.label('cell_type')} as label_key from base", "23",
+                   "not exists (select 1 from lm where lm.label_key = tries.label_key and lm.m = voc.m)").strip()},
+        u as (select example_id, m, {sql.uniform('23', 'example_id', 'm')} as u from (select example_id, unnest(m) as m from base)),
+        kept as (select example_id, level, m from (select *, count(*) filter (u >= drop_rate) over (partition by example_id, level) as n,
+                        row_number() over (partition by example_id, level order by u desc, m desc) as r from u, levels) where u >= drop_rate or (n < 1 and r = 1)),
+        mixed as (select example_id, level, m from kept union select k::bigint, level, m from drawn, levels where r <= added),
+        raw_q as (select b.example_id * {len(NOISE)} + level as q_id, tkey, coalesce(l, []) as l, level, b.example_id from base b cross join levels
+                  left join (select example_id, level, list(m) as l from mixed group by 1, 2) o using (example_id, level)),
+        {_CLUSTERS[_CLUSTERS.index("q as (\n        select distinct"):].strip()}, {_SCORED.strip()},
+        said as ({_BEST.replace("best as (", "with best as (", 1).strip()})
+        select level, count(*) as n, round(avg(case when {_TRUE} = {sql.label("coalesce(s.cell_type, 'None')")} then 1.0 else 0.0 end), 6) as accuracy,
+               round(avg(s.confidence), 6) as confidence, any_value(drop_rate) as drop_rate
+        from said s join raw_q using (q_id) join levels using (level) join annotation_example e on e.example_id = raw_q.example_id group by 1""",
+    "infer_method": """
+        with x as (select method, 'runs/' || method || '.jsonl' as path from annotation_prediction union all
+                   select lower(tissue), 'runs/deepseek-' || lower(source) from annotation_example), t as (select method, lower(concat_ws(' ', method, path)) as s from x)
+        select case """ + " ".join(
+        "when " + " or ".join(f"contains(s, '{w}')" for w in words) + " then "
+        + ("case " + " ".join(f"when contains(s, '{w}') then '{k}'" for w, k in families) + f" else '{kind}' end" if families else f"'{kind}'")
+        for words, kind, families in METHOD_WORDS
+    ) + " else 'unknown' end as kind, method, count(*) as n from t group by 1, 2",
+    "reparse_counts": f"""
+        with r as (select method, coalesce(length(raw_response), 0) > 0 as again, cell_type, {sql.cl_id('cell_ontology_id')} as cl,
+                          {sql.parsed("raw_response")["cell_type"]} as new, {sql.parsed("raw_response")["cell_ontology_id"]} as ncl from annotation_prediction)
+        select method, count(*) as n, count(*) filter (again) as reparsed,
+               count(*) filter (again and {sql.label('new')} is distinct from {sql.label('cell_type')}) as changed_labels,
+               count(*) filter (again and ncl is distinct from cl) as changed_ids from r group by 1""",
+    "rerank_histograms": f"""{_TOP}, {_RERANKED.strip()}
+        select 'selected_rank' as kind, coalesce(pos::varchar, 'not_in_candidates') as value, count(*) as n from placed group by 2
+        union all select 'selection_source', coalesce(src, 'missing'), count(*) from placed group by 2
+        union all select 'candidates', k::varchar, count(*) from placed group by 2""",
+    "harm_examples": f"""{_TOP}, {_RERANKED.strip()}
+        select p.example_id, t.y_true, p.y_pred, p.src as selection_source, f.name as top_candidate, f.cl as top_candidate_cl_id, p.pos as selected_rank
+        from placed p join told t using (example_id) join c f on f.q_id = p.example_id and f.rank = 1
+        where f.lk = t.t and {sql.label("coalesce(p.y_pred, 'None')")} <> t.t order by 1 limit 25""",
+    "paired_counts": f"""with {_PAIRS.strip()}, c as (select count(*) as n, count(*) filter (a = 1 and b = 1) as "both", count(*) filter (a = 1 and b = 0) as a_only,
+        count(*) filter (a = 0 and b = 1) as b_only, count(*) filter (a = 0 and b = 0) as neither, round(avg(a), 6) as accuracy_a, round(avg(b), 6) as accuracy_b,
+        round(avg(a - b), 6) as accuracy_delta, round({_f1_of('a')}, 6) as macro_f1_a, round({_f1_of('b')}, 6) as macro_f1_b from pair)
+        select *, round(macro_f1_a - macro_f1_b, 6) as macro_f1_delta, round(case when a_only + b_only > 0 then {_P} end, 6) as p_value from c""",
+    "bootstrap_ci": f"""with {_PAIRS.strip()}, w as (select b_.i as resample, a - b as d, {_POISSON.format(u=sql.uniform("13", "b_.i", "example_id"))} as w from pair, range({RESAMPLES}) b_(i)),
         s as (select resample, sum(d * w) / sum(w) as delta from w where w > 0 group by 1)
         select round(quantile_cont(delta, 0.025), 6) as low, round(quantile_cont(delta, 0.975), 6) as high from s""",
-    "mcnemar_values": """select a, b, round(case when a + b > 0 then least(1.0, 2 * (select sum(exp(lgamma(a + b + 1.0) - lgamma(i + 1.0) - lgamma(a + b - i + 1.0) - (a + b) * ln(2.0)))
-        from range(0, 7) x(i) where i <= least(a, b))) end, 12) as p from range(7) x(a), range(7) y(b)""",
+    "bootstrap_f1_ci": f"""with {_PAIRS.strip()}, w0 as (select b_.i as r, t, pa, pb, {_POISSON.format(u=sql.uniform("14", "b_.i", "example_id"))} as w from pair, range({RESAMPLES}) b_(i)),
+        w as (select * from w0 where w > 0), tl as (select r, t as l, sum(w) as n, sum(w) filter (pa = t) as ta, sum(w) filter (pb = t) as tb from w group by 1, 2),
+        sa as (select r, pa as l, sum(w) as n from w group by 1, 2), sb as (select r, pb as l, sum(w) as n from w group by 1, 2),
+        d as (select tl.r, avg(coalesce(2.0 * coalesce(ta, 0) / nullif(tl.n + coalesce(sa.n, 0), 0), 0.0) - coalesce(2.0 * coalesce(tb, 0) / nullif(tl.n + coalesce(sb.n, 0), 0), 0.0)) as delta
+              from tl left join sa on sa.r = tl.r and sa.l = tl.l left join sb on sb.r = tl.r and sb.l = tl.l group by 1)
+        select round(quantile_cont(delta, 0.025), 6) as low, round(quantile_cont(delta, 0.975), 6) as high from d""",
+    "mcnemar_values": f"""with {_ANSWERS.strip()}, c as (select x.method as a, y.method as b, count(*) as n, count(*) filter (x.t = x.p and y.t <> y.p) as a_only,
+               count(*) filter (x.t <> x.p and y.t = y.p) as b_only from ans x join ans y using (example_id) where x.method < y.method group by 1, 2)
+        select a, b, n, a_only, b_only, round(case when a_only + b_only > 0 then {_P} end, 6) as p_value from c""",
 }

@@ -16,7 +16,9 @@ from celltrail.operators.markers import (
 )
 from celltrail.operators.parse_errors import split_marker_lines
 from celltrail.operators.similarity import candidate_lists, marker_weights, rank_by_overlap, rank_by_signed_sets
+from celltrail.operators.splits import number_rows
 from celltrail.plans import sql
+from celltrail.plans.data_quality import LINES
 from celltrail.session import table
 
 
@@ -76,6 +78,18 @@ def normalize_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("tissue", "cell_type", "cell_ontology_id", "source", "species", F.array_join("markers", ",").alias("markers"), "evidence")
 
 
+def _merged_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = merge_marker_records(database(spark, sf_dir), min_markers=2)
+    keys = {"t": F.lower("tissue"), "c": F.lower("cell_type"), "i": F.coalesce("cell_ontology_id", F.lit("")), "tissue": F.col("tissue"), "cell_type": F.col("cell_type")}
+    order = [F.coalesce(k, F.lit("")) for k in keys.values()]
+    return number_rows(merged, *order)
+
+
+def merged_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged records in their final order, by tissue, cell type and id, as numbers."""
+    return _merged_in_order(spark, sf_dir).select("place", "tissue", "cell_type", "cell_ontology_id")
+
+
 def merge_marker_dbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = merge_marker_records(database(spark, sf_dir), min_markers=2)
     return out.select("tissue", "cell_type", "cell_ontology_id", F.array_join("markers", ",").alias("markers"), "source", "evidence")
@@ -118,7 +132,7 @@ def overlap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_marker_db, norm_labels, norm_cl_ids, species_filter, normalize_markers, normalize_records, merge_marker_dbs,
+        scan_marker_db, norm_labels, norm_cl_ids, species_filter, normalize_markers, normalize_records, merge_marker_dbs, merged_order,
         summarize_marker_db, marker_idf, marker_overlap_topk, sctype_topk, overlap_confidence, sctype_confidence, overlap_candidates,
     )
 }
@@ -215,6 +229,19 @@ ORACLES = {
         from ms left join evs on ms.tissue = evs.tissue and ms.cell_type = evs.cell_type and ms.cl is not distinct from evs.cl
              and ms.source = evs.source and ms.species is not distinct from evs.species
         where len(m) >= 2""",
+    "normalize_markers": f"""
+        with {LINES}, rows as (
+            select line_id as ord, nullif({sql.strip('c1')}, '') as tissue, nullif({sql.strip('c2')}, '') as cell_type, {sql.cl_id('c3')} as cl, 'cellmarker' as source,
+                   nullif({sql.strip('c5')}, '') as species, nullif(c6, '') as e, {sql.gene('c4')} as m
+            from loaded where coalesce(c1, '') <> '' and coalesce(c2, '') <> '' and coalesce(c4, '') <> ''
+              and (regexp_replace(lower(c5), '[^a-z0-9]+', '', 'g') = 'human' or len(list_intersect(list_transform(regexp_split_to_array(c5, '[^A-Za-z0-9]+'), lambda t: lower(t)),
+                   ['human', 'homo', 'homosapiens', 'hs', 'hsapiens'])) > 0)
+        ), flat as (select * exclude (e), 0 as p from rows),
+        {_GROUPED.format(keys="tissue, cell_type, cl, source, species").strip()}
+        select {sql.tissue('ms.tissue')} as tissue, ms.cell_type, ms.cl as cell_ontology_id, ms.source, ms.species, array_to_string(m, ',') as markers, evidence
+        from ms left join evs on ms.tissue = evs.tissue and ms.cell_type = evs.cell_type and ms.cl is not distinct from evs.cl
+             and ms.source = evs.source and ms.species is not distinct from evs.species
+        where len(m) >= 2""",
     "merge_marker_dbs": f"""
         with {sql.DB}, rows as (
             select rec_id as ord, tissue, cell_type, cl, nullif({sql.strip('source')}, '') as s, nullif({sql.strip('evidence')}, '') as e, m from db
@@ -226,6 +253,10 @@ ORACLES = {
         from ms left join evs on ms.tissue is not distinct from evs.tissue and ms.cell_type is not distinct from evs.cell_type and ms.cl is not distinct from evs.cl
                 left join ss on ms.tissue is not distinct from ss.tissue and ms.cell_type is not distinct from ss.cell_type and ms.cl is not distinct from ss.cl
         where len(m) >= 2""",
+    "merged_order": f"""
+        with {sql.DB}, k as (select d.tissue, d.cell_type, d.cl, count(distinct x) as n from (select tissue, cell_type, cl, unnest(m) as x from db) d group by 1, 2, 3 having count(distinct x) >= 2)
+        select row_number() over (order by coalesce(lower(tissue), ''), coalesce(lower(cell_type), ''), coalesce(cl, ''), coalesce(tissue, ''), coalesce(cell_type, '')) - 1 as place,
+               tissue, cell_type, cl as cell_ontology_id from k""",
     "summarize_marker_db": f"""
         with {sql.DB} select count(*) as records, count(distinct tissue) as tissues, count(distinct cell_type) as cell_types,
                count(cl) as records_with_cl_id, round(avg(len(m)), 6) as mean_markers,

@@ -110,12 +110,22 @@ _NORM = f"{_M.strip()}, nt as (select cell_id, gene, ln(1 + value / sum(value) o
 _ALL = f"""{_M.strip()},
     grid as (select cell_id, cluster, 'G' || pos as gene, greatest(0.0, floor(x * 10)) as value from e),
     genes as (select distinct gene from mat)"""
-_RANK = f"""{_ALL},
+_NGRID = f"""{_M.strip()},
+    grid as (select cell_id, cluster, 'G' || pos as gene, case when x_ > 0 then ln(1 + x_ / sum(x_) over (partition by cell_id) * 1e4) else 0.0 end as value
+             from (select cell_id, cluster, pos, greatest(0.0, floor(x * 10)) as x_ from e)),
+    genes as (select distinct gene from mat)"""
+_RANK = """{grid},
     r as (select gene, cluster, value, rank() over (partition by gene order by value) + (count(*) over (partition by gene, value) - 1) / 2.0 as rk,
                  count(*) over (partition by gene, value) as tie from grid where gene in (select gene from genes)),
     t as (select gene, count(*) as n, sum(tie * tie - 1.0) as ties from r group by 1),
     s as (select r.gene, r.cluster, sum(rk) as rs, count(*) as n1 from r group by 1, 2),
     z as (select cluster, gene, coalesce((rs - n1 * (n + 1) / 2.0) / nullif(sqrt(n1 * (n - n1) / 12.0 * ((n + 1) - ties / (n * (n - 1.0)))), 0), 0.0) as score from s join t using (gene))"""
+_T = "(1 / (1 + 0.3275911 * x))"
+_TESTS = f"""{_RANK.format(grid=_ALL)},
+    p0 as (select *, abs(score) / sqrt(2.0) as x from z),
+    p as (select cluster, gene, score, least(1.0, {_T} * (0.254829592 + {_T} * (-0.284496736 + {_T} * (1.421413741 + {_T} * (-1.453152027 + {_T} * 1.061405429)))) * exp(-x * x)) as pval from p0),
+    q as (select *, pval * count(*) over (partition by cluster) / row_number() over (partition by cluster order by pval, gene) as raw from p),
+    adj as (select cluster, gene, score, pval, least(1.0, min(raw) over (partition by cluster order by pval desc, gene desc rows between unbounded preceding and current row)) as pval_adj from q)"""
 
 ORACLES = {
     "quality_cells": f"""with {_M}, c as (select cell_id from mat group by 1 having count(*) >= 8)
@@ -130,7 +140,10 @@ ORACLES = {
         w as (select gene, sum(n1) as n, sum(s) as sa, sum(q) as qa from a group by 1),
         d as (select a.*, n - n1 as n2, (sa - s) / (n - n1) as m2, ((qa - q) - (n - n1) * power((sa - s) / (n - n1), 2)) / (n - n1 - 1) as v2 from a join w using (gene))
         select cluster, gene, round(coalesce((m1 - m2) / nullif(sqrt(v1 / n1 + v2 / n2), 0), 0.0), 6) as score from d""",
-    "top_genes": f"""with {_RANK}, o as (select *, row_number() over (partition by cluster order by score desc, gene) as rank from z)
+    "rank_genes": f"with {_TESTS} select cluster, gene, round(score, 6) as score, round(pval, 6) as pval, round(pval_adj, 6) as pval_adj from adj",
+    "matrix_markers": f"""with {_RANK.format(grid=_NGRID)}, o as (select *, row_number() over (partition by cluster order by score desc, gene) as rank from z)
+        select cluster, string_agg(upper(gene), ',' order by rank) as markers, (select count(*) from embeddings where label = cluster) as n_cells from o where rank <= 10 group by 1""",
+    "top_genes": f"""with {_RANK.format(grid=_ALL)}, o as (select *, row_number() over (partition by cluster order by score desc, gene) as rank from z)
         select cluster, rank, gene, round(score, 6) as score from o where rank <= 5""",
     "matrix_unpivot": """select o_orderstatus as cell_id, o_orderpriority as gene, count(*)::double as value from orders where o_orderstatus in ('F', 'O', 'P') group by 1, 2""",
     "majority_value": """

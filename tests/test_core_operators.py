@@ -1,12 +1,13 @@
 import math
 import random
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from celltrail.functions.text import norm_cl_id, norm_gene_list, norm_label
-from celltrail.functions.variants import label_variants
+from celltrail.functions.variants import variants
 from celltrail.operators import augment, curation, linking, markers, metrics, splits
 from celltrail.operators.annotators import annotate_by_overlap, annotate_by_prompt, annotate_by_rerank, annotate_by_signed_sets
 from celltrail.operators.parse import choose_candidate, parse_response
@@ -33,11 +34,17 @@ def test_normalisation(spark):
     assert got[1] == ([], None, None) and got[2] == ([], "", None)
 
 
-def test_variants():
-    assert "naive b cell" in label_variants("B cells naive")
-    assert "microglial cell" in label_variants("Microglia")
-    assert label_variants("DC") == ["dc", "dendritic cells", "dendritic cell"]
-    assert label_variants(None) == [] and "cd4 t cell" in label_variants("CD4+ T-cells")
+def test_variants(spark):
+    labels = ["B cells naive", "Microglia", "DC", None, " ", "CD4+ T-cells", "T memory (CD8+) cells", "t cell", "Gamma (PP) cells", "class"]
+    got = {r.l: r.v for r in spark.createDataFrame([(x,) for x in labels], "l string").select("l", variants(F.col("l")).alias("v")).collect()}
+    assert got["B cells naive"] == ["b cells naive", "naive b cell"] and got["Microglia"] == ["microglia", "microglial cell"]
+    assert got["DC"] == ["dc", "dendritic cells", "dendritic cell"] and got[None] == got[" "] == [] and got["class"] == ["class"]
+    assert got["CD4+ T-cells"] == ["cd4+ t cells", "cd4 t cells", "cd4+ t cell", "cd4 t cell"] and got["t cell"] == ["t cell"]
+    assert got["T memory (CD8+) cells"] == [
+        "t memory (cd8+) cells", "t memory cells", "t memory (cd8 ) cells", "t memory (cd8+) cell", "memory (cd8+) t cell", "t memory cell", "memory t cell",
+        "t memory (cd8 ) cell", "memory (cd8 ) t cell",
+    ]
+    assert got["Gamma (PP) cells"] == ["gamma (pp) cells", "gamma cells", "gamma (pp) cell", "gamma cell", "pancreatic pp cell"]
 
 
 def test_species(spark):
@@ -116,6 +123,60 @@ def test_choice(spark):
     ]
 
 
+def test_mcnemar_large():
+    # Against sums of exact fractions, and without cost in the counts.
+    for a, b in ((5, 9), (30, 31), (0, 40), (120, 80), (499, 520)):
+        tail = sum(math.comb(a + b, i) for i in range(min(a, b) + 1))
+        assert metrics.mcnemar(a, b) == pytest.approx(min(1.0, float(Fraction(2 * tail, 2 ** (a + b)))), rel=1e-10)
+    assert metrics.mcnemar(10**9, 10**9) == pytest.approx(1.0, abs=1e-4) and 0 <= metrics.mcnemar(10**9, 2 * 10**9) < 1e-12
+
+
+def test_paired_rows_must_meet(spark):
+    schema = "k bigint, y_true string, y_pred string"
+    a = spark.createDataFrame([(1, "x", "x"), (2, "y", "x"), (3, "y", "y")], schema)
+    b = spark.createDataFrame([(1, "X ", "y"), (2, "y", "y"), (3, "y", "y")], schema)
+    r = metrics.paired_counts(a, b, "k").first()
+    assert (r.n, r.both, r.a_only, r.b_only, r.neither, r.p_value) == (3, 1, 1, 1, 0, 1.0)
+    assert (r.macro_f1_a, r.macro_f1_b) == (pytest.approx(2 / 3, abs=1e-6), pytest.approx(0.4, abs=1e-6)) and r.macro_f1_delta == pytest.approx(0.266667)
+    for other in (b.where("k < 3"), b.withColumn("y_true", F.lit("z"))):
+        with pytest.raises(Exception, match="only one side|true labels differ"):
+            metrics.paired_counts(a, other, "k").collect()
+
+
+def test_noise_from_the_database(spark):
+    records = db(spark)
+    out = augment.generate_examples(records, 40, 1, 2, noise_rate=1.0).collect()
+    all_markers = {m for r in RECORDS for m in r[4]}
+    own = {r[0]: set(r[4]) for r in RECORDS}
+    for r in out:
+        noise = set(r.markers) - own[r.rec_id]
+        assert 1 <= len(noise) <= 2 and noise <= all_markers and len(r.markers) == len(set(r.markers))
+    given = augment.generate_examples(records, 40, 1, 2, noise_rate=1.0, noise_markers=["Z1", "Z2"]).collect()
+    assert all(len({"Z1", "Z2"} & set(r.markers)) == 1 for r in given)
+    plain = augment.generate_examples(records, 5, 1, 2, noise_rate=0.0).collect()
+    assert all(set(r.markers) <= own[r.rec_id] for r in plain)
+
+
+def test_draws_reach_the_whole_pool(spark):
+    pool = spark.createDataFrame([(f"M{i:04d}", i) for i in range(700)], "marker string, place bigint")
+    barred = spark.createDataFrame([("rare", f"M{i:04d}") for i in range(697)], "label_key string, marker string")
+    askers = spark.createDataFrame([("1", ["M0698"], 5, "rare"), ("2", None, 3, None), ("3", [], 0, "x")], "k string, own array<string>, wanted int, label_key string")
+    got = {r.k: r.drawn for r in augment.draw_markers(askers, pool, 7, barred, draws=2).collect()}
+    assert set(got["1"]) == {"M0697", "M0699"} and len(set(got["2"])) == 3 and got["3"] == []
+    assert [r.drawn for r in augment.draw_markers(askers, pool.limit(0), 7).collect()] == [[]] * 3
+
+
+def test_sync_gold(spark):
+    said = spark.createDataFrame([(0, "T cell", "Lung", ["A"], "cl_1"), (1, "x", "Skin", ["B"], None), (2, "y", None, None, "CL:3")], "rec_id bigint, y_true string, tissue string, markers array<string>, true_cl_id string")
+    gold = spark.createDataFrame([(0, "t-cell", "Lung", ["A"], "CL:1"), (1, "y", "Lung", ["C"], "CL:2"), (2, "Y", "", None, None)], "rec_id bigint, cell_type string, tissue string, markers array<string>, cell_ontology_id string")
+    got = {r.rec_id: (r.mismatch, r.change, r.original_true_cl_id, r.true_cl_id) for r in linking.sync_gold(said, gold, True).collect()}
+    assert got == {0: ("", "none", "CL:1", "CL:1"), 1: ("cell_type,tissue,markers", "filled", None, "CL:2"), 2: ("", "cleared", "CL:3", None)}
+    with pytest.raises(Exception, match="rows differ at 1"):
+        linking.sync_gold(said, gold).collect()
+    with pytest.raises(Exception, match="only one side has row 2"):
+        linking.sync_gold(said, gold.where("rec_id < 2"), True).collect()
+
+
 def test_mcnemar():
     assert metrics.mcnemar(3, 0) == pytest.approx(0.25) and metrics.mcnemar(2, 2) == 1.0 and metrics.mcnemar(0, 0) is None
 
