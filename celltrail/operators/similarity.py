@@ -22,6 +22,8 @@ from celltrail.session import cut_lineage
 ANY = "*"
 #: Decimals of a score that count.
 DIGITS = 9
+#: Records of a marker that meet its queries in one part.
+RECORDS_PER_PART = 20_000
 
 
 def marker_weights(records: DataFrame, with_negative: bool = False) -> DataFrame:
@@ -37,6 +39,10 @@ def marker_weights(records: DataFrame, with_negative: bool = False) -> DataFrame
     )
 
 
+def _parts(records: Column) -> Column:
+    return F.ceil(records / F.lit(float(RECORDS_PER_PART))).cast("int")
+
+
 def _tissue(x: Column) -> Column:
     return F.lower(F.trim(x))
 
@@ -52,18 +58,6 @@ def _keyed(queries: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame
     return asked, own.unionByName(all_of_them).join(wanted, "tkey", "left_semi")
 
 
-def _top(scored: DataFrame, fill: DataFrame, queries: DataFrame, order: list, k: int, zero: dict) -> DataFrame:
-    """The first ``k`` distinct (label, id) of each query, zero-score records filling up."""
-    key = ["q_id", "label_key", "cl_key"]
-    best = Window.partitionBy(*key).orderBy(*order)
-    rank = Window.partitionBy("q_id").orderBy(*order)
-    first = scored.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
-    short = queries.select("q_id", "tkey").join(fill, "tkey").join(first.select(*key), key, "left_anti")
-    short = short.select("q_id", "rec_id", "label_key", "cl_key", *[v.alias(n) for n, v in zero.items()])
-    ranked = first.select(*short.columns).unionByName(short).withColumn("rank", F.row_number().over(rank))
-    return ranked.where(F.col("rank") <= k)
-
-
 def _fill(records: DataFrame, k: int) -> DataFrame:
     """For each tissue the labels that come first among records of equal score; twice ``k`` always suffice."""
     keep = Window.partitionBy("tkey", "label_key", "cl_key").orderBy("rec_id")
@@ -133,33 +127,43 @@ def rank_by_overlap(queries: DataFrame, records: DataFrame, k: int = 5) -> DataF
     records that hold them. Ties go by common markers, then the later label,
     then the earlier record; each (label, id) comes once. Queries without
     markers have no candidates; of repeated ``q_id`` one row should be given.
+    Markers that very many records hold are met in parts; their number comes
+    with the weights.
     """
     queries = queries.where(F.size("markers") > 0).select("q_id", "tissue", F.array_distinct("markers").alias("markers"))
     records = _labelled(records)
-    weights = marker_weights(records).select("marker", "weight")
-    asked, held = _keyed(queries, records)
-    qx = asked.select("q_id", "tkey", F.explode("markers").alias("marker")).join(weights, "marker", "left")
-    qx = qx.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    q_weight = qx.groupBy("q_id").agg(F.sum("weight").alias("q_weight"))
-    rx = held.select("tkey", "rec_id", F.explode(F.array_distinct("markers")).alias("marker")).join(weights, "marker")
-    r_weight = rx.groupBy("tkey", "rec_id").agg(F.sum("weight").alias("r_weight"))
-    known = held.select("tkey", "rec_id", "label_key", "cl_key").join(r_weight, ["tkey", "rec_id"])
-    pairs = (
-        qx.select("q_id", "tkey", "marker")
-        .join(rx, ["tkey", "marker"])
-        .groupBy("q_id", "tkey", "rec_id")
-        .agg(F.sum("weight").alias("o"), F.count(F.lit(1)).cast("int").alias("common"))
-    )
-    score = F.round(F.col("o") / (F.col("q_weight") + F.col("r_weight") - F.col("o")), DIGITS)
-    scored = (
-        pairs.join(q_weight, "q_id")
-        .join(known, ["tkey", "rec_id"])
-        .select("q_id", "rec_id", "label_key", "cl_key", score.alias("score"), "common")
-    )
+    weights = marker_weights(records)
+    # Of records alike in all that counts the first stands for all.
+    alike = ["tissue", "label_key", "cl_key", "markers"]
+    one = records.select("rec_id", *alike[:3], F.array_sort(F.array_distinct("markers")).alias("markers"))
+    asked, held = _keyed(queries, one.groupBy(*alike).agg(F.min("rec_id").alias("rec_id")))
+
+    def weighed(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+        flat = rows.withColumn("marker", F.explode("markers")).drop("markers").join(weights, "marker", "left")
+        flat = flat.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+        # A marker of very many records is met in parts.
+        parts = _parts(F.coalesce("records", F.lit(1)))
+        return flat.withColumn(name, F.sum("weight").over(Window.partitionBy(*by))).withColumn("_parts", parts)
+
+    meet = ["tkey", "marker", "_part"]
+    qx = weighed(asked, ["q_id"], "q_weight").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    rx = weighed(held, ["tkey", "rec_id"], "r_weight").withColumn("_part", F.pmod(F.xxhash64("rec_id"), F.col("_parts")).cast("int"))
+    met = qx.select(*meet, "q_id", "q_weight").join(rx.select(*meet, "rec_id", "label_key", "cl_key", "weight", "r_weight"), meet)
+    kept = ["q_id", "rec_id", "label_key", "cl_key", "weight", "q_weight", "r_weight"]
+    none = [F.lit(0.0).alias(c) for c in kept[4:]]
+    fill = asked.select("q_id", "tkey").join(_fill(held, k), "tkey").select(*kept[:4], *none, F.lit(0).alias("one"))
+    # From here on all is by query, so one shuffle serves the sums, the labels and the ranks.
+    rows = met.select(*kept, F.lit(1).alias("one")).unionByName(fill).repartition("q_id")
+    pairs = rows.groupBy("q_id", "rec_id").agg(
+        F.sum("weight").alias("o"), F.sum("one").cast("int").alias("common"), *[F.max(c).alias(c) for c in ("q_weight", "r_weight")],
+        *[F.first(c).alias(c) for c in ("label_key", "cl_key")],
+    )
+    score = F.when(F.col("common") > 0, F.round(F.col("o") / (F.col("q_weight") + F.col("r_weight") - F.col("o")), DIGITS)).otherwise(0.0)
     order = [F.desc("score"), F.desc("common"), F.desc("label_key"), "rec_id"]
-    zero = {"score": F.lit(0.0), "common": F.lit(0)}
-    top = _top(scored, _fill(held, k), asked, order, k, zero)
-    return top.select("q_id", "rank", "rec_id", "score", "common")
+    best = Window.partitionBy("q_id", "label_key", "cl_key").orderBy(*order)
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(*order))
+    first = pairs.withColumn("score", score).withColumn("_n", F.row_number().over(best)).where("_n = 1")
+    return first.withColumn("rank", rank).where(F.col("rank") <= k).select("q_id", "rank", "rec_id", "score", "common")
 
 
 def rank_by_signed_sets(queries: DataFrame, records: DataFrame, k: int = 5, negative_weight: float = 1.0) -> DataFrame:
@@ -173,7 +177,7 @@ def rank_by_signed_sets(queries: DataFrame, records: DataFrame, k: int = 5, nega
         raise ValueError("negative_weight must not be negative")
     queries = queries.where(F.size("markers") > 0).select("q_id", "tissue", F.array_distinct("markers").alias("markers"))
     records = _labelled(records).withColumn("negatives", negative_markers(F.col("metadata"))).drop("metadata")
-    weights = marker_weights(records, with_negative=True).select("marker", "weight")
+    weights = marker_weights(records, with_negative=True).select("marker", "weight", _parts(F.col("records")).alias("_parts"))
     asked, held = _keyed(queries, records)
     sides = F.concat(
         F.transform(F.array_distinct("markers"), lambda m: F.struct(m.alias("marker"), F.lit(1).alias("sign"))),
@@ -181,9 +185,12 @@ def rank_by_signed_sets(queries: DataFrame, records: DataFrame, k: int = 5, nega
     )
     rx = held.select("tkey", "rec_id", F.explode(sides).alias("x")).select("tkey", "rec_id", "x.marker", "x.sign")
     plus, minus = F.col("sign") > 0, F.col("sign") < 0
+    meet = ["tkey", "marker", "_part"]
+    rx = rx.join(weights, "marker").withColumn("_part", F.pmod(F.xxhash64("rec_id"), F.col("_parts")).cast("int"))
+    qx = asked.select("q_id", "tkey", F.explode("markers").alias("marker")).join(weights.drop("weight"), "marker")
+    qx = qx.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     pairs = (
-        asked.select("q_id", "tkey", F.explode("markers").alias("marker"))
-        .join(rx.join(weights, "marker"), ["tkey", "marker"])
+        qx.select(*meet, "q_id").join(rx.select(*meet, "rec_id", "sign", "weight"), meet)
         .groupBy("q_id", "tkey", "rec_id")
         .agg(
             F.coalesce(F.sum(F.when(plus, F.col("weight"))), F.lit(0.0)).alias("p"),

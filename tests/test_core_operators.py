@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 from fractions import Fraction
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,15 @@ def test_records_that_share_nothing_beat_negative_ones(spark):
     assert full == [30, *range(9, -1, -1), 19, 18, 17, 16, 15, 14, 13, 12, 10]
 
 
+def test_hot_markers_meet_in_parts(spark, monkeypatch):
+    rng = Random(4)
+    rows = [(i, rng.choice(["Blood", "Lung"]), f"label {i % 9}", None, rng.sample(["A", "B", "C", "D", "E"], 3), "a", None, {"negative_markers": "E"} if i % 4 == 0 else {}) for i in range(80)]
+    queries = spark.createDataFrame([(i, rng.choice(["Blood", "Liver"]), rng.sample(["A", "B", "C", "E", "Z"], 2)) for i in range(20)], QUERIES)
+    whole = [sorted(map(tuple, f(queries, db(spark, rows), 4).collect())) for f in (rank_by_overlap, rank_by_signed_sets)]
+    monkeypatch.setattr("celltrail.operators.similarity.RECORDS_PER_PART", 7)
+    assert whole == [sorted(map(tuple, f(queries, db(spark, rows), 4).collect())) for f in (rank_by_overlap, rank_by_signed_sets)]
+
+
 def test_model_annotators(spark):
     queries = spark.createDataFrame([(1, "Blood", ["CD3D"]), (2, "Blood", [])], QUERIES)
 
