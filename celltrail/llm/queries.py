@@ -12,7 +12,7 @@ from celltrail.llm.overlap import overlap_counts, overlap_pairs
 from celltrail.llm.packing import pack_documents, packing_report, token_counts
 from celltrail.llm.related import related_groups, related_splits
 from celltrail.llm.responses import defective, flag_responses
-from celltrail.llm.subjects import corpus_shares, document_subjects, fit_subjects
+from celltrail.llm.subjects import corpus_shares, document_subjects
 from celltrail.session import cut_lineage, table
 
 
@@ -111,9 +111,9 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus's shares by subject."""
-    documents = table(spark, sf_dir, "documents")
-    models = fit_subjects(documents, table(spark, sf_dir, "doc_subject"), table(spark, sf_dir, "subject_area"))
-    return corpus_shares(documents, models)
+    return corpus_shares(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_subject"), table(spark, sf_dir, "subject_area")
+    )
 
 
 QUERIES = {

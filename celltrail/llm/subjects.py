@@ -1,15 +1,17 @@
 """Subject areas of documents, by interpolated n-gram language models.
 
-One bigram model for each subject, interpolated with its unigram model and the
-model of the whole corpus. A sentence belongs to a subject as far as the
-subject's model needs fewer bits per token for it than the background, given
-what the document's other sentences are about. Hand labels of whole documents
-start the models; passes over all sentences of the corpus then re-estimate them
-from the sentences' own posteriors. A document is accepted for every subject
-that enough of its sentences deal with.
-
-N-grams are counted in hashed tables of fixed size, so the models a worker
-holds have a size that doesn't depend on the corpus.
+For each language and subject there is a bigram model P(w | v), interpolated
+with the subject's unigram model and with the background model of all text of
+the language. A sentence deals with the subject whose model needs fewest bits
+per token, if it needs fewer than the background by a margin that is calibrated
+on labelled documents held out of the models. A document is accepted for every
+subject that enough of its sentences deal with.
+
+Labelled documents and the background are counted in one pass; ``VOTES`` more
+let all sentences of the corpus vote by their posteriors, so that few labels
+do; the last pass reads the result. N-grams are counted exactly by the shuffle;
+those under ``RARE`` of their language's tokens are left out of the models,
+whose size so has a bound that doesn't depend on the corpus.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from celltrail.session import cut_lineage, shuffle_width
 
@@ -31,20 +32,24 @@ from celltrail.session import cut_lineage, shuffle_width
 SHARE = 0.25
 #: Words that a worker scores together.
 WORDS_AT_ONCE = 60_000
-UNIGRAM_BITS = 20
-BIGRAM_BITS = 20
-#: Most passes over the corpus; fewer if the subjects' shares of it move by less than ``SETTLED`` of themselves.
-PASSES = 5
-SETTLED = 0.02
-#: Nats of gain that a sentence needs before it deals with any subject.
-LEAST_GAIN = 0.8
-GAINS = (0.4, 0.6, 0.8, 1.0, 1.2, 1.5)
+#: Share of a language's tokens below which an n-gram says nothing: at most 1 / RARE unigrams and bigrams a language.
+RARE = 4e-6
+#: Share of a language's tokens below which a word doesn't tell the language.
+RARE_FOR_LANGUAGE = 1e-5
+#: Passes over the corpus in which sentences vote by their posteriors.
+VOTES = 2
+#: Nats a token by which a subject's model must beat the background before calibration, and the margins tried.
+MARGIN = 0.06
+MARGINS = (0.02, 0.03, 0.04, 0.05, 0.06, 0.075, 0.09, 0.11, 0.13)
+#: One in so many labelled documents is held out to calibrate.
+HELD_OUT = 5
 #: Most labelled documents the models start from; beyond it, those with the smallest hashes.
 LABELLED = 200_000
 
 _END = re.compile(r"[.!?。！？…]+[\"'”’»)\]]*(?:\s+|$)|\n+")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
-_LONG, _USUAL = 22, 11
+#: A stretch longer than ``LOST`` times the 99th percentile of all has lost its stops.
+LOST = 1.25
 
 # Three-letter language codes and their two-letter forms.
 _CODES = {
@@ -53,7 +58,7 @@ _CODES = {
     "tur": "tr", "ell": "el", "gre": "el", "hun": "hu", "ron": "ro", "rum": "ro", "ukr": "uk", "zho": "zh", "chi": "zh",
     "jpn": "ja", "kor": "ko", "ara": "ar", "hin": "hi",
 }
-MOST_LANGUAGES = 32
+
 
 class _Hashes(dict):
     """Hashes of words met so far."""
@@ -61,7 +66,7 @@ class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        self[word] = value = crc32(word.encode())
+        self[word] = value = crc32(b"#" if word[0].isdigit() else word.encode())
         return value
 
 
@@ -69,21 +74,33 @@ _hashes = _Hashes()
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """Sentences as lower-case tokens; digits are one token.
+    """Sentences as lower-case tokens, as their stops and line ends cut them."""
+    parts = (_TOKEN.findall(part) for part in _END.split((text or "").lower()))
+    return [p for p in parts if p]
 
-    A stretch too long for a sentence has lost its stops and is cut into pieces
-    of usual length.
-    """
-    out = []
-    for part in _END.split(text or ""):
-        words = ["#" if w[0].isdigit() else w for w in _TOKEN.findall(part.lower())]
-        if len(words) > _LONG:
-            n = round(len(words) / _USUAL)
-            cuts = [len(words) * i // n for i in range(n + 1)]
-            out += [words[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        elif words:
-            out.append(words)
-    return out
+
+def encode(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's words, digits being one word, and the words of each sentence."""
+    parts = sentences(text)
+    words = np.fromiter((_hashes[w] for p in parts for w in p), np.uint32, sum(map(len, parts)))
+    return words.view(np.int32), np.fromiter(map(len, parts), np.int32, len(parts))
+
+
+@dataclass
+class Lengths:
+    """The usual length of a sentence, and the length from which a stretch has lost its stops."""
+
+    usual: float = 11.0
+    lost: float = 1e9
+
+    def cut(self, lengths: np.ndarray) -> np.ndarray:
+        """Sentence lengths with long stretches cut into pieces of usual length."""
+        if not len(lengths) or lengths.max() <= self.lost:
+            return lengths
+        many = np.where(lengths > self.lost, np.maximum(np.rint(lengths / self.usual), 1), 1).astype(np.int64)
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        size, pieces = np.repeat(lengths, many).astype(np.int64), np.repeat(many, many)
+        return (size * (nth + 1) // pieces - size * nth // pieces).astype(lengths.dtype)
 
 
 @dataclass
@@ -98,38 +115,34 @@ class Encoded:
     def __post_init__(self) -> None:
         self.starts = _starts(self.lengths)
         self.text_starts = _starts(self.sentences)
-        self.sizes = np.add.reduceat(self.lengths, self.text_starts)  # words by text
+        self.of_sentence = np.repeat(np.arange(len(self.lengths)), self.lengths)
 
-    def unigrams(self, language: np.ndarray | int) -> np.ndarray:
-        """Hashed words, each of its sentence's language."""
-        return ((self._of(language) >> np.uint64(20)) & np.uint64((1 << UNIGRAM_BITS) - 1)).astype(np.int64)
+    def unigrams(self, language: np.ndarray) -> np.ndarray:
+        """Keys of the words, each of its sentence's language."""
+        key = (language.astype(np.uint64) + np.uint64(2)) * np.uint64(0x100000001B3)
+        return _mixed(self.words + (key[self.of_sentence] << np.uint64(20)))
 
-    def bigrams(self, language: np.ndarray | int) -> np.ndarray:
-        """Hashed pairs of each word with the one before it in its sentence."""
-        ids = self._of(language)
-        before = np.concatenate([ids[:1], ids[:-1]])
-        before[self.starts] = 1
-        pairs = (before * np.uint64(0x9E3779B97F4A7C15)) ^ ids
-        pairs = pairs * np.uint64(0xC2B2AE3D27D4EB4F)
-        return ((pairs >> np.uint64(24)) & np.uint64((1 << BIGRAM_BITS) - 1)).astype(np.int64)
+    def bigrams(self, unigrams: np.ndarray) -> np.ndarray:
+        """Keys of each word after the one before it in its sentence."""
+        return _mixed((self.before(unigrams) * np.uint64(0x9E3779B97F4A7C15)) ^ unigrams)
 
-    def _of(self, language: np.ndarray | int) -> np.ndarray:
-        key = (np.asarray(language) + 2).astype(np.uint64) * np.uint64(0x100000001B3)
-        return (self.words + (np.repeat(key, self.lengths) if key.ndim else key)) * np.uint64(0x9E3779B97F4A7C15)
+    def before(self, unigrams: np.ndarray) -> np.ndarray:
+        """The key of the word before each, one of its own at the start of a sentence."""
+        out = np.concatenate([unigrams[:1], unigrams[:-1]])
+        out[self.starts] = 1
+        return out
 
 
-def _starts(lengths: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(29))
 
 
-def encode(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a text's words, and the words of each sentence."""
-    parts = sentences(text)
-    words = np.fromiter((_hashes[w] for p in parts for w in p), np.uint32, sum(map(len, parts)))
-    return words.view(np.int32), np.fromiter(map(len, parts), np.int32, len(parts))
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
 
 
-def lots(texts: Iterable[tuple[np.ndarray, np.ndarray]], most: int = WORDS_AT_ONCE) -> Iterator[Encoded]:
+def lots(texts: Iterable[tuple[np.ndarray, np.ndarray]], cut: Lengths, most: int = WORDS_AT_ONCE) -> Iterator[Encoded]:
     """Encoded texts in lots of about ``most`` words, a long text being a lot of its own; empty ones are left out."""
     rows: list[int] = []
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -142,7 +155,7 @@ def lots(texts: Iterable[tuple[np.ndarray, np.ndarray]], most: int = WORDS_AT_ON
     for row, (words, lengths) in enumerate(texts):
         if len(lengths):
             rows.append(row)
-            held.append((words, lengths))
+            held.append((words, cut.cut(np.asarray(lengths))))
             size += len(words)
             if size >= most:
                 yield lot()
@@ -151,379 +164,406 @@ def lots(texts: Iterable[tuple[np.ndarray, np.ndarray]], most: int = WORDS_AT_ON
         yield lot()
 
 
-def encoded(texts: Iterable[str | None]) -> Iterator[Encoded]:
-    """All texts in lots."""
-    return lots(map(encode, texts))
+@dataclass
+class Table:
+    """Sorted keys, each with a row of numbers; keys that aren't there have the row of zeros at the end."""
+
+    keys: np.ndarray
+    rows: np.ndarray
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys; one past the last where a key isn't there."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == keys, at, len(self.keys))
+
+
+def _table(keys: np.ndarray, rows: np.ndarray) -> Table:
+    order = np.argsort(keys)
+    return Table(keys[order], np.concatenate([rows[order], np.zeros((1, rows.shape[1]), rows.dtype)]))
 
 
 @dataclass
 class Languages:
-    """Unigram models of the languages that the corpus names, to tell what a text is written in.
+    """Unigram models of the languages that the corpus names, to tell what a sentence is written in.
 
-    ``costs`` has a row for each of ``places``, and a first one for all others.
+    A word has an entry for each language that has it: how much likelier it is
+    there than a word the language has never seen.
     """
 
     names: list[str]
-    places: np.ndarray
-    costs: np.ndarray
-
-    def reader(self) -> LanguageReader:
-        return LanguageReader(self)
-
-
-class LanguageReader:
-    def __init__(self, languages: Languages):
-        self.many, self.costs = len(languages.names) > 1, languages.costs
-        self.row = np.zeros(1 << UNIGRAM_BITS, np.int32)
-        self.row[languages.places] = np.arange(1, len(languages.places) + 1)
+    keys: np.ndarray  # words, sorted
+    first: np.ndarray  # first entry of each word, and their number after the last
+    entries: np.ndarray  # language of each entry
+    gains: np.ndarray
+    unseen: np.ndarray  # by language
 
     def of(self, texts: Encoded) -> np.ndarray:
         """The likeliest language of each sentence; texts may change theirs."""
-        if not self.many:
+        if len(self.names) < 2 or not len(self.keys):
             return np.zeros(len(texts.lengths), np.int64)
-        costs = self.costs[self.row[texts.unigrams(-1)]]
-        return np.add.reduceat(costs, texts.starts, axis=0).argmax(axis=1)
-
-
-class Places:
-    """Rows of a growing table, one for each used place of a hashed space of fixed size."""
-
-    def __init__(self, bits: int, columns: int):
-        self.row = np.zeros(1 << bits, np.int32)  # row 0 is for places not used
-        self.table = np.zeros((1024, columns), np.float32)
-        self.language = np.zeros(1024, np.int16)
-        self.used = 1
-
-    def rows(self, places: np.ndarray, language: np.ndarray) -> np.ndarray:
-        at = self.row[places]
-        if not at.all():
-            new, first = np.unique(places[at == 0], return_index=True)
-            language = language[at == 0][first]
-            while self.used + len(new) > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.language = np.concatenate([self.language, np.zeros_like(self.language)])
-            span = np.arange(self.used, self.used + len(new))
-            self.row[new] = span
-            self.language[span] = language
-            self.used += len(new)
-            at = self.row[places]
-        return at
-
-    def add(self, places: np.ndarray, language: np.ndarray, weights: np.ndarray) -> None:
-        """Adds a row of weights to each place, which may come several times."""
-        rows = self.rows(places, language)
-        order = np.argsort(rows, kind="stable")
-        kept, starts = np.unique(rows[order], return_index=True)
-        self.table[kept] += np.add.reduceat(weights[order], starts, axis=0)
+        at = np.minimum(np.searchsorted(self.keys, texts.words), len(self.keys) - 1)
+        known = np.flatnonzero(self.keys[at] == texts.words)
+        at = at[known]
+        many = self.first[at + 1] - self.first[at]
+        entry = np.repeat(self.first[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        sentence = np.repeat(texts.of_sentence[known], many)
+        size = len(self.names)
+        score = np.bincount(sentence * size + self.entries[entry], self.gains[entry], len(texts.lengths) * size)
+        return (score.reshape(-1, size) + texts.lengths[:, None] * self.unseen).argmax(axis=1)
 
 
 @dataclass
 class SubjectModels:
-    """What each used n-gram says for each subject: probability over the background's, mixed with it.
+    """For each n-gram the nats by which each subject's model beats the background, a row a key.
 
-    ``places`` and ``ratios`` are of unigrams and bigrams. Counts are weighted by
-    the posteriors of sentences; the background is all text of a language.
+    A pair that the corpus has seen is read by the bigram models, another word by the unigram models.
     """
 
     names: list[str]
     languages: Languages
-    places: tuple[np.ndarray, np.ndarray]
-    ratios: tuple[np.ndarray, np.ndarray]
-    least: float = LEAST_GAIN
-
-
-def models_from(
-    names: list[str],
-    languages: Languages,
-    rows: pd.DataFrame,
-    own: float = 0.8,
-    strength: float = 60.0,
-    focus: float = 0.6,
-    doubt: float = 1.0,
-) -> SubjectModels:
-    """Models of summed counts: rows of ``kind``, ``place``, ``language``, ``c0`` (all) and ``c1`` ... by subject.
-
-    ``own`` weighs a subject's model against the background, ``strength`` is how
-    many background tokens a subject's counts are mixed with. N-grams that no two
-    subjects hold by ``focus`` say nothing; ``doubt`` uses by all subjects alike
-    are added to those seen.
-    """
-    k, spoken = len(names), max(len(languages.names), 1)
-    totals = np.zeros((spoken, k + 1))
-    places, ratios = [], []
-    for kind in (0, 1):
-        part = rows[rows["kind"] == kind].sort_values("place")
-        values = part[[f"c{i}" for i in range(k + 1)]].to_numpy(float)
-        language = part["language"].to_numpy(int)
-        if kind == 0:
-            np.add.at(totals, language, values)
-        back = values[:, :1] / np.maximum(totals[language, :1], 1.0)
-        mass = totals[language, 1:]
-        ratio = (values[:, 1:] / np.maximum(back, 1e-12) + strength) / (mass + strength)
-        ratio = own * ratio + (1 - own)
-        share = mass / np.maximum(mass.sum(axis=1, keepdims=True), 1e-9)
-        share = (values[:, 1:] + doubt * share) / (values[:, 1:].sum(axis=1, keepdims=True) + doubt)
-        ratio[np.sort(share, axis=1)[:, -2:].sum(axis=1) < focus] = 1.0
-        places.append(part["place"].to_numpy(np.int64))
-        ratios.append(np.concatenate([np.ones((1, k)), ratio]).astype(np.float32))
-    return SubjectModels(names, languages, tuple(places), tuple(ratios))
-
-
-class Reader:
-    """Tells what sentences are about."""
-
-    def __init__(self, models: SubjectModels, pair: float = 0.3, floor: float = 0.1):
-        self.names, self.languages, self.least = models.names, models.languages.reader(), models.least
-        self.pair, self.floor, self.ratios = pair, floor, models.ratios
-        self.rows = []
-        for bits, places in zip((UNIGRAM_BITS, BIGRAM_BITS), models.places, strict=True):
-            row = np.zeros(1 << bits, np.int32)
-            row[places] = np.arange(1, len(places) + 1)
-            self.rows.append(row)
-
-    def log_gain(self, texts: Encoded, language: np.ndarray) -> np.ndarray:
-        """Nats by which each subject's model beats the language's background, by sentence."""
-        one = self.ratios[0][self.rows[0][texts.unigrams(language)]]
-        two = self.ratios[1][self.rows[1][texts.bigrams(language)]]
-        return np.add.reduceat(np.log((1 - self.pair) * one + self.pair * two), texts.starts, axis=0).astype(float)
-
-    def read(self, texts: Encoded, allowed: np.ndarray | None = None, free: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """By sentence the language, and the posterior of no subject (column 0) and of each.
-
-        No subject stands for a gain of ``least`` nats; what else the document
-        is about shifts the odds between subjects, not against none. ``allowed``
-        holds the labelled subjects of each text, ``free`` marks texts without labels.
+    lengths: Lengths
+    words: Table
+    pairs: Table
+    margin: float = MARGIN
+
+    def gains(self, texts: Encoded, language: np.ndarray) -> np.ndarray:
+        """Cross-entropy of the background less that of each subject, in nats a token, by sentence."""
+        unigrams = texts.unigrams(language)
+        pair = self.pairs.find(texts.bigrams(unigrams))
+        gain = self.pairs.rows[pair]
+        alone = pair == len(self.pairs.keys)
+        gain[alone] = self.words.rows[self.words.find(unigrams[alone])]
+        return np.add.reduceat(gain.astype(float), texts.starts, axis=0) / texts.lengths[:, None]
+
+    def posteriors(self, texts: Encoded, gain: np.ndarray, margin: float, allowed: np.ndarray | None = None, floor: float = 0.1) -> np.ndarray:
+        """By sentence the probability of each subject; what is missing to one is of none.
+
+        What else a document is about shifts the odds between subjects, not
+        against none. ``allowed`` holds the labelled subjects of each text, none
+        for texts without labels.
         """
         k = len(self.names)
-        language = self.languages.of(texts)
-        gain = self.log_gain(texts, language)
+        total = gain * texts.lengths[:, None]
         if allowed is not None:
-            shift = np.where(free[:, None], 0.0, np.where(allowed, 1.0, -4.0))
-            gain = gain + np.repeat(shift, texts.sentences, axis=0)
-        top = gain.max(axis=1, keepdims=True)
-        none = 1.0 / (1.0 + np.exp(np.clip(top - self.least, -50, 50)))
-        like = np.exp(gain - top)
+            free = ~allowed.any(axis=1, keepdims=True)
+            total = total + np.repeat(np.where(free, 0.0, np.where(allowed, 1.0, -4.0)), texts.sentences, axis=0)
+        top = total.max(axis=1, keepdims=True)
+        some = 1.0 / (1.0 + np.exp(np.clip(margin * texts.lengths[:, None] - top, -50, 50)))
+        like = np.exp(total - top)
         prior = np.full((len(texts.rows), k), 1.0 / k)
         for _ in range(4):
             post = like * np.repeat(prior, texts.sentences, axis=0)
-            post *= (1 - none) / post.sum(axis=1, keepdims=True)
+            post *= some / post.sum(axis=1, keepdims=True)
             by = np.add.reduceat(post, texts.text_starts, axis=0)
-            prior = (by + self.floor) / (by.sum(axis=1, keepdims=True) + k * self.floor)
-        return language, np.concatenate([none, post], axis=1)
+            prior = (by + floor) / (by.sum(axis=1, keepdims=True) + k * floor)
+        return post
+
+    def counted(self, texts: Encoded, margins: Iterable[float]) -> Iterator[np.ndarray]:
+        """For each margin the sentences of each text by subject, those of none first.
+
+        A sentence none of whose subjects beats the background by the margin is
+        of none; between subjects that do, the document's other sentences count too.
+        """
+        gain = self.gains(texts, self.languages.of(texts))
+        top = gain.max(axis=1)
+        for margin in margins:
+            said = np.where(top >= margin, self.posteriors(texts, gain, margin).argmax(axis=1) + 1, 0)
+            yield np.add.reduceat(np.eye(len(self.names) + 1, dtype=np.int64)[said], texts.text_starts, axis=0)
 
-    def counted(self, texts: Iterable[str | None]) -> Iterator[tuple[int, int, int, int]]:
-        """(text, subject, its sentences, all sentences) of each subject that a sentence deals with."""
-        for lot in encoded(texts):
-            best = self.read(lot)[1].argmax(axis=1)
-            counts = np.add.reduceat(np.eye(len(self.names) + 1, dtype=np.int64)[best], lot.text_starts, axis=0)[:, 1:]
-            for i, s in zip(*np.nonzero(counts), strict=True):
-                yield int(lot.rows[i]), int(s), int(counts[i, s]), int(lot.sentences[i])
+
+def models_from(
+    names: list[str], languages: Languages, lengths: Lengths, rows: pd.DataFrame, trust: float = 60.0, prior: float = 20.0,
+    focus: float = 0.45, doubt: tuple[float, float] = (1.0, 8.0), own: float = 0.8,
+) -> SubjectModels:
+    """Models of summed counts: rows of ``kind``, ``key``, ``before``, ``word``, ``language``, ``c0`` (all) and ``c1`` ... by subject.
+
+    With P0 the background, a subject's unigram model is
+    P(w) = (c(w) + ``trust`` P0(w)) / (n + ``trust``), and its bigram model
+    P(w | v) = (c(v, w) + ``prior`` Q(w | v)) / (c(v) + ``prior``), where
+    Q(w | v) is P0(w | v) P(w) / P0(w), made to sum to one. Both are mixed with
+    the background, which weighs 1 - ``own``. N-grams whose two commonest
+    subjects don't hold ``focus`` of what they could beyond an even share (``doubt`` uses of a word or pair by all alike are added) are
+    left to what the word says alone, words to the background.
+    """
+    k, spoken = len(names), max(len(languages.names), 1)
+    columns = [f"c{i}" for i in range(k + 1)]
+    one, two = (rows[rows["kind"] == kind].sort_values("key") for kind in (0, 1))
+
+    def numbers(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys = part["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        return keys[order], part["language"].to_numpy(int)[order], part[columns].to_numpy(float)[order]
+
+    keys, language, count = numbers(one)
+    total = np.zeros((spoken, k + 1))
+    np.add.at(total, language, count)
+
+    def quiet(count: np.ndarray, language: np.ndarray, doubt: float) -> np.ndarray:
+        share = total[language, 1:] / np.maximum(total[language, 1:].sum(axis=1, keepdims=True), 1e-9)
+        share = (count[:, 1:] + doubt * share) / (count[:, 1:].sum(axis=1, keepdims=True) + doubt)
+        most = 2 if k > 2 else 1
+        return np.sort(share, axis=1)[:, -most:].sum(axis=1) < most / k + (1 - most / k) * focus - 1e-9
+
+    base = count[:, :1] / np.maximum(total[language, :1], 1.0)
+    ratio = (count[:, 1:] / np.maximum(base, 1e-12) + trust) / (total[language, 1:] + trust)
+    gain = np.log(own * ratio + 1 - own)
+    gain[quiet(count, language, doubt[0])] = 0.0
+    words = _table(keys, gain.astype(np.float32))
+
+    pair_keys, pair_language, pair = numbers(two)
+    order = np.argsort(two["key"].to_numpy(np.int64).view(np.uint64))
+    before = two["before"].to_numpy(np.int64).view(np.uint64)[order]
+    word = two["word"].to_numpy(np.int64).view(np.uint64)[order]
+    finder = Table(keys, np.concatenate([count, np.zeros((1, k + 1))]))
+    start = before == 1
+    of_before = finder.rows[finder.find(before)]
+    if start.any():  # sentences start with a word of their own, as often as pairs say
+        sums = np.zeros((spoken, k + 1))
+        np.add.at(sums, pair_language[start], pair[start])
+        of_before[start] = sums[pair_language[start]]
+    ratios = np.concatenate([ratio, np.ones((1, k))])[finder.find(word)]
+    back = pair[:, :1] / np.maximum(of_before[:, :1], pair[:, :1])
+    group = before ^ (pair_language.astype(np.uint64) * start)
+    _, at = np.unique(group, return_inverse=True)
+    mass, whole = np.zeros((at.max() + 1 if len(at) else 0, k)), np.zeros((at.max() + 1 if len(at) else 0, 1))
+    np.add.at(mass, at, back * ratios)
+    np.add.at(whole, at, back)
+    z = mass + np.maximum(1 - whole, 0)  # pairs left out keep the background's mass
+    expected = ratios / np.maximum(z[at], 1e-9) if len(at) else ratios
+    ratio2 = (pair[:, 1:] / np.maximum(back, 1e-12) + prior * expected) / (of_before[:, 1:] + prior)
+    gain2 = np.log(own * ratio2 + 1 - own)
+    alone = quiet(pair, pair_language, doubt[1])
+    gain2[alone] = np.concatenate([gain, np.zeros((1, k))])[finder.find(word[alone])]
+    return SubjectModels(names, languages, lengths, words, _table(pair_keys, gain2.astype(np.float32)))
 
 
 class Counts:
-    """Weighted n-grams of a partition."""
+    """Weighted n-grams of a partition, merged whenever they are many."""
 
     def __init__(self, columns: int):
-        self.of = [Places(UNIGRAM_BITS, columns), Places(BIGRAM_BITS, columns)]
+        self.columns, self.held, self.size = columns, ([], []), 0
 
     def add(self, texts: Encoded, language: np.ndarray, weights: np.ndarray) -> None:
-        by_word = np.repeat(weights.astype(np.float32), texts.lengths, axis=0)
-        spoken = np.repeat(language, texts.lengths)
-        for held, places in zip(self.of, (texts.unigrams(language), texts.bigrams(language)), strict=True):
-            held.add(places, spoken, by_word)
+        """``weights`` by sentence: the background's and each subject's."""
+        unigrams = texts.unigrams(language)
+        spoken = language[texts.of_sentence]
+        by_word = weights.astype(np.float32)[texts.of_sentence]
+        before = texts.before(unigrams)
+        self._merge(0, [(unigrams, np.stack([unigrams, unigrams, spoken.astype(np.uint64)], axis=1), by_word)])
+        self._merge(1, [(texts.bigrams(unigrams), np.stack([before, unigrams, spoken.astype(np.uint64)], axis=1), by_word)])
+        if self.size > 2_000_000:
+            self.size = 0
+            for kind in (0, 1):
+                parts, self.held[kind][:] = self.held[kind][:], []
+                self._merge(kind, parts)
+
+    def _merge(self, kind: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        keys, marks, weights = (np.concatenate(column) for column in zip(*parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        kept, starts = np.unique(keys[order], return_index=True)
+        self.held[kind].append((kept, marks[order[starts]], np.add.reduceat(weights[order], starts, axis=0)))
+        self.size += len(kept)
 
     def frames(self) -> Iterator[pd.DataFrame]:
-        for kind, held in enumerate(self.of):
-            used = np.flatnonzero(held.row)
-            for some in np.array_split(used, max(1, len(used) // 20_000)):
-                rows = held.row[some]
-                fixed = {
-                    "kind": np.full(len(some), kind, np.int32),
-                    "place": some.astype(np.int32),
-                    "language": held.language[rows].astype(np.int32),
-                }
-                yield pd.DataFrame(fixed | {f"c{i}": held.table[rows, i] for i in range(held.table.shape[1])})
-
-
-def fit_languages(documents: DataFrame) -> Languages:
-    """Language models from the documents' own codes; the commonest codes, wrong ones included."""
-    head = F.lower(F.regexp_extract("lang", r"^\s*([A-Za-z]{2,3})\s*(?:[-_].*)?$", 1))
-    known = F.create_map(*[F.lit(x) for pair in _CODES.items() for x in pair])
-    code = F.coalesce(known[head], head)
-    codes = documents.groupBy("lang").count().withColumn("code", code).where("length(code) = 2")
-    codes = cut_lineage(codes.select("lang", "code", "count"))
-    rows = codes.groupBy("code").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "code").limit(MOST_LANGUAGES).collect()
-    most = max((r["n"] for r in rows), default=0)
-    names = sorted(r["code"] for r in rows if r["n"] * 200 >= most)
-    if len(names) < 2:
-        return Languages(names, np.zeros(0, np.int64), np.zeros((1, max(len(names), 1)), np.float32))
-    texts = documents.where("text is not null").join(codes.where(F.col("code").isin(names)).select("lang", "code"), "lang")
-    at = {name: i for i, name in enumerate(names)}
+        for kind in (0, 1):
+            if not self.held[kind]:
+                continue
+            parts, self.held[kind][:] = self.held[kind][:], []
+            self._merge(kind, parts)
+            keys, marks, weights = self.held[kind][0]
+            for i in range(0, len(keys), 20_000):
+                some = slice(i, i + 20_000)
+                fixed = {"kind": np.full(len(keys[some]), kind, np.int32), "key": keys[some].view(np.int64)}
+                fixed |= {n: np.ascontiguousarray(marks[some, j]).view(np.int64) for j, n in enumerate(("before", "word"))}
+                fixed["language"] = marks[some, 2].astype(np.int32)
+                yield pd.DataFrame(fixed | {f"c{j}": weights[some, j] for j in range(self.columns)})
+
+
+_ENCODED = "words array<int>, lengths array<int>"
+
+
+def encode_texts(rows: DataFrame, kept: str) -> DataFrame:
+    """``rows`` (``text`` and the columns of the DDL ``kept``) with their texts encoded, written to the shared folder."""
+    names = [c.strip().split(" ")[0] for c in kept.split(",")]
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = Places(UNIGRAM_BITS, len(names))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            codes = frame["code"].map(at).to_numpy()
-            for lot in encoded(frame["text"]):
-                own = np.eye(len(names), dtype=np.float32)[codes[lot.rows]]
-                held.add(lot.unigrams(-1), np.zeros(len(lot.words), np.int16), np.repeat(own, lot.sizes, axis=0))
-        used = np.flatnonzero(held.row)
-        for some in np.array_split(used, max(1, len(used) // 20_000)):
-            counts = {f"c{i}": held.table[held.row[some], i] for i in range(len(names))}
-            yield pd.DataFrame({"place": some.astype(np.int32)} | counts)
-
-    columns = [f"c{i}" for i in range(len(names))]
-    summed = texts.select("text", "code").mapInPandas(count, "place int, " + ", ".join(f"{c} float" for c in columns))
-    got = summed.groupBy("place").agg(*[F.sum(c).alias(c) for c in columns]).toPandas().sort_values("place")
-    counts = np.concatenate([np.zeros((1, len(names))), got[columns].to_numpy(float)])
-    costs = np.log((counts + 0.2) / (counts.sum(axis=0) + 0.2 * (1 << UNIGRAM_BITS)))
-    return Languages(names, got["place"].to_numpy(np.int64), costs.astype(np.float32))
-
-
-def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, passes: int = PASSES) -> SubjectModels:
-    """Models of the subjects, from labelled documents first and then from all.
+            for i in range(0, len(frame), 1000):
+                some = frame.iloc[i : i + 1000]
+                known = [encode(t) for t in some["text"]]
+                texts = {"words": [w for w, _ in known], "lengths": [n for _, n in known]}
+                yield pd.DataFrame({n: some[n].to_numpy() for n in names} | texts)
 
-    ``labels`` has ``doc_id`` and ``subject``; several rows a document are
-    several subjects, unknown subjects are ignored. Where documents have a
-    translation (``tgt_text``), it trains with the same label, so a subject
-    labelled in one language is known in the other. Every pass reads all
-    documents; its counts come to the driver as one row for each used place of
-    the hashed tables, a bounded number. Passes end when the subjects' shares
-    have settled.
+    width = max(rows.sparkSession.sparkContext.defaultParallelism, shuffle_width(rows.sparkSession))
+    return cut_lineage(rows.select(*names, "text").repartition(width).mapInPandas(run, f"{kept}, {_ENCODED}"))
+
+
+def fit_lengths(texts: DataFrame) -> Lengths:
+    """The usual and the longest ordinary sentence of all."""
+    found = texts.select(F.explode("lengths").alias("n")).agg(F.percentile("n", F.array(F.lit(0.5), F.lit(0.99))).alias("p")).first()["p"]
+    return Lengths(max(found[0], 1.0), max(LOST * found[1], 2 * found[0])) if found else Lengths()
+
+
+def language_code(lang: str = "lang"):
+    """The two letters, or three where there is no shorter form, that a language code begins with."""
+    head = F.lower(F.regexp_extract(lang, r"^\s*([A-Za-z]{2,3})\s*(?:[-_].*)?$", 1))
+    known = F.create_map(*[F.lit(x) for pair in _CODES.items() for x in pair])
+    return F.nullif(F.coalesce(known[head], head), F.lit(""))
+
+
+def fit_languages(texts: DataFrame) -> Languages:
+    """Language models from the texts' own codes (``code``), wrong ones included; all codes count.
+
+    A language of few texts is smoothed most, so it wins only sentences whose
+    words the others lack.
     """
-    spark = documents.sparkSession
-    names = sorted(r["subject"] for r in subjects.select("subject").distinct().collect() if r["subject"])
-    languages = fit_languages(documents)
-    k = len(names)
-    if not names:
-        return models_from(names, languages, pd.DataFrame({"kind": [0][:0], "place": [0][:0], "language": [0][:0], "c0": []}))
-    known = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    marked = (
-        labels.select("doc_id", known[F.col("subject")].alias("s"))
-        .where("s is not null")
-        .groupBy("doc_id")
-        .agg(F.collect_set("s").alias("marked"))
-    )
-    if marked.count() > LABELLED:
-        marked = marked.orderBy(F.xxhash64("doc_id")).limit(LABELLED)
-    other = F.col("tgt_text") if "tgt_text" in documents.columns else F.lit(None).cast("string")
-    sides = F.filter(F.array("text", F.when(other != F.col("text"), other)), lambda t: t.isNotNull())
-    texts = documents.select("doc_id", F.explode(sides).alias("text")).join(marked, "doc_id", "left").select("text", "marked")
-    width = max(spark.sparkContext.defaultParallelism, shuffle_width(spark))
-
-    def encode_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for some in np.array_split(np.arange(len(frame)), max(1, len(frame) // 1000)):
-                known = [encode(frame["text"].iloc[i]) for i in some]
-                marks = [frame["marked"].iloc[i] for i in some]
-                yield pd.DataFrame({"words": [w for w, _ in known], "lengths": [n for _, n in known], "marked": marks})
-
-    encoded_texts = texts.repartition(width).mapInPandas(encode_all, "words array<int>, lengths array<int>, marked array<int>")
-    texts = cut_lineage(encoded_texts)
-    schema = "kind int, place int, language int, " + ", ".join(f"c{i} float" for i in range(k + 1))
-    models, mass = None, np.zeros(k)
-    for _ in range(passes):
-        held = spark.sparkContext.broadcast((models, languages))
-
-        def count(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            models, spoken = held.value
-            reader = Reader(models) if models else None
-            languages = spoken.reader()
+    names = sorted(r["code"] for r in texts.where("code is not null and size(words) > 0").select("code").distinct().collect())  # codes of three letters
+    nothing = np.zeros(0, np.int64)
+    if len(names) < 2:
+        return Languages(names, nothing.astype(np.uint64), np.zeros(1, np.int64), nothing, nothing.astype(float), np.zeros(max(len(names), 1)))
+    counts = texts.where("code is not null").select("code", F.explode("words").alias("w")).groupBy("code", "w").agg(F.count(F.lit(1)).alias("n"))
+    sums = texts.where("code is not null").groupBy("code").agg(F.sum(F.size("words")).alias("all"))
+    kept = counts.join(F.broadcast(sums), "code").where(F.col("n") >= F.col("all") * RARE_FOR_LANGUAGE)  # one row a code
+    got = kept.select("code", "w", "n").toPandas()  # at most 1 / RARE_FOR_LANGUAGE words a language
+    at = {name: i for i, name in enumerate(names)}
+    total = np.array([r["all"] for r in sorted(sums.collect(), key=lambda r: r["code"]) if r["code"] in at], float)
+    smooth = 0.2
+    whole = total + smooth * (1 << 20)
+    language = got["code"].map(at).to_numpy(np.int64)
+    word = got["w"].to_numpy(np.int32).view(np.uint32).astype(np.uint64)
+    order = np.lexsort((language, word))
+    keys, first = np.unique(word[order], return_index=True)
+    gains = np.log((got["n"].to_numpy(float)[order] + smooth) / smooth)
+    return Languages(names, keys, np.append(first, len(word)), language[order], gains, np.log(smooth / whole))
+
+
+def fit_subjects(texts: DataFrame, names: list[str], votes: int = VOTES) -> SubjectModels:
+    """Models of the subjects from encoded ``texts`` with ``code``, ``marked`` (numbers of labelled subjects) and ``held`` (out).
+
+    The first pass counts labelled texts and the background, the others let all
+    sentences vote. Counts come to the driver as one row for each n-gram that
+    isn't rare. Labels held out count for nothing but the margin.
+    """
+    spark = texts.sparkSession
+    lengths, languages, k = fit_lengths(texts), fit_languages(texts), len(names)
+    marks = ["key bigint", "before bigint", "word bigint", "language int"]
+    schema = ", ".join(["kind int", *marks, *[f"c{i} float" for i in range(k + 1)]])
+    models = None
+    for _ in range(votes + 1):
+        shared = spark.sparkContext.broadcast((models, languages, lengths))
+
+        def count(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            models, languages, lengths = shared.value
             counts = Counts(k + 1)
             for frame in frames:
                 said = np.zeros((len(frame), k), bool)
-                for i, mark in enumerate(frame["marked"]):
-                    if mark is not None:
+                for i, (mark, held) in enumerate(zip(frame["marked"], frame["held"], strict=True)):
+                    if mark is not None and not held:
                         said[i, list(mark)] = True
-                for lot in lots(zip(frame["words"], frame["lengths"], strict=True)):
-                    mine = said[lot.rows]
-                    if reader:
-                        language, post = reader.read(lot, mine, ~mine.any(axis=1))
+                for lot in lots(zip(frame["words"], frame["lengths"], strict=True), lengths):
+                    mine, language = said[lot.rows], languages.of(lot)
+                    if models:
+                        post = models.posteriors(lot, models.gains(lot, language), models.margin, mine)
                     else:
-                        language = languages.of(lot)
-                        share = mine / np.maximum(mine.sum(axis=1, keepdims=True), 1)
-                        post = np.repeat(np.concatenate([np.ones((len(mine), 1)), share], axis=1), lot.sentences, axis=0)
-                    post[:, 0] = 1.0  # the background counts everything
-                    counts.add(lot, language, post)
+                        post = np.repeat(mine / np.maximum(mine.sum(axis=1, keepdims=True), 1), lot.sentences, axis=0)
+                    counts.add(lot, language, np.concatenate([np.ones((len(post), 1)), post], axis=1))
             yield from counts.frames()
 
         sums = [F.sum(f"c{i}").cast("float").alias(f"c{i}") for i in range(k + 1)]
-        summed = texts.mapInPandas(count, schema).groupBy("kind", "place")
-        # Where two languages share a place the smaller number names it.
-        rows = summed.agg(F.min("language").alias("language"), *sums).toPandas()
-        held.destroy()
-        before, mass = mass, rows.loc[rows["kind"] == 0, [f"c{i}" for i in range(1, k + 1)]].sum().to_numpy(float)
-        models = models_from(names, languages, rows)
-        if np.abs(mass - before).sum() < SETTLED * mass.sum():
-            break
-    models.least = calibrated(models, documents.select("doc_id", "text").join(marked, "doc_id"))
+        first = [F.first(c).alias(c) for c in ("before", "word", "language")]
+        summed = cut_lineage(texts.mapInPandas(count, schema).groupBy("kind", "key").agg(*first, *sums))
+        whole = summed.where("kind = 0").groupBy("language").agg((F.sum("c0") * RARE).alias("_least"))
+        rows = summed.join(F.broadcast(whole), "language").where("c0 >= _least").drop("_least").toPandas()  # one row a language
+        shared.destroy()
+        models = models_from(names, languages, lengths, rows)
+    models.margin = calibrated(models, texts)
     return models
 
 
-def calibrated(models: SubjectModels, labelled: DataFrame, share: float = SHARE) -> float:
-    """The gain that sentences need, of ``GAINS``, by which accepted subjects agree best with hand labels (F1).
+def calibrated(models: SubjectModels, texts: DataFrame, share: float = SHARE) -> float:
+    """The margin by which accepted subjects agree best with held out labels (F1); without any, the margin there is.
 
-    Labels leave out subjects and some are wrong, alike for every gain; of
+    Labels leave out subjects and some are wrong, alike for every margin; of
     equals the middle one is taken.
     """
-    k = len(models.names)
-    held = labelled.sparkSession.sparkContext.broadcast(models)
+    shared = texts.sparkSession.sparkContext.broadcast(models)
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        readers = []
-        for gain in GAINS:
-            reader = Reader(held.value)
-            reader.least = gain
-            readers.append(reader)
-        out = np.zeros((len(GAINS), 3), int)
+        models, out = shared.value, np.zeros((len(MARGINS), 3), np.int64)
         for frame in frames:
-            said = [set(mark) for mark in frame["marked"]]
-            for i, reader in enumerate(readers):
-                found: list[set] = [set() for _ in said]
-                for row, s, n, of in reader.counted(frame["text"]):
-                    if n >= of * share - 1e-9:
-                        found[row].add(s)
-                for f, m in zip(found, said, strict=True):
-                    out[i] += (len(f & m), len(f - m), len(m - f))
-        yield pd.DataFrame([(i, *map(int, row)) for i, row in enumerate(out)], columns=["gain", "hit", "false", "missed"])
-
-    rows = labelled.where("text is not null").mapInPandas(judge, "gain int, hit bigint, false bigint, missed bigint")
-    sums = rows.groupBy("gain").agg(F.sum("hit"), F.sum("false"), F.sum("missed")).collect()
-    held.destroy()
-    score = {r[0]: round(2 * r[1] / max(2 * r[1] + r[2] + r[3], 1), 4) for r in sums}
-    if not score or not k:
-        return LEAST_GAIN
+            said = np.zeros((len(frame), len(models.names)), bool)
+            for i, mark in enumerate(frame["marked"]):
+                said[i, list(mark)] = True
+            for lot in lots(zip(frame["words"], frame["lengths"], strict=True), models.lengths):
+                mine = said[lot.rows]
+                for i, n in enumerate(models.counted(lot, MARGINS)):
+                    found = n[:, 1:] >= np.maximum(share * lot.sentences[:, None] - 1e-9, 1)
+                    out[i] += ((found & mine).sum(), (found & ~mine).sum(), (mine & ~found).sum())
+        yield pd.DataFrame([(i, *map(int, row)) for i, row in enumerate(out)], columns=["margin", "hit", "false", "missed"])
+
+    rows = texts.where("held").mapInPandas(judge, "margin int, hit bigint, false bigint, missed bigint")
+    sums = rows.groupBy("margin").agg(F.sum("hit"), F.sum("false"), F.sum("missed")).collect()
+    shared.destroy()
+    score = {r[0]: round(2 * r[1] / max(2 * r[1] + r[2] + r[3], 1), 4) for r in sums if r[1] + r[2] + r[3]}
+    if not score:
+        return models.margin
     best = [i for i in sorted(score) if score[i] == max(score.values())]
-    return GAINS[best[len(best) // 2]]
+    return MARGINS[best[len(best) // 2]]
 
 
-def subject_shares(documents: DataFrame, models: SubjectModels) -> DataFrame:
-    """(``doc_id``, ``subject``, ``sentences``, ``of``, ``share``) of every subject with a sentence.
+def subject_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame, votes: int = VOTES) -> DataFrame:
+    """(``doc_id``, ``subject``, ``sentences``, ``of``, ``share``) of every subject with a sentence; ``none`` has the rest.
 
-    A sentence counts for what is likeliest of the subjects and none.
+    ``labels`` has ``doc_id`` and ``subject``; several rows a document are
+    several subjects, unknown subjects are ignored. Where a labelled document
+    has a translation (``tgt_text``), it trains with the same label, so a
+    subject labelled in one language is known in the other. A sentence counts
+    for what is likeliest of the subjects and none. Null and empty texts have
+    no rows; without labels or subjects all is none.
     """
+    names = sorted(r["subject"] for r in subjects.select("subject").distinct().collect() if r["subject"])  # the list of subjects
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, subject string, sentences int, of int, share double"
-    if not models.names:
-        return documents.sparkSession.createDataFrame([], schema)
-    held = documents.sparkSession.sparkContext.broadcast(models)
+    known = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]) if names else F.create_map().cast("map<string,int>")
+    marked = labels.select("doc_id", known[F.col("subject")].alias("s")).where("s is not null").groupBy("doc_id").agg(F.collect_set("s").alias("marked"))
+    marked = marked.orderBy(F.xxhash64("doc_id")).limit(LABELLED)
+    sides = F.array(F.struct(F.col("text").alias("text"), language_code("lang").alias("code"), F.lit(True).alias("own")))
+    if {"tgt_text", "tgt_lang"} <= set(documents.columns):
+        other = F.when(F.col("marked").isNotNull() & (F.col("tgt_text") != F.col("text")), F.struct(F.col("tgt_text").alias("text"), language_code("tgt_lang").alias("code"), F.lit(False).alias("own")))
+        sides = F.array_compact(F.array_append(sides, other))
+    sided = documents.join(F.broadcast(marked), "doc_id", "left").select("doc_id", "marked", F.explode(sides).alias("x"))  # at most LABELLED rows
+    held = F.col("marked").isNotNull() & F.col("x.own") & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(HELD_OUT)) == 0)
+    out = F.col("marked").isNotNull() & ~F.col("x.own") & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(HELD_OUT)) == 0)
+    rows = sided.where(~F.coalesce(out, F.lit(False))).select("doc_id", "marked", "x.text", "x.code", "x.own", F.coalesce(held, F.lit(False)).alias("held"))
+    texts = encode_texts(rows.where("text is not null"), f"doc_id {kind}, marked array<int>, code string, own boolean, held boolean")
+    if not names:
+        each = F.expr("aggregate(lengths, 0, (a, x) -> a + 1)")
+        return texts.where("size(lengths) > 0").select("doc_id", F.lit("none").alias("subject"), each.alias("sentences"), each.alias("of"), F.lit(1.0).alias("share"))
+    shared = documents.sparkSession.sparkContext.broadcast(fit_subjects(texts, names, votes))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(held.value)
+        models = shared.value
+        called = np.array(["none", *models.names], object)
         for frame in frames:
-            ids = frame["doc_id"].tolist()
-            out = [(ids[row], reader.names[s], n, of, n / of) for row, s, n, of in reader.counted(frame["text"])]
-            yield pd.DataFrame(out, columns=["doc_id", "subject", "sentences", "of", "share"])
+            ids = frame["doc_id"].to_numpy()
+            for lot in lots(zip(frame["words"], frame["lengths"], strict=True), models.lengths):
+                (n,) = models.counted(lot, [models.margin])
+                i, s = np.nonzero(n)
+                of = lot.sentences[i]
+                yield pd.DataFrame({"doc_id": ids[lot.rows[i]], "subject": called[s], "sentences": n[i, s], "of": of, "share": n[i, s] / of})
 
-    return documents.select("doc_id", "text").where("text is not null").mapInPandas(read, schema)
+    return texts.where("own").select("doc_id", "words", "lengths").mapInPandas(read, schema)
 
 
-def corpus_shares(documents: DataFrame, models: SubjectModels) -> DataFrame:
-    """(``subject``, ``documents``, ``sentences``, ``share``): how much of the corpus's sentences each subject has."""
-    found = subject_shares(documents, models)
-    total = F.sum("sentences").over(Window.partitionBy())
-    by = found.groupBy("subject").agg(F.count_distinct("doc_id").alias("documents"), F.sum("sentences").alias("sentences"))
-    return by.withColumn("share", F.col("sentences") / total)  # one row a subject
+def corpus_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
+    """(``subject``, ``documents``, ``sentences``, ``share``): how much of all the corpus's sentences each subject has, and none."""
+    found = subject_shares(documents, labels, subjects)
+    by = cut_lineage(found.groupBy("subject").agg(F.count_distinct("doc_id").alias("documents"), F.sum("sentences").alias("sentences")))
+    total = by.agg(F.sum("sentences").alias("_all"))
+    return by.crossJoin(F.broadcast(total)).select("subject", "documents", "sentences", (F.col("sentences") / F.col("_all")).alias("share"))  # one row
 
 
 def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, share: float = SHARE) -> DataFrame:
@@ -532,6 +572,5 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     Null and empty texts have no subject. Without labels or subjects the result
     is empty. Rows that repeat an id are read each.
     """
-    models = fit_subjects(documents, labels, subjects)
-    found = subject_shares(documents, models).where(F.col("share") >= share - 1e-9)
+    found = subject_shares(documents, labels, subjects).where((F.col("share") >= share - 1e-9) & (F.col("subject") != "none"))
     return found.select("doc_id", "subject").distinct()

@@ -3,6 +3,8 @@
 import os
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from celltrail.llm.label_map import edits, map_labels, map_rows
 from celltrail.llm.leaks import exact_leaks, find_leaks, myers, text_words
 from celltrail.llm.packing import TOKENIZERS, best_two_fit, pack_documents, packing_report, token_counts
-from celltrail.llm.subjects import document_subjects, fit_subjects, sentences, subject_shares
+from celltrail.llm.subjects import Counts, Encoded, Languages, Lengths, corpus_shares, document_subjects, encode, models_from, sentences, subject_shares
 
 TERMS = "cl_id string, name string, synonyms array<struct<text:string,scope:string>>, is_obsolete boolean, label string"
 LIST = [
@@ -170,9 +172,36 @@ def test_token_counts(spark):
 
 
 def test_sentences():
-    assert sentences("One two. Three! Four 12?") == [["one", "two"], ["three"], ["four", "#"]]
+    assert sentences("One two. Three! Four 12?") == [["one", "two"], ["three"], ["four", "12"]]
     assert sentences(None) == [] and sentences(" ") == []
-    assert sum(map(len, sentences("w " * 100))) == 100 and max(map(len, sentences("w " * 100))) <= 22
+    words, lengths = encode("One two 7. Three 12!")
+    assert lengths.tolist() == [3, 2] and words[2] == words[4] and len(set(words.tolist())) == 4
+
+
+def test_stretches_without_stops():
+    cut = Lengths(usual=10.0, lost=25.0).cut(np.array([8, 25, 26, 100], np.int32))
+    assert cut.tolist() == [8, 25, 8, 9, 9] + [10] * 10 and cut.sum() == 159
+    prose = np.array([30, 45, 60], np.int32)  # ordinary where the corpus is like that
+    assert Lengths(usual=40.0, lost=80.0).cut(prose).tolist() == prose.tolist()
+
+
+def test_models_are_probabilities():
+    # Two subjects, words 0-5; P(w | v) of each subject sums to one over the words that follow v.
+    rng = np.random.default_rng(1)
+    languages = Languages(["en"], np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(1))
+    counts = Counts(3)
+    lengths = np.full(400, 6, np.int32)
+    words = rng.integers(0, 6, 2400).astype(np.uint64)
+    texts = Encoded(np.arange(400), words, lengths, np.ones(400, np.int64))
+    post = rng.random((400, 2)) * 0.5
+    counts.add(texts, np.zeros(400, np.int64), np.concatenate([np.ones((400, 1)), post], axis=1))
+    rows = pd.concat(list(counts.frames()))
+    models = models_from(["a", "b"], languages, Lengths(), rows, focus=0.0)
+    pairs = rows[rows["kind"] == 1]
+    for _, some in pairs.groupby("before"):
+        gain = models.pairs.rows[models.pairs.find(some["key"].to_numpy(np.int64).view(np.uint64))]
+        base = (some["c0"] / some["c0"].sum()).to_numpy()[:, None]
+        assert np.allclose((np.exp(gain) * base).sum(axis=0), 1.0, atol=0.02)
 
 
 NOUNS = {
@@ -221,4 +250,7 @@ def test_subject_edges(spark):
     assert document_subjects(d, la, su).count() == 0
     assert document_subjects(d, la, su.limit(0)).count() == 0
     assert document_subjects(d.limit(0), la, su).count() == 0
-    assert subject_shares(d, fit_subjects(d, la.limit(0), su)).count() == 0
+    shares = {(r.doc_id, r.subject): (r.sentences, r.of) for r in subject_shares(d, la.limit(0), su).collect()}
+    assert shares == {(3, "none"): (1, 1)} == {(r.doc_id, r.subject): (r.sentences, r.of) for r in subject_shares(d, la, su.limit(0)).collect()}
+    assert [(r.subject, r.documents, r.share) for r in corpus_shares(d, la.limit(0), su).collect()] == [("none", 1, 1.0)]
+    assert corpus_shares(d.limit(0), la, su).count() == 0
