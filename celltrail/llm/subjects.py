@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -82,7 +83,8 @@ def sentences(text: str | None) -> list[list[str]]:
 def encode(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a text's words, digits being one word, and the words of each sentence."""
     parts = sentences(text)
-    words = np.fromiter((_hashes[w] for p in parts for w in p), np.uint32, sum(map(len, parts)))
+    flat = list(chain.from_iterable(parts))
+    words = np.fromiter(map(_hashes.__getitem__, flat), np.uint32, len(flat))
     return words.view(np.int32), np.fromiter(map(len, parts), np.int32, len(parts))
 
 
@@ -340,6 +342,13 @@ def models_from(
     return SubjectModels(names, languages, lengths, words, _table(pair_keys, gain2.astype(np.float32)))
 
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal keys together, and where each begins in it."""
+    order = np.argsort(keys)
+    there = keys[order]
+    return order, np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1]]))
+
+
 class Counts:
     """Weighted n-grams of a partition, merged whenever they are many."""
 
@@ -349,30 +358,35 @@ class Counts:
     def add(self, texts: Encoded, language: np.ndarray, weights: np.ndarray) -> None:
         """``weights`` by sentence: the background's and each subject's."""
         unigrams = texts.unigrams(language)
-        spoken = language[texts.of_sentence]
-        by_word = weights.astype(np.float32)[texts.of_sentence]
-        before = texts.before(unigrams)
-        self._merge(0, [(unigrams, np.stack([unigrams, unigrams, spoken.astype(np.uint64)], axis=1), by_word)])
-        self._merge(1, [(texts.bigrams(unigrams), np.stack([before, unigrams, spoken.astype(np.uint64)], axis=1), by_word)])
+        before, spoken, weights = texts.before(unigrams), language.astype(np.uint64), weights.astype(np.float32)
+        for kind, keys, first in ((0, unigrams, unigrams), (1, texts.bigrams(unigrams), before)):
+            order, starts = _runs(keys)
+            at = order[starts]
+            sentence = texts.of_sentence[order]
+            marks = np.stack([first[at], unigrams[at], spoken[texts.of_sentence[at]]], axis=1)
+            self._hold(kind, keys[at], marks, np.add.reduceat(weights[sentence], starts, axis=0))
         if self.size > 2_000_000:
-            self.size = 0
-            for kind in (0, 1):
-                parts, self.held[kind][:] = self.held[kind][:], []
-                self._merge(kind, parts)
-
-    def _merge(self, kind: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        keys, marks, weights = (np.concatenate(column) for column in zip(*parts, strict=True))
-        order = np.argsort(keys, kind="stable")
-        kept, starts = np.unique(keys[order], return_index=True)
-        self.held[kind].append((kept, marks[order[starts]], np.add.reduceat(weights[order], starts, axis=0)))
-        self.size += len(kept)
+            self._merge()
+
+    def _hold(self, kind: int, keys: np.ndarray, marks: np.ndarray, weights: np.ndarray) -> None:
+        self.held[kind].append((keys, marks, weights))
+        self.size += len(keys)
+
+    def _merge(self) -> None:
+        self.size = 0
+        for kind, parts in enumerate(self.held):
+            if parts:
+                keys, marks, weights = (np.concatenate(column) for column in zip(*parts, strict=True))
+                parts.clear()
+                order, starts = _runs(keys)
+                at = order[starts]
+                self._hold(kind, keys[at], marks[at], np.add.reduceat(weights[order], starts, axis=0))
 
     def frames(self) -> Iterator[pd.DataFrame]:
+        self._merge()
         for kind in (0, 1):
             if not self.held[kind]:
                 continue
-            parts, self.held[kind][:] = self.held[kind][:], []
-            self._merge(kind, parts)
             keys, marks, weights = self.held[kind][0]
             for i in range(0, len(keys), 20_000):
                 some = slice(i, i + 20_000)
