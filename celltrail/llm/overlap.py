@@ -3,25 +3,26 @@
 Records are canonicalised to sorted arrays of token hashes and collapsed to
 their distinct sets first, so copies cost one row each. Equal sets meet by
 their hash. Sets that share at least ``similarity`` of their union meet by
-hashes of ``tokens_per_key`` tokens from a prefix of each set: two sets of n
-tokens that reach the threshold have ``tokens_per_key`` common tokens among the
-first n - ceil(similarity * n) + tokens_per_key of each, in any order common to
-all sets. Candidates are then verified exactly. No pair is lost.
+hashes of tokens from a prefix of each set: two sets that reach the threshold
+have w common tokens among the first n - ceil(similarity * n) + w of each, in
+any order common to all sets. The rarest tokens come first, so few sets meet in
+vain; small sets meet by pairs of tokens, large ones by single tokens, as pairs
+would grow with the square. Candidates are then verified exactly. No pair is
+lost.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from celltrail.functions.text import strip
-from celltrail.session import cut_lineage
+from celltrail.llm.related import plain
+from celltrail.session import cut_lineage, salted_join
 
 SIMILARITY = 0.7
-#: Tokens in one key. More make keys rarer and prefixes longer.
-TOKENS_PER_KEY = 2
+#: Sets of about this size and more meet by single tokens.
+LARGE = 40
 
 
 def markers_in_prompt(prompt: Column) -> Column:
@@ -44,47 +45,54 @@ def marker_set(df: DataFrame) -> Column:
     return F.array_distinct(F.filter(cleaned, lambda m: m.isNotNull() & (m != "")))
 
 
-def _prefix_keys(tokens: Column, similarity: float, width: int) -> Column:
-    """Hashes of each choice of ``width`` tokens from the prefix of a sorted set."""
+def _prefix(tokens: Column, similarity: float, width: int) -> Column:
+    """As many of a set's first tokens as hold ``width`` common ones with any set that is similar."""
     n = F.size(tokens)
     length = n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)).cast("int") + F.lit(width)
-    prefix = F.slice(tokens, 1, F.least(length, n))
-    at = F.sequence(F.lit(0), F.size(prefix) - 1)
-    if width == 1:
-        return F.transform(prefix, lambda t: F.xxhash64(t))
-    if width == 2:
-        return F.flatten(
-            F.transform(
-                F.filter(at, lambda i: i < F.size(prefix) - 1),
-                lambda i: F.transform(
-                    F.filter(at, lambda j: j > i), lambda j: F.xxhash64(F.get(prefix, i), F.get(prefix, j))
-                ),
-            )
-        )
-    raise ValueError("tokens_per_key must be 1 or 2")
+    return F.slice(tokens, F.lit(1), F.greatest(F.least(length, n), F.lit(0)))
+
+
+def _keys(tokens: Column, similarity: float) -> Column:
+    """Hashes by which a set meets similar ones: pairs of tokens of its prefix if small, single ones if large, both between.
+
+    Two similar sets differ in size by less than ``similarity``, so both are
+    small, both are large, or both between.
+    """
+    one = F.transform(_prefix(tokens, similarity, 1), lambda t: F.xxhash64(t))
+    prefix = _prefix(tokens, similarity, 2)
+    at = F.sequence(F.lit(1), F.greatest(F.size(prefix), F.lit(1)))
+    two = F.flatten(F.transform(at, lambda i: F.transform(F.slice(prefix, i + 1, F.size(prefix)), lambda t: F.xxhash64(F.get(prefix, i - 1), t))))
+    none = F.array().cast("array<bigint>")
+    n = F.size(tokens)
+    return F.concat(F.when(n <= LARGE / similarity, two).otherwise(none), F.when(n >= LARGE * similarity, one).otherwise(none))
+
 
+def by_rarity(sets: DataFrame) -> DataFrame:
+    """``sets`` with their tokens in the order of how few sets hold them, the rarest first."""
+    flat = cut_lineage(sets.select("set_id", F.explode("tokens").alias("token")))
+    held = flat.groupBy("token").agg(F.count(F.lit(1)).alias("sets"))
+    ranked = salted_join(flat, held, "token", "inner").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("sets", "token"))).alias("r"))
+    return sets.drop("tokens").join(ranked.select("set_id", F.transform("r", lambda x: x["token"]).alias("tokens")), "set_id")
 
-def similar_sets(sets: DataFrame, similarity: float = SIMILARITY, tokens_per_key: int = TOKENS_PER_KEY) -> DataFrame:
+
+def similar_sets(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (``left_id``, ``right_id``, ``common``, ``union_size``) of similar distinct sets.
 
-    ``sets`` has ``set_id``, ``tokens`` (sorted hashes, none twice), ``is_left``
-    and ``is_right``; a set may be on both sides and then pairs with itself.
-    Sets smaller than ``tokens_per_key`` can only equal another.
+    ``sets`` has ``set_id``, ``tokens`` (hashes, none twice, the rarest first),
+    ``is_left`` and ``is_right``; a set may be on both sides and then pairs with
+    itself. Keys that very many sets share are salted.
     """
-    if not 0.5 <= similarity <= 1:
+    if not 0.5 < similarity <= 1:
         raise ValueError("similarity must lie between 0.5 and 1")
-    # Below this size the overlap a pair needs may be less than a key holds.
-    least = next(n for n in range(1, 99) if math.ceil(n * similarity - 1e-9) >= tokens_per_key)
-    if least > tokens_per_key and similarity <= (least - 1) / least:
-        raise ValueError("tokens_per_key is too large for this similarity")
+
     def side(flag: str, name: str) -> DataFrame:
-        keys = F.explode(F.array_distinct(_prefix_keys(F.col("tokens"), similarity, tokens_per_key)))
-        held = sets.where(F.col(flag) & (F.size("tokens") >= tokens_per_key))
+        # A set of one token equals another or differs by half; pairs of tokens need two common ones.
+        held = sets.where(F.col(flag) & (F.size("tokens") >= 2))
+        keys = F.explode(F.array_distinct(_keys(F.col("tokens"), similarity)))
         return held.select(F.col("set_id").alias(f"{name}_id"), F.size("tokens").alias(f"n_{name}"), keys.alias("key"))
 
     candidates = (
-        side("is_left", "left")
-        .join(side("is_right", "right"), "key")
+        salted_join(side("is_left", "left"), side("is_right", "right"), "key", "inner")
         .where(F.least("n_left", "n_right") >= F.greatest("n_left", "n_right") * similarity - 1e-9)
         .where("left_id != right_id")
         .select("left_id", "right_id")
@@ -108,7 +116,7 @@ def similar_sets(sets: DataFrame, similarity: float = SIMILARITY, tokens_per_key
 
 
 def split_overlaps(
-    examples: DataFrame, similarity: float = SIMILARITY, tokens_per_key: int = TOKENS_PER_KEY
+    examples: DataFrame, similarity: float = SIMILARITY
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members, set pairs and distinct sets of the records that evaluation and training share.
 
@@ -135,32 +143,62 @@ def split_overlaps(
     )
     # Short numbers in place of digests keep the join's rows small; the checkpoint fixes them.
     sets = cut_lineage(sets.withColumn("set_id", F.monotonically_increasing_id()))
-    members = read.drop("tokens").join(sets.select("digest", "set_id"), "digest").drop("digest")
-    return members, similar_sets(sets, similarity, tokens_per_key), sets
+    members = salted_join(read.drop("tokens"), sets.select("digest", "set_id"), "digest", "inner").drop("digest")
+    return members, similar_sets(cut_lineage(by_rarity(sets.drop("digest"))), similarity), sets
 
 
 def overlap_pairs(examples: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Each pair of one training and one evaluation record whose sets are similar."""
     members, pairs, _ = split_overlaps(examples, similarity)
+    members = cut_lineage(members.select("set_id", "example_id", "split"))
     held = members.where("split != 'train'").select(F.col("set_id").alias("left_id"), F.col("example_id").alias("e"))
     train = members.where("split = 'train'").select(F.col("set_id").alias("right_id"), F.col("example_id").alias("t"))
+    met = salted_join(held, pairs.select("left_id", "right_id"), "left_id", "inner")
+    # Training copies of a set are the many; they are salted, the evaluation records repeated.
     return (
-        pairs.select("left_id", "right_id")
-        .join(held, "left_id")
-        .join(train, "right_id")
+        salted_join(train, met, "right_id", "inner")
         .select(F.least("e", "t").alias("example_id_1"), F.greatest("e", "t").alias("example_id_2"))
         .where("example_id_1 < example_id_2")
         .distinct()
     )
 
 
+def overlap_members(examples: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(``example_id``, ``split``, ``set_id``, ``others``): each record in an overlap, its set, and how many similar sets the other side has.
+
+    Together with ``overlap_sets`` this says all that ``overlap_pairs`` says, in a row a record.
+    """
+    members, pairs, _ = split_overlaps(examples, similarity)
+    pairs = cut_lineage(pairs)
+    left = pairs.groupBy(F.col("left_id").alias("set_id")).agg(F.count(F.lit(1)).alias("others")).withColumn("is_train", F.lit(False))
+    right = pairs.groupBy(F.col("right_id").alias("set_id")).agg(F.count(F.lit(1)).alias("others")).withColumn("is_train", F.lit(True))
+    linked = left.unionByName(right).withColumn("side", F.concat_ws(":", "set_id", "is_train")).drop("set_id", "is_train")
+    sided = members.select("example_id", "split", "set_id", F.concat_ws(":", "set_id", F.col("split") == "train").alias("side"))
+    return salted_join(sided, linked, "side", "inner").drop("side")
+
+
+def overlap_sets(examples: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(``left_id``, ``right_id``, ``common``, ``union_size``, ``left_records``, ``right_records``): similar sets of evaluation and training with their records."""
+    members, pairs, _ = split_overlaps(examples, similarity)
+    many = cut_lineage(members.groupBy("set_id").agg(F.count_if(F.col("split") != "train").alias("l"), F.count_if(F.col("split") == "train").alias("r")))
+    left = many.select(F.col("set_id").alias("left_id"), F.col("l").alias("left_records"))
+    right = many.select(F.col("set_id").alias("right_id"), F.col("r").alias("right_records"))
+    return pairs.join(left, "left_id").join(right, "right_id")
+
+
 def overlap_counts(examples: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Per evaluation split and source: records, those found in training, and those found exactly."""
+    """Per evaluation split and source: records, those found in training, and those found exactly.
+
+    Sources are compared without case, punctuation and blanks; a record with
+    several (split at ``;``) counts for each, one without for ``none``.
+    """
     members, pairs, _ = split_overlaps(examples, similarity)
     hit = pairs.groupBy(F.col("left_id").alias("set_id")).agg(F.max(F.col("common") == F.col("union_size")).alias("exact"))
+    entries = F.filter(F.transform(F.split("source", ";"), plain), lambda s: s.isNotNull())
+    named = F.when(F.size(entries) > 0, F.array_distinct(entries)).otherwise(F.array(F.lit("none")))
     return (
-        members.where("split != 'train'")
-        .join(hit, "set_id", "left")
+        salted_join(members.where("split != 'train'"), hit, "set_id")
+        .withColumn("source", F.explode(named))
         .groupBy("split", "source")
         .agg(
             F.count(F.lit(1)).alias("records"),

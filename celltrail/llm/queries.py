@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from celltrail.llm.copies import collapse_copies, find_copies
 from celltrail.llm.label_map import map_labels, map_rows
 from celltrail.llm.leaks import exact_leaks, find_leaks
-from celltrail.llm.overlap import overlap_counts, overlap_pairs
+from celltrail.llm.overlap import overlap_counts, overlap_members, overlap_pairs, overlap_sets
 from celltrail.llm.packing import pack_documents, packing_report, token_counts
-from celltrail.llm.related import related_groups, related_splits
+from celltrail.llm.related import related_forest, related_groups, related_splits
 from celltrail.llm.responses import defective, flag_responses
 from celltrail.llm.subjects import corpus_shares, document_subjects
 from celltrail.session import cut_lineage, table
@@ -26,6 +26,16 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_counts(table(spark, sf_dir, "annotation_example"))
 
 
+def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each overlapping record with its marker set and the number of similar sets across."""
+    return overlap_members(table(spark, sf_dir, "annotation_example"))
+
+
+def p2_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar marker sets of evaluation and training with their numbers of records."""
+    return overlap_sets(table(spark, sf_dir, "annotation_example"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record that is not the smallest of its group of related ones."""
     groups = related_groups(table(spark, sf_dir, "annotation_example"))
@@ -37,6 +47,11 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return related_splits(table(spark, sf_dir, "annotation_example"))
 
 
+def p3_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the spanning forest."""
+    return related_forest(table(spark, sf_dir, "annotation_example"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each copy other than the smallest of its group."""
     return find_copies(table(spark, sf_dir, "marker_record"))
@@ -119,31 +134,36 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_counts, p3_found, p3_splits, p4_found, p4_collapsed, p5_found, p5_flags, p7_found, p7_labels,
+        p2_found, p2_counts, p2_members, p2_sets, p3_found, p3_forest, p3_splits, p4_found, p4_collapsed, p5_found, p5_flags, p7_found, p7_labels,
         p8_packed, p8_report, p9_found, p9_near, p10_found, p10_shares,
     )
 }
 
 _PLAIN = r"nullif(lower(regexp_replace({0}, '[^\p{{L}}\p{{Nd}}]', '', 'g')), '')"
 
-ORACLES = {
-    "p2_found": r"""
+_SETS = r"""
         with a as (
-            select example_id, split, list_distinct(list_filter(list_transform(case
+            select example_id, split, source, list_sort(list_distinct(list_filter(list_transform(case
                 when len(metadata.original_markers) > 0 then metadata.original_markers
                 when len(markers) > 0 then markers
                 else regexp_split_to_array(trim(regexp_replace(regexp_replace(prompt,
                     '(?is)^.*(\bmarkers?\s*[:=]|\bgenes?\s*(->|[:=])|\bexpress(es|ing)?\s*:?\s|->|:)\s*', ''),
                     '(?s)[.?!](\s+\pL.*)?\s*$', '')), '[\s,;|/]+') end,
-                lambda m: upper(regexp_replace(m, '^\s+|\s+$', '', 'g'))), lambda m: m is not null and m <> '')) as s
+                lambda m: upper(regexp_replace(m, '^\s+|\s+$', '', 'g'))), lambda m: m is not null and m <> ''))) as s
             from annotation_example
         ), e as (select * from a where split in ('validation', 'test') and len(s) > 0),
-        t as (select * from a where split = 'train' and len(s) > 0)
-        select distinct least(e.example_id, t.example_id) as example_id_1, greatest(e.example_id, t.example_id) as example_id_2
-        from e, t
-        where least(len(e.s), len(t.s)) >= 0.7 * greatest(len(e.s), len(t.s)) - 1e-9
-          and len(list_intersect(e.s, t.s)) >= 0.7 * (len(e.s) + len(t.s) - len(list_intersect(e.s, t.s))) - 1e-9
-    """,
+        t as (select * from a where split = 'train' and len(s) > 0)"""
+_SIMILAR = """least(len(e.s), len(t.s)) >= 0.7 * greatest(len(e.s), len(t.s)) - 1e-9
+          and len(list_intersect(e.s, t.s)) >= 0.7 * (len(e.s) + len(t.s) - len(list_intersect(e.s, t.s))) - 1e-9"""
+
+ORACLES = {
+    "p2_found": _SETS + """
+        select distinct least(e.example_id, t.example_id) as example_id_1, greatest(e.example_id, t.example_id) as example_id_2 from e, t where """ + _SIMILAR,
+    "p2_counts": _SETS + f""", h as (select distinct e.example_id from e, t where {_SIMILAR}), x as (select example_id from e where s in (select s from t)),
+        k as (select example_id, split, unnest(case when len(l) > 0 then l else ['none'] end) as source from (
+            select example_id, split, list_distinct(list_filter(list_transform(string_split(source, ';'), lambda v: {_PLAIN.format("v")}), lambda v: v is not null)) as l from e))
+        select split, source, count(*) as records, count(h.example_id) as overlapping, count(x.example_id) as exact
+        from k left join h using (example_id) left join x using (example_id) group by 1, 2""",
     "p3_found": rf"""
         with recursive k as (
             select example_id, 's' || {_PLAIN.format("x")} as key

@@ -58,7 +58,7 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame,
     forest = now.select("a", "b").limit(0)
     for _ in range(max_rounds):
         if now.isEmpty():
-            return roots, forest
+            return roots, cut_lineage(forest.distinct())
         both = now.unionByName(now.select(F.col("w").alias("u"), F.col("u").alias("w"), "a", "b"))
         # (a, b) are original ends: the order is the same seen from either side.
         chosen = both.groupBy("u").agg(F.min(F.struct("a", "b", "w")).alias("e"))
@@ -66,14 +66,14 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame,
         forest = forest.union(chosen.select("a", "b").distinct())
         # Of two that chose each other the smaller is the root.
         back = chosen.select(F.col("u").alias("parent"), F.col("parent").alias("grand"))
-        parents = chosen.join(back, "parent", "left").select(
+        parents = salted_join(chosen, back, "parent").select(
             "u", F.when((F.col("grand") == F.col("u")) & (F.col("u") < F.col("parent")), F.col("u")).otherwise(F.col("parent")).alias("parent")
         )
         parents = cut_lineage(parents)
         while True:
             up = parents.select(F.col("u").alias("parent"), F.col("parent").alias("grand"))
             jumped = cut_lineage(
-                parents.join(up, "parent").select("u", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved"))
+                salted_join(parents, up, "parent", "inner").select("u", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved"))
             )
             parents = jumped.select("u", "parent")
             if jumped.where("moved").isEmpty():
@@ -93,6 +93,23 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame,
     raise RuntimeError(f"no spanning forest after {max_rounds} rounds")
 
 
+def _keyed(examples: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
+    """Records with their keys, and the links between the keys of a record."""
+    keyed = cut_lineage(examples.select(F.col(id_column).alias("example_id"), relation_keys(examples).alias("keys")).distinct())
+    links = keyed.where(F.size("keys") > 1).select(F.col("keys")[0].alias("a"), F.explode(F.slice("keys", F.lit(2), F.size("keys"))).alias("b"))
+    return keyed, links
+
+
+def related_forest(examples: DataFrame, id_column: str = "example_id") -> DataFrame:
+    """(``key_a``, ``key_b``, ``root``): the edges of the spanning forest over keys, which relate all that is related, and the root of each.
+
+    Keys are the hashes of ``relation_keys``. A key alone has no edge.
+    """
+    roots, forest = spanning_forest(_keyed(examples, id_column)[1])
+    joined = salted_join(forest, roots.withColumnRenamed("v", "a"), "a", "inner")
+    return joined.select(F.col("a").alias("key_a"), F.col("b").alias("key_b"), "root")
+
+
 def related_groups(examples: DataFrame, id_column: str = "example_id") -> DataFrame:
     """(``example_id``, ``group_id``): the smallest id among all records related to it.
 
@@ -100,9 +117,8 @@ def related_groups(examples: DataFrame, id_column: str = "example_id") -> DataFr
     without any key is its own group. Ids are taken as unique; repeated rows
     with one id give one row.
     """
-    keyed = cut_lineage(examples.select(F.col(id_column).alias("example_id"), relation_keys(examples).alias("keys")).distinct())
-    links = keyed.where(F.size("keys") > 1).select(F.col("keys")[0].alias("a"), F.explode(F.slice("keys", 2, 1000000)).alias("b"))
-    roots, _ = spanning_forest(links)
+    keyed, links = _keyed(examples, id_column)
+    roots, _ = spanning_forest(links)  # the forest is in the shared folder; related_forest returns it
     lead = keyed.where(F.size("keys") > 0).select("example_id", F.col("keys")[0].alias("v"))
     # The smallest id of each key first, so that only keys meet the roots.
     smallest = lead.groupBy("v").agg(F.min("example_id").alias("least"))
