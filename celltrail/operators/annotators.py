@@ -20,6 +20,7 @@ from celltrail.operators.similarity import (
     rank_by_overlap,
     rank_by_signed_sets,
 )
+from celltrail.session import ship_package
 
 Generate = Callable[[list[str]], list[str]]
 
@@ -37,6 +38,7 @@ def annotate_by_signed_sets(queries: DataFrame, records: DataFrame, negative_wei
 def generate_answers(prompts: DataFrame, make: Callable[[], Generate], batch: int = 32) -> DataFrame:
     """(``q_id``, ``answer``) of (``q_id``, ``prompt``); ``make`` loads the model, once a task."""
     kind = prompts.schema["q_id"].dataType.simpleString()
+    ship_package(prompts.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generate = make()

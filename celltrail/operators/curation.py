@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,20 +14,46 @@ from pyspark.sql.window import Window
 
 from celltrail.functions.text import norm_cl_id, norm_label
 from celltrail.functions.variants import variants
+from celltrail.session import ship_package, shuffle_width
 
 
-@F.pandas_udf(T.DoubleType())
-def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matching characters over both lengths, by longest common blocks."""
-    made: dict[str, SequenceMatcher] = {}  # a matcher indexes its second text
+def _letter_counts(texts: pd.Series) -> np.ndarray:
+    """How often each of 64 classes of letters comes in each text."""
+    known: dict[str, np.ndarray] = {}
+    for t in texts.unique():
+        known[t] = np.bincount([ord(c) & 63 for c in t], minlength=64).astype(np.int16)
+    return np.stack([known[t] for t in texts]) if len(texts) else np.zeros((0, 64), np.int16)
 
-    def one(x: str, y: str) -> float:
-        if y not in made:
-            made[y] = SequenceMatcher(None, "", y)
-        made[y].set_seq1(x)
-        return made[y].ratio()
 
-    return pd.Series([one(x or "", y or "") for x, y in zip(a, b, strict=True)])
+@F.pandas_udf(T.DoubleType())
+def ratio_bound(a: pd.Series, b: pd.Series) -> pd.Series:
+    """What the matching ratio can't exceed: twice the letters that both have over both lengths."""
+    common = np.minimum(_letter_counts(a), _letter_counts(b)).sum(axis=1)
+    return pd.Series(2.0 * common / np.maximum(a.str.len().to_numpy() + b.str.len().to_numpy(), 1))
+
+
+def _scored(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """Pairs that come by variant, the highest bound first, with their scores; those that ``k`` terms surely beat are left out."""
+    now, best, least = None, {}, -1.0
+    matcher = SequenceMatcher(None, "", "")
+    for frame in frames:
+        kept, scores = [], []
+        for i, (q, c, cl_id, jaccard, bound) in enumerate(zip(*(frame[x] for x in ("q", "c", "cl_id", "jaccard", "bound")), strict=True)):
+            if q != now:
+                now, best, least = q, {}, -1.0
+            if bound + 0.0006 < least:  # scores are rounded to three decimals
+                continue
+            matcher.set_seqs(q, c)
+            score = round(0.65 * matcher.ratio() + 0.35 * jaccard, 3)
+            if score < least:
+                continue
+            kept.append(i)
+            scores.append(score)
+            if score > best.get(cl_id, -1.0):
+                best[cl_id] = score
+                best = dict(sorted(best.items(), key=lambda x: -x[1])[:k])
+                least = min(best.values()) if len(best) == k else -1.0
+        yield frame.iloc[kept][["q", "cl_id", "term_name", "suggestion"]].assign(score=scores)
 
 
 def fuzzy_candidates(labels: DataFrame, ontology: DataFrame, k: int = 5) -> DataFrame:
@@ -36,7 +64,8 @@ def fuzzy_candidates(labels: DataFrame, ontology: DataFrame, k: int = 5) -> Data
     containment is found through the shorter text's first three characters (all
     of a shorter one's), which are among the longer one's pieces. The score is
     0.65 of the matching ratio and 0.35 of the words' Jaccard similarity, to
-    three decimals; the best of a label's variants counts.
+    three decimals; the best of a label's variants counts. Pairs are scored in
+    the order of an upper bound, as far as they can be among the first ``k``.
     """
     spelt = labels.select("label").where("label is not null").distinct().select("label", F.explode(variants(F.col("label"))).alias("q"))
     query = spelt.select("q").distinct()
@@ -56,7 +85,11 @@ def fuzzy_candidates(labels: DataFrame, ontology: DataFrame, k: int = 5) -> Data
     pairs = by_word.unionByName(held.drop("p")).unionByName(holds.drop("p")).distinct()
     a, b = F.split("q", " "), F.split("c", " ")
     jaccard = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
-    scored = pairs.withColumn("score", F.round(0.65 * matching_ratio(F.col("q"), F.col("c")) + 0.35 * jaccard, 3)).join(listed, "c")
+    ship_package(labels.sparkSession)
+    bounded = pairs.withColumn("jaccard", jaccard).withColumn("bound", 0.65 * ratio_bound(F.col("q"), F.col("c")) + 0.35 * F.col("jaccard")).join(listed, "c")
+    schema = "q string, cl_id string, term_name string, suggestion string, score double"
+    met = bounded.repartition(max(shuffle_width(labels.sparkSession), labels.sparkSession.sparkContext.defaultParallelism), "q").sortWithinPartitions("q", F.desc("bound"))
+    scored = met.mapInPandas(lambda frames: _scored(frames, k), schema)
     of_variant = Window.partitionBy("q", "cl_id").orderBy(F.desc("score"), "suggestion")
     scored = scored.withColumn("_n", F.row_number().over(of_variant)).where("_n = 1")
     # What k terms beat by one variant, they beat by the label's best; equal scores stay.

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from celltrail.functions.text import norm_label, uniform
+from celltrail.session import ship_package
 
 DIGITS = 6
 
@@ -258,6 +259,7 @@ def paired_counts(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     Rows meet by ``key``. A row that only one side has, or other true labels on
     the two sides, are an error.
     """
+    ship_package(a.sparkSession)
     left = a.select(key, label("y_true").alias("t"), correct().alias("a"), F.lit(True).alias("_a"))
     right = b.select(key, label("y_true").alias("t2"), correct().alias("b"), F.lit(True).alias("_b"))
     rows = left.join(right, key, "full")
@@ -290,6 +292,7 @@ def discordant_pairs(predictions: DataFrame, key: str, by: str) -> DataFrame:
     ``predictions`` have one row for each ``key`` and ``by``; ``a`` < ``b``.
     There are as many values of ``by`` as methods, so rows meet few others.
     """
+    ship_package(predictions.sparkSession)
     right = predictions.select(F.col(key), F.col(by).alias("b"), correct().alias("_b"))
     met = predictions.select(key, F.col(by).alias("a"), correct().alias("_a")).join(right, key).where("a < b")
     counts = met.groupBy("a", "b").agg(

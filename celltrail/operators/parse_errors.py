@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from celltrail.session import ship_package
+
 FIELDS = ("tissueType", "cellName", "CellOntologyID", "geneSymbol", "speciesType", "PMID")
 # Words and signs that stand for a missing or broken cell.
 NULL_WORDS = ("null", "nan", "none", "na", "n/a")
@@ -146,6 +148,8 @@ def parse_line(line: str | None, fields: int) -> tuple[int, int, list[str], list
 def parse_lines(df: DataFrame, line: str = "raw_line", fields: int = len(FIELDS)) -> DataFrame:
     """``df`` with ``parsed``: the edits each line needs, and its cells if it needs none."""
 
+    ship_package(df.sparkSession)
+
     @F.pandas_udf(_PARSED)
     def parsed(lines: pd.Series) -> pd.DataFrame:
         out = [parse_line(x, fields) for x in lines]

@@ -6,6 +6,7 @@ checkpoints in the folder that ``spark.checkpoint.dir`` names.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -33,13 +34,15 @@ def local_session(cores: int = 8, shuffle: int = 8, memory: str = "12g") -> Spar
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where none is named."""
+    """The shared folder of the cluster; one of our own only where none is named and all runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="celltrail-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -47,6 +50,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` reliably to the shared folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)
+    ship_package(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -62,11 +66,11 @@ def salted_join(
     how: str = "left",
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Join ``left`` to ``right`` (unique on ``key``) when ``left`` may be skewed.
+    """Join ``left`` to ``right`` (few rows a ``key``, often one) when ``left`` may be skewed.
 
     Keys of ``left`` are counted with partial aggregation; only those beyond
     ``rows_per_task`` get salts, as many as their count asks for, and only
-    their single row of ``right`` is repeated that often. All other rows join
+    their rows of ``right`` are repeated that often. All other rows join
     as usual. ``how`` is ``left`` or ``inner``. Null keys never match.
     The number of hot keys is at most rows / ``rows_per_task``.
     """

@@ -61,9 +61,13 @@ def markdown_table(rows: list[dict], columns: list[str]) -> str:
 
 
 def coordinate_text(entries: DataFrame, rows: int, columns: int, count: int) -> DataFrame:
-    """Matrix entries (``row``, ``column``, ``value``) as MatrixMarket lines, the header first when written as one file."""
+    """Matrix entries (``row``, ``column``, ``value``) as MatrixMarket lines.
+
+    The header is the first partition, so the first of the files that are
+    written; entries stay in theirs, unsorted, as the format allows.
+    """
     head = entries.sparkSession.createDataFrame(
         [(0, "%%MatrixMarket matrix coordinate real general"), (1, f"{rows} {columns} {count}")], "at int, value string"
     )
     body = entries.select(F.lit(2).alias("at"), F.concat_ws(" ", "row", "column", F.col("value").cast("string")).alias("value"))
-    return head.unionByName(body).orderBy("at").select("value")
+    return head.coalesce(1).sortWithinPartitions("at").unionByName(body).select("value")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from celltrail.functions.text import norm_cl_id, norm_gene_list, norm_tissue
+from celltrail.functions.text import norm_cl_id, norm_gene_list, norm_tissue, strip
 from celltrail.session import quoted
 
 # Header spellings that marker files use.
@@ -94,14 +94,27 @@ def numbered(rows: DataFrame, order: str, name: str = "place") -> DataFrame:
     return placed.withColumn(name, F.col("_rank") + F.col("_before")).drop("_part", "_at", "_rank", "_before")
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """A delimited file with headers, all text; blank cells are null, cells are stripped. No header is an error."""
+def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, multi_line: bool = True) -> DataFrame:
+    """A delimited file with headers, all text; blank cells are null, cells are stripped of blanks of any kind.
+
+    No header is an error, and so is a row with more cells than the header has;
+    missing cells are null. Without ``multi_line`` large files are split, but
+    then no cell may hold a line break.
+    """
     sep = sniff_delimiter(spark, path, delimiter)
-    df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, encoding="UTF-8")
-    if not df.columns:
+    reader = spark.read.options(header=True, sep=sep, quote='"', escape='"', multiLine=multi_line, encoding="UTF-8", ignoreLeadingWhiteSpace=False)
+    names = [c.lstrip("\ufeff") for c in reader.csv(path).columns]
+    if not names:
         raise ValueError(f"{path} has no header")
-    renamed = df.toDF(*[c.lstrip("﻿") for c in df.columns])
-    return renamed.select(*[F.nullif(F.trim(quoted(c)), F.lit("")).alias(c) for c in renamed.columns])
+    # A cell beyond the header shows in a column of its own; blank, it only makes the row as long as the columns.
+    columns = [T.StructField(f"_c{i}", T.StringType()) for i in range(len(names) + 1)]
+    schema = T.StructType([*columns, T.StructField("_short", T.StringType())])
+    rows = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord="_short", enforceSchema=True).schema(schema).csv(path)
+    surplus = F.col(f"_c{len(names)}").isNotNull() | F.col("_short").isNull()
+    message = F.concat(F.lit(f"{path}: more cells than headers in the row that begins with "), F.coalesce("_c0", F.lit("an empty cell")))
+    first = F.when(surplus, F.raise_error(message)).otherwise(F.col("_c0"))
+    cells = [first, *[F.col(f"_c{i}") for i in range(1, len(names))]]
+    return rows.select(*[F.nullif(strip(c), F.lit("")).alias(n) for c, n in zip(cells, names, strict=True)])
 
 
 def _first_present(columns: list[str], names: tuple[str, ...]) -> Column:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from celltrail.cli import main, parser
 from celltrail.operators import matrix
+from celltrail.session import ensure_checkpoint_dir
 from celltrail.sources import sinks
 from celltrail.sources import tables as src
 
@@ -42,6 +43,40 @@ def test_marker_file(spark, tmp_path):
         src.read_marker_records(spark, str(tmp_path / "bad.csv")).collect()
 
 
+@pytest.mark.parametrize("line", ["Lung,B cell,CD19,extra", "Lung,B cell,CD19,", 'Lung,"B, cell",CD19,x,y,z'])
+def test_surplus_cells_fail_the_load(spark, tmp_path, line):
+    (tmp_path / "m.csv").write_text(f"tissue,cell_type,markers\nLung,T cell,CD3D\n{line}\n")
+    with pytest.raises(Exception, match="more cells than headers"):
+        src.read_marker_records(spark, str(tmp_path / "m.csv")).collect()
+
+
+def test_blanks_of_any_kind_are_stripped(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('tissue,cell_type,markers,source\n"\tLung\u00a0",\u00a0T cell\u2003,"CD3D,\u00a0CD3E"\nSkin,"a\nb",X,\u00a0\n')
+    rows = src.read_marker_records(spark, str(tmp_path / "m.csv")).orderBy("rec_id").collect()
+    assert [(r.tissue, r.cell_type, r.markers, r.source) for r in rows] == [("Lung", "T cell", ["CD3D", "CD3E"], None), ("Skin", "a\nb", ["X"], None)]
+
+
+def test_matrix_market_header_comes_first(spark, tmp_path):
+    entries = spark.createDataFrame([(i % 7 + 1, i + 1, float(i)) for i in range(50)], "row int, column int, value double").repartition(4)
+    sinks.coordinate_text(entries, 7, 50, 50).write.text(str(tmp_path / "m"))
+    parts = sorted((tmp_path / "m").glob("part-*"))
+    lines = [line for p in parts for line in p.read_text().splitlines()]
+    assert lines[:2] == ["%%MatrixMarket matrix coordinate real general", "7 50 50"] and len(lines) == 52 and len(parts) == 5
+
+
+def test_shared_folder_is_needed_off_this_machine():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Cluster)
+
+
 def test_ontology_file(spark, tmp_path):
     (tmp_path / "x.obo").write_text(OBO)
     got = {r.cl_id: r for r in src.read_obo(spark, str(tmp_path / "x.obo")).collect()}
