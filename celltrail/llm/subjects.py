@@ -17,6 +17,7 @@ whose size so has a bound that doesn't depend on the corpus.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -95,21 +96,20 @@ class Lengths:
     usual: float = 11.0
     lost: float = 1e9
 
-    def cut(self, lengths: np.ndarray) -> np.ndarray:
-        """Sentence lengths with long stretches cut into pieces of usual length."""
+    def cut(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sentence lengths with long stretches cut into pieces of usual length, and the pieces of each."""
         if not len(lengths) or lengths.max() <= self.lost:
-            return lengths
+            return lengths, np.ones(len(lengths), np.int64)
         many = np.where(lengths > self.lost, np.maximum(np.rint(lengths / self.usual), 1), 1).astype(np.int64)
         nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         size, pieces = np.repeat(lengths, many).astype(np.int64), np.repeat(many, many)
-        return (size * (nth + 1) // pieces - size * nth // pieces).astype(lengths.dtype)
+        return (size * (nth + 1) // pieces - size * nth // pieces).astype(lengths.dtype), many
 
 
 @dataclass
 class Encoded:
-    """Texts as word hashes, one after another."""
+    """Texts with sentences as word hashes, one after another."""
 
-    rows: np.ndarray  # which of the texts given; those without sentences are left out
     words: np.ndarray
     lengths: np.ndarray  # words by sentence
     sentences: np.ndarray  # sentences by text
@@ -144,20 +144,24 @@ def _starts(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
 
 
-def lots(texts: Iterable[tuple[np.ndarray, np.ndarray]], cut: Lengths, most: int = WORDS_AT_ONCE) -> Iterator[Encoded]:
-    """Encoded texts in lots of about ``most`` words, a long text being a lot of its own; empty ones are left out."""
+def pack(texts: Iterable[tuple[np.ndarray, np.ndarray]], most: int = WORDS_AT_ONCE) -> Iterator[tuple[list[int], bytes, bytes, bytes]]:
+    """Encoded texts in lots of about ``most`` words, a long text being a lot of its own; empty ones are left out.
+
+    A lot is which of the texts it holds, their words, their sentences' lengths
+    and their numbers of sentences.
+    """
     rows: list[int] = []
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
-    def lot() -> Encoded:
-        words = np.concatenate([w for w, _ in held]).astype(np.int32).view(np.uint32).astype(np.uint64)
-        return Encoded(np.array(rows), words, np.concatenate([n for _, n in held]), np.array([len(n) for _, n in held]))
+    def lot() -> tuple[list[int], bytes, bytes, bytes]:
+        words, lengths = (np.concatenate(column).astype(np.int32).tobytes() for column in zip(*held, strict=True))
+        return rows, words, lengths, np.array([len(n) for _, n in held], np.int32).tobytes()
 
     for row, (words, lengths) in enumerate(texts):
         if len(lengths):
             rows.append(row)
-            held.append((words, cut.cut(np.asarray(lengths))))
+            held.append((words, lengths))
             size += len(words)
             if size >= most:
                 yield lot()
@@ -166,6 +170,13 @@ def lots(texts: Iterable[tuple[np.ndarray, np.ndarray]], cut: Lengths, most: int
         yield lot()
 
 
+def unpack(words: bytes, lengths: bytes, sentences: bytes, cut: Lengths) -> Encoded:
+    """A lot as it is read."""
+    pieces, many = cut.cut(np.frombuffer(lengths, np.int32))
+    of_text = np.add.reduceat(many, _starts(np.frombuffer(sentences, np.int32)))
+    return Encoded(np.frombuffer(words, np.uint32).astype(np.uint64), pieces, of_text)
+
+
 @dataclass
 class Table:
     """Sorted keys, each with a row of numbers; keys that aren't there have the row of zeros at the end."""
@@ -255,7 +266,7 @@ class SubjectModels:
         top = total.max(axis=1, keepdims=True)
         some = 1.0 / (1.0 + np.exp(np.clip(margin * texts.lengths[:, None] - top, -50, 50)))
         like = np.exp(total - top)
-        prior = np.full((len(texts.rows), k), 1.0 / k)
+        prior = np.full((len(texts.sentences), k), 1.0 / k)
         for _ in range(4):
             post = like * np.repeat(prior, texts.sentences, axis=0)
             post *= some / post.sum(axis=1, keepdims=True)
@@ -396,29 +407,76 @@ class Counts:
                 yield pd.DataFrame(fixed | {f"c{j}": weights[some, j] for j in range(self.columns)})
 
 
-_ENCODED = "words array<int>, lengths array<int>"
+_LOT = "words binary, lengths binary, sentences binary"
+_MARKS = "marked array<array<int>>, code array<string>, own array<boolean>, held array<boolean>"
 
 
-def encode_texts(rows: DataFrame, kept: str) -> DataFrame:
-    """``rows`` (``text`` and the columns of the DDL ``kept``) with their texts encoded, written to the shared folder."""
-    names = [c.strip().split(" ")[0] for c in kept.split(",")]
+def encode_texts(rows: DataFrame, kind: str) -> DataFrame:
+    """Texts (``doc_id``, ``text``, ``marked``, ``code``, ``own``, ``held``) encoded in lots, written to the shared folder."""
+    names = ["doc_id", "marked", "code", "own", "held"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for i in range(0, len(frame), 1000):
-                some = frame.iloc[i : i + 1000]
-                known = [encode(t) for t in some["text"]]
-                texts = {"words": [w for w, _ in known], "lengths": [n for _, n in known]}
-                yield pd.DataFrame({n: some[n].to_numpy() for n in names} | texts)
+            columns = {n: frame[n].tolist() for n in names}
+            for held, *lot in pack(map(encode, frame["text"])):
+                one = {n: pd.Series([[c[i] for i in held]], dtype=object) for n, c in columns.items()}
+                yield pd.DataFrame(one | dict(zip(("words", "lengths", "sentences"), ([x] for x in lot), strict=True)))
 
     width = max(rows.sparkSession.sparkContext.defaultParallelism, shuffle_width(rows.sparkSession))
-    return cut_lineage(rows.select(*names, "text").repartition(width).mapInPandas(run, f"{kept}, {_ENCODED}"))
+    return cut_lineage(rows.select(*names, "text").repartition(width).mapInPandas(run, f"doc_id array<{kind}>, {_MARKS}, {_LOT}"))
 
 
-def fit_lengths(texts: DataFrame) -> Lengths:
-    """The usual and the longest ordinary sentence of all."""
-    found = texts.select(F.explode("lengths").alias("n")).agg(F.percentile("n", F.array(F.lit(0.5), F.lit(0.99))).alias("p")).first()["p"]
-    return Lengths(max(found[0], 1.0), max(LOST * found[1], 2 * found[0])) if found else Lengths()
+def survey(texts: DataFrame) -> tuple[Lengths, Languages]:
+    """The usual and the longest ordinary sentence, and language models from the texts' own codes, wrong ones included.
+
+    All codes count. A language of few texts is smoothed most, so it wins only
+    sentences whose words the others lack.
+    """
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lengths: Counter = Counter()
+        words: dict[str, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        for frame in frames:
+            for code, *lot in zip(frame["code"], frame["words"], frame["lengths"], frame["sentences"], strict=True):
+                raw = np.frombuffer(lot[1], np.int32)
+                for n, many in zip(*np.unique(raw, return_counts=True), strict=True):
+                    lengths[int(n)] += int(many)
+                texts = unpack(*lot, Lengths())
+                sizes = np.add.reduceat(texts.lengths, texts.text_starts)
+                told = np.array([c or "" for c in code], object)
+                spoken = np.repeat(told, sizes)
+                for c in set(code) - {None}:
+                    words[c].append(np.unique(texts.words[spoken == c], return_counts=True))
+        yield pd.DataFrame({"code": "", "key": list(lengths.keys()), "n": list(lengths.values())}, columns=["code", "key", "n"])
+        for c, parts in words.items():
+            keys, many = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order, starts = _runs(keys)
+            yield pd.DataFrame({"code": c, "key": keys[order[starts]].astype(np.int64), "n": np.add.reduceat(many[order], starts)})
+
+    rows = texts.select("code", "words", "lengths", "sentences").mapInPandas(count, "code string, key bigint, n bigint")
+    found = cut_lineage(rows.groupBy("code", "key").agg(F.sum("n").alias("n")))
+    sizes = found.where("code = ''").orderBy("key").toPandas()  # distinct lengths of sentences
+    lengths = Lengths()
+    if len(sizes):
+        upto = sizes["n"].cumsum() / sizes["n"].sum()
+        usual, long = (float(sizes["key"][int(np.argmax(upto >= q))]) for q in (0.5, 0.99))
+        lengths = Lengths(usual, max(LOST * long, 2 * usual))
+    sums = found.where("code != ''").groupBy("code").agg(F.sum("n").alias("all"))
+    totals = {r["code"]: r["all"] for r in sums.collect()}  # codes of three letters at most
+    names = sorted(totals)
+    if len(names) < 2:
+        nothing = np.zeros(0, np.int64)
+        return lengths, Languages(names, nothing.astype(np.uint64), np.zeros(1, np.int64), nothing, nothing.astype(float), np.zeros(max(len(names), 1)))
+    kept = found.join(F.broadcast(sums), "code").where(F.col("n") >= F.col("all") * RARE_FOR_LANGUAGE)  # one row a code
+    got = kept.select("code", "key", "n").toPandas()  # at most 1 / RARE_FOR_LANGUAGE words a language
+    language = got["code"].map({name: i for i, name in enumerate(names)}).to_numpy(np.int64)
+    word = got["key"].to_numpy(np.int64).astype(np.uint64)
+    order = np.lexsort((language, word))
+    keys, first = np.unique(word[order], return_index=True)
+    smooth = 0.2
+    gains = np.log((got["n"].to_numpy(float)[order] + smooth) / smooth)
+    unseen = np.log(smooth / (np.array([totals[n] for n in names], float) + smooth * (1 << 20)))
+    return lengths, Languages(names, keys, np.append(first, len(word)), language[order], gains, unseen)
 
 
 def language_code(lang: str = "lang"):
@@ -428,30 +486,13 @@ def language_code(lang: str = "lang"):
     return F.nullif(F.coalesce(known[head], head), F.lit(""))
 
 
-def fit_languages(texts: DataFrame) -> Languages:
-    """Language models from the texts' own codes (``code``), wrong ones included; all codes count.
-
-    A language of few texts is smoothed most, so it wins only sentences whose
-    words the others lack.
-    """
-    names = sorted(r["code"] for r in texts.where("code is not null and size(words) > 0").select("code").distinct().collect())  # codes of three letters
-    nothing = np.zeros(0, np.int64)
-    if len(names) < 2:
-        return Languages(names, nothing.astype(np.uint64), np.zeros(1, np.int64), nothing, nothing.astype(float), np.zeros(max(len(names), 1)))
-    counts = texts.where("code is not null").select("code", F.explode("words").alias("w")).groupBy("code", "w").agg(F.count(F.lit(1)).alias("n"))
-    sums = texts.where("code is not null").groupBy("code").agg(F.sum(F.size("words")).alias("all"))
-    kept = counts.join(F.broadcast(sums), "code").where(F.col("n") >= F.col("all") * RARE_FOR_LANGUAGE)  # one row a code
-    got = kept.select("code", "w", "n").toPandas()  # at most 1 / RARE_FOR_LANGUAGE words a language
-    at = {name: i for i, name in enumerate(names)}
-    total = np.array([r["all"] for r in sorted(sums.collect(), key=lambda r: r["code"]) if r["code"] in at], float)
-    smooth = 0.2
-    whole = total + smooth * (1 << 20)
-    language = got["code"].map(at).to_numpy(np.int64)
-    word = got["w"].to_numpy(np.int32).view(np.uint32).astype(np.uint64)
-    order = np.lexsort((language, word))
-    keys, first = np.unique(word[order], return_index=True)
-    gains = np.log((got["n"].to_numpy(float)[order] + smooth) / smooth)
-    return Languages(names, keys, np.append(first, len(word)), language[order], gains, np.log(smooth / whole))
+def _said(marked: list, k: int) -> np.ndarray:
+    """Labelled subjects of each text."""
+    said = np.zeros((len(marked), k), bool)
+    for i, mark in enumerate(marked):
+        if mark is not None:
+            said[i, list(mark)] = True
+    return said
 
 
 def fit_subjects(texts: DataFrame, names: list[str], votes: int = VOTES) -> SubjectModels:
@@ -462,7 +503,7 @@ def fit_subjects(texts: DataFrame, names: list[str], votes: int = VOTES) -> Subj
     isn't rare. Labels held out count for nothing but the margin.
     """
     spark = texts.sparkSession
-    lengths, languages, k = fit_lengths(texts), fit_languages(texts), len(names)
+    (lengths, languages), k = survey(texts), len(names)
     marks = ["key bigint", "before bigint", "word bigint", "language int"]
     schema = ", ".join(["kind int", *marks, *[f"c{i} float" for i in range(k + 1)]])
     models = None
@@ -473,12 +514,9 @@ def fit_subjects(texts: DataFrame, names: list[str], votes: int = VOTES) -> Subj
             models, languages, lengths = shared.value
             counts = Counts(k + 1)
             for frame in frames:
-                said = np.zeros((len(frame), k), bool)
-                for i, (mark, held) in enumerate(zip(frame["marked"], frame["held"], strict=True)):
-                    if mark is not None and not held:
-                        said[i, list(mark)] = True
-                for lot in lots(zip(frame["words"], frame["lengths"], strict=True), lengths):
-                    mine, language = said[lot.rows], languages.of(lot)
+                for marked, held, *lot in zip(*(frame[c] for c in ("marked", "held", "words", "lengths", "sentences")), strict=True):
+                    lot = unpack(*lot, lengths)
+                    mine, language = _said([m if not h else None for m, h in zip(marked, held, strict=True)], k), languages.of(lot)
                     if models:
                         post = models.posteriors(lot, models.gains(lot, language), models.margin, mine)
                     else:
@@ -508,17 +546,15 @@ def calibrated(models: SubjectModels, texts: DataFrame, share: float = SHARE) ->
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models, out = shared.value, np.zeros((len(MARGINS), 3), np.int64)
         for frame in frames:
-            said = np.zeros((len(frame), len(models.names)), bool)
-            for i, mark in enumerate(frame["marked"]):
-                said[i, list(mark)] = True
-            for lot in lots(zip(frame["words"], frame["lengths"], strict=True), models.lengths):
-                mine = said[lot.rows]
+            for marked, held, *lot in zip(*(frame[c] for c in ("marked", "held", "words", "lengths", "sentences")), strict=True):
+                lot, judged = unpack(*lot, models.lengths), np.array(held, bool)
+                mine = _said(marked, len(models.names))
                 for i, n in enumerate(models.counted(lot, MARGINS)):
                     found = n[:, 1:] >= np.maximum(share * lot.sentences[:, None] - 1e-9, 1)
-                    out[i] += ((found & mine).sum(), (found & ~mine).sum(), (mine & ~found).sum())
+                    out[i] += ((found & mine)[judged].sum(), (found & ~mine)[judged].sum(), (mine & ~found)[judged].sum())
         yield pd.DataFrame([(i, *map(int, row)) for i, row in enumerate(out)], columns=["margin", "hit", "false", "missed"])
 
-    rows = texts.where("held").mapInPandas(judge, "margin int, hit bigint, false bigint, missed bigint")
+    rows = texts.where(F.exists("held", lambda h: h)).mapInPandas(judge, "margin int, hit bigint, false bigint, missed bigint")
     sums = rows.groupBy("margin").agg(F.sum("hit"), F.sum("false"), F.sum("missed")).collect()
     shared.destroy()
     score = {r[0]: round(2 * r[1] / max(2 * r[1] + r[2] + r[3], 1), 4) for r in sums if r[1] + r[2] + r[3]}
@@ -552,24 +588,23 @@ def subject_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     held = F.col("marked").isNotNull() & F.col("x.own") & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(HELD_OUT)) == 0)
     out = F.col("marked").isNotNull() & ~F.col("x.own") & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(HELD_OUT)) == 0)
     rows = sided.where(~F.coalesce(out, F.lit(False))).select("doc_id", "marked", "x.text", "x.code", "x.own", F.coalesce(held, F.lit(False)).alias("held"))
-    texts = encode_texts(rows.where("text is not null"), f"doc_id {kind}, marked array<int>, code string, own boolean, held boolean")
-    if not names:
-        each = F.expr("aggregate(lengths, 0, (a, x) -> a + 1)")
-        return texts.where("size(lengths) > 0").select("doc_id", F.lit("none").alias("subject"), each.alias("sentences"), each.alias("of"), F.lit(1.0).alias("share"))
-    shared = documents.sparkSession.sparkContext.broadcast(fit_subjects(texts, names, votes))
+    texts = encode_texts(rows.where("text is not null"), kind)
+    models = fit_subjects(texts, names, votes) if names else None
+    lengths = models.lengths if models else survey(texts)[0]
+    shared = documents.sparkSession.sparkContext.broadcast((models, lengths))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models = shared.value
-        called = np.array(["none", *models.names], object)
+        models, lengths = shared.value
+        called = np.array(["none", *(models.names if models else [])], object)
         for frame in frames:
-            ids = frame["doc_id"].to_numpy()
-            for lot in lots(zip(frame["words"], frame["lengths"], strict=True), models.lengths):
-                (n,) = models.counted(lot, [models.margin])
-                i, s = np.nonzero(n)
+            for ids, own, *lot in zip(*(frame[c] for c in ("doc_id", "own", "words", "lengths", "sentences")), strict=True):
+                lot = unpack(*lot, lengths)
+                n = next(models.counted(lot, [models.margin])) if models else lot.sentences[:, None]
+                i, s = np.nonzero(n * np.array(own, bool)[:, None])
                 of = lot.sentences[i]
-                yield pd.DataFrame({"doc_id": ids[lot.rows[i]], "subject": called[s], "sentences": n[i, s], "of": of, "share": n[i, s] / of})
+                yield pd.DataFrame({"doc_id": np.asarray(ids)[i], "subject": called[s], "sentences": n[i, s], "of": of, "share": n[i, s] / of})
 
-    return texts.where("own").select("doc_id", "words", "lengths").mapInPandas(read, schema)
+    return texts.select("doc_id", "own", "words", "lengths", "sentences").mapInPandas(read, schema)
 
 
 def corpus_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:

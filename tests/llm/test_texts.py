@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from celltrail.llm.label_map import edits, map_labels, map_rows
 from celltrail.llm.leaks import exact_leaks, find_leaks, myers, text_words
 from celltrail.llm.packing import TOKENIZERS, best_two_fit, pack_documents, packing_report, token_counts
-from celltrail.llm.subjects import Counts, Encoded, Languages, Lengths, corpus_shares, document_subjects, encode, models_from, sentences, subject_shares
+from celltrail.llm.subjects import Counts, Encoded, Languages, Lengths, corpus_shares, document_subjects, encode, models_from, pack, sentences, subject_shares, unpack
 
 TERMS = "cl_id string, name string, synonyms array<struct<text:string,scope:string>>, is_obsolete boolean, label string"
 LIST = [
@@ -179,10 +179,13 @@ def test_sentences():
 
 
 def test_stretches_without_stops():
-    cut = Lengths(usual=10.0, lost=25.0).cut(np.array([8, 25, 26, 100], np.int32))
-    assert cut.tolist() == [8, 25, 8, 9, 9] + [10] * 10 and cut.sum() == 159
+    cut, many = Lengths(usual=10.0, lost=25.0).cut(np.array([8, 25, 26, 100], np.int32))
+    assert cut.tolist() == [8, 25, 8, 9, 9] + [10] * 10 and cut.sum() == 159 and many.tolist() == [1, 1, 3, 10]
+    (_, *lot), = pack([encode("a b c. " + "d " * 30), encode(None), encode("e f.")])
+    texts = unpack(*lot, Lengths(usual=10.0, lost=25.0))
+    assert texts.lengths.tolist() == [3, 10, 10, 10, 2] and texts.sentences.tolist() == [4, 1]
     prose = np.array([30, 45, 60], np.int32)  # ordinary where the corpus is like that
-    assert Lengths(usual=40.0, lost=80.0).cut(prose).tolist() == prose.tolist()
+    assert Lengths(usual=40.0, lost=80.0).cut(prose)[0].tolist() == prose.tolist()
 
 
 def test_models_are_probabilities():
@@ -192,7 +195,7 @@ def test_models_are_probabilities():
     counts = Counts(3)
     lengths = np.full(400, 6, np.int32)
     words = rng.integers(0, 6, 2400).astype(np.uint64)
-    texts = Encoded(np.arange(400), words, lengths, np.ones(400, np.int64))
+    texts = Encoded(words, lengths, np.ones(400, np.int64))
     post = rng.random((400, 2)) * 0.5
     counts.add(texts, np.zeros(400, np.int64), np.concatenate([np.ones((400, 1)), post], axis=1))
     rows = pd.concat(list(counts.frames()))
