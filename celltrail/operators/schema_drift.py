@@ -30,17 +30,6 @@ SKETCH = 128
 #: Similarity above which a field that came is one that went.
 SAME = 0.5
 
-# Header spellings of the meanings that marker tables have.
-MEANINGS = {
-    "tissue": ("tissue", "tissuetype", "tissuename", "organ", "organname", "uberonlabel"),
-    "cell_type": ("celltype", "cellname", "cell", "annotation", "cellannotation", "celltypeannotation"),
-    "cl_id": ("cellontologyid", "clid", "ontologyid"),
-    "marker": ("marker", "cellmarker", "gene", "genesymbol", "officialgenesymbol", "markergene"),
-    "evidence": ("evidence", "description", "note", "pmid", "pubmedid", "publication", "reference"),
-    "species": ("species", "specie", "speciestype", "organism"),
-}
-
-
 def plain_name(name: str) -> str:
     return re.sub(r"[^a-z0-9]+", "", name.lower())
 
@@ -183,7 +172,9 @@ def profiles(records: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFram
 
     def merge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         total = FieldProfile()
-        for r in frame.itertuples():  # at most as many as the file has salts
+        # At most as many rows as the file has salts. The part with the smallest bound keeps SKETCH words below it, so
+        # the SKETCH smallest of all are below every part's bound and counted whole.
+        for r in frame.itertuples():
             for into, cell in ((total.types, r.types), (total.shapes, r.shapes), (total.words, r.words)):
                 into.update({x["name"]: int(x["count"]) for x in cell})
         return pd.DataFrame([(*key, *total.row())], columns=["feed", "file_no", "field", "types", "shapes", "words"])
@@ -235,8 +226,7 @@ def similarity(old: dict, new: dict) -> float:
     """How far two fields may be one, from 0 to 1.
 
     What the two files hold counts, or what fields of these names hold in all
-    files. A name that is spelled alike or means the same adds, a name of
-    another meaning takes.
+    files. A name that is spelled alike adds.
     """
     here = _likeness(old, new, "shapes", "words")
     everywhere = _likeness(old, new, "all_shapes", "all_words")
@@ -244,16 +234,9 @@ def similarity(old: dict, new: dict) -> float:
     if everywhere is not None:
         base = max(base, 0.95 * everywhere if here is None or here > 0.1 else 0.0)
     spelled = _cosine(_pairs([old["field"]]), _pairs([new["field"]]))
-    meant, means = _meaning(old["field"]), _meaning(new["field"])
-    if meant and means:
-        spelled = 1.0 if meant == means else -1.0
     return max(0.0, min(1.0, 0.85 * base + 0.25 * spelled))
 
 
-def _meaning(name: str) -> str | None:
-    return next((m for m, names in MEANINGS.items() if plain_name(name) in names), None)
-
-
 def assign(weights: list[list[float]]) -> list[int]:
     """For each row the column given to it, of greatest total weight; the matrix may have any shape.
 
@@ -293,11 +276,6 @@ def assign(weights: list[list[float]]) -> list[int]:
     return out
 
 
-def _main_type(types: dict[str, float]) -> str | None:
-    """The type of most non-null values; of equals the first by name."""
-    return min(types, key=lambda t: (-types[t], t)) if types else None
-
-
 def match_fields(gone: list[dict], come: list[dict]) -> list[tuple[str, str, str, float]]:
     """(change, old field, new field, score) of the profiles of fields that went and came."""
     gone, come = (sorted(side, key=lambda p: p["field"]) for side in (gone, come))
@@ -338,18 +316,19 @@ def _match_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=names)
 
 
-def schema_changes(records: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def schema_changes(records: DataFrame, rows_per_task: int = ROWS_PER_TASK, found: DataFrame | None = None) -> DataFrame:
     """(``feed``, ``file_id``, ``file_no``, ``change``, ``old_field``, ``new_field``, ``score``).
 
     Changes of each file from the file of the feed before it by ``file_no``,
     whenever it arrived. A field is in a file if any row has it, null or not; a
     field without values in one of two files is not retyped. Rows that are no
     JSON objects have no fields; a file of none but such rows has lost them all.
+    ``found`` are the profiles if they are there already.
     """
     files = records.groupBy("feed", "file_no").agg(F.min("file_id").alias("file_id"))
     order = Window.partitionBy("feed").orderBy("file_no")
     files = cut_lineage(files.select("*", F.lag("file_no").over(order).alias("before"), F.lead("file_no").over(order).alias("after")))
-    found = cut_lineage(profiles(records, rows_per_task))
+    found = cut_lineage(profiles(records, rows_per_task)) if found is None else found
     here = found.join(files.select("feed", "file_no", "before", "after"), ["feed", "file_no"])
     old = here.where("after is not null").select("feed", F.col("after").alias("pair"), "field", "shapes", "words", _main_type().alias("was"))
     new = here.where("before is not null").select("feed", F.col("file_no").alias("pair"), "field", "shapes", "words", _main_type().alias("now"))
@@ -371,30 +350,47 @@ def schema_changes(records: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> Da
     )
 
 
-def field_lineage(records: DataFrame, changes: DataFrame, configs: DataFrame | None = None) -> DataFrame:
+#: Columns of the common table, and the configuration's columns that name them.
+COLUMNS = {"marker": "marker_column", "cell_type": "cell_type_column", "cl_id": "cl_id_column", "tissue": "tissue_column", "species": "species_column"}
+
+
+def told_names(configs: DataFrame) -> DataFrame:
+    """(``plain``, ``told``): the column that most feeds' configurations mean by a name, whatever its case and signs."""
+    pairs = F.explode(F.array(*[F.struct(F.col(c).alias("name"), F.lit(m).alias("told")) for m, c in COLUMNS.items()]))
+    named = configs.select(pairs.alias("x")).select(_plain("x.name").alias("plain"), "x.told").where("plain != ''")
+    counted = named.groupBy("plain", "told").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("plain").agg(F.min_by("told", F.struct(-F.col("n"), F.col("told"))).alias("told"))
+
+
+def _plain(column: str) -> Column:
+    return F.regexp_replace(F.lower(column), "[^a-z0-9]+", "")
+
+
+def field_lineage(fields: DataFrame, changes: DataFrame, configs: DataFrame | None = None) -> DataFrame:
     """(``feed``, ``file_no``, ``field``, ``column``): the common column of each field of each file.
 
-    Renames are followed through a feed's files in order. The column is the
-    meaning the feed's configuration gives to any name the field ever had, else
-    the meaning of such a name by its spelling, else its first name.
+    ``fields`` are (``feed``, ``file_no``, ``field``), as profiles have them.
+    Renames are followed through a feed's files in order. The column is the one
+    that the feed's configuration gives to any name the field ever had, else
+    the one that other feeds' configurations give to such a name, else its first
+    name. A feed's files are one small row a field, followed in one task.
     """
-    fields = records.select("feed", "file_no", F.explode(F.json_object_keys("payload")).alias("field")).distinct()
     renames = changes.where("change = 'renamed'").select(
         "feed", "file_no", F.col("new_field").alias("field"), F.col("old_field")
     )
-    found = fields.join(renames, ["feed", "file_no", "field"], "left")
-    meanings = {"marker": "marker_column", "cell_type": "cell_type_column", "cl_id": "cl_id_column",
-                "tissue": "tissue_column", "species": "species_column"}
+    found = fields.select("feed", "file_no", "field").join(renames, ["feed", "file_no", "field"], "left").withColumn("plain", _plain("field"))
+    meanings = COLUMNS
     if configs is not None:
         said = configs.select("feed", *[F.col(c).alias(f"_{m}") for m, c in meanings.items()]).dropDuplicates(["feed"])
-        found = found.join(said, "feed", "left")
+        found = found.join(said, "feed", "left").join(told_names(configs), "plain", "left")
     else:
-        found = found.select("*", *[F.lit(None).cast("string").alias(f"_{m}") for m in meanings])
+        found = found.select("*", *[F.lit(None).cast("string").alias(x) for x in (*(f"_{m}" for m in meanings), "told")])
 
     def follow(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         said = {frame[f"_{m}"].iloc[0]: m for m in meanings if isinstance(frame[f"_{m}"].iloc[0], str)}
         current: dict[str, int] = {}
         names: list[list[str]] = []
+        told = {f: t for f, t in zip(frame["field"], frame["told"], strict=True) if isinstance(t, str)}
         out = []
         for file_no, rows in frame.sort_values(["file_no", "field"]).groupby("file_no"):
             now = {}
@@ -413,7 +409,7 @@ def field_lineage(records: DataFrame, changes: DataFrame, configs: DataFrame | N
             current = now
         column = []
         for n in names:
-            meant = next((said[x] for x in n if x in said), None) or next((m for x in n if (m := _meaning(x))), None)
+            meant = next((said[x] for x in n if x in said), None) or next((told[x] for x in n if x in told), None)
             column.append(meant or n[0])
         rows = [(key[0], int(no), field, column[chain]) for no, field, chain in out]
         return pd.DataFrame(rows, columns=["feed", "file_no", "field", "column"])
@@ -428,7 +424,8 @@ def unified_records(records: DataFrame, configs: DataFrame | None = None) -> Dat
     row that mean one column are joined likewise. Payloads that are no JSON
     object keep their row, with null columns and the text in ``unread``.
     """
-    lineage = cut_lineage(field_lineage(records, schema_changes(records), configs))
+    found = cut_lineage(profiles(records))
+    lineage = cut_lineage(field_lineage(found, schema_changes(records, found=found), configs))
     of_file = lineage.groupBy("feed", "file_no").agg(
         F.map_from_entries(F.collect_list(F.struct("field", "column"))).alias("_columns")
     ).withColumn("_file", F.xxhash64("feed", "file_no")).drop("feed", "file_no")
