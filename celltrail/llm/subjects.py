@@ -417,10 +417,12 @@ def encode_texts(rows: DataFrame, kind: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            columns = {n: frame[n].tolist() for n in names}
-            for held, *lot in pack(map(encode, frame["text"])):
-                one = {n: pd.Series([[c[i] for i in held]], dtype=object) for n, c in columns.items()}
-                yield pd.DataFrame(one | dict(zip(("words", "lengths", "sentences"), ([x] for x in lot), strict=True)))
+            # Texts held out come in lots of their own, so that judging reads no others.
+            for some in (frame[frame["held"]], frame[~frame["held"]]):
+                columns = {n: some[n].tolist() for n in names}
+                for rows, *lot in pack(map(encode, some["text"])):
+                    one = {n: pd.Series([[c[i] for i in rows]], dtype=object) for n, c in columns.items()}
+                    yield pd.DataFrame(one | dict(zip(("words", "lengths", "sentences"), ([x] for x in lot), strict=True)))
 
     width = max(rows.sparkSession.sparkContext.defaultParallelism, shuffle_width(rows.sparkSession))
     return cut_lineage(rows.select(*names, "text").repartition(width).mapInPandas(run, f"doc_id array<{kind}>, {_MARKS}, {_LOT}"))
@@ -547,8 +549,7 @@ def calibrated(models: SubjectModels, texts: DataFrame, share: float = SHARE) ->
         models, out = shared.value, np.zeros((len(MARGINS), 3), np.int64)
         for frame in frames:
             for marked, held, *lot in zip(*(frame[c] for c in ("marked", "held", "words", "lengths", "sentences")), strict=True):
-                lot, judged = unpack(*lot, models.lengths), np.array(held, bool)
-                mine = _said(marked, len(models.names))
+                lot, judged, mine = unpack(*lot, models.lengths), np.array(held, bool), _said(marked, len(models.names))
                 for i, n in enumerate(models.counted(lot, MARGINS)):
                     found = n[:, 1:] >= np.maximum(share * lot.sentences[:, None] - 1e-9, 1)
                     out[i] += ((found & mine)[judged].sum(), (found & ~mine)[judged].sum(), (mine & ~found)[judged].sum())
