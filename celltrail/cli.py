@@ -165,7 +165,11 @@ def analyze(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def analyze_rerank(spark: SparkSession, a: argparse.Namespace) -> None:
-    _json(metrics.rerank_audit(src.read_predictions(spark, a.input)))
+    rows = src.read_predictions(spark, a.input)
+    _json(metrics.rerank_audit(rows))
+    _json(metrics.rerank_histograms(rows).orderBy("kind", "value"))
+    if a.harmed:
+        sinks.write_report(metrics.harm_examples(rows, "rec_id", a.examples), a.harmed)
 
 
 def map_predictions(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -187,6 +191,7 @@ def sync_gold(spark: SparkSession, a: argparse.Namespace) -> None:
     gold = src.numbered(_training(spark, a.gold), "example_id").drop("rec_id").withColumnRenamed("place", "rec_id")
     out = linking.sync_gold(rows.drop("rec_id").withColumnRenamed("place", "rec_id"), gold, a.allow_mismatch)
     sinks.write_jsonl(out, a.output)
+    _json(linking.sync_counts(out))
 
 
 def benchmark_model(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -317,7 +322,9 @@ def parser() -> argparse.ArgumentParser:
     v = verb("analyze-predictions", analyze, output=False)
     v.add_argument("--output")
     v.add_argument("--examples", type=int, default=25)
-    verb("analyze-rerank-predictions", analyze_rerank, output=False)
+    v = verb("analyze-rerank-predictions", analyze_rerank, output=False)
+    v.add_argument("--harmed")
+    v.add_argument("--examples", type=int, default=25)
     verb("map-prediction-ontology", map_predictions, "marker-db").add_argument("--overwrite", action="store_true")
     verb("harmonize-prediction-labels", harmonize, "map").add_argument("--marker-db")
     verb("reparse-predictions", reparse_predictions)

@@ -141,37 +141,50 @@ def distractors(examples: DataFrame, records: DataFrame, per_example: int, seed:
     return asked.select("example_id", "k").join(drawn, "k").select("example_id", F.col("drawn").alias("added"))
 
 
-def perturb_markers(
-    examples: DataFrame, records: DataFrame, drop_rate: float, add_noise: int, min_markers: int = 1, seed: int = 23
+def perturb_levels(
+    examples: DataFrame, records: DataFrame, levels: tuple[tuple[float, int], ...], min_markers: int = 1, seed: int = 23
 ) -> DataFrame:
-    """(``example_id``, ``markers``, ``original_markers``, ``dropped``, ``added``): markers dropped at a rate, others added.
+    """``perturb_markers`` at several (drop rate, added markers), told by ``level``; markers are drawn once for all.
 
-    ``examples``: ``example_id``, ``cell_type``, ``markers``. At least
-    ``min_markers`` of the own ones stay: those with the greatest hashes. The
-    result is in hash order. Examples without markers only get added ones.
+    A higher level drops all that a lower one drops, and adds all that it adds.
     """
-    if not 0 <= drop_rate <= 1 or add_noise < 0:
+    if any(not 0 <= drop <= 1 or add < 0 for drop, add in levels):
         raise ValueError("drop_rate must lie within 0 and 1, add_noise above 0")
-    at = (F.lit(seed), F.col("example_id"))
-    stays = F.filter("markers", lambda m: uniform(*at, m) >= F.lit(drop_rate))
-    ranked = F.reverse(by_hash(F.col("markers"), *at))
-    floor = F.slice(ranked, 1, min_markers)
-    rows = examples.withColumn("markers", F.coalesce("markers", F.array().cast("array<string>"))).withColumn(
-        "kept", F.when(F.size(stays) >= min_markers, stays).otherwise(floor)
-    )
-    if add_noise:
-        rows = rows.join(distractors(examples, records, add_noise, seed), "example_id", "left")
+    most = max(add for _, add in levels)
+    none = F.array().cast("array<string>")
+    rows = examples.withColumn("markers", F.coalesce("markers", none))
+    if most:
+        rows = rows.join(distractors(examples, records, most, seed), "example_id", "left")
     else:
-        rows = rows.withColumn("added", F.array().cast("array<string>"))
+        rows = rows.withColumn("added", none)
+    at = (F.lit(seed), F.col("example_id"))
+    grid = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(float(d)).alias("drop"), F.lit(a).alias("add")) for i, (d, a) in enumerate(levels)])
+    rows = rows.withColumn("x", F.explode(grid)).select("example_id", "markers", "x.level", "x.drop", F.slice("added", F.lit(1), F.col("x.add")).alias("added"))
+    stays = F.filter("markers", lambda m: uniform(*at, m) >= F.col("drop"))
+    floor = F.slice(F.reverse(by_hash(F.col("markers"), *at)), 1, min_markers)
+    rows = rows.withColumn("kept", F.when(F.size(stays) >= min_markers, stays).otherwise(floor))
     return rows.select(
         "example_id",
-        by_hash(F.array_distinct(F.concat("kept", "added")), *at, "order").alias("markers"),
+        "level",
+        by_hash(F.array_distinct(F.concat("kept", F.coalesce("added", none))), *at, "order").alias("markers"),
         F.col("markers").alias("original_markers"),
         (F.size("markers") - F.size("kept")).alias("dropped"),
-        "added",
+        F.coalesce("added", none).alias("added"),
     )
 
 
+def perturb_markers(
+    examples: DataFrame, records: DataFrame, drop_rate: float, add_noise: int, min_markers: int = 1, seed: int = 23
+) -> DataFrame:
+    """(``example_id``, ``markers``, ``original_markers``, ``dropped``, ``added``): markers dropped at a rate, others added.
+
+    ``examples``: ``example_id``, ``cell_type``, ``markers``. At least
+    ``min_markers`` of the own ones stay: those with the greatest hashes. The
+    result is in hash order. Examples without markers only get added ones.
+    """
+    return perturb_levels(examples, records, ((drop_rate, add_noise),), min_markers, seed).drop("level")
+
+
 def rewrite_perturbed(examples: DataFrame, perturbed: DataFrame, drop_rate: float, add_noise: int) -> DataFrame:
     """Examples with perturbed markers in prompt and metadata; what was done is noted there."""
     new = perturbed.select("example_id", F.col("markers").alias("_new"), "original_markers", "dropped", "added")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from celltrail.functions.text import norm_label
 from celltrail.operators import metrics as me
 from celltrail.operators.annotators import annotate_by_overlap, candidate_lists
-from celltrail.operators.augment import perturb_markers
+from celltrail.operators.augment import perturb_levels
 from celltrail.operators.parse import choose_candidate, reparse
 from celltrail.operators.similarity import rank_by_overlap
 from celltrail.plans import sql
@@ -165,11 +165,8 @@ def noise_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "annotation_example").select("example_id", "tissue", "cell_type").join(
         clusters(spark, sf_dir).select(F.col("q_id").alias("example_id"), "markers"), "example_id"
     )
-    out = None
-    for level, (drop, add) in enumerate(NOISE):
-        noisy = perturb_markers(rows.select("example_id", "cell_type", "markers"), db, drop, add)
-        one = noisy.select((F.col("example_id") * len(NOISE) + level).alias("q_id"), F.lit(level).alias("level"), "example_id", "markers")
-        out = one if out is None else out.unionByName(one)
+    noisy = perturb_levels(rows.select("example_id", "cell_type", "markers"), db, NOISE)
+    out = noisy.select((F.col("example_id") * len(NOISE) + F.col("level")).alias("q_id"), "level", "example_id", "markers")
     asked = out.join(rows.select("example_id", "tissue", F.col("cell_type").alias("y_true")), "example_id")
     said = annotate_by_overlap(asked.select("q_id", F.coalesce("tissue", F.lit("")).alias("tissue"), "markers"), db)
     scored = asked.select("q_id", "level", "y_true").join(said.withColumnRenamed("cell_type", "y_pred"), "q_id")
