@@ -141,6 +141,24 @@ QUERIES = {
 
 _PLAIN = r"nullif(lower(regexp_replace({0}, '[^\p{{L}}\p{{Nd}}]', '', 'g')), '')"
 
+_WIDE = "".join(chr(0xFF01 + i) for i in range(94))
+_NARROW = "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
+_HIDDEN = r"[\x00-\x08\x0e-\x1f\x7f\x{ad}\x{34f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{fe00}-\x{fe0f}\x{feff}]"
+
+
+def _visible(x: str) -> str:
+    """Lower case without invisible signs; DuckDB has no NFKC, so of its mappings only wide letters and blanks."""
+    return f"lower(translate(regexp_replace(coalesce({x}, ''), '{_HIDDEN}', '', 'g'), '{_WIDE}' || chr(12288) || chr(160), '{_NARROW}' || '  '))"
+
+
+def _words(x: str) -> str:
+    return f"array_to_string(regexp_extract_all({_visible(x)}, '[\\p{{L}}\\p{{N}}]+|\\+'), ' ')"
+
+
+_COPIES = f"""k as (select rec_id, tissue, cell_type, markers, {_words('tissue')} || chr(10) || {_words('cell_type')} || chr(10) || array_to_string(list_sort(list_distinct(list_filter(
+            list_transform(regexp_split_to_array({_visible('markers')}, '[\\s,;|/]+'), lambda p: regexp_replace(p, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda p: p <> ''))), ' ') as key
+        from marker_record), g as (select key, min(rec_id) as least, count(*) as copies from k group by 1)"""
+
 _SETS = r"""
         with a as (
             select example_id, split, source, list_sort(list_distinct(list_filter(list_transform(case
@@ -182,6 +200,8 @@ ORACLES = {
         ), least as (select x as example_id, min(y) as group_id from reach group by x)
         select group_id, example_id from least where group_id < example_id
     """,
+    "p4_found": f"with {_COPIES} select least as rec_id, rec_id as copy_rec_id from k join g using (key) where rec_id <> least",
+    "p4_collapsed": f"with {_COPIES} select rec_id, tissue, cell_type, markers, copies from k join g using (key) where rec_id = least",
     "p9_found": r"""
         with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents),
         i as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_item),
