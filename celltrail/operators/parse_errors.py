@@ -84,24 +84,24 @@ def cheapest_edits(shape: str, fields: int) -> tuple[int, int, tuple[str, ...]]:
     best = _close(best)
     quote_edits = min((c for at, c in best.items() if at != _QUOTED), default=_FAR)
 
-    # Cheapest parse to exactly that many fields; states carry the field count and the way.
-    state: dict[tuple[int, int], tuple[int, tuple[str, ...]]] = {(_START, 1): (0, ())}
+    # Cheapest parse to exactly that many fields; states carry the field count and the way, as edits linked to the ones before.
+    state: dict[tuple[int, int], tuple[int, tuple | None]] = {(_START, 1): (0, None)}
 
-    def offer(to: dict, key: tuple[int, int], cost: int, way: tuple[str, ...]) -> None:
+    def offer(to: dict, key: tuple[int, int], cost: int, way: tuple | None) -> None:
         if key[1] <= fields and (key not in to or cost < to[key][0]):
             to[key] = (cost, way)
 
     def free_edits(now: dict, place: int) -> None:
         for (at, n), (cost, way) in sorted(now.items(), key=lambda x: x[1][0]):
             if at in (_START, _CLOSED):
-                offer(now, (_QUOTED, n), cost + 1, (*way, f"insert quote at {place}"))
+                offer(now, (_QUOTED, n), cost + 1, (way, "insert quote at", place))
             if at == _QUOTED:
-                offer(now, (_CLOSED, n), cost + 1, (*way, f"insert quote at {place}"))
+                offer(now, (_CLOSED, n), cost + 1, (way, "insert quote at", place))
         for m in range(1, fields):
             for at in (_START, _BARE, _CLOSED):
                 if (at, m) in now:
                     cost, way = now[at, m]
-                    offer(now, (_START, m + 1), cost + 1, (*way, f"insert separator at {place}"))
+                    offer(now, (_START, m + 1), cost + 1, (way, "insert separator at", place))
 
     for place, kind in enumerate(shape):
         free_edits(state, place)
@@ -110,16 +110,20 @@ def cheapest_edits(shape: str, fields: int) -> tuple[int, int, tuple[str, ...]]:
             for to, ends in _moves(kind, at):
                 offer(after, (to, n + ends), cost, way)
             if kind == '"':
-                offer(after, (at, n), cost + 1, (*way, f"delete quote at {place}"))
+                offer(after, (at, n), cost + 1, (way, "delete quote at", place))
             elif kind in ",n" and at != _QUOTED:
-                offer(after, (at, n), cost + 1, (*way, f"delete separator at {place}"))
+                offer(after, (at, n), cost + 1, (way, "delete separator at", place))
             elif kind == "t" and at == _CLOSED:
-                offer(after, (_CLOSED, n), cost + 1, (*way, f"delete quote before {place}"))
+                offer(after, (_CLOSED, n), cost + 1, (way, "delete quote before", place))
         state = after
     free_edits(state, len(shape))
     ended = [v for (at, n), v in state.items() if n == fields and at != _QUOTED]
-    cost, way = min(ended, default=(_FAR, ("no parse",)), key=lambda x: x[0])
-    return quote_edits, (0 if quote_edits else cost), way
+    cost, way = min(ended, default=(_FAR, None), key=lambda x: x[0])
+    edits: list[str] = []
+    while way:
+        way, what, place = way
+        edits.append(f"{what} {place}")
+    return quote_edits, (0 if quote_edits else cost), tuple(reversed(edits)) if cost < _FAR else ("no parse",)
 
 
 def _close(best: dict[int, int]) -> dict[int, int]:
