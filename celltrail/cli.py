@@ -5,7 +5,11 @@ from __future__ import annotations
 import argparse
 import gzip
 import importlib
+import importlib.metadata
 import json
+import os
+import platform
+import shutil
 import sys
 import urllib.request
 from pathlib import Path
@@ -233,7 +237,25 @@ def summarize(spark: SparkSession, a: argparse.Namespace) -> None:
     for part in parts[1:]:
         both = both.unionByName(part)
     rows = [r.asDict() for r in metrics.evaluate(both, by=["experiment"]).orderBy("experiment").collect()]
-    Path(a.output).write_text(sinks.markdown_table(rows, list(rows[0]) if rows else ["experiment"]) + "\n")
+    text = sinks.markdown_table(rows, list(rows[0]) if rows else ["experiment"]) + "\n"
+    if a.preflight:
+        told = sinks.preflight_rows(dict(x.split("=", 1) for x in a.preflight))
+        text += "\n" + sinks.markdown_table(told, list(told[0])) + "\n"
+    Path(a.output).write_text(text)
+
+
+def environment() -> dict:
+    """Versions of what training needs, null where it is missing, and what this machine has."""
+    versions = {}
+    for name in ("pyspark", "pyarrow", "pandas", "numpy", "torch", "transformers", "peft"):
+        try:
+            versions[name] = importlib.metadata.version(name)
+        except importlib.metadata.PackageNotFoundError:
+            versions[name] = None
+    free = shutil.disk_usage(".").free
+    memory = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") if hasattr(os, "sysconf") else None
+    hardware = {"cpus": os.cpu_count(), "memory_gb": memory and round(memory / 1e9, 1), "free_disk_gb": round(free / 1e9, 1), "gpu_tool": shutil.which("nvidia-smi")}
+    return {"python": platform.python_version(), "dependencies": versions, "hardware": hardware}
 
 
 def preflight(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -244,7 +266,8 @@ def preflight(spark: SparkSession, a: argparse.Namespace) -> None:
     leaks = splits.leaked_groups(rows, a.group_by).count() if a.group_by else 0
     duplicates = splits.duplicate_signatures(rows, text).count()
     unseen = splits.label_overlap(rows, norm_label(F.col("cell_type"))).agg(F.coalesce(F.sum("unseen"), F.lit(0))).first()[0]
-    print(json.dumps({"splits": summary, "warnings": splits.preflight_warnings(summary, leaks, duplicates, unseen)}, default=str))
+    warnings = splits.preflight_warnings(summary, leaks, duplicates, unseen)
+    print(json.dumps({"splits": summary, "warnings": warnings, **environment()}, default=str))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -331,6 +354,7 @@ def parser() -> argparse.ArgumentParser:
     v = verbs.add_parser("summarize-experiments")
     v.set_defaults(run=summarize)
     v.add_argument("--input", nargs="+", required=True, help="name=path")
+    v.add_argument("--preflight", nargs="+", help="name=path")
     v.add_argument("--output", required=True)
     v = verb("preflight-finetune", preflight, output=False)
     v.add_argument("--group-by", nargs="+")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from celltrail.session import cut_lineage
+
 
 def unpivot_matrix(wide: DataFrame, gene: str) -> DataFrame:
     """A genes by cells table in long form, zeros and nulls left out."""
@@ -194,6 +200,54 @@ def principal_components(matrix: DataFrame, genes: list[str], k: int) -> DataFra
     return model.transform(vectors).select("cell_id", vector_to_array("_c").alias("components"))
 
 
+def nearest_cells(cells: DataFrame, queries: DataFrame, k: int = 15, block: int = 2_000) -> DataFrame:
+    """(``cell_id``, ``rank``, ``neighbour``, ``distance``): the ``k`` nearest other cells of each query, exactly.
+
+    Both sides have ``cell_id`` and ``vector``, all of one length. Every cell is
+    read against blocks of at most ``block`` queries, of which each task keeps
+    the ``k`` nearest; equal distances go by id. Rows without a vector are left
+    out; fewer than ``k`` cells give fewer rows.
+    """
+    spark = cells.sparkSession
+    kind = cells.schema["cell_id"].dataType.simpleString()
+    schema = f"cell_id {kind}, neighbour {kind}, distance double"
+    asked = queries.where("vector is not null").select("cell_id", "vector")
+    blocks = max(1, -(-asked.count() // block))
+    numbered = cut_lineage(asked.withColumn("_block", F.pmod(F.xxhash64("cell_id"), F.lit(blocks)).cast("int")))
+    found = None
+    for number in range(blocks):
+        some = numbered.where(F.col("_block") == number).collect()  # a block
+        if not some:
+            continue
+        held = spark.sparkContext.broadcast(([r["cell_id"] for r in some], np.array([r["vector"] for r in some], float)))
+
+        def nearest(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            ids, points = held.value
+            best: list[list[tuple]] = [[] for _ in ids]
+            for frame in frames:
+                for start in range(0, len(frame), 1000):
+                    part = frame.iloc[start : start + 1000]
+                    others, there = part["cell_id"].tolist(), np.array(part["vector"].tolist(), float)
+                    for i, row in enumerate(_distances(points, there)):
+                        near = np.argsort(row, kind="stable")[: k + 1] if len(row) <= k + 1 else np.flatnonzero(row <= np.partition(row, k)[k])
+                        best[i] = sorted(best[i] + [(float(row[j]), others[j]) for j in near if others[j] != ids[i]])[:k]
+            rows = [(ids[i], other, d) for i, pairs in enumerate(best) for d, other in pairs]
+            yield pd.DataFrame(rows, columns=["cell_id", "neighbour", "distance"])
+
+        part = cells.where("vector is not null").select("cell_id", "vector").mapInPandas(nearest, schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    order = Window.partitionBy("cell_id").orderBy("distance", "neighbour")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("cell_id", "rank", "neighbour", "distance")
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All distances of two sets of points, a few of the first at a time."""
+    return np.concatenate([np.sqrt(((a[i : i + 64, None, :] - b[None, :, :]) ** 2).sum(axis=2)) for i in range(0, len(a), 64)])
+
+
 def variable_genes(matrix: DataFrame, cells: DataFrame, n: int = 2000) -> DataFrame:
     """(``gene``, ``dispersion``): the genes whose variance exceeds their mean most, zeros counted."""
     size = F.broadcast(cells.agg(F.count_distinct("cell_id").alias("_n")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,9 +189,13 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 COMPARED = ("lora_adapter", "lora_rerank")
 
 
-def _methods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+#: The comparisons of the table.
+COMPARISONS = (COMPARED, ("lora_adapter", "prompt_only"), ("lora_adapter", "marker_overlap"), ("lora_rerank", "marker_overlap"), ("marker_overlap", "sctype_style"))
+
+
+def _methods(spark: SparkSession, sf_dir: str, compared: tuple[str, str] = COMPARED) -> tuple[DataFrame, DataFrame]:
     rows = _answers(spark, sf_dir)
-    a, b = (rows.where(F.col("method") == m) for m in COMPARED)
+    a, b = (rows.where(F.col("method") == m) for m in compared)
     return a.join(b.select("example_id"), "example_id", "left_semi"), b.join(a.select("example_id"), "example_id", "left_semi")
 
 
@@ -198,6 +204,15 @@ def paired_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return me.paired_counts(a, b, "example_id")
 
 
+def paired_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All comparisons, a row each."""
+    parts = [
+        me.paired_counts(*_methods(spark, sf_dir, pair), "example_id").withColumns({"method_a": F.lit(pair[0]), "method_b": F.lit(pair[1])})
+        for pair in COMPARISONS
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 #: As many as published comparisons draw.
 RESAMPLES = 500
 
@@ -246,7 +261,7 @@ QUERIES = {
     for f in (
         accuracy, macro_f1, label_f1, cl_accuracy, ece, calibration, evaluate, experiment_summary, label_counts, top_labels,
         analyze_predictions, top_confusions, confusion_matrix, wrong_examples, infer_method, reparse_counts, benchmark_overlap,
-        rerank_audit, rerank_ranks, rerank_histograms, harm_examples, noise_grid, paired_counts, bootstrap_ci, bootstrap_f1_ci, mcnemar_values,
+        rerank_audit, rerank_ranks, rerank_histograms, harm_examples, noise_grid, paired_counts, paired_table, bootstrap_ci, bootstrap_f1_ci, mcnemar_values,
     )
 }
 
@@ -268,9 +283,15 @@ _ANSWERS = f"""
     ans as (select method, example_id, {sql.label("coalesce(y, 'None')")} as t, {sql.label("coalesce(f.y, 'None')")} as p from (
                 select method, example_id, arg_min(struct_pack(y := cell_type), struct_pack(p := pred_id, a := arrived_at)) as f from annotation_prediction group by 1, 2)
             join tr_ using (example_id))""".replace("coalesce(y, 'None')", "coalesce(tr_.y, 'None')")
-_PAIRS = f"""{_ANSWERS},
-    pair as (select example_id, x.t, x.p as pa, y.p as pb, (x.t = x.p)::int as a, (y.t = y.p)::int as b from (select * from ans where method = '{COMPARED[0]}') x
-             join (select * from ans where method = '{COMPARED[1]}') y using (example_id))"""
+
+
+def _pairs(compared: tuple[str, str]) -> str:
+    return f"""{_ANSWERS},
+    pair as (select example_id, x.t, x.p as pa, y.p as pb, (x.t = x.p)::int as a, (y.t = y.p)::int as b from (select * from ans where method = '{compared[0]}') x
+             join (select * from ans where method = '{compared[1]}') y using (example_id))"""
+
+
+_PAIRS = _pairs(COMPARED)
 _P = "least(1.0, 2 * (select sum(exp(lgamma(a_only + b_only + 1.0) - lgamma(i + 1.0) - lgamma(a_only + b_only - i + 1.0) - (a_only + b_only) * ln(2.0))) from range(0, 100000) x(i) where i <= least(a_only, b_only)))"
 
 
@@ -279,6 +300,13 @@ def _f1_of(side: str) -> str:
         select l.t, count(*) as n, count(*) filter (l.t = l.p{side}) as tp, (select count(*) from pair q where q.p{side} = l.t) as said from pair l group by 1))"""
 
 
+def _paired(compared: tuple[str, str]) -> str:
+    return f"""with {_pairs(compared).strip()}, c as (select count(*) as n, count(*) filter (a = 1 and b = 1) as "both", count(*) filter (a = 1 and b = 0) as a_only,
+        count(*) filter (a = 0 and b = 1) as b_only, count(*) filter (a = 0 and b = 0) as neither, round(avg(a), 6) as accuracy_a, round(avg(b), 6) as accuracy_b,
+        round(avg(a - b), 6) as accuracy_delta, round({_f1_of('a')}, 6) as macro_f1_a, round({_f1_of('b')}, 6) as macro_f1_b from pair)
+        select *, round(macro_f1_a - macro_f1_b, 6) as macro_f1_delta, round(case when a_only + b_only > 0 then {_P} end, 6) as p_value from c"""
+
+
 _RERANKED = f"""
     c as (select q_id, rank, d.cell_type as name, d.cl, lk, count(*) over (partition by q_id) as k from ranked r join db d using (rec_id) where rank <= 3),
     raws as (select example_id, arg_min(struct_pack(r := raw_response), struct_pack(p := pred_id, a := arrived_at)).r as raw from annotation_prediction group by 1),
@@ -380,10 +408,8 @@ ORACLES = {
         select p.example_id, t.y_true, p.y_pred, p.src as selection_source, f.name as top_candidate, f.cl as top_candidate_cl_id, p.pos as selected_rank
         from placed p join told t using (example_id) join c f on f.q_id = p.example_id and f.rank = 1
         where f.lk = t.t and {sql.label("coalesce(p.y_pred, 'None')")} <> t.t order by 1 limit 25""",
-    "paired_counts": f"""with {_PAIRS.strip()}, c as (select count(*) as n, count(*) filter (a = 1 and b = 1) as "both", count(*) filter (a = 1 and b = 0) as a_only,
-        count(*) filter (a = 0 and b = 1) as b_only, count(*) filter (a = 0 and b = 0) as neither, round(avg(a), 6) as accuracy_a, round(avg(b), 6) as accuracy_b,
-        round(avg(a - b), 6) as accuracy_delta, round({_f1_of('a')}, 6) as macro_f1_a, round({_f1_of('b')}, 6) as macro_f1_b from pair)
-        select *, round(macro_f1_a - macro_f1_b, 6) as macro_f1_delta, round(case when a_only + b_only > 0 then {_P} end, 6) as p_value from c""",
+    "paired_counts": _paired(COMPARED),
+    "paired_table": " union all by name ".join(f"select *, '{a}' as method_a, '{b}' as method_b from ({_paired((a, b))})" for a, b in COMPARISONS),
     "bootstrap_ci": f"""with {_PAIRS.strip()}, w as (select b_.i as resample, a - b as d, {_POISSON.format(u=sql.uniform("13", "b_.i", "example_id"))} as w from pair, range({RESAMPLES}) b_(i)),
         s as (select resample, sum(d * w) / sum(w) as delta from w where w > 0 group by 1)
         select round(quantile_cont(delta, 0.025), 6) as low, round(quantile_cont(delta, 0.975), 6) as high from s""",

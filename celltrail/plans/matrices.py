@@ -90,6 +90,13 @@ def cells_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_orders.unionByName(without).groupBy("c_nationkey", "has").agg(F.count(F.lit(1)).alias("n"))
 
 
+def nearest_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest cells of every hundredth cell, against all cells."""
+    cells = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    out = mx.nearest_cells(cells, cells.where("cell_id % 100 = 0"), 10)
+    return out.select("cell_id", "rank", "neighbour", F.round("distance", 6).alias("distance"))
+
+
 def variable_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mx.variable_genes(cells_by_genes(spark, sf_dir), observations(spark, sf_dir), 20)
     return out.select("gene", F.round("dispersion", 6).alias("dispersion"))
@@ -99,7 +106,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         quality_cells, normalized_totals, scaled_genes, cluster_mean, rank_genes, rank_genes_t, top_genes, matrix_markers, matrix_unpivot,
-        majority_value, majority_alpha, score_margin, cells_semi_anti, variable_genes,
+        majority_value, majority_alpha, score_margin, cells_semi_anti, variable_genes, nearest_cells,
     )
 }
 
@@ -159,6 +166,11 @@ ORACLES = {
         select l_orderkey, label, score as best, round(least(1.0, greatest(0.0, (score - second) / (abs(score) + abs(second) + 1e-9))), 6) as margin from r where k = 1""",
     "cells_semi_anti": """
         select c_nationkey, c_custkey in (select o_custkey from orders) as has, count(*) as n from customer group by 1, 2""",
+    "nearest_cells": """
+        with v as (select vec_id as id, embedding::double[] as e from embeddings),
+        d as (select q.id as cell_id, v.id as neighbour, list_distance(q.e, v.e) as distance from v as q join v on q.id <> v.id where q.id % 100 = 0),
+        r as (select *, row_number() over (partition by cell_id order by distance, neighbour) as rank from d)
+        select cell_id, rank, neighbour, round(distance, 6) as distance from r where rank <= 10""",
     "variable_genes": f"""with {_M}, n as (select count(*) as n from embeddings), s as (select gene, sum(value) as s, sum(value * value) as q from mat group by 1)
         select gene, round((q - n * (s / n) * (s / n)) / (n - 1) / (s / n), 6) as dispersion from s, n order by (q - n * (s / n) * (s / n)) / (n - 1) / (s / n) desc, gene limit 20""",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +61,16 @@ def markdown_table(rows: list[dict], columns: list[str]) -> str:
     return "\n".join(lines)
 
 
+def preflight_rows(reports: dict[str, str]) -> list[dict]:
+    """A row for each named preflight report (a JSON file): records, coverage, longest text and warnings."""
+    out = []
+    for name, path in reports.items():
+        told = json.loads(Path(path).read_text(encoding="utf-8"))
+        total = next((r for r in told.get("splits", []) if r.get("split") == "total"), {})
+        out.append({"name": name, **{c: total.get(c) for c in ("records", "labels", "cl_coverage", "max_length")}, "warnings": told.get("warnings", [])})
+    return out
+
+
 def coordinate_text(entries: DataFrame, rows: int, columns: int, count: int) -> DataFrame:
     """Matrix entries (``row``, ``column``, ``value``) as MatrixMarket lines.
 
