@@ -209,4 +209,22 @@ ORACLES = {
         ig as (select item_id, array_to_string(w[s : s + 11], ' ') as g from (select *, unnest(range(1, len(w) - 10)) as s from i))
         select distinct doc_id, item_id from dg join ig using (g)
     """,
+    # One word edit: a word of the passage left out, one inside put for another, or one put in between.
+    "p9_near": r"""
+        with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
+        i as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_item where text is not null),
+        iw as (select item_id, s, w[s : s + 11] as p from (select *, unnest(range(1, len(w) - 10)) as s from i)),
+        ds as (select doc_id, w, unnest(range(1, len(w) + 1)) as s from d),
+        iv as (
+            select item_id, s, 'p' as kind, array_to_string(p, ' ') as g from iw
+            union all select item_id, s, 'd', array_to_string(p[1 : k - 1] || p[k + 1 : 12], ' ') from iw, range(1, 13) r(k)
+            union all select item_id, s, 's' || k, array_to_string(p[1 : k - 1] || p[k + 1 : 12], ' ') from iw, range(2, 12) r(k)),
+        dv as (
+            select doc_id, 'p' as kind, 0 as distance, array_to_string(w[s : s + 11], ' ') as g from ds where s + 11 <= len(w)
+            union all select doc_id, 'd', 1, array_to_string(w[s : s + 10], ' ') from ds where s + 10 <= len(w)
+            union all select doc_id, 's' || k, 1, array_to_string(w[s : s + k - 2] || w[s + k : s + 11], ' ') from ds, range(2, 12) r(k) where s + 11 <= len(w)
+            union all select doc_id, 'p', 1, array_to_string(w[s : s + k - 2] || w[s + k : s + 12], ' ') from ds, range(2, 13) r(k) where s + 12 <= len(w)),
+        m as (select doc_id, item_id, s, min(distance) as distance from dv join iv using (kind, g) group by 1, 2, 3)
+        select doc_id, item_id, min(distance) as distance, count(*) as passages, count(*) filter (distance = 0) as exact from m group by 1, 2
+    """,
 }
