@@ -163,27 +163,42 @@ def overlap_pairs(examples: DataFrame, similarity: float = SIMILARITY) -> DataFr
     )
 
 
+def _named_sets(members: DataFrame) -> DataFrame:
+    """(``set_id``, ``rep``, ``l``, ``r``): each set's smallest record, and its records in evaluation and training."""
+    return cut_lineage(
+        members.groupBy("set_id").agg(
+            F.min("example_id").alias("rep"), F.count_if(F.col("split") != "train").alias("l"), F.count_if(F.col("split") == "train").alias("r")
+        )
+    )
+
+
 def overlap_members(examples: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(``example_id``, ``split``, ``set_id``, ``others``): each record in an overlap, its set, and how many similar sets the other side has.
+    """(``example_id``, ``split``, ``set_id``, ``others``): each record in an overlap, the smallest record with its set, and how many similar sets the other side has.
 
     Together with ``overlap_sets`` this says all that ``overlap_pairs`` says, in a row a record.
     """
     members, pairs, _ = split_overlaps(examples, similarity)
-    pairs = cut_lineage(pairs)
-    left = pairs.groupBy(F.col("left_id").alias("set_id")).agg(F.count(F.lit(1)).alias("others")).withColumn("is_train", F.lit(False))
-    right = pairs.groupBy(F.col("right_id").alias("set_id")).agg(F.count(F.lit(1)).alias("others")).withColumn("is_train", F.lit(True))
-    linked = left.unionByName(right).withColumn("side", F.concat_ws(":", "set_id", "is_train")).drop("set_id", "is_train")
-    sided = members.select("example_id", "split", "set_id", F.concat_ws(":", "set_id", F.col("split") == "train").alias("side"))
-    return salted_join(sided, linked, "side", "inner").drop("side")
+    members, pairs = cut_lineage(members.select("set_id", "example_id", "split")), cut_lineage(pairs)
+    left = pairs.groupBy(F.col("left_id").alias("set_id")).agg(F.count(F.lit(1)).alias("others")).withColumn("_train", F.lit(False))
+    right = pairs.groupBy(F.col("right_id").alias("set_id")).agg(F.count(F.lit(1)).alias("others")).withColumn("_train", F.lit(True))
+    linked = left.unionByName(right).join(_named_sets(members).select("set_id", "rep"), "set_id")
+    linked = linked.select(F.concat_ws(":", "set_id", "_train").alias("_side"), "rep", "others")
+    sided = members.select("example_id", "split", F.concat_ws(":", "set_id", F.col("split") == "train").alias("_side"))
+    return salted_join(sided, linked, "_side", "inner").select("example_id", "split", F.col("rep").alias("set_id"), "others")
 
 
 def overlap_sets(examples: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(``left_id``, ``right_id``, ``common``, ``union_size``, ``left_records``, ``right_records``): similar sets of evaluation and training with their records."""
+    """(``left_id``, ``right_id``, ``common``, ``union_size``, ``left_records``, ``right_records``): similar sets of evaluation and training with their records.
+
+    A set is named by the smallest record that has it.
+    """
     members, pairs, _ = split_overlaps(examples, similarity)
-    many = cut_lineage(members.groupBy("set_id").agg(F.count_if(F.col("split") != "train").alias("l"), F.count_if(F.col("split") == "train").alias("r")))
-    left = many.select(F.col("set_id").alias("left_id"), F.col("l").alias("left_records"))
-    right = many.select(F.col("set_id").alias("right_id"), F.col("r").alias("right_records"))
-    return pairs.join(left, "left_id").join(right, "right_id")
+    named = _named_sets(members)
+    left = named.select(F.col("set_id").alias("left_id"), F.col("rep").alias("_l"), F.col("l").alias("left_records"))
+    right = named.select(F.col("set_id").alias("right_id"), F.col("rep").alias("_r"), F.col("r").alias("right_records"))
+    return pairs.join(left, "left_id").join(right, "right_id").select(
+        F.col("_l").alias("left_id"), F.col("_r").alias("right_id"), "common", "union_size", "left_records", "right_records"
+    )
 
 
 def overlap_counts(examples: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from celltrail.functions.text import norm_label
 from celltrail.llm.copies import collapse_copies, find_copies
-from celltrail.llm.label_map import map_labels, map_rows
+from celltrail.llm.label_map import list_forms, map_labels, map_rows
 from celltrail.llm.leaks import exact_leaks, find_leaks
 from celltrail.llm.overlap import overlap_counts, overlap_members, overlap_pairs, overlap_sets
 from celltrail.llm.packing import pack_documents, packing_report, token_counts
 from celltrail.llm.related import related_forest, related_groups, related_splits
 from celltrail.llm.responses import defective, flag_responses
 from celltrail.llm.subjects import corpus_shares, document_subjects
+from celltrail.plans import sql
 from celltrail.session import cut_lineage, table
 
 
@@ -96,6 +98,14 @@ def p7_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_labels(_labels(spark, sf_dir), table(spark, sf_dir, "cell_ontology_term"))
 
 
+def p7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``p7_found`` says of rows whose label is one term's form but for case, hyphens and blanks."""
+    labels, terms = _labels(spark, sf_dir), table(spark, sf_dir, "cell_ontology_term")
+    forms = list_forms(terms).groupBy(norm_label(F.col("form")).alias("_key")).agg(F.count_distinct("cl_id").alias("_ids")).where("_ids = 1")
+    alike = labels.select("src", "row_id", norm_label(F.col("label")).alias("_key")).join(forms.select("_key"), "_key", "left_semi")
+    return map_rows(labels, terms).join(alike.select("src", "row_id").distinct(), ["src", "row_id"], "left_semi")
+
+
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text, or piece of a long one, with its container of 1,024 tokens."""
     sizes = cut_lineage(token_counts(table(spark, sf_dir, "documents")))
@@ -134,7 +144,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_counts, p2_members, p2_sets, p3_found, p3_forest, p3_splits, p4_found, p4_collapsed, p5_found, p5_flags, p7_found, p7_labels,
+        p2_found, p2_counts, p2_members, p2_sets, p3_found, p3_forest, p3_splits, p4_found, p4_collapsed, p5_found, p5_flags, p7_found, p7_labels, p7_exact,
         p8_packed, p8_report, p9_found, p9_near, p10_found, p10_shares,
     )
 }
@@ -174,6 +184,13 @@ _SETS = r"""
 _SIMILAR = """least(len(e.s), len(t.s)) >= 0.7 * greatest(len(e.s), len(t.s)) - 1e-9
           and len(list_intersect(e.s, t.s)) >= 0.7 * (len(e.s) + len(t.s) - len(list_intersect(e.s, t.s))) - 1e-9"""
 
+_NAMED = """named as (select s, min(example_id) as rep, count(*) filter (split <> 'train') as l, count(*) filter (split = 'train') as r
+        from a where split in ('train', 'validation', 'test') and len(s) > 0 group by 1),
+    prs as (select x.s as l, y.s as r, x.rep as rep_l, y.rep as rep_r, len(list_intersect(x.s, y.s)) as common,
+                   len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)) as union_size, x.l as left_records, y.r as right_records
+            from named x, named y where x.l > 0 and y.r > 0 and least(len(x.s), len(y.s)) >= 0.7 * greatest(len(x.s), len(y.s)) - 1e-9
+              and len(list_intersect(x.s, y.s)) >= 0.7 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) - 1e-9)"""
+
 ORACLES = {
     "p2_found": _SETS + """
         select distinct least(e.example_id, t.example_id) as example_id_1, greatest(e.example_id, t.example_id) as example_id_2 from e, t where """ + _SIMILAR,
@@ -182,6 +199,16 @@ ORACLES = {
             select example_id, split, list_distinct(list_filter(list_transform(string_split(source, ';'), lambda v: {_PLAIN.format("v")}), lambda v: v is not null)) as l from e))
         select split, source, count(*) as records, count(h.example_id) as overlapping, count(x.example_id) as exact
         from k left join h using (example_id) left join x using (example_id) group by 1, 2""",
+    "p2_sets": _SETS + f""", {_NAMED} select rep_l as left_id, rep_r as right_id, common, union_size, left_records, right_records from prs""",
+    "p2_members": _SETS + f""", {_NAMED}, o as (select l, false as tr, count(*) as others from prs group by 1 union all select r, true, count(*) from prs group by 1)
+        select example_id, split, named.rep as set_id, others from a join named using (s) join o on o.l = a.s and o.tr = (split = 'train') where split in ('train', 'validation', 'test')""",
+    "p7_exact": f"""
+        with f as (select cl_id, name as form from cell_ontology_term where not coalesce(is_obsolete, false) union
+                   select cl_id, s.text from (select cl_id, unnest(synonyms) as s from cell_ontology_term where not coalesce(is_obsolete, false)) where upper(s.scope) = 'EXACT'),
+        k as (select {sql.label('form')} as key, min(cl_id) as cl_id from f where trim(form) <> '' group by 1 having count(distinct cl_id) = 1),
+        r as (select 'marker_record' as src, rec_id as row_id, cell_type from marker_record union select 'annotation_prediction', pred_id, cell_type from annotation_prediction)
+        select distinct src, row_id, cl_id from r join k on {sql.label('cell_type')} = key
+        where cell_type not in (select name from cell_ontology_term where not coalesce(is_obsolete, false))""",
     "p3_found": rf"""
         with recursive k as (
             select example_id, 's' || {_PLAIN.format("x")} as key
