@@ -110,7 +110,9 @@ def accept(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def accept_decisions(spark: SparkSession, a: argparse.Namespace) -> None:
     said = src.with_row_order(src.read_delimited(spark, a.decisions, ","), "pos")
-    sinks.write_report(curation.apply_decisions(_template(spark, a.input), said), a.output)
+    template = _template(spark, a.input)
+    sinks.write_report(curation.apply_decisions(template, said, a.skip_missing), a.output)
+    _json(curation.decision_counts(template, said))
 
 
 def prioritize(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -305,7 +307,7 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--rank", type=int)
     for name in ("--cl-id", "--label", "--notes"):
         v.add_argument(name)
-    verb("accept-ontology-decisions", accept_decisions, "decisions")
+    verb("accept-ontology-decisions", accept_decisions, "decisions").add_argument("--skip-missing", action="store_true")
     verb("prioritize-ontology-curation", prioritize, "splits")
     verb("apply-ontology-curation", apply_curation, "curation").add_argument("--overwrite", action="store_true")
     for name in ("split", "split-grouped", "split-stratified"):

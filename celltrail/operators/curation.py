@@ -136,20 +136,41 @@ def auto_accept(template: DataFrame, min_score: float = 0.8) -> DataFrame:
     ).drop("_fit", "_take")
 
 
-def apply_decisions(template: DataFrame, decisions: DataFrame) -> DataFrame:
+def _said(decisions: DataFrame) -> DataFrame:
+    """Decisions by normalized label: ``d_id``, ``d_rank``, ``d_label``, ``d_note``, blank ones null."""
+    return decisions.select(
+        norm_label(F.col("cell_type")).alias("_key"), norm_cl_id(F.col("cl_id").cast("string")).alias("d_id"), F.col("rank").cast("int").alias("d_rank"),
+        F.nullif(F.col("accepted_label"), F.lit("")).alias("d_label"), F.nullif(F.col("notes"), F.lit("")).alias("d_note"), "pos",
+    )
+
+
+def decision_counts(template: DataFrame, decisions: DataFrame) -> DataFrame:
+    """One row: decisions, those that accept a term of a label of the template, those that only note or say nothing, and those whose label it lacks."""
+    there = template.select(norm_label(F.col("cell_type")).alias("_key"), F.lit(True).alias("_there")).distinct()
+    joined = _said(decisions).join(there, "_key", "left")
+    told = F.col("d_id").isNotNull() | F.col("d_rank").isNotNull()
+    return joined.agg(
+        F.count(F.lit(1)).alias("decisions"), F.count_if(told & F.col("_there")).alias("accepted"),
+        F.count_if(~told & F.col("_there")).alias("skipped"), F.count_if(F.col("_there").isNull()).alias("missing"),
+    )
+
+
+def apply_decisions(template: DataFrame, decisions: DataFrame, skip_missing: bool = True) -> DataFrame:
     """The template after decisions (``cell_type``, ``cl_id``, ``rank``, ``accepted_label``, ``notes``, ``pos``).
 
     Per label the last decision with an id, a rank or a note counts: one with
     neither id nor rank clears the acceptance. The accepted row is the
     suggestion with that id, else of that rank, else the first; other rows of
     the label are cleared. A note stays on the row it was written to. Labels
-    that the template lacks are passed over.
+    that the template lacks are passed over, or an error.
     """
     key = norm_label(F.col("cell_type"))
-    said = decisions.select(
-        key.alias("_key"), norm_cl_id(F.col("cl_id").cast("string")).alias("d_id"), F.col("rank").cast("int").alias("d_rank"),
-        F.nullif(F.col("accepted_label"), F.lit("")).alias("d_label"), F.nullif(F.col("notes"), F.lit("")).alias("d_note"), "pos",
-    ).where("d_id is not null or d_rank is not null or d_note is not null")
+    said = _said(decisions)
+    if not skip_missing:
+        lacking = said.join(template.select(key.alias("_key")).distinct(), "_key", "left_anti").select("_key").limit(1).collect()
+        if lacking:
+            raise ValueError(f"the template lacks {lacking[0][0]}")
+    said = said.where("d_id is not null or d_rank is not null or d_note is not null")
     rows = template.withColumn("_key", key)
     pairs = rows.select("_key", "rank", "suggested_cl_id").join(said, "_key")
     review = F.col("d_id").isNull() & F.col("d_rank").isNull()
@@ -172,7 +193,7 @@ def accept_suggestion(template: DataFrame, cell_type: str, cl_id: str | None = N
     """The template after one decision; without an id the first rank counts."""
     spark = template.sparkSession
     one = [(cell_type, cl_id, rank if rank is not None or cl_id else 1, label, notes, 0)]
-    return apply_decisions(template, spark.createDataFrame(one, "cell_type string, cl_id string, rank int, accepted_label string, notes string, pos int"))
+    return apply_decisions(template, spark.createDataFrame(one, "cell_type string, cl_id string, rank int, accepted_label string, notes string, pos int"), skip_missing=False)
 
 
 def curation_priority(template: DataFrame, examples: DataFrame, include_accepted: bool = False) -> DataFrame:

@@ -166,6 +166,17 @@ def apply_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("cell_type", "rank", "accepted_cl_id", "accepted_label", "notes")
 
 
+def decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What decisions on all labels do to a template of the unmapped ones."""
+    return cur.decision_counts(unmapped_groups(spark, sf_dir), _decisions(spark, sf_dir))
+
+
+def mapping_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions by what became of their id, for each method."""
+    out = lk.map_prediction_ids(predictions(spark, sf_dir), database(spark, sf_dir))
+    return out.groupBy("method", "mapping").agg(F.count(F.lit(1)).alias("n"), F.count("pred_cl_id").alias("with_id"))
+
+
 def apply_curation(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = lk.unambiguous_ids(database(spark, sf_dir)).select(F.col("key").alias("cell_type"), F.col("cl_id").alias("accepted_cl_id"))
     return lk.apply_curation(database(spark, sf_dir), ids).select("rec_id", "cell_ontology_id", "outcome")
@@ -209,7 +220,7 @@ QUERIES = {
     for f in (
         parse_obo, ontology_map_summary, case_label_map, ontology_label_map, ontology_ambiguous, label_map_last_wins, label_variant_list, map_label_exact, map_label_variant,
         enrich_cl_ids, enrich_counts, unambiguous_map, map_pred_ids, harmonize_map, harmonize_labels, sync_gold, sync_counts, unmapped_groups,
-        fuzzy_candidates, curation_template, auto_accept, apply_decisions, apply_curation, curation_priority, labels_match,
+        fuzzy_candidates, curation_template, auto_accept, apply_decisions, decision_counts, mapping_counts, apply_curation, curation_priority, labels_match,
     )
 }
 
@@ -245,6 +256,13 @@ _SYNC = f"""s0 as (select example_id as rec_id, {sql.cl_id('metadata.cell_ontolo
         from annotation_example),
     s as (select *, case when original_true_cl_id is not distinct from true_cl_id then 'none' when true_cl_id is null then 'cleared'
                          when original_true_cl_id is null then 'filled' else 'changed' end as change from s0)"""
+_MAPPED = f"""
+        with {sql.DB}, {sql.variants("select cell_type as label from db where cl is not null", "k").strip()}, {_PREDICTED},
+        ids as (select variant, min(cl) as cl, count(distinct cl) as n from k join db on label = cell_type where cl is not null group by 1),
+        f as (select label, arg_min(struct_pack(cl := cl, n := n), place) as f from v join ids using (variant) group by 1),
+        mp as (select method, pred_id, arrived_at, coalesce(p.cl, case when f.n = 1 then f.cl end) as pred_cl_id,
+               case when p.cl is not null then 'preserved' when f.n = 1 then 'mapped' when f.n > 1 then 'ambiguous' else 'unmapped' end as mapping
+        from (select *, {sql.cl_id('cell_ontology_id')} as cl from annotation_prediction) p left join f on cell_type = label)"""
 
 ORACLES = {
     "ontology_label_map": f"with {_MAP} select label, normalized_label, cl_id, term_name, match_source from onto",
@@ -280,13 +298,12 @@ ORACLES = {
         o as (select cl, cl_id, case when cl_id is null then case when cl is null then 'unmapped' else 'preserved' end
                      when cl is null then 'mapped' when cl = cl_id then 'unchanged' else 'overwritten' end as outcome from db left join f on cell_type = label)
         select outcome, count(*) as n, count(coalesce(cl_id, cl)) as with_id from o group by 1""",
-    "map_pred_ids": f"""
-        with {sql.DB}, {sql.variants("select cell_type as label from db where cl is not null", "k").strip()}, {_PREDICTED},
-        ids as (select variant, min(cl) as cl, count(distinct cl) as n from k join db on label = cell_type where cl is not null group by 1),
-        f as (select label, arg_min(struct_pack(cl := cl, n := n), place) as f from v join ids using (variant) group by 1)
-        select pred_id, arrived_at, coalesce(p.cl, case when f.n = 1 then f.cl end) as pred_cl_id,
-               case when p.cl is not null then 'preserved' when f.n = 1 then 'mapped' when f.n > 1 then 'ambiguous' else 'unmapped' end as mapping
-        from (select *, {sql.cl_id('cell_ontology_id')} as cl from annotation_prediction) p left join f on cell_type = label""",
+    "map_pred_ids": f"{_MAPPED} select pred_id, arrived_at, pred_cl_id, mapping from mp",
+    "mapping_counts": f"{_MAPPED} select method, mapping, count(*) as n, count(pred_cl_id) as with_id from mp group by 1, 2",
+    "decision_counts": f"""
+        with {sql.DB}, u as (select distinct {sql.label('cell_type')} as k from db where cl is null and cell_type is not null),
+        d as (select cell_type, {sql.label('cell_type')} as k from marker_record where cell_type is not null group by 1)
+        select count(*) as decisions, count(u.k) as accepted, 0 as skipped, count(*) - count(u.k) as missing from d left join u using (k)""",
     "harmonize_map": f"with {_HARMONIZER} select key, target, target_cl_id from h",
     "harmonize_labels": f"""
         with {sql.DB}, {_UNAMBIGUOUS.strip()}, {_HARMONIZER}, {_PREDICTED},

@@ -108,6 +108,13 @@ def perturb_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("example_id", F.array_join(F.array_sort("markers"), ",").alias("markers"), "dropped", F.array_join(F.array_sort("added"), ",").alias("added"))
 
 
+def perturb_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the perturbation did, in numbers."""
+    out = perturb_markers(spark, sf_dir)
+    many = F.size(F.filter(F.split("added", ","), lambda m: m != ""))
+    return out.agg(F.count(F.lit(1)).alias("records"), F.sum("dropped").alias("dropped"), F.sum(many).alias("added"), F.count_if(F.col("markers") == "").alias("empty"))
+
+
 def split_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_by_chance(examples(spark, sf_dir).select("example_id"), "example_id")
 
@@ -194,7 +201,7 @@ QUERIES = {
     for f in (
         rerank_prompts, extract_cases, scan_jsonl, unseen_labels, labels_with_many, top_split_labels, record_formats, preflight,
         build_prompt, build_response, to_chat, to_instruction, record_text, parse_responses, choose_candidates, generate_examples,
-        perturb_markers, split_random, split_grouped, split_stratified, split_manifest, leaked_groups, dup_signatures, label_overlap,
+        perturb_markers, perturb_counts, split_random, split_grouped, split_stratified, split_manifest, leaked_groups, dup_signatures, label_overlap,
         split_summary, label_support, group_keys, hash_sample,
     )
 }
@@ -212,6 +219,17 @@ _EXAMPLE_MARKERS = f"""x as (select example_id, cell_type, coalesce(m, []) as m
             select example_id, unnest(l) as r, generate_subscripts(l, 1) as p
             from (select example_id, regexp_split_to_array(array_to_string(metadata.markers, ','), '(?:{sql.WS}|[,;|/])+') as l from annotation_example)) where {sql.gene('r')} <> '' group by 1, 2)
         group by 1) using (example_id))"""
+_PERTURBED = f"""
+        with {sql.DB}, {_EXAMPLE_MARKERS},
+        {sql.draws(f"select example_id::varchar as k, m as own, 3 as wanted, {sql.label('cell_type')} as label_key from x", "23",
+                   "not exists (select 1 from lm where lm.label_key = tries.label_key and lm.m = voc.m)").strip()},
+        u as (select example_id, m, {sql.uniform('23', 'example_id', 'm')} as u from (select example_id, unnest(m) as m from x)),
+        s as (select example_id, list(m) filter (u >= 0.5) as stays, arg_max(m, struct_pack(u := u, m := m)) as best, count(*) as n from u group by 1),
+        kept as (select example_id, case when len(coalesce(stays, [])) >= 1 then stays else [best] end as kept, n from s),
+        a as (select k::bigint as example_id, list(m) as added from drawn group by 1)
+        select x.example_id, coalesce(array_to_string(list_sort(list_distinct(coalesce(kept, []) || coalesce(added, []))), ','), '') as markers,
+               coalesce(n - len(kept), 0) as dropped, coalesce(array_to_string(list_sort(added), ','), '') as added
+        from x left join kept using (example_id) left join a using (example_id)"""
 
 ORACLES = {
     "build_prompt": f"with {sql.DB} select rec_id, 'Tissue: ' || tissue || chr(10) || chr(10) || 'Cluster markers:' || chr(10) || array_to_string(m, ', ') as prompt from db",
@@ -237,17 +255,8 @@ ORACLES = {
         g as (select rec_id, i, list(m order by {sql.uniform('13', 'rec_id', 'i', "'order'", 'm')}, m) as m from c group by 1, 2)
         select g.rec_id, g.i as augmentation_index, array_to_string(g.m, ',') as markers,
                length('Tissue: ' || z.tissue || '..Cluster markers:.' || array_to_string(g.m, ', ')) as prompt_length from g join z on g.rec_id = z.rec_id and g.i = z.i""",
-    "perturb_markers": f"""
-        with {sql.DB}, {_EXAMPLE_MARKERS},
-        {sql.draws(f"select example_id::varchar as k, m as own, 3 as wanted, {sql.label('cell_type')} as label_key from x", "23",
-                   "not exists (select 1 from lm where lm.label_key = tries.label_key and lm.m = voc.m)").strip()},
-        u as (select example_id, m, {sql.uniform('23', 'example_id', 'm')} as u from (select example_id, unnest(m) as m from x)),
-        s as (select example_id, list(m) filter (u >= 0.5) as stays, arg_max(m, struct_pack(u := u, m := m)) as best, count(*) as n from u group by 1),
-        kept as (select example_id, case when len(coalesce(stays, [])) >= 1 then stays else [best] end as kept, n from s),
-        a as (select k::bigint as example_id, list(m) as added from drawn group by 1)
-        select x.example_id, coalesce(array_to_string(list_sort(list_distinct(coalesce(kept, []) || coalesce(added, []))), ','), '') as markers,
-               coalesce(n - len(kept), 0) as dropped, coalesce(array_to_string(list_sort(added), ','), '') as added
-        from x left join kept using (example_id) left join a using (example_id)""",
+    "perturb_markers": _PERTURBED,
+    "perturb_counts": f"select count(*) as records, sum(dropped) as dropped, sum(case when added = '' then 0 else len(string_split(added, ',')) end) as added, count(*) filter (markers = '') as empty from ({_PERTURBED})",
     "parse_responses": "select pred_id, arrived_at, " + ", ".join(f"{v} as {k}" for k, v in sql.parsed("raw_response").items()) + " from annotation_prediction",
     "choose_candidates": f"""{_TOP}, a as (select pred_id, arrived_at, example_id, raw_response, {sql.label(sql.parsed("raw_response")["cell_type"])} as said,
                                 try_cast(nullif(regexp_extract(coalesce(raw_response, ''), '(?i)candidate\\s*:\\s*(\\d+)', 1), '') as int) as number from annotation_prediction),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from celltrail.functions.text import norm_cl_id, norm_gene_list, norm_label
 from celltrail.functions.variants import variants
-from celltrail.operators import augment, curation, linking, markers, metrics, splits
+from celltrail.operators import augment, curation, linking, markers, matrix, metrics, splits
 from celltrail.operators.annotators import annotate_by_overlap, annotate_by_prompt, annotate_by_rerank, annotate_by_signed_sets
 from celltrail.operators.parse import choose_candidate, parse_response
 from celltrail.operators.similarity import rank_by_overlap, rank_by_signed_sets
@@ -215,6 +215,25 @@ def test_curation(spark):
     assert accepted == {"Memory cells": "CL:1", "qqq": None}
     decided = curation.accept_suggestion(template, "QQQ", "CL:0000009", notes="why").where("cell_type = 'qqq'").first()
     assert (decided.accepted_cl_id, decided.notes) == ("CL:0000009", "why")
+    with pytest.raises(ValueError, match="lacks nowhere"):
+        curation.accept_suggestion(template, "Nowhere", "CL:0000009")
+    said = spark.createDataFrame([("QQQ", None, None, None, "look", 0), ("nowhere", "CL:1", None, None, None, 1), ("memory cells", None, 1, None, None, 2)], "cell_type string, cl_id string, rank int, accepted_label string, notes string, pos int")
+    assert tuple(curation.decision_counts(template, said).first()) == (3, 1, 1, 1)
+    after = {r.cell_type: (r.accepted_cl_id, r.notes) for r in curation.apply_decisions(template, said).collect()}
+    assert after == {"qqq": (None, "look"), "Memory cells": ("CL:1", None)}
+
+
+def test_neighbours(spark):
+    rng = Random(2)
+    points = {i: [rng.random() for _ in range(4)] for i in range(150)} | {200: [0.0] * 4, 201: [0.0] * 4}
+    cells = spark.createDataFrame([*points.items(), (300, None)], "cell_id bigint, vector array<double>").repartition(3)
+    queries = cells.where("cell_id % 3 = 0 or cell_id > 199")
+    for block in (7, 1000):
+        got = {(r.cell_id, r.rank): r.neighbour for r in matrix.nearest_cells(cells, queries, 5, block).collect()}
+        for q in [*range(0, 150, 3), 200, 201]:
+            near = sorted((sum((a - b) ** 2 for a, b in zip(points[q], v, strict=True)), i) for i, v in points.items() if i != q)[:5]
+            assert [got[q, r] for r in range(1, 6)] == [i for _, i in near]
+    assert matrix.nearest_cells(cells, queries.limit(0), 5).count() == 0 and matrix.nearest_cells(cells.where("cell_id < 2"), queries.where("cell_id = 0")).count() == 1
 
 
 def test_suggestions_try_every_variant(spark):
