@@ -351,3 +351,14 @@ ORACLES = {
     "group_keys": "select coalesce(tissue, '__none__') as \"group\", count(*) as n from annotation_example group by 1",
     "hash_sample": f"select l_orderkey, l_linenumber from lineitem where {sql.uniform('13', 'l_orderkey', 'l_linenumber')} < 0.1",
 }
+ORACLES["preflight"] = f"""
+    with s as ({ORACLES["split_summary"]}), t as (select * from s where split = 'total'), leaks as (select count(*) as n from ({ORACLES["leaked_groups"]})),
+    copies as (select count(*) as n from ({ORACLES["dup_signatures"]})), unseen as (select coalesce(sum(unseen), 0) as n from ({ORACLES["label_overlap"]}) where split <> 'train')
+    select 'split ' || k || ' is empty' as warning from (select unnest(['train', 'validation', 'test']) as k) where k not in (select split from s where records > 0)
+    union all select 'only ' || round(cl_coverage * 100)::int || '% of the records have an ontology id' from t where cl_coverage < 0.8
+    union all select over_limit || ' records exceed the length limit' from t where over_limit > 0
+    union all select missing_cell_type || ' records have no cell type' from t where missing_cell_type > 0
+    union all select 'fewer than two labels' from t where labels < 2
+    union all select n || ' groups are in several splits' from leaks where n > 0
+    union all select n || ' texts are in several splits' from copies where n > 0
+    union all select n || ' evaluation labels are not in training' from unseen where n > 0"""

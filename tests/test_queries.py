@@ -174,15 +174,6 @@ def check_p6_unified(got, con):
         assert all("".join(c for c in w if c.isdigit()).lstrip("0") in digits for w in missing), (r, given[r["row_id"]])
 
 
-def check_preflight(got, con):
-    said = [r["warning"] for r in got]
-    leaks, copies = (con.execute(f"select count(*) from ({all_oracles()[q]})").fetchone()[0] for q in ("leaked_groups", "dup_signatures"))
-    assert f"{leaks} groups are in several splits" in said and f"{copies} texts are in several splits" in said
-    total = next(r for r in records(con, all_oracles()["split_summary"]) if r["split"] == "total")
-    assert (f"{total['over_limit']} records exceed the length limit" in said) == (total["over_limit"] > 0)
-    assert (f"{total['missing_cell_type']} records have no cell type" in said) == (total["missing_cell_type"] > 0)
-
-
 #: What queries without SQL are held against.
 CHECKS = {n[6:]: f for n, f in globals().items() if n.startswith("check_")}
 
