@@ -17,7 +17,7 @@ whose size so has a bound that doesn't depend on the corpus.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -409,61 +409,83 @@ class Counts:
 
 _LOT = "words binary, lengths binary, sentences binary"
 _MARKS = "marked array<array<int>>, code array<string>, own array<boolean>, held array<boolean>"
+_TALLY = "tally string, keys array<bigint>, times array<bigint>"
 
 
-def encode_texts(rows: DataFrame, kind: str) -> DataFrame:
-    """Texts (``doc_id``, ``text``, ``marked``, ``code``, ``own``, ``held``) encoded in lots, written to the shared folder."""
+class Tally:
+    """Words by language code, and the lengths of sentences, of a partition."""
+
+    def __init__(self) -> None:
+        self.parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+
+    def add(self, codes: list[str | None], words: bytes, lengths: bytes, sentences: bytes) -> None:
+        texts = unpack(words, lengths, sentences, Lengths())
+        self._put(_LENGTHS, *np.unique(texts.lengths.astype(np.int64), return_counts=True))
+        spoken = np.repeat(np.array([c or "" for c in codes], object), np.add.reduceat(texts.lengths, texts.text_starts))
+        for c in set(codes) - {None}:
+            self._put(c, *np.unique(texts.words[spoken == c], return_counts=True))
+
+    def _put(self, name: str, keys: np.ndarray, times: np.ndarray) -> None:
+        self.parts[name].append((keys.astype(np.int64), times))
+        if len(self.parts[name]) > 50:
+            self.parts[name] = [self._sum(name)]
+
+    def _sum(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        keys, times = (np.concatenate(x) for x in zip(*self.parts[name], strict=True))
+        order, starts = _runs(keys)
+        return keys[order[starts]], np.add.reduceat(times[order], starts)
+
+    def rows(self) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        for name in self.parts:
+            yield name, *self._sum(name)
+
+
+_LENGTHS = "#"  # no language code
+
+
+def encode_texts(rows: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Texts (``doc_id``, ``text``, ``marked``, ``code``, ``own``, ``held``) encoded in lots, written to the shared folder; and (``code``, ``key``, ``n``).
+
+    The second counts the words of each code, and under ``_LENGTHS`` the
+    lengths of sentences.
+    """
     names = ["doc_id", "marked", "code", "own", "held"]
+    columns = [*names, "words", "lengths", "sentences", "tally", "keys", "times"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tally = Tally()
         for frame in frames:
             # Texts held out come in lots of their own, so that judging reads no others.
             for some in (frame[frame["held"]], frame[~frame["held"]]):
-                columns = {n: some[n].tolist() for n in names}
+                held = {n: some[n].tolist() for n in names}
                 for rows, *lot in pack(map(encode, some["text"])):
-                    one = {n: pd.Series([[c[i] for i in rows]], dtype=object) for n, c in columns.items()}
-                    yield pd.DataFrame(one | dict(zip(("words", "lengths", "sentences"), ([x] for x in lot), strict=True)))
+                    of = [[held[n][i] for i in rows] for n in names]
+                    tally.add(of[2], *lot)
+                    yield pd.DataFrame({c: pd.Series([x], dtype=object) for c, x in zip(columns, [*of, *lot, None, None, None], strict=True)})
+        for row in tally.rows():
+            yield pd.DataFrame({c: pd.Series([x], dtype=object) for c, x in zip(columns, [None] * 8 + list(row), strict=True)})
 
     width = max(rows.sparkSession.sparkContext.defaultParallelism, shuffle_width(rows.sparkSession))
-    return cut_lineage(rows.select(*names, "text").repartition(width).mapInPandas(run, f"doc_id array<{kind}>, {_MARKS}, {_LOT}"))
+    schema = f"doc_id array<{kind}>, {_MARKS}, {_LOT}, {_TALLY}"
+    both = cut_lineage(rows.select(*names, "text").repartition(width).mapInPandas(run, schema))
+    told = both.where("tally is not null").select(F.col("tally").alias("code"), F.explode(F.arrays_zip("keys", "times")).alias("x"))
+    counts = told.groupBy("code", F.col("x.keys").alias("key")).agg(F.sum("x.times").alias("n"))
+    return both.where("words is not null").drop("tally", "keys", "times"), cut_lineage(counts)
 
 
-def survey(texts: DataFrame) -> tuple[Lengths, Languages]:
+def survey(found: DataFrame) -> tuple[Lengths, Languages]:
     """The usual and the longest ordinary sentence, and language models from the texts' own codes, wrong ones included.
 
     All codes count. A language of few texts is smoothed most, so it wins only
     sentences whose words the others lack.
     """
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lengths: Counter = Counter()
-        words: dict[str, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
-        for frame in frames:
-            for code, *lot in zip(frame["code"], frame["words"], frame["lengths"], frame["sentences"], strict=True):
-                raw = np.frombuffer(lot[1], np.int32)
-                for n, many in zip(*np.unique(raw, return_counts=True), strict=True):
-                    lengths[int(n)] += int(many)
-                texts = unpack(*lot, Lengths())
-                sizes = np.add.reduceat(texts.lengths, texts.text_starts)
-                told = np.array([c or "" for c in code], object)
-                spoken = np.repeat(told, sizes)
-                for c in set(code) - {None}:
-                    words[c].append(np.unique(texts.words[spoken == c], return_counts=True))
-        yield pd.DataFrame({"code": "", "key": list(lengths.keys()), "n": list(lengths.values())}, columns=["code", "key", "n"])
-        for c, parts in words.items():
-            keys, many = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order, starts = _runs(keys)
-            yield pd.DataFrame({"code": c, "key": keys[order[starts]].astype(np.int64), "n": np.add.reduceat(many[order], starts)})
-
-    rows = texts.select("code", "words", "lengths", "sentences").mapInPandas(count, "code string, key bigint, n bigint")
-    found = cut_lineage(rows.groupBy("code", "key").agg(F.sum("n").alias("n")))
-    sizes = found.where("code = ''").orderBy("key").toPandas()  # distinct lengths of sentences
+    sizes = found.where(F.col("code") == _LENGTHS).orderBy("key").toPandas()  # distinct lengths of sentences
     lengths = Lengths()
     if len(sizes):
         upto = sizes["n"].cumsum() / sizes["n"].sum()
         usual, long = (float(sizes["key"][int(np.argmax(upto >= q))]) for q in (0.5, 0.99))
         lengths = Lengths(usual, max(LOST * long, 2 * usual))
-    sums = found.where("code != ''").groupBy("code").agg(F.sum("n").alias("all"))
+    sums = found.where(F.col("code") != _LENGTHS).groupBy("code").agg(F.sum("n").alias("all"))
     totals = {r["code"]: r["all"] for r in sums.collect()}  # codes of three letters at most
     names = sorted(totals)
     if len(names) < 2:
@@ -497,15 +519,15 @@ def _said(marked: list, k: int) -> np.ndarray:
     return said
 
 
-def fit_subjects(texts: DataFrame, names: list[str], votes: int = VOTES) -> SubjectModels:
-    """Models of the subjects from encoded ``texts`` with ``code``, ``marked`` (numbers of labelled subjects) and ``held`` (out).
+def fit_subjects(texts: DataFrame, tallies: DataFrame, names: list[str], votes: int = VOTES) -> SubjectModels:
+    """Models of the subjects from encoded ``texts`` with ``marked`` (numbers of labelled subjects) and ``held`` (out), and their tallies.
 
     The first pass counts labelled texts and the background, the others let all
     sentences vote. Counts come to the driver as one row for each n-gram that
     isn't rare. Labels held out count for nothing but the margin.
     """
     spark = texts.sparkSession
-    (lengths, languages), k = survey(texts), len(names)
+    (lengths, languages), k = survey(tallies), len(names)
     marks = ["key bigint", "before bigint", "word bigint", "language int"]
     schema = ", ".join(["kind int", *marks, *[f"c{i} float" for i in range(k + 1)]])
     models = None
@@ -581,7 +603,7 @@ def subject_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     known = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]) if names else F.create_map().cast("map<string,int>")
     marked = labels.select("doc_id", known[F.col("subject")].alias("s")).where("s is not null").groupBy("doc_id").agg(F.collect_set("s").alias("marked"))
     marked = marked.orderBy(F.xxhash64("doc_id")).limit(LABELLED)
-    sides = F.array(F.struct(F.col("text").alias("text"), language_code("lang").alias("code"), F.lit(True).alias("own")))
+    sides = F.array(F.struct(F.col("text").alias("text"), (language_code("lang") if "lang" in documents.columns else F.lit(None).cast("string")).alias("code"), F.lit(True).alias("own")))
     if {"tgt_text", "tgt_lang"} <= set(documents.columns):
         other = F.when(F.col("marked").isNotNull() & (F.col("tgt_text") != F.col("text")), F.struct(F.col("tgt_text").alias("text"), language_code("tgt_lang").alias("code"), F.lit(False).alias("own")))
         sides = F.array_compact(F.array_append(sides, other))
@@ -589,9 +611,9 @@ def subject_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     held = F.col("marked").isNotNull() & F.col("x.own") & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(HELD_OUT)) == 0)
     out = F.col("marked").isNotNull() & ~F.col("x.own") & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(HELD_OUT)) == 0)
     rows = sided.where(~F.coalesce(out, F.lit(False))).select("doc_id", "marked", "x.text", "x.code", "x.own", F.coalesce(held, F.lit(False)).alias("held"))
-    texts = encode_texts(rows.where("text is not null"), kind)
-    models = fit_subjects(texts, names, votes) if names else None
-    lengths = models.lengths if models else survey(texts)[0]
+    texts, tallies = encode_texts(rows.where("text is not null"), kind)
+    models = fit_subjects(texts, tallies, names, votes) if names else None
+    lengths = models.lengths if models else survey(tallies)[0]
     shared = documents.sparkSession.sparkContext.broadcast((models, lengths))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
