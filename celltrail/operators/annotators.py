@@ -25,9 +25,9 @@ from celltrail.session import ship_package
 Generate = Callable[[list[str]], list[str]]
 
 
-def annotate_by_overlap(queries: DataFrame, records: DataFrame) -> DataFrame:
-    """One prediction a query, by weighted overlap."""
-    return best_with_confidence(rank_by_overlap(queries, records, 2), queries, records)
+def annotate_by_overlap(queries: DataFrame, records: DataFrame, tissues: DataFrame | None = None) -> DataFrame:
+    """One prediction a query, by weighted overlap; ``tissues`` as in ``rank_by_overlap``."""
+    return best_with_confidence(rank_by_overlap(queries, records, 2, tissues), queries, records)
 
 
 def annotate_by_signed_sets(queries: DataFrame, records: DataFrame, negative_weight: float = 1.0) -> DataFrame:

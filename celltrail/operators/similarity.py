@@ -1,29 +1,42 @@
 """Marker sets against a marker database: scored set-similarity joins with top-k.
 
-Queries and records meet in an inverted index on (tissue, marker), so only
-pairs that share a marker are scored. Records that share none fill up a query's
-list where it is short. Where scores can't be negative only the last labels of
-each tissue can, so these are kept per tissue; else each query reads the last
-labels as far as it needs. A query whose tissue the database lacks is ranked
-against all records.
+Pairs of queries and records that share a marker are many more than either, so
+they are never rows: queries and records of a tissue meet in blocks of bounded
+size, and a block's task reads an inverted index of its records, keeps the pairs
+of a few queries at a time and returns each query's best. Records that share no
+marker fill up a query's list where it is short. A query whose tissue the
+database lacks is ranked against all records.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from celltrail.functions.text import norm_label
 from celltrail.operators.markers import negative_markers
-from celltrail.session import cut_lineage
+from celltrail.session import cut_lineage, ship_package
 
 #: Stands for all tissues.
 ANY = "*"
 #: Decimals of a score that count.
 DIGITS = 9
-#: Records of a marker that meet its queries in one part.
-RECORDS_PER_PART = 20_000
+#: Records and queries that meet in one block.
+RECORDS_PER_PART, QUERIES_PER_PART = 100_000, 50_000
+#: Markers whose numbers of records every task may hold, 16 bytes each; more are joined.
+VOCABULARY = 2_000_000
+#: Tissues that may be broadcast.
+TISSUES = 10_000
+#: Pairs of queries and records in a task's memory at once, and cells of its table of sums.
+PAIRS, CELLS = 1_000_000, 4_000_000
 
 
 def marker_weights(records: DataFrame, with_negative: bool = False) -> DataFrame:
@@ -39,86 +52,243 @@ def marker_weights(records: DataFrame, with_negative: bool = False) -> DataFrame
     )
 
 
-def _parts(records: Column) -> Column:
-    return F.ceil(records / F.lit(float(RECORDS_PER_PART))).cast("int")
-
-
 def _tissue(x: Column) -> Column:
     return F.lower(F.trim(x))
 
 
-def _keyed(queries: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Queries and records with ``tkey``; records also under ``ANY`` if a query needs that."""
-    known = records.select(_tissue(F.col("tissue")).alias("tkey")).distinct().withColumn("known", F.lit(True))
-    asked = queries.withColumn("tkey", _tissue(F.col("tissue"))).join(known, "tkey", "left")
-    asked = asked.withColumn("tkey", F.when(F.col("known"), F.col("tkey")).otherwise(ANY)).drop("known")
-    wanted = asked.select("tkey").distinct()
-    own = records.withColumn("tkey", _tissue(F.col("tissue"))).where("tkey is not null")
-    all_of_them = records.withColumn("tkey", F.lit(ANY))
-    return asked, own.unionByName(all_of_them).join(wanted, "tkey", "left_semi")
-
+def _labelled(records: DataFrame) -> DataFrame:
+    return records.withColumn("label_key", F.coalesce(norm_label(F.col("cell_type")), F.lit(""))).withColumn(
+        "cl_key", F.coalesce("cell_ontology_id", F.lit(""))
+    )
 
-def _fill(records: DataFrame, k: int) -> DataFrame:
-    """For each tissue the labels that come first among records of equal score; twice ``k`` always suffice."""
-    keep = Window.partitionBy("tkey", "label_key", "cl_key").orderBy("rec_id")
-    last = Window.partitionBy("tkey").orderBy(F.desc("label_key"), "rec_id")
-    one = records.select("tkey", "rec_id", "label_key", "cl_key").withColumn("_n", F.row_number().over(keep)).where("_n = 1")
-    return one.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= 2 * k).drop("_n")
 
+def _codes(markers: str) -> Column:
+    """Hashes of the distinct markers, 64 bits each."""
+    return F.transform(F.coalesce(F.array_distinct(F.filter(markers, lambda m: m.isNotNull())), F.array().cast("array<string>")), lambda m: F.xxhash64(m))
 
-def _placed(held: DataFrame) -> DataFrame:
-    """``held`` with ``pos``, a record's number in its (label, id), and ``place``, that of its (label, id) in the tissue.
 
-    Places are in the order of records that share nothing with a query.
-    """
-    key = ["tkey", "label_key", "cl_key"]
-    numbered = held.withColumn("pos", F.row_number().over(Window.partitionBy(*key).orderBy("rec_id")))
-    last = Window.partitionBy("tkey").orderBy(F.desc("label_key"), "rec_id")
-    places = numbered.where("pos = 1").withColumn("place", F.row_number().over(last)).select(*key, "place")
-    return numbered.join(places, key)
+def _numbered(rows: DataFrame, key: str, codes: str, numbers: DataFrame) -> DataFrame:
+    """``rows`` with the numbers of records of its ``codes`` in ``codes_n``, 0 where no record holds one."""
+    flat = rows.select(key, F.posexplode(codes).alias("_p", "code")).join(numbers, "code", "left")
+    one = flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("records", F.lit(0)).alias("n")))).alias("_l"))
+    none = F.array().cast("array<bigint>")
+    return rows.join(one.select(key, F.col("_l.n").alias(f"{codes}_n")), key, "left").withColumn(f"{codes}_n", F.coalesce(f"{codes}_n", none))
 
 
-def _top_signed(scored: DataFrame, placed: DataFrame, queries: DataFrame, order: list, k: int) -> DataFrame:
-    """The first ``k`` distinct (label, id) of each query, where records that share nothing beat negative scores.
+def _in_blocks(queries: DataFrame, records: DataFrame, tissues: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Queries and records with the block in which they meet; whether the records of any tissue fill more than one.
 
-    The first record of a (label, id) that shares nothing is that of the lowest
-    ``pos`` no scored record has. (label, id) without scored records are read
-    by ``place`` until ``k`` are found.
+    Each query meets each block of its tissue's records once. ``tissues`` has
+    the ``tissue`` of every query.
     """
-    key = ["q_id", "label_key", "cl_key"]
-    of_key = Window.partitionBy(*key)
-    nth = F.row_number().over(of_key.orderBy("pos"))
-    free = F.count_if(F.col("pos") == F.col("_nth")).over(of_key) + 1
-    first = scored.withColumn("_nth", nth).withColumn("_free", free).withColumn("_n", F.row_number().over(of_key.orderBy(*order))).where("_n = 1")
-    behind = (F.col("score") < 0) | ((F.col("score") == 0) & (F.col("positive") == 0))
-    others = placed.select("tkey", "label_key", "cl_key", F.col("pos").alias("_free"), F.col("rec_id").alias("_other"))
-    first = first.withColumn("_free", F.when(behind, F.col("_free"))).join(others, ["tkey", "label_key", "cl_key", "_free"], "left")
-    free = F.col("_other").isNotNull()
-    values = [F.when(free, F.lit(0)).otherwise(F.col(c)).alias(c) for c in ("score", "positive", "negative")]
-    first = first.select(*key, "tkey", "place", F.coalesce("_other", "rec_id").alias("rec_id"), *values)
-    # Places before this one that no scored (label, id) has; from k on they can't matter.
-    ahead = F.col("place") - F.row_number().over(Window.partitionBy("q_id").orderBy("place"))
+    of_q = tissues.groupBy(_tissue(F.col("tissue")).alias("tkey")).agg(F.count(F.lit(1)).alias("q"))
+    of_r = records.groupBy(_tissue(F.col("tissue")).alias("tkey")).agg(F.count(F.lit(1)).alias("r"))
+    sizes = cut_lineage(of_q.join(of_r, "tkey", "full"))
+    other = (F.col("r").isNull() & F.col("q").isNotNull()) | (F.col("tkey") == ANY)
+    count = sizes.agg(
+        F.coalesce(F.sum("r"), F.lit(0)).alias("records"), F.coalesce(F.sum(F.when(other, F.col("q"))), F.lit(0)).alias("others"),
+        F.coalesce(F.max(F.when(F.col("q").isNotNull(), F.col("r"))), F.lit(0)).alias("most"), F.count(F.lit(1)).alias("tissues"),
+    ).first()
+    blocks = lambda n, most: F.ceil(n / F.lit(float(most))).cast("int")
+    met = sizes.where((F.col("tkey") != ANY) & F.col("q").isNotNull() & F.col("r").isNotNull())
+    met = met.select("tkey", blocks(F.col("q"), QUERIES_PER_PART).alias("_qs"), blocks(F.col("r"), RECORDS_PER_PART).alias("_rs"))
+    met = F.broadcast(met) if count["tissues"] <= TISSUES else met
+    all_qs, all_rs = max(1, -(-count["others"] // QUERIES_PER_PART)), max(1, -(-count["records"] // RECORDS_PER_PART))
+    asked = queries.withColumn("tkey", _tissue(F.col("tissue"))).drop("tissue").join(met, "tkey", "left")
+    lacking = F.col("_rs").isNull()
+    asked = asked.withColumn("tkey", F.when(lacking, ANY).otherwise(F.col("tkey")))
+    asked = asked.withColumn("_qs", F.coalesce("_qs", F.lit(all_qs))).withColumn("_rs", F.coalesce("_rs", F.lit(all_rs)))
+    held = records.withColumn("tkey", _tissue(F.col("tissue"))).drop("tissue").join(met, "tkey")
+    if count["others"]:
+        every = records.withColumn("tkey", F.lit(ANY)).drop("tissue").withColumn("_qs", F.lit(all_qs)).withColumn("_rs", F.lit(all_rs))
+        held = held.unionByName(every)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = asked.withColumn("_qb", F.pmod(F.xxhash64("q_id"), F.col("_qs")).cast("int")).withColumn("_rb", each("_rs"))
+    held = held.withColumn("_rb", F.pmod(F.xxhash64("rec_id"), F.col("_rs")).cast("int")).withColumn("_qb", each("_qs"))
+    several = count["most"] > RECORDS_PER_PART or bool(count["others"]) and all_rs > 1
+    return asked.drop("_qs", "_rs"), held.drop("_qs", "_rs"), several
+
+
+def _lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and the row of each."""
+    lists = pa.chunked_array([c for c in table[name].chunks if len(c)], table[name].type).combine_chunks()
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return pc.list_flatten(lists).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), sizes)
+
+
+def _rounded(score: np.ndarray) -> np.ndarray:
+    """Halves go away from zero."""
+    scale = 10.0**DIGITS
+    return np.sign(score) * np.floor(np.abs(score) * scale + 0.5) / scale + 0.0
+
+
+def _best_of_block(k: int, known, negative_weight: float | None, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The first ``k`` distinct (label, id) of each query among a block's records; of signed sets with ``negative_weight``."""
+    signed = negative_weight is not None
+    # Labels share so many places by number: the k-th highest of the places' best scores is no more than the k-th best label's.
+    places = 1 << (16 * k - 1).bit_length()
+
+    def run(queries: pa.Table, records: pa.Table) -> pa.Table:
+        if not queries.num_rows or not records.num_rows:
+            return schema.empty_table()
+        numbers = known.value if known is not None else None
+
+        def weights(table: pa.Table, name: str, codes: np.ndarray) -> np.ndarray:
+            if numbers is None:
+                n = _lists(table, f"{name}_n")[0]
+            elif len(numbers[0]):
+                at = np.minimum(np.searchsorted(numbers[0], codes), len(numbers[0]) - 1)
+                n = np.where(numbers[0][at] == codes, numbers[1][at], 0)
+            else:
+                n = np.zeros(len(codes))
+            return 1.0 / np.maximum(n, 1)
+
+        # In the order of records that share nothing, which is that of ties.
+        records = records.take(pc.sort_indices(records, sort_keys=[("label_key", "descending"), ("rec_id", "ascending")]))
+        size = records.num_rows
+        names = pc.binary_join_element_wise(records["label_key"].cast("string"), records["cl_key"].cast("string"), "\x00")
+        label = pc.dictionary_encode(names.combine_chunks()).indices.to_numpy().astype(np.int64)
+        labels = int(label.max()) + 1
+        place = label % places
+        codes, holder = _lists(records, "codes")
+        weight = weights(records, "codes", codes)
+        sign = np.ones(len(codes), np.int8)
+        if signed:
+            codes_n, holder_n = _lists(records, "codes_neg")
+            weight_n = weights(records, "codes_neg", codes_n)
+            roots = [np.sqrt(np.maximum(records[c].to_numpy(), 1)) for c in ("np", "nn")]
+            share = np.concatenate([weight / roots[0][holder], -negative_weight * weight_n / roots[1][holder_n]])
+            sign = np.concatenate([sign, -np.ones(len(codes_n), np.int8)])
+            codes, holder, weight = (np.concatenate(x) for x in ((codes, codes_n), (holder, holder_n), (weight, weight_n)))
+        else:
+            share, r_weight = weight, np.bincount(holder, weight, size)
+        # The inverted index: each marker's records side by side.
+        index, code = np.unique(codes, return_inverse=True)
+        by = np.argsort(code, kind="stable")
+        holder, weight, share, sign = holder[by], weight[by], share[by], sign[by]
+        held = np.bincount(code, minlength=len(index))
+        starts = np.cumsum(held) - held
+
+        asked, asker = _lists(queries, "codes")
+        n_queries = queries.num_rows
+        q_weight = None if signed else np.bincount(asker, weights(queries, "codes", asked), n_queries)
+        at = np.minimum(np.searchsorted(index, asked), max(len(index) - 1, 0))
+        hit = index[at] == asked if len(index) else np.zeros(len(asked), bool)
+        asker, at = asker[hit], at[hit]
+        upto = np.cumsum(np.bincount(asker, held[at], n_queries))
+        many = max(1, CELLS // size)
+        sums = np.zeros(min(many, n_queries) * size)
+        first_of_label = np.sort(np.unique(label, return_index=True)[1])[:k]
+        found: list[list[np.ndarray]] = []
+        begin = 0
+        while begin < n_queries:
+            done = upto[begin - 1] if begin else 0
+            end = min(begin + many, max(begin + 1, int(np.searchsorted(upto, done + PAIRS, "right"))), n_queries)
+            a, b = np.searchsorted(asker, [begin, end])
+            n = held[at[a:b]]
+            entry = np.arange(n.sum()) + np.repeat(starts[at[a:b]] - (np.cumsum(n) - n), n)
+            q = np.repeat(asker[a:b] - begin, n)
+            rec = holder[entry]
+            key = q * size + rec
+            np.add.at(sums, key, share[entry])
+            score = sums[key]
+            sums[key] = 0.0
+            if not signed:
+                score = score / (q_weight[begin:end][q] + r_weight[rec] - score)
+            # What is below k other labels for certain goes; what rounding might make equal stays.
+            best = np.zeros((end - begin) * places)
+            np.maximum.at(best, q * places + place[rec], score)
+            least = np.partition(best.reshape(-1, places), places - k, axis=1)[:, places - k]
+            slack = 2 * 10.0**-DIGITS
+            keep = score >= np.where(least > slack, least - slack, -np.inf)[q]
+            entry = entry[keep]
+            pair, of = np.unique(key[keep], return_inverse=True)
+            q, rec = pair // size, pair % size
+            plus = sign[entry] > 0
+            sides = [np.bincount(of[m], weight[entry][m], len(pair)) for m in (plus, ~plus)] + [np.bincount(of[m], minlength=len(pair)) for m in (plus, ~plus)]
+            if signed:
+                score = sides[0] / roots[0][rec] - negative_weight * sides[1] / roots[1][rec]
+            else:
+                score = sides[0] / (q_weight[begin:end][q] + r_weight[rec] - sides[0])
+            score = _rounded(score)
+            # Where fewer than k labels are above records that share nothing, the first of these come in.
+            ahead = (score > 0) | ((score == 0) & (sides[2] > 0))
+            own = np.bincount(np.unique(q[ahead] * labels + label[rec[ahead]]) // labels, minlength=end - begin)
+            short = np.flatnonzero(own < k)
+            if len(short):
+                if signed:
+                    fills = [_free(rec[slice(*np.searchsorted(q, [x, x + 1]))], label, k) for x in short]
+                else:
+                    fills = [first_of_label] * len(short)
+                more = sum(map(len, fills))
+                q, rec = np.concatenate([q, np.repeat(short, [*map(len, fills)])]), np.concatenate([rec, *fills])
+                score = np.concatenate([score, np.zeros(more)])
+                sides = [np.concatenate([x, np.zeros(more, x.dtype)]) for x in sides]
+            order = np.lexsort((rec, sides[3], -sides[2], -score, q))
+            once = np.sort(np.unique((q * labels + label[rec])[order], return_index=True)[1])
+            order = order[once]
+            of_query = q[order]
+            rank = np.arange(len(order)) - np.searchsorted(of_query, of_query) + 1
+            order, rank = order[rank <= k], rank[rank <= k]
+            found.append([q[order] + begin, rec[order], rank, *[x[order] for x in sides]])
+            begin = end
+        q, rec, rank, *sides = (np.concatenate(x) for x in zip(*found, strict=True))
+        of_rec = records.take(rec)
+        values = {"q_id": queries["q_id"].take(q), "rank": rank, **{c: of_rec[c] for c in ("rec_id", "label_key", "cl_key")}}
+        if signed:
+            values |= {"p": sides[0], "n": sides[1], "np": of_rec["np"], "nn": of_rec["nn"], "positive": sides[2], "negative": sides[3]}
+        else:
+            values |= {"o": sides[0], "common": sides[2], "q_weight": q_weight[q], "r_weight": r_weight[rec]}
+        columns = [values[f.name] if isinstance(values[f.name], pa.ChunkedArray) else pa.array(values[f.name]) for f in schema]
+        return pa.table([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _free(scored: np.ndarray, label: np.ndarray, k: int) -> np.ndarray:
+    """Of the first ``k`` labels with records that aren't scored, the first such record each."""
+    upto = 256
+    while True:
+        free = np.setdiff1d(np.arange(min(upto, len(label))), scored, assume_unique=True)
+        first = np.sort(np.unique(label[free], return_index=True)[1])[:k]
+        if len(first) == k or upto >= len(label):
+            return free[first]
+        upto *= 8
+
+
+def _ranked(queries: DataFrame, records: DataFrame, weights: DataFrame, k: int, tissues: DataFrame, negative_weight: float | None, columns: str) -> tuple[DataFrame, bool]:
+    """The first ``k`` of each query in each block, and whether a query meets several blocks."""
+    spark = queries.sparkSession
+    ship_package(spark)
+    numbers = cut_lineage(weights.select(F.xxhash64("marker").alias("code"), "records"))
+    known = None
+    if numbers.count() <= VOCABULARY:
+        rows = numbers.orderBy("code").toArrow()  # bounded
+        known = spark.sparkContext.broadcast((rows["code"].to_numpy(), rows["records"].to_numpy()))
+    else:
+        queries = _numbered(queries, "q_id", "codes", numbers)
+        for c in ("codes", "codes_neg") if negative_weight is not None else ("codes",):
+            records = _numbered(records, "rec_id", c, numbers)
+    asked, held, several = _in_blocks(queries, records, tissues)
+    ids = f"q_id {queries.schema['q_id'].dataType.simpleString()}, rank int, rec_id {records.schema['rec_id'].dataType.simpleString()}"
+    ddl = f"{ids}, label_key string, cl_key string, {columns}"
+    run = _best_of_block(k, known, negative_weight, to_arrow_schema(StructType.fromDDL(ddl)))
+    block = ["tkey", "_qb", "_rb"]
+    return asked.groupBy(*block).cogroup(held.groupBy(*block)).applyInArrow(run, ddl), several
+
+
+def _merged(ranked: DataFrame, several: bool, order: list, k: int) -> DataFrame:
+    """The blocks' best of a query together."""
+    if not several:
+        return ranked
+    best = Window.partitionBy("q_id", "label_key", "cl_key").orderBy(*order)
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(*order))
-    first = cut_lineage(first.withColumn("_ahead", ahead).withColumn("_rank", rank).where((F.col("_rank") <= k) | (F.col("_ahead") < k)))
-    taken = first.where(F.col("_ahead") < k)
-    upto = taken.groupBy("q_id").agg((F.count(F.lit(1)) + k).cast("int").alias("_upto"))
-    wanted = queries.select("q_id", "tkey").join(upto, "q_id", "left")
-    wanted = wanted.select("q_id", "tkey", F.explode(F.sequence(F.lit(1), F.coalesce("_upto", F.lit(k)))).alias("place"))
-    wanted = wanted.join(taken.select("q_id", "place"), ["q_id", "place"], "left_anti")
-    short = wanted.join(placed.where("pos = 1").select("tkey", "place", "rec_id", "label_key", "cl_key"), ["tkey", "place"])
-    columns = ["q_id", "rec_id", "label_key", "cl_key"]
-    short = short.select(*columns, F.lit(0.0).alias("score"), F.lit(0).alias("positive"), F.lit(0).alias("negative"))
-    both = first.select(*short.columns).unionByName(short)
-    return both.withColumn("rank", rank).where(F.col("rank") <= k)
+    # One shuffle serves both.
+    first = ranked.repartition("q_id").withColumn("_n", F.row_number().over(best)).where("_n = 1")
+    return first.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _labelled(records: DataFrame) -> DataFrame:
-    return records.withColumn("label_key", F.coalesce(norm_label(F.col("cell_type")), F.lit(""))).withColumn(
-        "cl_key", F.coalesce("cell_ontology_id", F.lit(""))
-    )
-
-
-def rank_by_overlap(queries: DataFrame, records: DataFrame, k: int = 5) -> DataFrame:
+def rank_by_overlap(queries: DataFrame, records: DataFrame, k: int = 5, tissues: DataFrame | None = None) -> DataFrame:
     """(``q_id``, ``rank``, ``rec_id``, ``score``, ``common``) of the ``k`` likeliest cell types of each query.
 
     ``queries``: ``q_id``, ``tissue``, ``markers``. ``records``: ``rec_id``,
@@ -127,43 +297,17 @@ def rank_by_overlap(queries: DataFrame, records: DataFrame, k: int = 5) -> DataF
     records that hold them. Ties go by common markers, then the later label,
     then the earlier record; each (label, id) comes once. Queries without
     markers have no candidates; of repeated ``q_id`` one row should be given.
-    Markers that very many records hold are met in parts; their number comes
-    with the weights.
+    ``tissues`` may hold the queries' ``tissue`` where that is read for less
+    than the queries.
     """
-    queries = queries.where(F.size("markers") > 0).select("q_id", "tissue", F.array_distinct("markers").alias("markers"))
-    records = _labelled(records)
-    weights = marker_weights(records)
-    # Of records alike in all that counts the first stands for all.
-    alike = ["tissue", "label_key", "cl_key", "markers"]
-    one = records.select("rec_id", *alike[:3], F.array_sort(F.array_distinct("markers")).alias("markers"))
-    asked, held = _keyed(queries, one.groupBy(*alike).agg(F.min("rec_id").alias("rec_id")))
-
-    def weighed(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-        flat = rows.withColumn("marker", F.explode("markers")).drop("markers").join(weights, "marker", "left")
-        flat = flat.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-        # A marker of very many records is met in parts.
-        parts = _parts(F.coalesce("records", F.lit(1)))
-        return flat.withColumn(name, F.sum("weight").over(Window.partitionBy(*by))).withColumn("_parts", parts)
-
-    meet = ["tkey", "marker", "_part"]
-    qx = weighed(asked, ["q_id"], "q_weight").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    rx = weighed(held, ["tkey", "rec_id"], "r_weight").withColumn("_part", F.pmod(F.xxhash64("rec_id"), F.col("_parts")).cast("int"))
-    met = qx.select(*meet, "q_id", "q_weight").join(rx.select(*meet, "rec_id", "label_key", "cl_key", "weight", "r_weight"), meet)
-    kept = ["q_id", "rec_id", "label_key", "cl_key", "weight", "q_weight", "r_weight"]
-    none = [F.lit(0.0).alias(c) for c in kept[4:]]
-    fill = asked.select("q_id", "tkey").join(_fill(held, k), "tkey").select(*kept[:4], *none, F.lit(0).alias("one"))
-    # From here on all is by query, so one shuffle serves the sums, the labels and the ranks.
-    rows = met.select(*kept, F.lit(1).alias("one")).unionByName(fill).repartition("q_id")
-    pairs = rows.groupBy("q_id", "rec_id").agg(
-        F.sum("weight").alias("o"), F.sum("one").cast("int").alias("common"), *[F.max(c).alias(c) for c in ("q_weight", "r_weight")],
-        *[F.first(c).alias(c) for c in ("label_key", "cl_key")],
-    )
+    tissues = queries if tissues is None else tissues
+    asked = queries.where(F.size("markers") > 0).select("q_id", "tissue", _codes("markers").alias("codes"))
+    held = _labelled(records).select("rec_id", "tissue", "label_key", "cl_key", _codes("markers").alias("codes"))
+    columns = "o double, common int, q_weight double, r_weight double"
+    found, several = _ranked(asked, held, marker_weights(records), k, tissues.select("tissue"), None, columns)
     score = F.when(F.col("common") > 0, F.round(F.col("o") / (F.col("q_weight") + F.col("r_weight") - F.col("o")), DIGITS)).otherwise(0.0)
     order = [F.desc("score"), F.desc("common"), F.desc("label_key"), "rec_id"]
-    best = Window.partitionBy("q_id", "label_key", "cl_key").orderBy(*order)
-    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(*order))
-    first = pairs.withColumn("score", score).withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    return first.withColumn("rank", rank).where(F.col("rank") <= k).select("q_id", "rank", "rec_id", "score", "common")
+    return _merged(found.withColumn("score", score), several, order, k).select("q_id", "rank", "rec_id", "score", "common")
 
 
 def rank_by_signed_sets(queries: DataFrame, records: DataFrame, k: int = 5, negative_weight: float = 1.0) -> DataFrame:
@@ -175,38 +319,17 @@ def rank_by_signed_sets(queries: DataFrame, records: DataFrame, k: int = 5, nega
     """
     if negative_weight < 0:
         raise ValueError("negative_weight must not be negative")
-    queries = queries.where(F.size("markers") > 0).select("q_id", "tissue", F.array_distinct("markers").alias("markers"))
     records = _labelled(records).withColumn("negatives", negative_markers(F.col("metadata"))).drop("metadata")
-    weights = marker_weights(records, with_negative=True).select("marker", "weight", _parts(F.col("records")).alias("_parts"))
-    asked, held = _keyed(queries, records)
-    sides = F.concat(
-        F.transform(F.array_distinct("markers"), lambda m: F.struct(m.alias("marker"), F.lit(1).alias("sign"))),
-        F.transform(F.array_distinct("negatives"), lambda m: F.struct(m.alias("marker"), F.lit(-1).alias("sign"))),
+    asked = queries.where(F.size("markers") > 0).select("q_id", "tissue", _codes("markers").alias("codes"))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    held = records.select(
+        "rec_id", "tissue", "label_key", "cl_key", _codes("markers").alias("codes"), _codes("negatives").alias("codes_neg"), size("markers").alias("np"), size("negatives").alias("nn")
     )
-    rx = held.select("tkey", "rec_id", F.explode(sides).alias("x")).select("tkey", "rec_id", "x.marker", "x.sign")
-    plus, minus = F.col("sign") > 0, F.col("sign") < 0
-    meet = ["tkey", "marker", "_part"]
-    rx = rx.join(weights, "marker").withColumn("_part", F.pmod(F.xxhash64("rec_id"), F.col("_parts")).cast("int"))
-    qx = asked.select("q_id", "tkey", F.explode("markers").alias("marker")).join(weights.drop("weight"), "marker")
-    qx = qx.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    pairs = (
-        qx.select(*meet, "q_id").join(rx.select(*meet, "rec_id", "sign", "weight"), meet)
-        .groupBy("q_id", "tkey", "rec_id")
-        .agg(
-            F.coalesce(F.sum(F.when(plus, F.col("weight"))), F.lit(0.0)).alias("p"),
-            F.coalesce(F.sum(F.when(minus, F.col("weight"))), F.lit(0.0)).alias("n"),
-            F.count_if(plus).cast("int").alias("positive"),
-            F.count_if(minus).cast("int").alias("negative"),
-        )
-    )
-    placed = _placed(held)
-    sizes = placed.select("tkey", "rec_id", "label_key", "cl_key", "pos", "place", F.size("markers").alias("np"), F.size("negatives").alias("nn"))
+    columns = "p double, n double, np int, nn int, positive int, negative int"
+    found, several = _ranked(asked, held, marker_weights(records, with_negative=True), k, queries.select("tissue"), float(negative_weight), columns)
     score = F.col("p") / F.sqrt(F.greatest("np", F.lit(1))) - F.lit(float(negative_weight)) * F.col("n") / F.sqrt(F.greatest("nn", F.lit(1)))
-    scored = pairs.join(sizes, ["tkey", "rec_id"]).select(
-        "q_id", "tkey", "rec_id", "label_key", "cl_key", "pos", "place", F.round(score, DIGITS).alias("score"), "positive", "negative"
-    )
     order = [F.desc("score"), F.desc("positive"), "negative", F.desc("label_key"), "rec_id"]
-    top = _top_signed(scored, placed, asked, order, k)
+    top = _merged(found.withColumn("score", F.round(score, DIGITS)), several, order, k)
     return top.select("q_id", "rank", "rec_id", "score", "positive", "negative")
 
 

@@ -170,7 +170,9 @@ def noise_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     noisy = perturb_levels(rows.select("example_id", "cell_type", "markers"), db, NOISE)
     out = noisy.select((F.col("example_id") * len(NOISE) + F.col("level")).alias("q_id"), "level", "example_id", "markers")
     asked = out.join(rows.select("example_id", "tissue", F.col("cell_type").alias("y_true")), "example_id")
-    said = annotate_by_overlap(asked.select("q_id", F.coalesce("tissue", F.lit("")).alias("tissue"), "markers"), db)
+    # Counting tissues shall not draw the noise once more.
+    tissues = table(spark, sf_dir, "annotation_example").select(F.coalesce("tissue", F.lit("")).alias("tissue"), F.explode(F.sequence(F.lit(1), F.lit(len(NOISE)))))
+    said = annotate_by_overlap(asked.select("q_id", F.coalesce("tissue", F.lit("")).alias("tissue"), "markers"), db, tissues)
     scored = asked.select("q_id", "level", "y_true").join(said.withColumnRenamed("cell_type", "y_pred"), "q_id")
     levels = F.create_map(*[F.lit(x) for i, (drop, _) in enumerate(NOISE) for x in (i, drop)])
     by = scored.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(me.correct()), 6).alias("accuracy"), F.round(F.avg("confidence"), 6).alias("confidence"))

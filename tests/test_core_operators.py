@@ -97,6 +97,37 @@ def test_hot_markers_meet_in_parts(spark, monkeypatch):
     assert whole == [sorted(map(tuple, f(queries, db(spark, rows), 4).collect())) for f in (rank_by_overlap, rank_by_signed_sets)]
 
 
+def test_ranking_is_the_same_in_small_blocks(spark, monkeypatch):
+    rng = Random(5)
+    rows = [(i, rng.choice(["Blood", "Lung", None]), f"label {i % 9}", None, rng.sample(["A", "B", "C", "D", "E"], 3), "a", None, {"negative_markers": "E"} if i % 4 == 0 else {}) for i in range(60)]
+    queries = spark.createDataFrame([(i, rng.choice(["Blood", "Liver", None]), rng.sample(["A", "B", "C", "E", "Z"], 2)) for i in range(20)], QUERIES)
+    whole = [sorted(map(tuple, f(queries, db(spark, rows), 4).collect())) for f in (rank_by_overlap, rank_by_signed_sets)]
+    for name, value in (("RECORDS_PER_PART", 7), ("QUERIES_PER_PART", 3), ("VOCABULARY", 2), ("TISSUES", 1), ("PAIRS", 9), ("CELLS", 30)):
+        monkeypatch.setattr(f"celltrail.operators.similarity.{name}", value)
+    assert whole == [sorted(map(tuple, f(queries, db(spark, rows), 4).collect())) for f in (rank_by_overlap, rank_by_signed_sets)] and whole[0]
+
+
+def shuffled(spark, df) -> int:
+    """Bytes that a query writes for shuffles."""
+    context = spark.sparkContext._jsc.sc()
+
+    def total():
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = total()
+    df().collect()
+    return total() - before
+
+
+def test_pairs_that_share_a_marker_are_no_rows(spark):
+    # 300 queries and 600 records of one tissue all share a marker: 180,000 pairs.
+    rows = [(i, "Blood", f"label {i}", None, ["A", f"M{i}"], "a", None, {}) for i in range(600)]
+    queries = spark.createDataFrame([(i, "Blood", ["A", f"M{2 * i}"]) for i in range(300)], QUERIES)
+    for f in (rank_by_overlap, rank_by_signed_sets):
+        assert shuffled(spark, lambda f=f: f(queries, db(spark, rows), 2)) < 500_000
+
+
 def test_model_annotators(spark):
     queries = spark.createDataFrame([(1, "Blood", ["CD3D"]), (2, "Blood", [])], QUERIES)
 
