@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: A key with more than this share of the rows of one task is salted.
 ROWS_PER_TASK = 200_000
+#: Bits of Spark's estimate of a frame's bytes; a longer one says nothing of its size.
+ESTIMATE_BITS = 100
 
 
 def local_session(cores: int = 8, shuffle: int = 8, memory: str = "12g") -> SparkSession:
@@ -48,10 +50,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` reliably to the shared folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    ship_package(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` reliably to the shared folder and go on from there.
+
+    A checkpoint keeps Spark's estimate of its bytes, and a join multiplies those
+    of its sides: in a loop that joins a frame to itself the number's length
+    doubles each time, until it fills the driver. So long ones are forgotten.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    out = df.checkpoint(eager=True)
+    plan = out._jdf.queryExecution()
+    if plan.optimizedPlan().stats().sizeInBytes().bit_length() <= ESTIMATE_BITS:
+        return out
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), out._jdf.schema(), False), spark)
 
 
 def shuffle_width(spark: SparkSession) -> int:
