@@ -6,8 +6,15 @@ the order or the place of rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from celltrail.functions.text import norm_label, uniform
 from celltrail.operators.prompts import assistant_response, reasoning, user_prompt
@@ -15,6 +22,12 @@ from celltrail.operators.splits import number_rows
 from celltrail.session import cut_lineage
 
 CONFIDENCE = 0.9
+#: Markers of a pool that every task may hold; of more, places are joined.
+POOL = 2_000_000
+#: Askers that may be broadcast.
+FEW = 100_000
+#: Places that a task tries at once.
+CELLS = 4_000_000
 
 
 def by_hash(markers: Column, *parts: Column | str | int) -> Column:
@@ -29,8 +42,8 @@ def vocabulary(records: DataFrame) -> DataFrame:
 
 
 def label_pairs(records: DataFrame) -> DataFrame:
-    """(``label_key``, ``marker``): all markers of a label, whatever the record."""
-    return records.select(norm_label(F.col("cell_type")).alias("label_key"), F.explode("markers").alias("marker")).distinct()
+    """(``label_key``, ``marker``): all markers of a label, whatever the record; some repeatedly."""
+    return records.select(norm_label(F.col("cell_type")).alias("label_key"), F.explode("markers").alias("marker"))
 
 
 def _prime_from(n: int) -> int:
@@ -50,12 +63,15 @@ def draw_markers(
     many), ``label_key``. ``pool`` is a ``vocabulary``, ``barred`` are
     ``label_pairs`` that must not come. The order runs through all places of the
     pool by a step that depends on ``k``; places are read ``draws`` at first and
-    more only by those that have too few, so nobody holds the whole pool. Where
-    the pool has less than wanted, all that fit come.
+    more only by those that have too few. Every task holds a pool of up to
+    ``POOL`` markers, places of a larger one are joined. Where the pool has less
+    than wanted, all that fit come.
     """
     pool = cut_lineage(pool)
     size = pool.count()
     prime = _prime_from(size)
+    if 0 < size <= POOL:
+        return _drawn_from_held(askers, pool, prime, seed, barred, draws)
     start = F.floor(uniform(seed, F.col("k"), "start") * prime).cast("bigint")
     step = 1 + F.floor(uniform(seed, F.col("k"), "step") * (prime - 1)).cast("bigint")
     still = cut_lineage(askers.select("k", "own", "wanted", "label_key", start.alias("_a"), step.alias("_b")).where("wanted > 0"))
@@ -82,6 +98,89 @@ def draw_markers(
     return joined.select("k", F.slice(names, F.lit(1), F.greatest("wanted", F.lit(0))).alias("drawn"))
 
 
+def _offers(known, prime: int, high: int, spare: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each asker the first ``wanted`` and ``spare`` markers that it lacks among its first ``high`` places, and whether these are all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_place = known.value[0]
+        order = np.argsort(by_place)
+        codes = by_place[order]
+        for whole in batches:
+            for begin in range(0, whole.num_rows, max(1, CELLS // high)):
+                batch = whole.slice(begin, max(1, CELLS // high))
+                first, step, most = (batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_a", "_b", "wanted"))
+                most = most + spare
+                place = (first[:, None] + np.arange(high) * step[:, None]) % prime
+                own, row = pc.list_flatten(batch["own"]).to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch["own"]).to_numpy(zero_copy_only=False))
+                at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+                held = codes[at] == own
+                fits = (place < len(codes)) & ~np.isin(place + np.arange(batch.num_rows)[:, None] * prime, order[at[held]] + row[held] * prime)
+                nth = np.cumsum(fits, axis=1)
+                every = (nth[:, -1] <= most) & (high == prime)
+                fits &= nth <= most[:, None]
+                ends = np.concatenate([[0], np.cumsum(fits.sum(axis=1))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(by_place[place[fits]]))
+                out = [batch["k"], batch["label_key"], batch["wanted"], lists, pa.array(every)]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _named(known, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Markers instead of their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_place, names = known.value
+        order = np.argsort(by_place)
+        codes = by_place[order]
+        for batch in batches:
+            at = order[np.searchsorted(codes, pc.list_flatten(batch["codes"]).to_numpy(zero_copy_only=False))]
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(batch["codes"]).to_numpy(zero_copy_only=False))]).astype(np.int32)
+            out = [batch["k"], pa.ListArray.from_arrays(pa.array(ends), names.take(pa.array(at)))]
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _drawn_from_held(askers: DataFrame, pool: DataFrame, prime: int, seed: int, barred: DataFrame | None, draws: int) -> DataFrame:
+    """``draw_markers`` from a pool that every task holds: only hashes of markers that may fit meet those that are barred."""
+    spark = askers.sparkSession
+    rows = pool.orderBy("place").select("marker", F.xxhash64("marker").alias("code")).toArrow()  # bounded
+    known = spark.sparkContext.broadcast((rows["code"].to_numpy(), rows["marker"].combine_chunks()))
+    none = F.array().cast("array<bigint>")
+    start = F.floor(uniform(seed, F.col("k"), "start") * prime).cast("bigint")
+    step = 1 + F.floor(uniform(seed, F.col("k"), "step") * (prime - 1)).cast("bigint")
+    own = F.transform(F.filter(F.coalesce("own", F.array().cast("array<string>")), lambda m: m.isNotNull()), lambda m: F.xxhash64(m))
+    still = askers.where("wanted > 0").select("k", own.alias("own"), F.col("wanted").cast("int").alias("wanted"), "label_key", start.alias("_a"), step.alias("_b"))
+    lists = None
+    if barred is not None:
+        lists = cut_lineage(barred.groupBy("label_key").agg(F.collect_set(F.xxhash64("marker")).alias("_barred")))
+    ddl, asked = "k string, label_key string, wanted int, codes array<bigint>, every boolean", still
+    found, spare = None, 4
+    while True:
+        high = min(prime, draws)
+        offered = asked.mapInArrow(_offers(known, prime, high, spare, to_arrow_schema(StructType.fromDDL(ddl))), ddl)
+        if lists is not None:
+            offered = offered.join(lists, "label_key", "left").withColumn(
+                "codes", F.filter("codes", lambda c: ~F.array_contains(F.coalesce("_barred", none), c))
+            )
+        offered = offered.select("k", "wanted", F.slice("codes", F.lit(1), F.col("wanted")).alias("codes"), "every")
+        full = F.col("every") | (F.size("codes") >= F.col("wanted"))
+        offered = cut_lineage(offered)
+        new = offered.where(full).select("k", "codes")
+        found = new if found is None else found.unionByName(new)
+        lack = offered.where(~full).select("k").distinct()
+        count = lack.count()
+        if not count:
+            break
+        asked = still.join(F.broadcast(lack) if count <= FEW else lack, "k", "left_semi")
+        draws, spare = draws * 8, spare * 8 if high < prime else prime
+    names = "k string, drawn array<string>"
+    drawn = found.mapInArrow(_named(known, to_arrow_schema(StructType.fromDDL(names))), names)
+    rest = askers.where("coalesce(wanted, 0) <= 0").select("k", F.array().cast("array<string>").alias("drawn"))
+    return drawn.unionByName(rest)
+
+
 def generate_examples(
     records: DataFrame,
     examples_per_record: int = 16,
@@ -138,15 +237,19 @@ def distractors(examples: DataFrame, records: DataFrame, per_example: int, seed:
         norm_label(F.col("cell_type")).alias("label_key"), "example_id",
     )
     drawn = draw_markers(asked, vocabulary(records), seed, label_pairs(records))
+    kind = examples.schema["example_id"].dataType.simpleString()
+    if kind in ("string", "int", "bigint"):
+        return drawn.select(F.col("k").cast(kind).alias("example_id"), F.col("drawn").alias("added"))
     return asked.select("example_id", "k").join(drawn, "k").select("example_id", F.col("drawn").alias("added"))
 
 
 def perturb_levels(
-    examples: DataFrame, records: DataFrame, levels: tuple[tuple[float, int], ...], min_markers: int = 1, seed: int = 23
+    examples: DataFrame, records: DataFrame, levels: tuple[tuple[float, int], ...], min_markers: int = 1, seed: int = 23, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """``perturb_markers`` at several (drop rate, added markers), told by ``level``; markers are drawn once for all.
 
     A higher level drops all that a lower one drops, and adds all that it adds.
+    Columns to ``keep`` come along.
     """
     if any(not 0 <= drop <= 1 or add < 0 for drop, add in levels):
         raise ValueError("drop_rate must lie within 0 and 1, add_noise above 0")
@@ -159,12 +262,13 @@ def perturb_levels(
         rows = rows.withColumn("added", none)
     at = (F.lit(seed), F.col("example_id"))
     grid = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(float(d)).alias("drop"), F.lit(a).alias("add")) for i, (d, a) in enumerate(levels)])
-    rows = rows.withColumn("x", F.explode(grid)).select("example_id", "markers", "x.level", "x.drop", F.slice("added", F.lit(1), F.col("x.add")).alias("added"))
+    rows = rows.withColumn("x", F.explode(grid)).select("example_id", *keep, "markers", "x.level", "x.drop", F.slice("added", F.lit(1), F.col("x.add")).alias("added"))
     stays = F.filter("markers", lambda m: uniform(*at, m) >= F.col("drop"))
     floor = F.slice(F.reverse(by_hash(F.col("markers"), *at)), 1, min_markers)
     rows = rows.withColumn("kept", F.when(F.size(stays) >= min_markers, stays).otherwise(floor))
     return rows.select(
         "example_id",
+        *keep,
         "level",
         by_hash(F.array_distinct(F.concat("kept", F.coalesce("added", none))), *at, "order").alias("markers"),
         F.col("markers").alias("original_markers"),

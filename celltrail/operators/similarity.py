@@ -30,7 +30,7 @@ ANY = "*"
 #: Decimals of a score that count.
 DIGITS = 9
 #: Records and queries that meet in one block.
-RECORDS_PER_PART, QUERIES_PER_PART = 100_000, 50_000
+RECORDS_PER_PART, QUERIES_PER_PART = 100_000, 100_000
 #: Markers whose numbers of records every task may hold, 16 bytes each; more are joined.
 VOCABULARY = 2_000_000
 #: Tissues that may be broadcast.
@@ -333,12 +333,12 @@ def rank_by_signed_sets(queries: DataFrame, records: DataFrame, k: int = 5, nega
     return top.select("q_id", "rank", "rec_id", "score", "positive", "negative")
 
 
-def best_with_confidence(ranked: DataFrame, queries: DataFrame, records: DataFrame) -> DataFrame:
+def best_with_confidence(ranked: DataFrame, queries: DataFrame, records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(``q_id``, ``cell_type``, ``cell_ontology_id``, ``score``, ``confidence``), one row a query.
 
     Confidence is the best score plus its lead on the second, within 0 and 1. A
     query without markers, or whose best score isn't above zero, is ``Unknown``
-    with no confidence.
+    with no confidence. Columns of the queries to ``keep`` come along.
     """
     by = ranked.where("rank <= 2").groupBy("q_id").agg(
         F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("best"),
@@ -346,11 +346,12 @@ def best_with_confidence(ranked: DataFrame, queries: DataFrame, records: DataFra
         F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("score"))), F.lit(0.0)).alias("second"),
     )
     names = records.select("rec_id", "cell_type", "cell_ontology_id")
-    joined = queries.select("q_id").join(by, "q_id", "left").join(names, "rec_id", "left")
+    joined = queries.select("q_id", *keep).join(by, "q_id", "left").join(names, "rec_id", "left")
     hit = F.col("best") > 0
     lead = F.col("best") + F.greatest(F.lit(0.0), F.col("best") - F.col("second"))
     return joined.select(
         "q_id",
+        *keep,
         F.when(hit, F.col("cell_type")).otherwise("Unknown").alias("cell_type"),
         F.when(hit, F.col("cell_ontology_id")).alias("cell_ontology_id"),
         F.coalesce("best", F.lit(0.0)).alias("score"),

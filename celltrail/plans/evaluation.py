@@ -12,7 +12,7 @@ from celltrail.operators import metrics as me
 from celltrail.operators.annotators import annotate_by_overlap, candidate_lists
 from celltrail.operators.augment import perturb_levels
 from celltrail.operators.parse import choose_candidate, reparse
-from celltrail.operators.similarity import rank_by_overlap
+from celltrail.operators.similarity import best_with_confidence, rank_by_overlap
 from celltrail.plans import sql
 from celltrail.plans.linking import predictions
 from celltrail.plans.markers import _BEST, _CLUSTERS, _SCORED, clusters, database
@@ -164,16 +164,15 @@ NOISE = ((0.0, 0), (0.5, 3), (0.75, 5), (0.9, 8))
 def noise_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy of the overlap annotator as markers are dropped and others added, all levels in one job."""
     db = database(spark, sf_dir)
-    rows = table(spark, sf_dir, "annotation_example").select("example_id", "tissue", "cell_type").join(
-        clusters(spark, sf_dir).select(F.col("q_id").alias("example_id"), "markers"), "example_id"
-    )
-    noisy = perturb_levels(rows.select("example_id", "cell_type", "markers"), db, NOISE)
-    out = noisy.select((F.col("example_id") * len(NOISE) + F.col("level")).alias("q_id"), "level", "example_id", "markers")
-    asked = out.join(rows.select("example_id", "tissue", F.col("cell_type").alias("y_true")), "example_id")
-    # Counting tissues shall not draw the noise once more.
-    tissues = table(spark, sf_dir, "annotation_example").select(F.coalesce("tissue", F.lit("")).alias("tissue"), F.explode(F.sequence(F.lit(1), F.lit(len(NOISE)))))
-    said = annotate_by_overlap(asked.select("q_id", F.coalesce("tissue", F.lit("")).alias("tissue"), "markers"), db, tissues)
-    scored = asked.select("q_id", "level", "y_true").join(said.withColumnRenamed("cell_type", "y_pred"), "q_id")
+    rows = clusters(spark, sf_dir, "cell_type").withColumnRenamed("q_id", "example_id")
+    noisy = perturb_levels(rows, db, NOISE, keep=("tissue",))
+    q_id = (F.col("example_id") * len(NOISE) + F.col("level")).alias("q_id")
+    # What takes no noise shall not draw it once more.
+    each = F.explode(F.sequence(F.lit(0), F.lit(len(NOISE) - 1))).alias("level")
+    asked = table(spark, sf_dir, "annotation_example").select("example_id", F.coalesce("tissue", F.lit("")).alias("tissue"), F.col("cell_type").alias("y_true"), each)
+    asked = asked.select(q_id, "tissue", "level", "y_true")
+    ranked = rank_by_overlap(noisy.select(q_id, "tissue", "markers"), db, 2, asked)
+    scored = best_with_confidence(ranked, asked, db, ("level", "y_true")).withColumnRenamed("cell_type", "y_pred")
     levels = F.create_map(*[F.lit(x) for i, (drop, _) in enumerate(NOISE) for x in (i, drop)])
     by = scored.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(me.correct()), 6).alias("accuracy"), F.round(F.avg("confidence"), 6).alias("confidence"))
     return by.withColumn("drop_rate", levels[F.col("level")])

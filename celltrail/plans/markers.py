@@ -27,11 +27,11 @@ def database(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marker_records(table(spark, sf_dir, "marker_record"))
 
 
-def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The examples' clusters as queries."""
+def clusters(spark: SparkSession, sf_dir: str, *also: str) -> DataFrame:
+    """The examples' clusters as queries; ``also`` are further columns."""
     examples = table(spark, sf_dir, "annotation_example")
     markers = norm_gene_list(F.array_join(F.coalesce("metadata.markers", "markers"), ","))
-    return examples.select(F.col("example_id").alias("q_id"), F.coalesce("tissue", F.lit("")).alias("tissue"), markers.alias("markers"))
+    return examples.select(F.col("example_id").alias("q_id"), F.coalesce("tissue", F.lit("")).alias("tissue"), markers.alias("markers"), *also)
 
 
 def scan_marker_db(spark: SparkSession, sf_dir: str) -> DataFrame:

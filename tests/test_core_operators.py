@@ -333,3 +333,18 @@ def test_salted_join(spark):
         got = salted_join(left, right, "k", rows_per_task=limit)
         assert got.count() == 500 and got.agg(F.sum("v")).first()[0] == 402
         assert salted_join(left, right, "k", "inner", limit).count() == 401
+
+
+def test_draws_from_a_held_pool_meet_in_hashes(spark, monkeypatch):
+    rng = Random(3)
+    names = [f"MARKER{i:05d}" for i in range(3000)]
+    pool = spark.createDataFrame([(m, i) for i, m in enumerate(names)], "marker string, place bigint")
+    barred = spark.createDataFrame([("hot", m) for m in names[:2990]] + [("x", m) for m in names[::7]], "label_key string, marker string")
+    rows = [(str(i), rng.sample(names, 20), i % 6 - 1, rng.choice(["x", "x", "y", None])) for i in range(1000)] + [(f"h{i}", names[i:i + 5], 8, "hot") for i in range(30)]
+    askers = spark.createDataFrame(rows, "k string, own array<string>, wanted int, label_key string")
+    got = lambda: augment.draw_markers(askers, pool, 7, barred)
+    sent, held = shuffled(spark, got), {r.k: r.drawn for r in got().collect()}
+    monkeypatch.setattr(augment, "POOL", 0)
+    assert held == {r.k: r.drawn for r in got().collect()} and len(held) == 1030
+    assert set(held["h0"]) < set(names[2990:]) and len(held["h0"]) == 8
+    assert sent < 400_000 < shuffled(spark, got)
