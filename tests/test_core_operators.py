@@ -13,6 +13,7 @@ from celltrail.operators import augment, curation, linking, markers, matrix, met
 from celltrail.operators.annotators import annotate_by_overlap, annotate_by_prompt, annotate_by_rerank, annotate_by_signed_sets
 from celltrail.operators.parse import choose_candidate, parse_response
 from celltrail.operators.similarity import rank_by_overlap, rank_by_signed_sets
+from celltrail.plans import all_queries
 from celltrail.session import salted_join
 
 DB = "rec_id bigint, tissue string, cell_type string, cell_ontology_id string, markers array<string>, source string, evidence string, metadata map<string,string>"
@@ -128,6 +129,32 @@ def test_pairs_that_share_a_marker_are_no_rows(spark):
         assert shuffled(spark, lambda f=f: f(queries, db(spark, rows), 2)) < 500_000
 
 
+@pytest.fixture(scope="module")
+def one_tissue(spark, tmp_path_factory):
+    """The smallest tables four times over, in one tissue, where every cluster shares a marker with every record."""
+    folder, src = tmp_path_factory.mktemp("one_tissue"), "/root/testdata/sf0.001"
+    for name, keys in (("annotation_example", ["example_id"]), ("marker_record", ["rec_id"]), ("annotation_prediction", ["pred_id", "example_id"])):
+        rows = spark.read.parquet(f"{src}/{name}.parquet").crossJoin(spark.range(4).withColumnRenamed("id", "_c"))
+        rows = rows.withColumns({k: F.col(k) + 1_000_000 * F.col("_c") for k in keys}).drop("_c")
+        if "tissue" in rows.columns:
+            marker = F.concat(F.lit("M"), F.col(keys[0]).cast("string"))
+            both = F.concat_ws(",", F.lit("A"), marker) if name == "marker_record" else F.array(F.lit("A"), marker)
+            rows = rows.withColumns({"tissue": F.lit("Blood"), "markers": both})
+            rows = rows.withColumn("metadata", F.col("metadata").withField("markers", F.col("markers"))) if name == "annotation_example" else rows
+        rows.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "marker_overlap_topk",
+    ],
+)
+def test_queries_that_rank_shuffle_no_pairs(spark, one_tissue, name):
+    assert shuffled(spark, lambda: all_queries()[name](spark, one_tissue)) < 1_000_000
+
+
 def test_model_annotators(spark):
     queries = spark.createDataFrame([(1, "Blood", ["CD3D"]), (2, "Blood", [])], QUERIES)
 
