@@ -149,6 +149,7 @@ def one_tissue(spark, tmp_path_factory):
     "name",
     [
         "marker_overlap_topk",
+        "overlap_confidence",
     ],
 )
 def test_queries_that_rank_shuffle_no_pairs(spark, one_tissue, name):
