@@ -150,6 +150,7 @@ def one_tissue(spark, tmp_path_factory):
     [
         "marker_overlap_topk",
         "overlap_confidence",
+        "rerank_prompts",
     ],
 )
 def test_queries_that_rank_shuffle_no_pairs(spark, one_tissue, name):
