@@ -151,6 +151,7 @@ def one_tissue(spark, tmp_path_factory):
         "marker_overlap_topk",
         "overlap_confidence",
         "rerank_prompts",
+        "sctype_topk",
     ],
 )
 def test_queries_that_rank_shuffle_no_pairs(spark, one_tissue, name):
