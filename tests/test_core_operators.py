@@ -152,6 +152,7 @@ def one_tissue(spark, tmp_path_factory):
         "overlap_confidence",
         "rerank_prompts",
         "sctype_topk",
+        "rerank_audit",
     ],
 )
 def test_queries_that_rank_shuffle_no_pairs(spark, one_tissue, name):
