@@ -153,6 +153,7 @@ def one_tissue(spark, tmp_path_factory):
         "rerank_prompts",
         "sctype_topk",
         "rerank_audit",
+        "rerank_ranks",
     ],
 )
 def test_queries_that_rank_shuffle_no_pairs(spark, one_tissue, name):
