@@ -154,6 +154,7 @@ def one_tissue(spark, tmp_path_factory):
         "sctype_topk",
         "rerank_audit",
         "rerank_ranks",
+        "overlap_candidates",
     ],
 )
 def test_queries_that_rank_shuffle_no_pairs(spark, one_tissue, name):
