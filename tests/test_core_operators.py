@@ -156,6 +156,7 @@ def one_tissue(spark, tmp_path_factory):
         "rerank_ranks",
         "overlap_candidates",
         "sctype_confidence",
+        "choose_candidates",
     ],
 )
 def test_queries_that_rank_shuffle_no_pairs(spark, one_tissue, name):
