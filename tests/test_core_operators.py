@@ -157,6 +157,7 @@ def one_tissue(spark, tmp_path_factory):
         "overlap_candidates",
         "sctype_confidence",
         "choose_candidates",
+        "harm_examples",
     ],
 )
 def test_queries_that_rank_shuffle_no_pairs(spark, one_tissue, name):
