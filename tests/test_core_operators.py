@@ -158,6 +158,7 @@ def one_tissue(spark, tmp_path_factory):
         "sctype_confidence",
         "choose_candidates",
         "harm_examples",
+        "rerank_histograms",
     ],
 )
 def test_queries_that_rank_shuffle_no_pairs(spark, one_tissue, name):
